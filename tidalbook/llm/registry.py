@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, licenses, token_store, toxicity
 
 QUERIES = {
     "op4_bpe": bpe.op4_bpe,
+    "op6_token_store": token_store.op6_token_store,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_licenses": licenses.op10_licenses,
 }
 ORACLES: dict[str, str] = {}
