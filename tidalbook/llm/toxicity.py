@@ -7,10 +7,9 @@ with its heaviest entry, unless an exception phrase covers it.  The sum of
 weights and the sum normalised by length give the score through a logistic
 function.
 
-``fit`` learns entries and weights from labelled rows.  It may use a bounded
-sample: the ``sample`` labelled rows with the smallest hashes of their texts
-(the rows' texts decide, not their ids).  The lexicon has at most ``entries``
-entries, whatever the corpus.
+``fit`` learns entries and weights from labelled rows.  It uses a bounded
+sample of about ``sample`` labelled rows, those with small hashes of their
+texts.  The lexicon has at most ``entries`` entries, whatever the corpus.
 
 Null and empty texts have no words; their score is that of a text with no hits.
 """
@@ -38,7 +37,7 @@ HIDDEN = re.compile("[­​-‍⁠﻿]")
 WORD = re.compile(r"[^\W\d_]+")
 #: Harmless phrases that hold lexicon words.
 EXCEPTIONS = ("class clown", "clown fish", "trash can", "trash bin", "idiot proof", "sore loser", "loser bracket", "scum line", "pond scum")
-#: Bounds of ``fit``: labelled rows used, lexicon entries, and the shortest and longest beginning of a word.
+#: Bounds of ``fit``: labelled rows used (about), lexicon entries, and the shortest and longest beginning of a word.
 SAMPLE, ENTRIES, SHORT, LONG = 20_000, 4_000, 3, 9
 #: An entry stands in at least this many toxic texts, and its log odds and z-score are at least these.
 LEAST, ODDS, SURE = 8, 2.0, 4.0
@@ -115,12 +114,19 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", sample: int = SAMPLE, entries: int = ENTRIES) -> Lexicon:
-    """Learns a lexicon from rows with a text and a 0/1 label; rows with a null label or text are left out."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("y")).where("y is not null and text is not null")
-    # the smallest hashes of at most ``sample`` rows
-    rows = rows.withColumn("h", F.xxhash64("text")).orderBy("h", "y").limit(sample).select("text", "y")
-    rows = common.written(rows.repartition(common.n_partitions(rows.sparkSession)), "toxicity-sample")
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, entries: int = ENTRIES) -> Lexicon:
+    """Learns a lexicon from the rows of ``docs`` that ``labels`` gives 0 or 1; null texts and labels are left out.
+
+    About ``sample`` labelled rows are used, all if there are fewer: those whose
+    text's hash lies under a threshold, so that only they are shuffled.
+    """
+    known = labels.select(key, F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull())
+    share = min(1.0, sample / max(1, known.count()))
+    rows = docs.select(key, F.col(text).alias("text")).where(F.col("text").isNotNull())
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = rows.join(known, key).select("text", "y")
+    rows = common.written(rows, "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -198,7 +204,7 @@ def held_out(key: str = "doc_id"):
 
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Lexicon:
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
-    return fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return fit(docs, labels)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
