@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, token_store, toxicity
+from . import bpe, fingerprints, licenses, mixture, token_store, topk, toxicity, urls
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_topk": topk.op2_topk,
     "op4_bpe": bpe.op4_bpe,
+    "op5_urls": urls.op5_urls,
     "op6_token_store": token_store.op6_token_store,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_mixture": mixture.op9_mixture,
     "op10_licenses": licenses.op10_licenses,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_topk": topk.ORACLE,
+    "op5_urls": urls.oracle(),
+}
