@@ -27,51 +27,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, token_store
+from . import common, token_store, words
 
 EXACT, LIKE = 32, 256
 #: Characters fingerprinted at a time, and key ranges per shuffle partition.
 CHUNK, RANGES = 1_500_000, 4
 
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _scrambled(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
 
 def like_lanes(texts: list[bytes]) -> np.ndarray:
     """The signed lanes of many texts (n x LIKE, int16), computed together."""
     n = len(texts)
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, n) + 1
-    space = _SPACES[data]
-    inside = ~space
-    start = np.flatnonzero(inside & np.concatenate(([True], space[:-1])))
-    end = np.flatnonzero(inside & np.concatenate((space[1:], [True]))) + 1
+    hashes, start, doc, data = words.word_hashes(texts)
     if not len(start):
         return np.zeros((n, LIKE), np.int16)
+    line = np.cumsum(data == 10)[start]  # a word's followers lie in its paragraph
+    follow = np.zeros((2, len(hashes)), np.uint64)
+    for k in (1, 2):
+        same = line[k:] == line[:-k]
+        follow[k - 1, :-k][same] = hashes[k:][same]
     with np.errstate(over="ignore"):
-        # a word's hash: sum of mixed (byte, place in the word)
-        place = np.arange(len(data), dtype=np.int64)
-        place -= np.repeat(start, np.diff(np.append(start, len(data)))) if start[0] == 0 else np.concatenate((np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(data))))))
-        units = (data.astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _MUL
-        units ^= units >> np.uint64(29)
-        units *= np.uint64(0xBF58476D1CE4E5B9)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(units)))
-        words = _scrambled(sums[end] - sums[start] + (end - start).astype(np.uint64))
-        # paragraphs and documents of the words
-        line = np.cumsum(data == 10)[start]
-        doc = np.searchsorted(np.cumsum(sizes), start, side="right")
-        follow = np.zeros((2, len(words)), np.uint64)
-        for k in (1, 2):
-            same = line[k:] == line[:-k]
-            follow[k - 1, :-k][same] = words[k:][same]
-        mixed = _scrambled(words * np.uint64(3) + _scrambled(follow[0] * np.uint64(5) + _scrambled(follow[1] + np.uint64(7))))
+        mixed = words.scrambled(hashes * np.uint64(3) + words.scrambled(follow[0] * np.uint64(5) + words.scrambled(follow[1] + np.uint64(7))))
     lane = (mixed % np.uint64(LIKE)).astype(np.int64)
     sign = ((mixed >> np.uint64(40)) & np.uint64(1)).astype(np.float64) * 2 - 1
     total = np.bincount(doc * LIKE + lane, weights=sign, minlength=n * LIKE).reshape(n, LIKE)
@@ -125,25 +100,13 @@ def fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint") ->
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         made: list[str] = []
-        for group in chunks([(x or "").encode() for x in b.column(text).to_pylist()]):
+        for _, group in words.chunks([(x or "").encode() for x in b.column(text).to_pylist()], CHUNK):
             made += [to_hex(e, w) for e, w in zip(*prints(group), strict=True)]
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], [*b.schema.names, into])
 
     return common.arrow_map(df, batch, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"`{into}` string"]))
 
 
-def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size > CHUNK:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows dealt to ranges of ascending keys, each range followed by the first row of the next (``tail``; the first of all after the last).
 
