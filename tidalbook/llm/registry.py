@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, licenses, mixture, token_store, topk, toxicity, urls
+from . import bpe, fingerprints, licenses, mixture, near_dups, token_store, topk, toxicity, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_topk": topk.op2_topk,
+    "op3_near_dups": near_dups.op3_near_dups,
     "op4_bpe": bpe.op4_bpe,
     "op5_urls": urls.op5_urls,
     "op6_token_store": token_store.op6_token_store,
