@@ -10,16 +10,19 @@ reads the shards, so that they may lie in any store and a lost task is redone.
 
 Shards follow ascending doc_id.  A key is (doc_id, how many rows before it have
 the same doc_id); rows of one doc_id follow each other in the order of their
-ids' bytes; a null doc_id comes first.  Null and empty texts have only the end id.
+packed ids; a null doc_id comes first.  Null and empty texts have only the end id.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,22 +34,35 @@ M64 = (1 << 64) - 1
 
 
 class LibraryCodec(bpe.Codec):
-    """Each distinct pre-token goes through the tokenizers library once; texts are joined from those."""
+    """Each distinct pre-token goes through the tokenizers library once; texts are joined from those.
 
-    def learn(self, words: list[str]) -> None:
-        import os
+    Words with a space before them go in by thousands at once: the library
+    splits them at the same places, and the tokens' lengths tell whose they are.
+    """
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    PLAIN = regex.compile(r" \p{L}+")
+
+    def learn(self, words: list[str]) -> None:
         if not hasattr(self, "tokenizer"):
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+            self.lengths = np.array([len(x) for x in self.bytes], np.int64)
+        plain = [w for w in words if self.PLAIN.fullmatch(w) and "Cn" not in map(unicodedata.category, w)]
+        for i in range(0, len(plain), 4000):
+            part = plain[i : i + 4000]
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            after = np.cumsum(self.lengths[ids])
+            ends = np.searchsorted(after, np.cumsum([len(w.encode()) for w in part])) + 1
+            blob, start = ids.tobytes(), 0
+            for w, e in zip(part, ends.tolist(), strict=True):
+                self.cache[w] = blob[4 * start : 4 * e]
+                start = e
+        for w in words:
+            if w not in self.cache:
+                self.cache[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _codecs: dict[str, LibraryCodec] = {}
@@ -69,8 +85,8 @@ def key_hashes(ids: list[int | None], nth: list[int]) -> np.ndarray:
 def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Seeds by bucket (a negative one names the slot itself) and the slot of each key; ``keys`` are distinct."""
     n = len(keys)
-    buckets = (mixed(keys, 101) % np.uint64(max(1, n // 4 + 1))).astype(np.int64)
-    seeds = np.zeros(n // 4 + 1, np.int32)
+    buckets = (mixed(keys, 101) % np.uint64(max(1, n // 2 + 1))).astype(np.int64)
+    seeds = np.zeros(n // 2 + 1, np.int32)
     taken, slots = np.zeros(n, bool), np.empty(n, np.int64)
     order = np.argsort(buckets, kind="stable")
     groups = np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1)
@@ -96,7 +112,7 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def find(keys: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
     """The slot of each key, if it is in the index at all."""
-    seed = seeds[(mixed(keys, 101) % np.uint64(n // 4 + 1)).astype(np.int64)].astype(np.int64)
+    seed = seeds[(mixed(keys, 101) % np.uint64(n // 2 + 1)).astype(np.int64)].astype(np.int64)
     return np.where(seed < 0, -1 - seed, (mixed(keys, (1000 + np.maximum(seed, 0)).astype(np.uint64)) % np.uint64(n)).astype(np.int64))
 
 
@@ -118,15 +134,16 @@ def range_numbers(ids: pa.Array, cuts: list[int]) -> np.ndarray:
 
 
 def encoded(df: DataFrame, cuts: list[int], end: int | None, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``range``, ``ids`` (raw, as stored)."""
+    """``doc_id``, ``range``, ``ids`` (as stored, packed for the way)."""
 
     def batch(b: pa.RecordBatch) -> dict:
         if path not in _codecs:
             _codecs[path] = LibraryCodec(path)
         codec = _codecs[path]
         width = "<u2" if len(codec.bytes) <= 1 << 16 else "<u4"
+        pack = zstandard.ZstdCompressor(level=1).compress
         tail = b"" if end is None else np.array([end], width).tobytes()
-        ids = [np.frombuffer(x, "<u4").astype(width).tobytes() + tail for x in codec.blobs(b.column(1).to_pylist())]
+        ids = [pack(np.frombuffer(x, "<u4").astype(width).tobytes() + tail) for x in codec.blobs(b.column(1).to_pylist())]
         return {"doc_id": b.column(0), "range": pa.array(range_numbers(b.column(0), cuts)), "ids": pa.array(ids, pa.binary())}
 
     return common.arrow_map(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text)), batch, "doc_id long, range int, ids binary")
@@ -152,9 +169,10 @@ def shards(ids: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
+        unpack = zstandard.ZstdDecompressor().decompress
         block, part, size, last, nth = None, 0, 0, object(), 0
         for b in batches:
-            for i, r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for i, r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), map(unpack, b.column(2).to_pylist()), strict=True):
                 if rows and (r != block or size >= SHARD_BYTES):
                     yield from as_batch(pack(block, part, rows))
                     rows, size, part = [], 0, part + 1
@@ -182,7 +200,7 @@ def write(df: DataFrame, path: str, end: int | None = None, tokenizer: str | Non
     tokenizer = tokenizer or bpe.default_path()
     width = 2 if len(LibraryCodec(tokenizer).bytes) <= 1 << 16 else 4
     cuts = ranges(df, RANGES * common.n_partitions(df.sparkSession), key)
-    shards(encoded(df, cuts, end, tokenizer, key, text), width).write.parquet(path)
+    shards(encoded(df, cuts, end, tokenizer, key, text), width).write.option("compression", "zstd").parquet(path)
     return cuts
 
 
