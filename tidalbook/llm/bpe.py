@@ -229,8 +229,8 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, keep: tuple
     return common.arrow_map(df.select(*keep, df[ids].alias("__ids")), batch, schema)
 
 
-def round_trip(df: DataFrame, text: str = "text", path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encode and decode in one pass: ``keep``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
+def round_trip(df: DataFrame, text: str = "text", path: str | None = None, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: ``keep``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, on demand ``ids``."""
     path = path or default_path()
     kinds = dict(df.dtypes)
 
@@ -240,9 +240,9 @@ def round_trip(df: DataFrame, text: str = "text", path: str | None = None, keep:
         made = [len(x) // 4 for x in blobs]
         ids = [hashlib.sha256(x).hexdigest() for x in blobs]
         back = [hashlib.sha256(c.decode(x).decode("utf-8", "replace").encode()).hexdigest() for x in blobs]
-        return pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(made, pa.int64()), pa.array(ids), pa.array(back)], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(made, pa.int64()), pa.array(ids), pa.array(back), *([pa.array(blobs, pa.binary())] if with_ids else [])], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string"])
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids binary"] * with_ids])
     return common.arrow_map(df.select(*keep, df[text].alias("__text")), batch, schema)
 
 

@@ -55,12 +55,16 @@ def targets(sizes: list[int], weights: list[int], budget: int | None = None, epo
     return [t or 0.0 for t in out]
 
 
+def order_key(key: str, text: str, seed: int = 42):
+    return F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+
+
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", epochs: int = EPOCHS, seed: int = 42, rows: int = ROWS) -> DataFrame:
-    """``df`` without the text, with ``size``, ``source_size``, ``target``, ``taken``."""
+    """``df`` without the text, with ``size``, ``source_size``, ``target``, ``taken`` and ``mix_key``, the hash that orders its source."""
     spark = df.sparkSession
     # a name that is never null, so that joins and windows share one partitioning
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    sized = df.select(key, source, name.alias("__source"), n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("__key"))
+    sized = df.select(key, source, name.alias("__source"), n_words(text).alias("size"), order_key(key, text, seed).alias("__key"))
     sized = common.written(sized, "mixture-sizes")
     totals = sized.groupBy(source, "__source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).orderBy(F.col(source).asc_nulls_last()).collect()
     goal = targets([r["source_size"] for r in totals], [weight_of(i) for i in range(len(totals))], epochs=epochs)
@@ -80,8 +84,15 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     rest = F.col("budget") - whole * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return run.select(key, source, "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+    return run.select(key, source, "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), F.col("__key").alias("mix_key"))
+
+
+def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
+    """The rows of ``df`` that the mix takes, each as often as it takes them; the row at a source's cut is taken whole."""
+    taken = mix(df, key, text, source, **more).where("taken > 0").groupBy("mix_key").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__copies"))
+    rows = df.withColumn("__key", order_key(key, text)).join(taken.withColumnRenamed("mix_key", "__key"), "__key")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*df.columns)
 
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(common.table(spark, sf_dir, "documents")).drop("source")
+    return mix(common.table(spark, sf_dir, "documents")).drop("source", "mix_key")

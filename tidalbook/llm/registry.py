@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, licenses, mixture, near_dups, token_store, topk, toxicity, urls
+from . import bpe, fingerprints, licenses, mixture, near_dups, repeats, token_store, topk, toxicity, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_urls": urls.op5_urls,
     "op6_token_store": token_store.op6_token_store,
+    "op7_repeats": repeats.op7_repeats,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixture": mixture.op9_mixture,
     "op10_licenses": licenses.op10_licenses,
