@@ -15,14 +15,18 @@ CATEGORIES = ("comida", "transporte", "assinaturas", "lazer", "saude", "educacao
 SOURCES = ("notification", "pluggy", "ofx", "manual", "uber")
 
 
+_TYPES = {"string": T.StringType(), "timestamp": T.TimestampType(), "int": T.IntegerType(), "double": T.DoubleType(), "money": MONEY}
+
+
 def _table(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Types of "name type" pairs; needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in map(str.split, spec.split(","))])
 
 
-ACCOUNTS = _table("id string, name string, type string, balance decimal(15,2), pluggy_item_id string, pluggy_account_id string, created_at timestamp, updated_at timestamp")
+ACCOUNTS = _table("id string, name string, type string, balance money, pluggy_item_id string, pluggy_account_id string, created_at timestamp, updated_at timestamp")
 TRIPS = _table("id string, origin_address string, destination_address string, driver_name string, duration_seconds int, created_at timestamp")
 TRANSACTIONS = _table(
-    "id string, account_id string, description string, amount decimal(15,2), date timestamp, category string, source string, "
+    "id string, account_id string, description string, amount money, date timestamp, category string, source string, "
     "external_id string, latitude double, longitude double, uber_metadata_id string, created_at timestamp, updated_at timestamp"
 )
 #: What a missing or null column becomes on insert.
