@@ -26,10 +26,10 @@ whose links add up; a null doc_id stays alone.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -226,18 +226,47 @@ def across(now: DataFrame, signs: DataFrame, least: float) -> DataFrame:
     left = left.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(9)), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     left = left.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
-    def compare(p: pd.DataFrame) -> pd.DataFrame:
-        x, y = p[p.own == p.i], p[p.own == p.j]
-        rx, ry = (np.stack(q.bands.to_numpy()).view(np.uint16) if len(q) else np.zeros((0, 4), np.uint16) for q in (x, y))
-        ids, roots, n = y.doc_id.to_numpy(), y.root.to_numpy(), y.n_shingles.to_numpy()
-        out = []
-        for k, (a, ra, na) in enumerate(zip(x.doc_id.tolist(), x.root.tolist(), x.n_shingles.tolist(), strict=True)):
-            if len(ids):
-                ok = (roots != ra) & (estimate(np.broadcast_to(rx[k], ry.shape), ry, np.full(len(n), na), n) >= least)
-                out += [(a, b) for b in ids[ok].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return left.groupBy("band", "value", "i", "j").applyInPandas(compare, "a long, b long")
+    names = ("band", "value", "i", "j")
+
+    def pairs_of(g: np.ndarray, t: dict[str, np.ndarray], regs: np.ndarray) -> pa.RecordBatch:
+        """All groups of a run of whole groups at once; ``g`` has where each begins, and the end."""
+        size = np.diff(g)
+        first = np.repeat(g[:-1], size * size)
+        step = np.arange(len(first)) - np.repeat(np.cumsum(size * size) - size * size, size * size)
+        wide = np.repeat(size, size * size)
+        x, y = first + step // wide, first + step % wide
+        ok = (t["own"][x] == t["i"][x]) & (t["own"][y] == t["j"][y]) & (t["root"][x] != t["root"][y]) & ((t["i"][x] != t["j"][x]) | (x < y))
+        x, y = x[ok], y[ok]
+        near = estimate(regs[x], regs[y], t["n_shingles"][x], t["n_shingles"][y]) >= least if len(x) else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(t["doc_id"][x[near]]), pa.array(t["doc_id"][y[near]])], ["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in itertools.chain(batches, [None]):
+            tables = [x for x in (rest, b) if x is not None and x.num_rows]
+            if not tables:
+                continue
+            table = pa.Table.from_batches(tables).combine_chunks()
+            t = {c: table.column(c).to_numpy() for c in (*names, "own", "doc_id", "root", "n_shingles")}
+            new = np.zeros(table.num_rows, bool)
+            new[0] = True
+            for c in names:
+                new[1:] |= t[c][1:] != t[c][:-1]
+            g = np.append(np.flatnonzero(new), table.num_rows)
+            if b is not None:  # the last group may go on in the next batch
+                rest = table.slice(g[-2]).combine_chunks().to_batches()[0]
+                g = g[:-1]
+            if len(g) < 2:
+                continue
+            regs = table.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(table.num_rows, -1)
+            work = np.cumsum(np.diff(g) ** 2)
+            cuts = np.unique(np.append(np.searchsorted(work, np.arange(0, work[-1], 200_000), side="right"), len(g) - 1))
+            for lo, hi in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+                if hi > lo:
+                    yield pairs_of(g[lo : hi + 1], t, regs)
+
+    dealt = left.select(*names, "own", "doc_id", "root", "n_shingles", "bands").repartition(common.n_partitions(now.sparkSession), *names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,7 +211,7 @@ def lookup(keys: DataFrame, path: str, cuts: list[int]) -> DataFrame:
     starts in the whole is a running sum over one small row per shard.
     """
     spark = keys.sparkSession
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema(SHARD).parquet(path)
     ahead = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored.select("range", "part", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0))).drop("n_ids")
 
