@@ -34,7 +34,8 @@ class RunIndex:
             c = np.zeros(n, np.int64)
             c[: n - k] = text[k:]
             packed = packed * 512 + np.where(left > k, c, 0)
-        rank = self.ranked(np.where(left == 0, seg - n_seg, packed))
+        # suffixes that end within the first characters differ by their segment: the sort is stable
+        rank = self.ranked(np.where(left == 0, seg - n_seg, packed), left < 7)
         self.rank_at: dict[int, np.ndarray] = {7: rank}
         h = 7
         while h <= int(sizes.max()):
@@ -74,11 +75,15 @@ class RunIndex:
         del self.rank_at
 
     @staticmethod
-    def ranked(keys: np.ndarray) -> np.ndarray:
+    def ranked(keys: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
+        """Dense ranks; equal keys share one unless they are ``apart``."""
         order = np.argsort(keys, kind="stable")
         sorted_keys = keys[order]
         rank = np.empty(len(keys), np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(sorted_keys[1:] != sorted_keys[:-1])))
+        step = sorted_keys[1:] != sorted_keys[:-1]
+        if apart is not None:
+            step |= apart[order][1:]
+        rank[order] = np.concatenate(([0], np.cumsum(step)))
         return rank
 
     def smallest_owners(self) -> np.ndarray:
