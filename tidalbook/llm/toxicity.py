@@ -39,8 +39,8 @@ WORD = re.compile(r"[^\W\d_]+")
 EXCEPTIONS = ("class clown", "clown fish", "trash can", "trash bin", "idiot proof", "sore loser", "loser bracket", "scum line", "pond scum")
 #: Bounds of ``fit``: labelled rows used (about), lexicon entries, and the shortest and longest beginning of a word.
 SAMPLE, ENTRIES, SHORT, LONG = 20_000, 4_000, 3, 9
-#: An entry stands in at least this many toxic texts, and its log odds and z-score are at least these.
-LEAST, ODDS, SURE = 8, 2.0, 4.0
+#: An entry stands in at least this many toxic texts, and its log odds and log-likelihood ratio are at least these.
+LEAST, ODDS, SURE = 5, 2.0, 26.0
 
 
 def folded(text: str | None) -> list[str]:
@@ -140,10 +140,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not n_good or not n_bad:
         return Lexicon()
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
-    z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    n, seen = float(n_good + n_bad), F.col("bad") + F.col("good")
+
+    def term(found, expected):
+        return F.when(found > 0, found * F.log(found / expected)).otherwise(0.0)
+
+    sure = 2 * (
+        term(F.col("bad"), seen * n_bad / n) + term(F.col("good"), seen * n_good / n)
+        + term(n_bad - F.col("bad"), (n - seen) * n_bad / n) + term(n_good - F.col("good"), (n - seen) * n_good / n)
+    )
     counts = rows.mapInArrow(count, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    picked = counts.where(F.col("bad") >= LEAST).select("entry", "bad", "good", odds.alias("odds"), z.alias("z")).where(f"odds >= {ODDS} and z >= {SURE}")
-    found = {r["entry"]: (r["bad"], r["odds"]) for r in picked.orderBy(F.desc("z"), "entry").limit(entries).collect()}
+    picked = counts.where(F.col("bad") >= LEAST).select("entry", "bad", "good", odds.alias("odds"), sure.alias("sure")).where(f"odds >= {ODDS} and sure >= {SURE}")
+    found = {r["entry"]: (r["bad"], r["odds"]) for r in picked.orderBy(F.desc("sure"), "entry").limit(entries).collect()}
     lexicon = Lexicon(specific(found))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
