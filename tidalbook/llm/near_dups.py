@@ -10,9 +10,12 @@ Four registers make a band; documents that share a band are candidates.
 2. In every band bucket all members meet one pivot, not each other; what passes
    is united.  A second round does the same with another pivot, for buckets
    that still hold several components.
-3. Buckets that still hold several components then compare all members across
-   components in blocks of ``BLOCK`` rows, dealt over tasks, so no link is lost
-   and no task gets a whole hot bucket.
+3. Buckets that still hold several components are cut into blocks of ``BLOCK``
+   members, and every two blocks meet in a task, so no task gets a whole hot
+   bucket.  Registers tell which members may have a link to another component
+   (a pair counts in its first common band only); only their sets travel there,
+   and the task gives a spanning forest of the links it confirms, so no link
+   between components is lost and rows stay in proportion to members.
 
 Candidates first pass an estimate from the registers, corrected for chance
 collisions, with a margin of over five standard errors; then the full sets are
@@ -39,7 +42,7 @@ from . import components as graph
 from . import words as w
 
 ROWS, MANTISSA = 4, 10
-CHUNK, BLOCK = 1_500_000, 400
+CHUNK, BLOCK, COLUMNS = 1_500_000, 128, 1 << 15
 _LOWER = bytes(ord(chr(c).lower()) if c < 128 else c for c in range(256))
 
 
@@ -190,9 +193,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     sets = common.written(full_sets(df.where(F.col(key).isNotNull()).join(taking_part.withColumnRenamed("doc_id", key), key, "left_semi"), key, text, words).dropDuplicates(["doc_id"]), "full-sets")
     labels = common.written(taking_part.withColumn("root", F.col("doc_id")), "roots")
 
-    def united(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Labels after the pairs (``a``, ``b`` and their labels ``ra``, ``rb``) have been tested."""
-        links = confirmed(likely(pairs.select("a", "b").distinct(), signs, least), sets, parts, whole)
+    def united(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels after confirmed links (``a``, ``b``)."""
         links = links.join(labels.select(F.col("doc_id").alias("a"), F.col("root").alias("ra")), "a")
         links = links.join(labels.select(F.col("doc_id").alias("b"), F.col("root").alias("rb")), "b")
         links = common.written(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "links")
@@ -206,30 +208,51 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         pivots = now.groupBy("band", "value").agg(pick.alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
         pivots = pivots.where("low <> high").select("band", "value", F.col("p.doc_id").alias("b"), F.col("p.root").alias("rb"))
         pairs = now.join(pivots, ["band", "value"]).where("root <> rb").select(F.col("doc_id").alias("a"), "b")
-        labels = united(labels, pairs)
+        labels = united(labels, confirmed(likely(pairs.distinct(), signs, least), sets, parts, whole))
 
-    labels = united(labels, across(members.join(labels, "doc_id"), signs, least))
+    labels = united(labels, across(members.join(labels, "doc_id"), signs, sets, least, parts, whole))
     found = docs.join(names, ["h1", "h2", "n_shingles"], "left").join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
     root = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 
-def across(now: DataFrame, signs: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of different components in the buckets that hold several.
-
-    A bucket of n members is cut into blocks; every two blocks meet in a group
-    of their own, which compares registers and gives only likely pairs.
-    """
+GROUP = ("band", "value", "i", "j")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of whole groups, and where each group begins, and the end."""
+    rest = None
+    for b in itertools.chain(batches, [None]):
+        tables = [x for x in (rest, b) if x is not None and x.num_rows]
+        if not tables:
+            continue
+        rest, table = None, pa.Table.from_batches(tables).combine_chunks()
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for c in GROUP:
+            x = table.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        g = np.append(np.flatnonzero(new), table.num_rows)
+        if b is not None:  # the last group may go on in the next batch
+            rest = table.slice(g[-2]).combine_chunks().to_batches()[0]
+            table, g = table.slice(0, g[-2]), g[:-1]
+        if len(g) > 1:
+            yield table, g
+
+
+def across(now: DataFrame, signs: DataFrame, sets: DataFrame, least: float, parts: int, whole: int) -> DataFrame:
+    """Links (``a``, ``b``) that join all components which similar members of one bucket have."""
     sizes = now.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     left = now.join(sizes.where("low <> high").select("band", "value", "n"), ["band", "value"]).join(signs, "doc_id")
     cuts = F.ceil(F.col("n") / BLOCK).cast("int")
     left = left.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(9)), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     left = left.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    n = common.n_partitions(now.sparkSession)
 
-    names = ("band", "value", "i", "j")
-
-    def pairs_of(g: np.ndarray, t: dict[str, np.ndarray], regs: np.ndarray) -> pa.RecordBatch:
-        """All groups of a run of whole groups at once; ``g`` has where each begins, and the end."""
+    def may_link(table: pa.Table, g: np.ndarray) -> np.ndarray:
+        """Which rows may have a link, in a run of whole groups."""
+        t = {c: table.column(c).to_numpy() for c in (*GROUP, "own", "root", "n_shingles")}
+        bands = table.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
         size = np.diff(g)
         first = np.repeat(g[:-1], size * size)
         step = np.arange(len(first)) - np.repeat(np.cumsum(size * size) - size * size, size * size)
@@ -237,36 +260,66 @@ def across(now: DataFrame, signs: DataFrame, least: float) -> DataFrame:
         x, y = first + step // wide, first + step % wide
         ok = (t["own"][x] == t["i"][x]) & (t["own"][y] == t["j"][y]) & (t["root"][x] != t["root"][y]) & ((t["i"][x] != t["j"][x]) | (x < y))
         x, y = x[ok], y[ok]
-        near = estimate(regs[x], regs[y], t["n_shingles"][x], t["n_shingles"][y]) >= least if len(x) else np.zeros(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array(t["doc_id"][x[near]]), pa.array(t["doc_id"][y[near]])], ["a", "b"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in itertools.chain(batches, [None]):
-            tables = [x for x in (rest, b) if x is not None and x.num_rows]
-            if not tables:
-                continue
-            table = pa.Table.from_batches(tables).combine_chunks()
-            t = {c: table.column(c).to_numpy() for c in (*names, "own", "doc_id", "root", "n_shingles")}
-            new = np.zeros(table.num_rows, bool)
-            new[0] = True
-            for c in names:
-                new[1:] |= t[c][1:] != t[c][:-1]
-            g = np.append(np.flatnonzero(new), table.num_rows)
-            if b is not None:  # the last group may go on in the next batch
-                rest = table.slice(g[-2]).combine_chunks().to_batches()[0]
-                g = g[:-1]
-            if len(g) < 2:
-                continue
-            regs = table.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(table.num_rows, -1)
+        here = np.argmax(bands[x] == bands[y], axis=1) == t["band"][x]
+        x, y = x[here], y[here]
+        regs = bands.view(np.uint16)
+        near = estimate(regs[x], regs[y], t["n_shingles"][x], t["n_shingles"][y]) >= least if len(x) else here[:0]
+        out = np.zeros(table.num_rows, bool)
+        out[x[near]] = out[y[near]] = True
+        return out
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, g in whole_groups(batches):
             work = np.cumsum(np.diff(g) ** 2)
             cuts = np.unique(np.append(np.searchsorted(work, np.arange(0, work[-1], 200_000), side="right"), len(g) - 1))
             for lo, hi in zip(np.append(0, cuts[:-1]), cuts, strict=True):
                 if hi > lo:
-                    yield pairs_of(g[lo : hi + 1], t, regs)
-
-    dealt = left.select(*names, "own", "doc_id", "root", "n_shingles", "bands").repartition(common.n_partitions(now.sparkSession), *names).sortWithinPartitions(*names)
-    return dealt.mapInArrow(compare, "a long, b long")
+                    part = table.slice(g[lo], g[hi] - g[lo]).combine_chunks()
+                    some = may_link(part, g[lo : hi + 1] - g[lo])
+                    if some.any():
+                        yield from part.select([*GROUP, "doc_id", "root"]).filter(pa.array(some)).to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, g in whole_groups(batches):
+            ids, roots, items = table.column("doc_id").to_numpy(), table.column("root").to_numpy(), table.column("items").to_pylist()
+            a, b = [], []
+            for lo, hi in zip(g[:-1].tolist(), g[1:].tolist(), strict=True):
+                x, y = forest([np.frombuffer(v, np.uint64) for v in items[lo:hi]], roots[lo:hi], parts, whole)
+                a += ids[lo + x].tolist()
+                b += ids[lo + y].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = left.select(*GROUP, "own", "doc_id", "root", "n_shingles", "bands").repartition(n, *GROUP).sortWithinPartitions(*GROUP)
+    some = dealt.mapInArrow(choose, "band int, value long, i int, j int, doc_id long, root long")
+    some = some.join(sets, "doc_id").select(*GROUP, "doc_id", "root", "items").repartition(n, *GROUP).sortWithinPartitions(*GROUP)
+    return some.mapInArrow(confirm, "a long, b long")
+
+
+def forest(sets: list[np.ndarray], roots: np.ndarray, parts: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all links between the sets, as few as join the same sets: each set with the first of its component."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    items, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), size)
+    several = count[code] > 1  # items of one set only are in no intersection
+    column = (np.cumsum(count > 1) - 1)[code[several]]
+    row, both = row[several], np.zeros((m, m), np.int64)
+    for lo in range(0, int((count > 1).sum()), COLUMNS):
+        here = (column >= lo) & (column < lo + COLUMNS)
+        held = np.zeros((m, COLUMNS), np.float32)
+        held[row[here], column[here] - lo] = 1
+        both += (held @ held.T).astype(np.int64)
+    linked = whole * both >= parts * (size[:, None] + size[None, :] - both)
+    linked |= roots[:, None] == roots[None, :]
+    label = np.arange(m)
+    while True:
+        low = np.where(linked, label[None, :], m).min(axis=1)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    at = np.flatnonzero(label != np.arange(m))
+    return at, label[at]
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
