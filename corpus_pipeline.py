@@ -7,6 +7,7 @@ session's shared folder and reads them again for the next.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 @F.pandas_udf(T.StringType())
-def whole_characters(kept):
+def whole_characters(kept: pd.Series) -> pd.Series:
     return kept.map(lambda x: x.decode("utf-8", "ignore"))
 
 
