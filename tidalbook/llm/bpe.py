@@ -35,7 +35,7 @@ SPLIT = regex.compile(r""" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN = re.compile(f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Pre-tokens kept per worker, and characters of text split at a time; bounds on memory, not on results.
-CACHE, CHUNK = 400_000, 2_000_000
+CACHE, CHUNK = 1_000_000, 2_000_000
 
 
 def default_path() -> str:
@@ -164,13 +164,22 @@ class Codec:
             nonlocal group, size
             if len(self.cache) > CACHE:
                 self.cache.clear()
-            cache = self.cache
-            fresh = {w for parts in group for p in parts if p.__class__ is list for w in p if w not in cache}
+            # one look-up per word; words without ids are learnt together, then filled in
+            known = [[list(map(self.cache.get, p)) if p.__class__ is list else p for p in parts] for parts in group]
+            fresh: set[str] = set()
+            for parts, found in zip(group, known, strict=True):
+                for p, f in zip(parts, found, strict=True):
+                    if f.__class__ is list and None in f:
+                        fresh.update([w for w, x in zip(p, f, strict=True) if x is None])
             if fresh:
                 self.learn(list(fresh))
-            get = cache.__getitem__
-            for parts in group:
-                out.append(b"".join([b"".join(map(get, p)) if p.__class__ is list else p for p in parts]))
+            for parts, found in zip(group, known, strict=True):
+                done = []
+                for p, f in zip(parts, found, strict=True):
+                    if f.__class__ is list:
+                        f = b"".join([self.cache[w] if x is None else x for w, x in zip(p, f, strict=True)] if None in f else f)
+                    done.append(f)
+                out.append(b"".join(done))
             group, size = [], 0
 
         for text in texts:
