@@ -12,7 +12,7 @@ from ..functions import dates, geo, text
 from ..operators import dedup, trips, validate, writes
 from ..sources import feeds, ofx
 from . import adapter as a
-from . import dashboard, search
+from . import dashboard, extras, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,7 +154,7 @@ def _(spark, d):
     return search.search(a.ledger_events(spark, d), a.accounts(spark, d), category="transporte")
 
 
-@query("search_payload")
+@query("search_payload", le(f"select count(*) as count, cast(to_json(list({{'date': date, 'id': id, 'description': description, 'amount': amount, 'category': category, 'source': source, 'account_name': account_name}} order by date, id)) as varchar) as transactions from ({_TOP})"))
 def _(spark, d):
     return search.payload(search.search(a.ledger_events(spark, d), a.accounts(spark, d), category="transporte"))
 
@@ -475,7 +475,13 @@ def _(spark, d):
     return dedup.unseen(a.ledger_events(spark, d), _stored(spark, d), "external_id").select("id")
 
 
-@query("dedup_5min")
+_GREEDY = """with recursive b as (select distinct cast(user_id as varchar) as account_id, event_type, epoch_us(ts) // 1000 as ms from events),
+r as (select account_id, event_type, min(ms) as ms from b group by all union all
+  select r.account_id, r.event_type, min(b.ms) from r join b on r.account_id = b.account_id and r.event_type = b.event_type and b.ms > r.ms + 300000 group by r.account_id, r.event_type)
+select account_id, event_type, ms from r"""
+
+
+@query("dedup_5min", _GREEDY)
 def _(spark, d):
     rows = a.ledger_events(spark, d).join(a.event_types(spark, d), "id").withColumn("ms", dates.millis(F.col("date")))
     return dedup.keep_first_in_window(rows, ["account_id", "event_type"], "ms")
@@ -512,3 +518,22 @@ def _(spark, d):
 def _(spark, d):
     tx = a.ledger_events(spark, d).withColumn("uber_metadata_id", F.lit(None).cast("string"))
     return trips.link(trips.match(a.trips(spark, d), tx), tx).select("id", "category", F.col("uber_metadata_id").alias("trip"))
+
+
+# --- extras
+
+
+@query("balance_over_time", lo("select account_id, day, cast(change as double) as change, cast(sum(change) over (partition by account_id order by day) as double) as balance from (select account_id, strftime(l.date, '%Y-%m-%d') as day, sum(amount) as change from l group by all)"))
+def _(spark, d):
+    return doubles(extras.balance_over_time(a.ledger_orders(spark, d)), "change", "balance")
+
+
+@query("spend_alerts", le("select l.id, l.category, cast(-amount as double) as spent, round(mean, 6) as mean from l join (select category, cast(sum(-amount) as double) / count(*) as mean from l where amount < 0 group by category) m on l.category = m.category where amount < 0 and cast(-amount as double) > 2 * mean"))
+def _(spark, d):
+    return doubles(extras.spend_alerts(a.ledger_events(spark, d)), "spent").withColumn("mean", F.round("mean", 6))
+
+
+@query("over_budget", le("select category, month, cast(spent as double) as spent, 7000.0::double as budget from (select category, strftime(l.date, '%Y-%m') as month, -sum(amount) as spent from l where amount < 0 group by all) where spent > 7000"))
+def _(spark, d):
+    budgets = spark.createDataFrame([(c, 7000.0) for c in text.LABELS], "category string, budget double")
+    return doubles(extras.over_budget(a.ledger_events(spark, d), budgets), "spent")
