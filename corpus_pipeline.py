@@ -33,10 +33,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document of which nothing is left stays with an empty text; a null text stays null.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    held = docs.withColumn("__null", F.col("text").isNull())
-    left = repeats.without_repeats(held, carry=(*rest, "__null"))
-    text = F.when(~F.col("__null"), whole_characters("kept"))
-    left = left.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    # the other columns travel as one, so that their names cannot clash with the operator's
+    held = docs.select("doc_id", "text", F.struct(*rest, F.col("text").isNull().alias("__null")).alias("__rest"))
+    left = repeats.without_repeats(held, carry=("__rest",))
+    text = F.when(~F.col("__rest")["__null"], whole_characters("kept"))
+    left = left.select("doc_id", text.alias("text"), *(F.col("__rest")[c].alias(c) for c in rest)).withColumn("n_chars", F.length("text").cast("long"))
     return left.select(*docs.columns)
 
 

@@ -29,13 +29,14 @@ def test_stages_keep_the_columns(steps):
     assert all(sorted(s.dtypes) == sorted(steps[0].dtypes) for s in steps[:-1])
 
 
-def test_toxic_documents_go_and_clean_ones_stay(spark, sf, steps):
+def test_toxic_documents_go_and_clean_ones_stay(spark):
+    sf = "/root/testdata/sf0.01"  # the smallest table has too few labels to learn from
     labels = {r["doc_id"]: r["toxic"] for r in common.table(spark, sf, "labels").collect()}
-    before, after = text_of(steps[0]), text_of(steps[1])
+    docs = common.table(spark, sf, "documents")
+    before, after = text_of(docs), text_of(cp.toxic(spark, docs, sf))
     assert all(after[i] == before[i] for i in after)
-    clean = [i for i in before if labels.get(i) == 0]
-    assert sum(i in after for i in clean) >= 0.97 * len(clean)
-    assert sum(i not in after for i in before if labels.get(i) == 1) > 0
+    clean, bad = ([i for i in before if labels.get(i) == y] for y in (0, 1))
+    assert sum(i in after for i in clean) >= 0.97 * len(clean) and sum(i not in after for i in bad) >= 0.5 * len(bad)
 
 
 def test_one_of_each_group_stays(steps):
