@@ -53,7 +53,7 @@ def test_any_text(text):
 
 
 def test_small_cache_gives_the_same(texts, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 5)
+    monkeypatch.setattr(bpe.Codec, "most", 5)
     monkeypatch.setattr(bpe, "CHUNK", 50)
     own = list(texts.values())[:20]
     assert bpe.Codec(bpe.default_path()).blobs(own) == bpe.codec(bpe.default_path()).blobs(own)

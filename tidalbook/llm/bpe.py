@@ -21,6 +21,7 @@ import re
 import sys
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ SPLIT = regex.compile(r""" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\
 #: The same for Latin-1 texts, with the classes spelled out.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN = re.compile(f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: Pre-tokens kept per worker, and characters of text split at a time; bounds on memory, not on results.
-CACHE, CHUNK = 1_000_000, 2_000_000
+#: Pre-tokens kept per task, and characters of text split at a time; bounds on memory, not on results.
+CACHE, CHUNK = 400_000, 2_000_000
 
 
 def default_path() -> str:
@@ -52,6 +53,8 @@ def byte_chars() -> list[str]:
 
 
 class Codec:
+    most = CACHE
+
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -162,7 +165,7 @@ class Codec:
 
         def flush():
             nonlocal group, size
-            if len(self.cache) > CACHE:
+            if len(self.cache) > self.most:
                 self.cache.clear()
             # one look-up per word; words without ids are learnt together, then filled in
             known = [[list(map(self.cache.get, p)) if p.__class__ is list else p for p in parts] for parts in group]
@@ -211,6 +214,18 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def per_task(df: DataFrame, per_batch, schema: str, path: str) -> DataFrame:
+    """``arrow_map`` that empties the codec's cache when a task ends, so that idle workers hold little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield per_batch(b)
+        codec(path).cache.clear()
+
+    return df.mapInArrow(run, schema)
+
+
 def encode(df: DataFrame, text: str = "text", path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``ids`` (binary: little-endian uint32), ``n_tokens``."""
     path = path or default_path()
@@ -222,7 +237,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, keep: tup
         return pa.RecordBatch.from_arrays([*cols, pa.array(blobs, pa.binary()), pa.array([len(x) // 4 for x in blobs], pa.int64())], [*keep, "ids", "n_tokens"])
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "ids binary", "n_tokens long"])
-    return common.arrow_map(df.select(*keep, df[text].alias("__text")), batch, schema)
+    return per_task(df.select(*keep, df[text].alias("__text")), batch, schema, path)
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -252,7 +267,7 @@ def round_trip(df: DataFrame, text: str = "text", path: str | None = None, keep:
         return pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(made, pa.int64()), pa.array(ids), pa.array(back), *([pa.array(blobs, pa.binary())] if with_ids else [])], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids binary"] * with_ids])
-    return common.arrow_map(df.select(*keep, df[text].alias("__text")), batch, schema)
+    return per_task(df.select(*keep, df[text].alias("__text")), batch, schema, path)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

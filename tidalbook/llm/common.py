@@ -26,11 +26,13 @@ def n_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share: the session's checkpoint folder.
 
-    Set here only when nothing has set it, as in tests on one machine.
+    Set here only when nothing has set it and Spark runs on one machine, as in tests.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidalbook-"))
     return sc.getCheckpointDir()
 

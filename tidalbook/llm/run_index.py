@@ -36,21 +36,21 @@ class RunIndex:
             packed = packed * 512 + np.where(left > k, c, 0)
         # suffixes that end within the first characters differ by their segment: the sort is stable
         rank = self.ranked(np.where(left == 0, seg - n_seg, packed), left < 7)
-        self.rank_at: dict[int, np.ndarray] = {7: rank}
-        h = 7
+        h, part, first = 7, 7, rank  # first: ranks by the first ``part`` characters, at least half of ``depth``
         while h <= int(sizes.max()):
             ahead = np.full(n, 0, np.int64)
             ahead[: n - h] = rank[h:] + n_seg
             second = np.where(left >= h, ahead, seg)
             rank = self.ranked(rank * (n + n_seg + 1) + second)
             h *= 2
-            self.rank_at[h] = rank
+            if h <= depth:
+                part, first = h, rank
+        del packed
         order = np.empty(n, np.int64)
         order[rank] = np.arange(n)  # ranks are all different now
         # runs of the transform, also cut between strings that differ within ``depth``
         bwt = np.where(order > 0, text[order - 1], 0)
-        part = max(k for k in self.rank_at if k <= depth)
-        first, rest = self.rank_at[part], depth - part
+        rest = depth - part
         assert rest <= part
         a, b = order[:-1], order[1:]
         long = left >= depth
@@ -72,7 +72,6 @@ class RunIndex:
         self.to = np.empty(len(by), np.int64)
         self.to[by] = below[self.char[by]] + before - base[self.char[by]]
         self.sample = lowest[np.searchsorted(interval, self.start, side="right") - 1]
-        del self.rank_at
 
     @staticmethod
     def ranked(keys: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:

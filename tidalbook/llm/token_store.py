@@ -36,8 +36,11 @@ class LibraryCodec(bpe.Codec):
 
     Words with a space before them go in by thousands at once: the library
     splits them at the same places, and the tokens' lengths tell whose they are.
+    Its cache lasts over a worker's tasks.
     """
 
+    most = 1_000_000
+
     def learn(self, words: list[str]) -> None:
         if not hasattr(self, "tokenizer"):
             from tokenizers import Tokenizer
