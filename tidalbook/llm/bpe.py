@@ -21,7 +21,6 @@ import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -215,15 +214,8 @@ def codec(path: str) -> Codec:
 
 
 def per_task(df: DataFrame, per_batch, schema: str, path: str) -> DataFrame:
-    """``arrow_map`` that empties the codec's cache when a task ends, so that idle workers hold little."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield per_batch(b)
-        codec(path).cache.clear()
-
-    return df.mapInArrow(run, schema)
+    """``arrow_map`` that empties the codec's cache when a task ends."""
+    return common.arrow_map(df, per_batch, schema, lambda: codec(path).cache.clear())
 
 
 def encode(df: DataFrame, text: str = "text", path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -255,6 +255,7 @@ def owners(blocks: DataFrame, shared: DataFrame, n_anchors: int, n: int) -> Data
                 out["counts"].append(b.count[own].astype(np.uint8).tobytes())
                 out["low"].append(_pack(b.ids[b.owner[own]]))
                 out["marks"].append(b.anchor[own].astype(np.uint32).tobytes())
+        common.release()
         return pd.DataFrame(out)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
@@ -263,6 +264,7 @@ def owners(blocks: DataFrame, shared: DataFrame, n_anchors: int, n: int) -> Data
         low, mark = np.concatenate([_unpack(x, np.int64) for x in rows["low"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in rows["marks"]])
         count = np.concatenate(counts)
         lowest = smallest(data, count, low, mark)
+        common.release()
         ends = np.cumsum(count)
         edges = np.concatenate(([0], ends[np.cumsum([len(c) for c in counts]) - 1]))
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "lowest": [_pack(lowest[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]})
@@ -336,6 +338,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carr
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept"].append(kept)
                 out["carried"].append(rest)
+        common.release()
         return pd.DataFrame(out).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, carried string"
