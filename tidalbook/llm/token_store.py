@@ -34,12 +34,12 @@ M64 = (1 << 64) - 1
 class LibraryCodec(bpe.Codec):
     """Each distinct pre-token goes through the tokenizers library once; texts are joined from those.
 
-    Words with a space before them go in by thousands at once: the library
-    splits them at the same places, and the tokens' lengths tell whose they are.
+    Words of letters go in by thousands at once: the library splits them at the
+    same places, and the tokens' lengths tell whose they are.
     Its cache lasts over a worker's tasks.
     """
 
-    most = 1_000_000
+    most = 2_000_000
 
     def learn(self, words: list[str]) -> None:
         if not hasattr(self, "tokenizer"):
@@ -49,16 +49,18 @@ class LibraryCodec(bpe.Codec):
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
             self.lengths = np.array([len(x) for x in self.bytes], np.int64)
-        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        for i in range(0, len(plain), 4000):
-            part = plain[i : i + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            after = np.cumsum(self.lengths[ids])
-            ends = np.searchsorted(after, np.cumsum([len(w.encode()) for w in part])) + 1
-            blob, start = ids.tobytes(), 0
-            for w, e in zip(part, ends.tolist(), strict=True):
-                self.cache[w] = blob[4 * start : 4 * e]
-                start = e
+        # a space begins the next word; words without one are parted by line feeds, a token each
+        for group, between in (([w for w in words if w[0] == " " and w[1:].isalpha()], ""), ([w for w in words if w.isalpha()], "\n")):
+            for i in range(0, len(group), 4000):
+                part = group[i : i + 4000]
+                text = between.join(part) + between
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                after = np.cumsum(self.lengths[ids])
+                ends = np.searchsorted(after, np.cumsum([len(w.encode()) + len(between) for w in part])) + 1
+                blob, start = ids.tobytes(), 0
+                for w, e in zip(part, ends.tolist(), strict=True):
+                    self.cache[w] = blob[4 * start : 4 * (e - len(between))]
+                    start = e
         for w in words:
             if w not in self.cache:
                 self.cache[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
