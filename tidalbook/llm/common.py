@@ -40,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, what: str = "table") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage ends there."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,10 +58,20 @@ def delete(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-#: Rows that a function of one batch gets at a time.
+#: Rows of an Arrow batch and of what a function of one batch gets at a time.
 ROWS = 1_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches of this session to ``ROWS`` rows, unless it asks for fewer.
+
+    A batch lies in the executor's memory twice, outside the heap and in Python, and texts may be long.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
 def release() -> None:
     """Gives freed memory back to the system, so that idle workers hold little."""
     pa.default_memory_pool().release_unused()
@@ -81,4 +92,5 @@ def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatc
             at_end()
         release()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

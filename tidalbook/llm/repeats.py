@@ -48,6 +48,8 @@ DEPTH, GRAM = 50, 20
 SPAN = DEPTH - GRAM + 1
 #: Bytes of text per block, per bucket of segments and per bucket of anchors; blocks and buckets at least.
 BLOCK, SEGMENTS, ANCHORS, LEAST = 2 << 20, 4 << 20, 8 << 20, 64
+#: Bytes of text that a task deals to the blocks at a time.
+PIECE = 16 << 20
 LAST = (1 << 63) - 1
 
 _TABLE = scrambled(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -156,24 +158,36 @@ def buckets_of(anchor: np.ndarray, n: int) -> np.ndarray:
 def blocks_of(df: DataFrame, key: str, text: str, n: int, carry: list[str]) -> DataFrame:
     """Documents packed by block: ``block``, ``ids``, ``nulls``, ``sizes``, ``texts``, ``carried`` (compressed; the last: a JSON text each)."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(ids: list, texts: list[bytes], rest: list[str]) -> pa.RecordBatch:
         squeeze = zstandard.ZstdCompressor(level=3).compress
+        keys = np.array([LAST if i is None else i for i in ids], np.int64)
+        part = (scrambled(keys.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        out: dict[str, list] = {k: [] for k in ("block", "ids", "nulls", "sizes", "texts", "carried")}
+        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
+            out["block"].append(int(part[own[0]]))
+            out["ids"].append(_pack(keys[own]))
+            out["nulls"].append(_pack(np.array([ids[i] is None for i in own], np.uint8)))
+            out["sizes"].append(_pack(np.array([len(texts[i]) for i in own], np.int64)))
+            out["texts"].append(squeeze(b"".join(texts[i] for i in own)))
+            out["carried"].append(squeeze(json.dumps([rest[i] for i in own]).encode()))
+        return pa.RecordBatch.from_arrays([pa.array(out.pop("block"), pa.int32()), *(pa.array(x, pa.binary()) for x in out.values())], ["block", *out])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, rest, size = [], [], [], 0
         for b in batches:
-            ids = b.column(0).to_pylist()
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            keys = np.array([LAST if i is None else i for i in ids], np.int64)
-            part = (scrambled(keys.view(np.uint64)) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            out: dict[str, list] = {k: [] for k in ("block", "ids", "nulls", "sizes", "texts", "carried")}
-            rest = b.column(2).to_pylist()
-            for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
-                out["block"].append(int(part[own[0]]))
-                out["ids"].append(_pack(keys[own]))
-                out["nulls"].append(_pack(np.array([ids[i] is None for i in own], np.uint8)))
-                out["sizes"].append(_pack(np.array([len(texts[i]) for i in own], np.int64)))
-                out["texts"].append(squeeze(b"".join(texts[i] for i in own)))
-                out["carried"].append(squeeze(json.dumps([rest[i] for i in own]).encode()))
-            yield pa.RecordBatch.from_arrays([pa.array(out.pop("block"), pa.int32()), *(pa.array(x, pa.binary()) for x in out.values())], ["block", *out])
+            ids += b.column(0).to_pylist()
+            fresh = [(t or "").encode() for t in b.column(1).to_pylist()]
+            texts += fresh
+            rest += b.column(2).to_pylist()
+            size += sum(map(len, fresh))
+            if size > PIECE:
+                yield dealt(ids, texts, rest)
+                ids, texts, rest, size = [], [], [], 0
+        if ids:
+            yield dealt(ids, texts, rest)
+        ids = texts = rest = None
+        common.release()
 
     held = F.to_json(F.struct(*carry)) if carry else F.lit("")
     packed = df.select(F.col(key).cast("long"), text, held).mapInArrow(pack, "block int, ids binary, nulls binary, sizes binary, texts binary, carried binary")
