@@ -32,8 +32,9 @@ M64 = (1 << 64) - 1
 
 
 class LibraryCodec(bpe.Codec):
-    """Each distinct pre-token goes through the tokenizers library once; texts are joined from those.
+    """Each distinct pre-token goes through the tokenizers library once; texts are gathered from those.
 
+    Pre-tokens are looked up once per distinct one of a group of texts.
     Words of letters go in by thousands at once: the library splits them at the
     same places, and the tokens' lengths tell whose they are.
     Its cache lasts over a worker's tasks.
@@ -41,6 +42,47 @@ class LibraryCodec(bpe.Codec):
 
     most = 2_000_000
 
+    def blobs(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text or "")
+            if size > bpe.CHUNK:
+                out += self.gathered(group)
+                group, size = [], 0
+        return out + self.gathered(group) if group else out
+
+    def gathered(self, texts: list[str]) -> list[bytes]:
+        words: list[str] = []
+        upto = [0]  # the number of words before each text
+        for text in texts:
+            if text and self.cut is not None and any(s in text for s in self.special):
+                for i, p in enumerate(self.cut.split(text)):
+                    words += [p] if i % 2 else self.words(p)
+            elif text:
+                words += self.words(text)
+            upto.append(len(words))
+        if not words:
+            return [b""] * len(texts)
+        found = pa.array(words, pa.string()).dictionary_encode()
+        distinct, code = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        if len(self.cache) > self.most:
+            self.cache.clear()
+        ids = list(map(self.cache.get, distinct))
+        if fresh := [w for w, x in zip(distinct, ids, strict=True) if x is None]:
+            # no pre-token holds a special token's string, so both may lie in one cache
+            self.cache.update({w: np.array([self.special[w]], "<u4").tobytes() for w in fresh if w in self.special})
+            self.learn([w for w in fresh if w not in self.special])
+            ids = [self.cache[w] if x is None else x for w, x in zip(distinct, ids, strict=True)]
+        blob = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, n = (np.cumsum(size) - size)[code], size[code]
+        ends = np.cumsum(n)
+        tokens = blob[np.repeat(first - (ends - n), n) + np.arange(ends[-1])]
+        cuts = np.concatenate(([0], ends))[upto].tolist()
+        return [tokens[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def learn(self, words: list[str]) -> None:
         if not hasattr(self, "tokenizer"):
             from tokenizers import Tokenizer
