@@ -85,6 +85,36 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+@pytest.mark.parametrize("more", [{"words": 3, "parts": 85}, {"words": 5, "parts": 80, "bands": 28}])
+def test_short_pairs(spark, more):
+    """Texts of 5 to 50 shingles and the same with words added, at the threshold or just above and just below it."""
+    n, parts, rows = more["words"], more["parts"], []
+    for size in [5, 6, 8, 10, 12, 17, 25, 40, 50]:
+        for least in (0, 1):
+            longer = -(-100 * size // parts) - 1 + least + (least == 0 and size % 2) * 2
+            for _ in range(25):
+                i = len(rows)
+                text = [f"p{i}w{j}" for j in range(longer + n - 1)]
+                rows += [(i, " ".join(text[: size + n - 1])), (i + 1, " ".join(text))]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, **more)
+
+
+def test_short_texts_of_large_buckets(spark):
+    """Short texts of one template, in pairs that are linked among themselves only."""
+    rows = [(i, " ".join([*(f"t{j}" for j in range(12)), *(f"f{i // 2}x{j}" for j in range(8)), *(["more"] if i % 2 else [])])) for i in range(200)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_no_short_pair_is_ruled_out():
+    rng = np.random.default_rng(2)
+    for a, b, buckets, parts in ((6, 7, 80, 85), (12, 14, 80, 85), (34, 40, 80, 85), (4, 5, 112, 80), (8, 10, 112, 80), (40, 50, 112, 80)):
+        items = [rng.integers(0, 2**64, b, np.uint64) for _ in range(2000)]
+        x, y = near_dups.registers([i[:a] for i in items], buckets), near_dups.registers(items, buckets)
+        assert near_dups.may_reach(x, y, np.full(2000, a), np.full(2000, b), parts, 100).all()
+        others = near_dups.registers([rng.integers(0, 2**64, b, np.uint64) for _ in items], buckets)
+        assert not near_dups.may_reach(x, others, np.full(2000, a), np.full(2000, b), parts, 100).any()
+
+
 @pytest.mark.parametrize("jaccard", [0.3, 0.85])
 def test_estimate(jaccard):
     rng = np.random.default_rng(1)

@@ -17,10 +17,15 @@ Four registers make a band; documents that share a band are candidates.
    and the task gives a spanning forest of the links it confirms, so no link
    between components is lost and rows stay in proportion to members.
 
-Candidates first pass an estimate from the registers, corrected for chance
-collisions, with a margin of over five standard errors; then the full sets are
-intersected, and only the exact share decides.  With 20 bands of 4 a pair at
-0.85 is missed with probability 4e-7, with 28 one at 0.8 with 4e-7.
+Candidates first pass bounds that lose nothing: the smaller set must be large
+enough for the share, and a bucket whose own registers differ holds an item that
+only one set has, so the share allows just so many of them.  Sets of more than ``ENOUGH`` hashes a register then pass
+an estimate from the registers, corrected for chance collisions, with a margin
+of six standard errors; smaller sets leave buckets empty, whose registers are
+borrowed and not independent, so no estimate decides there.  Then the full sets
+are intersected, and only the exact share decides.  With 20 bands of 4 a pair at
+0.85 shares no band with probability 4e-7, with 28 one at 0.8 with 4e-7; between
+large sets the estimate drops less than 1e-7 more (a binomial bound).
 
 Texts without words (null, empty, white space) have an empty set, belong to no
 class and link with nothing.  Rows that share a doc_id count as one document
@@ -43,6 +48,8 @@ from . import words as w
 
 ROWS, MANTISSA = 4, 10
 CHUNK, BLOCK, COLUMNS = 1_500_000, 128, 1 << 15
+#: The estimate decides on sets of more hashes a register than this, and with a margin of so many standard errors.
+ENOUGH, ERRORS = 4, 6.0
 _LOWER = bytes(ord(chr(c).lower()) if c < 128 else c for c in range(256))
 
 
@@ -106,6 +113,19 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (same - chance) / (1 - chance)
 
 
+def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, parts: int, whole: int) -> np.ndarray:
+    """Which pairs (rows of uint16) may share ``parts / whole``: all but those that sizes, differing buckets or, between large sets, the estimate rule out."""
+    k, share = a.shape[1], parts / whole
+    small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    # a register unlike the next one is its bucket's own; the other set's own register is another, or it has none
+    apart = ((a != b) & ((a != np.roll(a, -1, 1)) | (b != np.roll(b, -1, 1)))).sum(1)
+    ok = (whole * small >= parts * large) & ((whole + parts) * apart <= (whole - parts) * (n_a + n_b))
+    told = np.flatnonzero(ok & (small > ENOUGH * k))
+    if len(told):
+        ok[told] = estimate(a[told], b[told], n_a[told], n_b[told]) >= share - ERRORS * (share * (1 - share) / k) ** 0.5
+    return ok
+
+
 def signatures(df: DataFrame, key: str, text: str, words: int, bands: int) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``h1``, ``h2`` (hash of the set; of the row if the set is empty), ``bands`` (a long for each)."""
 
@@ -144,14 +164,14 @@ def full_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return common.arrow_map(df.select(F.col(key).cast("long"), text), batch, "doc_id long, items binary")
 
 
-def likely(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
-    """Pairs (``a``, ``b``) whose estimate reaches ``least``."""
+def likely(pairs: DataFrame, signs: DataFrame, parts: int, whole: int) -> DataFrame:
+    """Pairs (``a``, ``b``) that may share ``parts / whole``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(b.num_rows, -1) for c in ("x", "y"))
-                ok = estimate(x, y, b.column("n_a").to_numpy(), b.column("n_b").to_numpy()) >= least
+                ok = may_reach(x, y, b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), parts, whole)
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
     left = signs.select(F.col("doc_id").alias("a"), F.col("bands").alias("x"), F.col("n_shingles").alias("n_a"))
@@ -178,8 +198,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, parts: int, whole: int) -> Data
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, parts: int = 85, whole: int = 100, bands: int = 20) -> DataFrame:
     """One row per row of ``df``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
-    margin = 5.2 * (parts / whole * (1 - parts / whole) / (bands * ROWS)) ** 0.5
-    least = parts / whole - margin
     docs = common.written(signatures(df, key, text, words, bands), "signatures")
     # one row per distinct set, named by its smallest doc_id
     names = docs.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -208,9 +226,9 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         pivots = now.groupBy("band", "value").agg(pick.alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
         pivots = pivots.where("low <> high").select("band", "value", F.col("p.doc_id").alias("b"), F.col("p.root").alias("rb"))
         pairs = now.join(pivots, ["band", "value"]).where("root <> rb").select(F.col("doc_id").alias("a"), "b")
-        labels = united(labels, confirmed(likely(pairs.distinct(), signs, least), sets, parts, whole))
+        labels = united(labels, confirmed(likely(pairs.distinct(), signs, parts, whole), sets, parts, whole))
 
-    labels = united(labels, across(members.join(labels, "doc_id"), signs, sets, least, parts, whole))
+    labels = united(labels, across(members.join(labels, "doc_id"), signs, sets, parts, whole))
     found = docs.join(names, ["h1", "h2", "n_shingles"], "left").join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
     root = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
@@ -240,7 +258,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
             yield table, g
 
 
-def across(now: DataFrame, signs: DataFrame, sets: DataFrame, least: float, parts: int, whole: int) -> DataFrame:
+def across(now: DataFrame, signs: DataFrame, sets: DataFrame, parts: int, whole: int) -> DataFrame:
     """Links (``a``, ``b``) that join all components which similar members of one bucket have."""
     sizes = now.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     left = now.join(sizes.where("low <> high").select("band", "value", "n"), ["band", "value"]).join(signs, "doc_id")
@@ -263,7 +281,7 @@ def across(now: DataFrame, signs: DataFrame, sets: DataFrame, least: float, part
         here = np.argmax(bands[x] == bands[y], axis=1) == t["band"][x]
         x, y = x[here], y[here]
         regs = bands.view(np.uint16)
-        near = estimate(regs[x], regs[y], t["n_shingles"][x], t["n_shingles"][y]) >= least if len(x) else here[:0]
+        near = may_reach(regs[x], regs[y], t["n_shingles"][x], t["n_shingles"][y], parts, whole)
         out = np.zeros(table.num_rows, bool)
         out[x[near]] = out[y[near]] = True
         return out
