@@ -66,3 +66,23 @@ def test_no_templates(spark):
 
 def test_needed():
     assert [lic.needed(n, 0.9) for n in (1, 3, 5, 9, 10, 20)] == [1, 3, 5, 9, 9, 18]
+
+
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+APACHE = "// Licensed under the Apache License,{0}// Version 2.0 (the License)"
+
+
+def test_wrapped_notices(spark):
+    ahead, behind = "\n".join(["some words of code"] * 90) + "\n", "\n\nand other words" * 50
+    texts = [MIT, BSD, ahead + MIT + behind, BSD.replace("\n", "\r\n * "), APACHE.format("\n"), APACHE.format("\r"), "all\nrights\nreserved", "all\n" + "x\n" * 80 + "rights\nreserved", *("y\n" * k + BSD for k in range(0, 130, 9))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in lic.scan(df).collect()}
+    bsd = ("bsd", 1.0)
+    assert [got[i] for i in range(8)] == [("mit", 1.0), bsd, ("mit", 1.0), bsd, ("apache-2", 1.0), ("apache-2", 1.0), ("all-rights-reserved", 1.0), ("", 0.0)]
+    assert all(got[i] == bsd for i in range(8, len(texts)))

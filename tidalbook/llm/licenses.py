@@ -1,7 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
 A block is a line of a text; a long line is cut into blocks of ``BLOCK`` words
-that overlap by half.  A block matches a template if it holds at least
+that overlap by half.  So are the words of the whole text, whatever its line
+feeds, as notices are often wrapped.  A block matches a template if it holds at least
 ``threshold`` of the template's distinct words (containment).  Template words
 are put in one global order, rarest in the corpus first.  A block that meets
 the threshold must hold one of a template's first ``|T| - need + 1`` words
@@ -64,6 +65,14 @@ def words_of(text: str | None) -> list[bytes]:
     return [w for w in (text or "").encode().translate(_WORD).split(b" ") if w]
 
 
+def windows(words: list[bytes]) -> Iterator[list[bytes]]:
+    if len(words) <= BLOCK:
+        yield words
+    else:
+        for i in range(0, len(words) - BLOCK // 2, BLOCK // 2):
+            yield words[i : i + BLOCK]
+
+
 def needed(size: int, threshold: float) -> int:
     """The fewest common words that meet the threshold."""
     k = int(size * threshold)
@@ -102,15 +111,13 @@ class Index:
         # one search for any prefix word between spaces
         self.any = re.compile(b" (?:" + b"|".join(sorted(map(re.escape, self.prefix))) + b") ") if self.prefix else None
 
-    def blocks(self, text: bytes) -> Iterator[list[bytes]]:
-        for line in text.translate(_WORD_LINES).split(b"\n"):
+    def blocks(self, text: bytes, words: list[bytes]) -> Iterator[list[bytes]]:
+        lines = text.translate(_WORD_LINES).split(b"\n")
+        for line in lines:
             if self.any.search(b" " + line + b" "):
-                words = [w for w in line.split(b" ") if w]
-                if len(words) <= BLOCK:
-                    yield words
-                else:
-                    for i in range(0, len(words) - BLOCK // 2, BLOCK // 2):
-                        yield words[i : i + BLOCK]
+                yield from windows([w for w in line.split(b" ") if w])
+        if len(lines) > 1:
+            yield from windows(words)
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         raw = (text or "").encode()
@@ -125,7 +132,7 @@ class Index:
                 at = flat.find(b" " + phrase + b" ", at + 1)
         more, score = set(labels), 1.0 if labels else 0.0
         if self.sets and self.any.search(flat):
-            for block in self.blocks(raw):
+            for block in self.blocks(raw, words):
                 own = set(block)
                 for k in {k for w in own & self.prefix.keys() for k in self.prefix[w]}:
                     whole, need, label, order = self.sets[k]
