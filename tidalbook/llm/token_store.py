@@ -1,12 +1,18 @@
 """Token-id shards with a minimal perfect hash index.
 
-A shard is one row of a Parquet file: the raw ids of its documents one after
-the other (16 bits each if the vocabulary allows, else 32), and an index that
-takes a document key to the place of its ids in constant time.  The index is a
-minimal perfect hash (hash and displace): a key's bucket has a seed, the seed
-and the key give a slot, the slot holds offset, length and a 32-bit fingerprint
-of the key, which rejects keys that are not in the shard.  Spark writes and
-reads the shards, so that they may lie in any store and a lost task is redone.
+A shard is one file: a header of ``HEADER`` bytes, the raw ids of its documents
+one after the other (16 bits each if the vocabulary allows, else 32), and an
+index that takes a document key to the place of its ids in constant time.  The
+index is a minimal perfect hash (hash and displace): a key's bucket has a seed,
+the seed and the key give a slot, the slot holds offset, length and a 32-bit
+fingerprint of the key, which rejects keys that are not in the shard.  ``Shard``
+reads the index and seeks to single documents; no other byte of ids is read.
+
+The files lie in ``<path>/ids``, in any store that pyarrow's file systems reach
+(local or mounted folders, S3, GCS, HDFS).  A small Parquet table, ``<path>/shards``,
+names them with their first and last keys and their sizes.  A file's name and
+bytes follow from the data alone and it is moved to its place when it is
+complete, so a task that runs again writes the same file once more.
 
 Shards follow ascending doc_id.  A key is (doc_id, how many rows before it have
 the same doc_id); rows of one doc_id follow each other in the order of their
@@ -15,33 +21,47 @@ packed ids; a null doc_id comes first.  Null and empty texts have only the end i
 
 from __future__ import annotations
 
+import itertools
+import json
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, common
 
 #: Bytes of ids after which a shard ends, and key ranges per shuffle partition.
 SHARD_BYTES, RANGES = 8 << 20, 4
+#: Bytes of a shard's header, and the largest gap between two documents that one read spans.
+HEADER, GAP = 256, 64 << 10
 M64 = (1 << 64) - 1
 
 
 class LibraryCodec(bpe.Codec):
-    """Each distinct pre-token goes through the tokenizers library once; texts are gathered from those.
+    """Each distinct pre-token goes through the tokenizers library's model once; texts are gathered from those ids.
 
-    Pre-tokens are looked up once per distinct one of a group of texts.
-    Words of letters go in by thousands at once: the library splits them at the
-    same places, and the tokens' lengths tell whose they are.
-    Its cache lasts over a worker's tasks.
+    Pre-tokens are looked up once per distinct one of a group of texts.  Their
+    ids lie in one growing array, which lasts over a worker's tasks.
     """
 
     most = 2_000_000
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.model = None
+        self.forget()
+
+    def forget(self) -> None:
+        self.where: dict[str, int] = {}
+        self.first, self.size, self.tokens, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4"), 0
+
     def blobs(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         group, size = [], 0
@@ -67,45 +87,49 @@ class LibraryCodec(bpe.Codec):
             return [b""] * len(texts)
         found = pa.array(words, pa.string()).dictionary_encode()
         distinct, code = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        ids = list(map(self.cache.get, distinct))
-        if fresh := [w for w, x in zip(distinct, ids, strict=True) if x is None]:
-            # no pre-token holds a special token's string, so both may lie in one cache
-            self.cache.update({w: np.array([self.special[w]], "<u4").tobytes() for w in fresh if w in self.special})
-            self.learn([w for w in fresh if w not in self.special])
-            ids = [self.cache[w] if x is None else x for w, x in zip(distinct, ids, strict=True)]
-        blob = np.frombuffer(b"".join(ids), "<u4")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first, n = (np.cumsum(size) - size)[code], size[code]
+        if len(self.where) > self.most:
+            self.forget()
+        place = np.fromiter(map(self.where.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            place[fresh] = len(self.where) + np.arange(len(fresh))
+            self.learn([distinct[i] for i in fresh.tolist()])
+        first, n = self.first[place][code], self.size[place][code]
         ends = np.cumsum(n)
-        tokens = blob[np.repeat(first - (ends - n), n) + np.arange(ends[-1])]
+        tokens = self.tokens[np.repeat(first - (ends - n), n) + np.arange(ends[-1])]
         cuts = np.concatenate(([0], ends))[upto].tolist()
         return [tokens[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def learn(self, words: list[str]) -> None:
-        if not hasattr(self, "tokenizer"):
+        """Adds the ids of words that are not known yet, in their order."""
+        if self.model is None:
             from tokenizers import Tokenizer
 
-            self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.no_truncation()
-            self.tokenizer.no_padding()
-            self.lengths = np.array([len(x) for x in self.bytes], np.int64)
-        # a space begins the next word; words without one are parted by line feeds, a token each
-        for group, between in (([w for w in words if w[0] == " " and w[1:].isalpha()], ""), ([w for w in words if w.isalpha()], "\n")):
-            for i in range(0, len(group), 4000):
-                part = group[i : i + 4000]
-                text = between.join(part) + between
-                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-                after = np.cumsum(self.lengths[ids])
-                ends = np.searchsorted(after, np.cumsum([len(w.encode()) + len(between) for w in part])) + 1
-                blob, start = ids.tobytes(), 0
-                for w, e in zip(part, ends.tolist(), strict=True):
-                    self.cache[w] = blob[4 * start : 4 * (e - len(between))]
-                    start = e
+            self.model = Tokenizer.from_file(self.path).model
+            self.chars = dict(enumerate(bpe.byte_chars()))
+        # the model takes the bytes' stand-ins; words without line feeds are put into them together
+        plain = [w for w in words if "\n" not in w]
+        shown = dict(zip(plain, "\n".join(plain).encode().decode("latin-1").translate(self.chars).split(self.chars[10]), strict=True)) if plain else {}
+        ids, size = array("I"), []
         for w in words:
-            if w not in self.cache:
-                self.cache[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            if w in self.special:  # no pre-token holds a special token's string, so both may lie in one store
+                own = [self.special[w]]
+            else:
+                own = [t.id for t in self.model.tokenize(shown[w] if w in shown else w.encode().decode("latin-1").translate(self.chars))]
+            ids.extend(own)
+            size.append(len(own))
+        n, total = len(self.where), self.used + len(ids)
+        self.first, self.size, self.tokens = grown(self.first, n + len(words)), grown(self.size, n + len(words)), grown(self.tokens, total)
+        self.size[n : n + len(words)] = size
+        self.first[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.tokens[self.used : total] = np.frombuffer(ids, np.uint32)
+        self.used = total
+        self.where.update(zip(words, range(n, n + len(words)), strict=True))
+
+
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` with room for ``n`` values at least, twice as much if it had less."""
+    return x if len(x) >= n else np.concatenate((x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)))
 
 
 _codecs: dict[str, LibraryCodec] = {}
@@ -120,36 +144,47 @@ def mixed(x: np.ndarray, seed) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def key_hashes(ids: list[int | None], nth: list[int]) -> np.ndarray:
+def key_hashes(ids: list[int | None], nth: list[int], salt: int = 0) -> np.ndarray:
     x = np.array([0x5EED if i is None else i & M64 for i in ids], np.uint64)
-    return mixed(mixed(x, np.array([i is None for i in ids], np.uint64)), np.array(nth, np.uint64) + np.uint64(7))
+    return mixed(mixed(x, np.array([i is None for i in ids], np.uint64) + np.uint64(2 * salt)), np.array(nth, np.uint64) + np.uint64(7))
 
 
 def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds by bucket (a negative one names the slot itself) and the slot of each key; ``keys`` are distinct."""
-    n = len(keys)
-    buckets = (mixed(keys, 101) % np.uint64(max(1, n // 2 + 1))).astype(np.int64)
-    seeds = np.zeros(n // 2 + 1, np.int32)
-    taken, slots = np.zeros(n, bool), np.empty(n, np.int64)
-    order = np.argsort(buckets, kind="stable")
-    groups = np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1)
-    free = None
-    for g in sorted(groups, key=len, reverse=True):
-        if len(g) > 1:
-            seed = 1
-            while True:
-                s = (mixed(keys[g], 1000 + seed) % np.uint64(n)).astype(np.int64)
-                if not taken[s].any() and len(set(s.tolist())) == len(g):
-                    break
-                seed += 1
-        else:
-            if free is None:
-                free = iter(np.flatnonzero(~taken).tolist())
-            s = np.array([next(free)])
-            seed = -1 - int(s[0])
-        seeds[buckets[g[0]]] = seed
-        slots[g] = s
-        taken[s] = True
+    """Seeds by bucket (a negative one names the slot itself) and the slot of each key; ``keys`` are distinct.
+
+    Buckets of one size are placed together, the largest first: each tries some
+    seeds at a time, and of buckets that want one slot the first gets it.
+    """
+    n, m = len(keys), len(keys) // 2 + 1
+    bucket = (mixed(keys, 101) % np.uint64(m)).astype(np.int64)
+    seeds, slots, taken = np.zeros(m, np.int32), np.empty(n, np.int64), np.zeros(n, bool)
+    order, counts = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=m)
+    start = np.cumsum(counts) - counts
+    for size in np.unique(counts[counts > 1])[::-1].tolist():
+        left = np.flatnonzero(counts == size)
+        rows = order[start[left][:, None] + np.arange(size)]
+        base = np.ones(len(left), np.int64)
+        while len(left):
+            width = min(256, max(1, 4096 // rows.size))
+            tries = base[:, None] + np.arange(width)
+            s = (mixed(keys[rows][:, None, :], (1000 + tries[:, :, None]).astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+            inside = np.sort(s, axis=2)
+            ok = ~taken[s].any(2) & (inside[:, :, 1:] != inside[:, :, :-1]).all(2)
+            hit, at = ok.any(1), ok.argmax(1)
+            h = np.flatnonzero(hit)
+            chosen = s[h, at[h]]
+            _, lead, which = np.unique(chosen.ravel(), return_index=True, return_inverse=True)
+            won = (lead[which].reshape(chosen.shape) // size == np.arange(len(h))[:, None]).all(1)
+            w = h[won]
+            taken[chosen[won].ravel()] = True
+            slots[rows[w]], seeds[left[w]] = chosen[won], tries[w, at[w]]
+            base = np.where(hit, base + at, base + width)
+            rest = np.ones(len(left), bool)
+            rest[w] = False
+            left, rows, base = left[rest], rows[rest], base[rest]
+    alone = np.flatnonzero(counts == 1)
+    free = np.flatnonzero(~taken)
+    slots[order[start[alone]]], seeds[alone] = free, -1 - free
     return seeds, slots
 
 
@@ -192,23 +227,92 @@ def encoded(df: DataFrame, cuts: list[int], end: int | None, path: str, key: str
     return common.arrow_map(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text)), batch, "doc_id long, range int, ids binary")
 
 
-SHARD = "range int, part int, width int, n_docs long, n_ids long, first_id long, first_nth long, last_id long, last_nth long, payload binary, seeds binary, offsets binary, lengths binary, prints binary"
-
-
-def shards(ids: DataFrame, width: int) -> DataFrame:
-    """Shard rows of encoded documents: each task takes whole ranges in order and cuts them by size."""
-
-    def pack(block: int, part: int, rows: list[tuple[int | None, int, bytes]]) -> dict:
-        keys = key_hashes([r[0] for r in rows], [r[1] for r in rows])
-        seeds, slots = build_index(keys)
-        sizes = np.array([len(r[2]) for r in rows], np.int64)
-        offsets, lengths, marks = np.empty_like(sizes), np.empty_like(sizes), np.empty(len(rows), np.uint32)
-        offsets[slots], lengths[slots], marks[slots] = np.cumsum(sizes) - sizes, sizes, prints(keys)
-        return {
-            "range": block, "part": part, "width": width, "n_docs": len(rows), "n_ids": int(sizes.sum()) // width,
-            "first_id": rows[0][0], "first_nth": rows[0][1], "last_id": rows[-1][0], "last_nth": rows[-1][1],
-            "payload": b"".join(r[2] for r in rows), "seeds": seeds.tobytes(), "offsets": offsets.tobytes(), "lengths": lengths.tobytes(), "prints": marks.tobytes(),
-        }
+#: Columns of the table of shards.
+SHARD = "range int, part int, name string, n_docs long, n_ids long, first_id long, first_nth long, last_id long, last_nth long"
+
+
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder named by a URI or a path, and its path there."""
+    local = uri.startswith("/")
+    if local or uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + (uri if local else uri[5:]).lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
+def write_shard(folder: str, name: str, rows: list[tuple[int | None, int, bytes]], width: int) -> None:
+    """One file of the given documents (``doc_id``, ``nth``, packed ids), in their order."""
+    salt = 0
+    while True:
+        keys = key_hashes([r[0] for r in rows], [r[1] for r in rows], salt)
+        if len(np.unique(keys)) == len(keys):
+            break
+        salt += 1
+    seeds, slots = build_index(keys)
+    sizes = np.array([len(r[2]) for r in rows], np.int64)
+    offsets, lengths, marks = np.empty_like(sizes), np.empty_like(sizes), np.empty(len(rows), np.uint32)
+    offsets[slots], lengths[slots], marks[slots] = np.cumsum(sizes) - sizes, sizes, prints(keys)
+    head = json.dumps({"format": 1, "width": width, "docs": len(rows), "bytes": int(sizes.sum()), "salt": salt}).encode().ljust(HEADER)
+    fs, path = store(folder)
+    fs.create_dir(path, recursive=True)
+    fresh = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(fresh, compression=None) as f:
+        f.write(head)
+        f.write(b"".join([r[2] for r in rows]))
+        for x in (offsets, lengths, marks, seeds):
+            f.write(x.tobytes())
+    fs.move(fresh, f"{path}/{name}")
+
+
+class Shard:
+    """Keyed access to one file: the index is read once, each document by its offset."""
+
+    def __init__(self, folder: str, name: str):
+        fs, path = store(folder)
+        self.file = fs.open_input_file(f"{path}/{name}")
+        head = json.loads(self.file.read_at(HEADER, 0))
+        self.n, self.salt, self.kind, size = head["docs"], head["salt"], f"<u{head['width']}", head["bytes"]
+        raw = self.file.read_at(20 * self.n + 4 * (self.n // 2 + 1), HEADER + size)
+        self.offsets, self.lengths = np.frombuffer(raw, np.int64, self.n), np.frombuffer(raw, np.int64, self.n, 8 * self.n)
+        self.marks, self.seeds = np.frombuffer(raw, np.uint32, self.n, 16 * self.n), np.frombuffer(raw, np.int32, -1, 20 * self.n)
+
+    def places(self, ids: list[int | None], nth: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each key is there, where its ids begin (in ids) and how many they are."""
+        keys = key_hashes(ids, nth, self.salt)
+        slots = find(keys, self.seeds, self.n)
+        width = int(self.kind[2:])
+        return self.marks[slots] == prints(keys), self.offsets[slots] // width, self.lengths[slots] // width
+
+    def read(self, offsets: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids at each place, in turn; places that lie close together are read at once."""
+        width = int(self.kind[2:])
+        a, b = offsets * width, (offsets + lengths) * width
+        i = 0
+        while i < len(a):
+            j, low, high = i + 1, int(a[i]), int(b[i])
+            while j < len(a) and low <= a[j] <= high + GAP and b[j] - low <= SHARD_BYTES:
+                high, j = max(high, int(b[j])), j + 1
+            raw = self.file.read_at(high - low, HEADER + low)
+            for k in range(i, j):
+                yield np.frombuffer(raw, self.kind, int(lengths[k]), int(a[k]) - low)
+            i = j
+
+    def get(self, doc_id: int | None, nth: int = 0) -> np.ndarray | None:
+        """The ids of one document, or nothing if the key is not there."""
+        ok, at, n = self.places([doc_id], [nth])
+        return next(self.read(at, n)).astype("<u4") if ok[0] else None
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def shards(ids: DataFrame, folder: str, width: int) -> DataFrame:
+    """Writes the files of encoded documents and gives a row for each: each task takes whole ranges in order and cuts them by size."""
+
+    def pack(block: int, part: int, rows: list[tuple[int | None, int, bytes]]) -> pa.RecordBatch:
+        name = f"{block:06d}-{part:06d}.ids"
+        write_shard(folder, name, rows, width)
+        row = (block, part, name, len(rows), sum(len(r[2]) for r in rows) // width, *rows[0][:2], *rows[-1][:2])
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
@@ -217,7 +321,7 @@ def shards(ids: DataFrame, width: int) -> DataFrame:
         for b in batches:
             for i, r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), map(unpack, b.column(2).to_pylist()), strict=True):
                 if rows and (r != block or size >= SHARD_BYTES):
-                    yield from as_batch(pack(block, part, rows))
+                    yield pack(block, part, rows)
                     rows, size, part = [], 0, part + 1
                 if r != block:
                     block, part, last = r, 0, object()
@@ -226,13 +330,10 @@ def shards(ids: DataFrame, width: int) -> DataFrame:
                 rows.append((i, nth, x))
                 size += len(x)
         if rows:
-            yield from as_batch(pack(block, part, rows))
-
-    schema = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in SHARD.split(", ")])
-
-    def as_batch(row: dict) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pylist([row], schema=schema)
+            yield pack(block, part, rows)
 
+    names, types = zip(*(c.split() for c in SHARD.split(", ")), strict=True)
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[t] for t in types]
     n = common.n_partitions(ids.sparkSession)
     dealt = ids.repartition(n, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
     return dealt.mapInArrow(run, SHARD)
@@ -243,56 +344,56 @@ def write(df: DataFrame, path: str, end: int | None = None, tokenizer: str | Non
     tokenizer = tokenizer or bpe.default_path()
     width = 2 if len(LibraryCodec(tokenizer).bytes) <= 1 << 16 else 4
     cuts = ranges(df, RANGES * common.n_partitions(df.sparkSession), key)
-    shards(encoded(df, cuts, end, tokenizer, key, text), width).write.option("compression", "zstd").parquet(path)
+    shards(encoded(df, cuts, end, tokenizer, key, text), f"{path}/ids", width).write.parquet(f"{path}/shards")
     return cuts
 
 
 def lookup(keys: DataFrame, path: str, cuts: list[int]) -> DataFrame:
     """Keyed access: for each (``doc_id``, ``nth``) of ``keys`` its ``start``, ``n_tokens`` and ``ids_crc32``.
 
-    The keys of a range travel to its shards as one list.  Where each shard
-    starts in the whole is a running sum over one small row per shard.
+    The keys of a range meet the names of its shards in one task, which opens
+    the files and reads the places of the keys; ids are never shuffled.  The
+    driver adds up one number per range.
     """
-    spark = keys.sparkSession
-    stored = spark.read.schema(SHARD).parquet(path)
-    ahead = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stored.select("range", "part", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0))).drop("n_ids")
+    stored = keys.sparkSession.read.schema(SHARD).parquet(f"{path}/shards")
+    totals = dict(map(tuple, stored.groupBy("range").agg(F.sum("n_ids")).collect()))
+    blocks = sorted(totals)
+    starts = dict(zip(blocks, itertools.accumulate((totals[r] for r in blocks), initial=0), strict=False))
+    folder = f"{path}/ids"
 
     def dealt(b: pa.RecordBatch) -> dict:
         return {"doc_id": b.column(0), "nth": b.column(1), "range": pa.array(range_numbers(b.column(0), cuts))}
 
-    asked = common.arrow_map(keys.select("doc_id", "nth"), dealt, "doc_id long, nth long, range int")
-    asked = asked.groupBy("range").agg(F.collect_list(F.struct("doc_id", "nth")).alias("keys"))
-    rows = stored.join(starts, ["range", "part"]).join(asked, "range")
-
-    def place(i: int | None, nth: int) -> tuple:
+    def place(i: object, nth: int) -> tuple:
         return (i is not None, i or 0, nth)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                s = b.slice(r, 1).to_pylist()[0]
-                low, high = place(s["first_id"], s["first_nth"]), place(s["last_id"], s["last_nth"])
-                own = [(k["doc_id"], k["nth"]) for k in s["keys"] if low <= place(k["doc_id"], k["nth"]) <= high]
-                n, hashes = s["n_docs"], key_hashes([k[0] for k in own], [k[1] for k in own])
-                slots = find(hashes, np.frombuffer(s["seeds"], np.int32), n)
-                hit = np.frombuffer(s["prints"], np.uint32)[slots] == prints(hashes)
-                offsets, lengths = np.frombuffer(s["offsets"], np.int64)[slots], np.frombuffer(s["lengths"], np.int64)[slots]
-                kind, payload, out = f"<u{s['width']}", s["payload"], []
-                for k, ok, o, size in zip(own, hit.tolist(), offsets.tolist(), lengths.tolist(), strict=True):
-                    if ok:
-                        ids = np.frombuffer(payload, kind, size // s["width"], o)
-                        out.append((k[0], s["start"] + o // s["width"], len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                cols = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    kept = ["start", "keys", *(c.split()[0] for c in SHARD.split(", ") if c.split()[0] not in ("range", "part", "n_ids"))]
-    return rows.select(*kept).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    def read(key: tuple, asked: pa.Table, there: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        want = sorted(zip(asked.column("doc_id").to_pylist(), asked.column("nth").to_pylist(), strict=True), key=lambda k: place(*k))
+        start, i = starts.get(key[0].as_py(), 0), 0
+        for s in sorted(there.to_pylist(), key=lambda s: s["part"]):
+            low, high = place(s["first_id"], s["first_nth"]), place(s["last_id"], s["last_nth"])
+            while i < len(want) and place(*want[i]) < low:
+                i += 1
+            j = i
+            while j < len(want) and place(*want[j]) <= high:
+                j += 1
+            if j > i:
+                shard = Shard(folder, s["name"])
+                ok, at, n = shard.places(*map(list, zip(*want[i:j], strict=True)))
+                hits = np.flatnonzero(ok)
+                for k, ids in zip(hits.tolist(), shard.read(at[hits], n[hits]), strict=True):
+                    out.append((want[i + k][0], start + int(at[k]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                shard.close()
+            start, i = start + s["n_ids"], j
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    asked = common.arrow_map(keys.select("doc_id", "nth"), dealt, "doc_id long, nth long, range int")
+    return asked.groupBy("range").cogroup(stored.groupBy("range")).applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
-def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     path = f"{common.shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
     cuts = write(docs, path, end=2)
