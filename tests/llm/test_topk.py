@@ -15,8 +15,8 @@ def brute(rows, is_query, k):
     return sorted(out)
 
 
-def run(spark, rows, is_query="id % 5 = 0", k=4):
-    df = spark.createDataFrame(rows, "id long, v array<long>")
+def run(spark, rows, is_query="id % 5 = 0", k=4, kind="long"):
+    df = spark.createDataFrame(rows, f"id long, v array<{kind}>")
     return sorted(tuple(r) for r in topk.top_k(df.where(is_query), df, k).collect())
 
 
@@ -38,6 +38,38 @@ def test_few_rows_lengths_and_repeats(spark):
     assert set(run(spark, again)) == {(0, 1, 1, 4), (0, 2, 1, 4)}
 
 
+@pytest.mark.parametrize("block", [4096, 25])
+def test_negative_scores_that_tie(spark, monkeypatch, block):
+    """Zero radii, scores below minus a million, larger ids in the nearer cell."""
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rows = [(5, [-3000, 0]), *((i + 6, [1000, -500]) for i in range(60)), *((i + 1006, [1000, 500]) for i in range(60))]
+    assert run(spark, rows, "id = 5", 10) == brute(rows, lambda q: q == 5, 10)
+    assert run(spark, [*rows[61:], *rows[:61]], "id = 5", 10) == brute(rows, lambda q: q == 5, 10)
+
+
+def test_scores_beyond_doubles_and_longs(spark):
+    big = 1 << 27
+    rows = [(0, [big, 1]), (2, [big + 1, 1]), (1, [big + 1, 0])]
+    assert run(spark, rows, "id = 0") == [(0, 1, 2, big * (big + 1) + 1), (0, 2, 1, big * (big + 1))]
+    huge = [(0, [2.0**40, 0.0]), (1, [2.0**40, 5.0]), (2, [2.0**41, 0.0]), (3, [-(2.0**40), 0.0]), (4, [1.0, 0.0]), (6, [1e200, 0.0])]
+    got = run(spark, huge, "id = 0", 9, "double")
+    assert got == [(0, 1, 1, topk.MOST), (0, 2, 2, topk.MOST), (0, 3, 6, topk.MOST), (0, 4, 4, 1 << 40), (0, 5, 3, -topk.MOST)]
+
+
+def test_groups_and_blocks_are_pruned(spark, monkeypatch):
+    """Far cells lie below a group's first k-th scores, so few pairs of groups and blocks are left."""
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    rng = random.Random(5)
+    rows = [(i, [10_000 * ((i % 8) == j) + rng.randrange(9) for j in range(8)]) for i in range(800)]
+    seen = []
+    written = topk.common.written
+    monkeypatch.setattr(topk.common, "written", lambda df, what: seen.append((what, written(df, what))) or seen[-1][1])
+    assert run(spark, rows) == brute(rows, lambda q: q % 5 == 0, 4)
+    tables = dict(seen)
+    every = tables["topk-queries"].count() * tables["topk-data"].count()
+    assert every >= 64 and tables["topk-pairs"].count() <= every / 4
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, v array<long>")
     assert topk.top_k(df, df, 3).count() == 0

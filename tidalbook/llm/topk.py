@@ -1,19 +1,29 @@
 """Exact top-k by inner product with a dual-tree search over cover trees.
 
-Vectors are cut into blocks; each block gets a cover tree, and so does each
-block of queries.  A node has a centre (one of its points) and a covering
-radius, half as large on each level down.  For a query node with centre q and
-radius s and a data node with centre c and radius r no inner product exceeds
-``<q,c> + |q| r + s |c| + s r``; a pair of nodes is dropped if that lies under
-the worst k-th score that any query of the node has so far, and pairs are
-visited best bound first.  Every query block meets every data block (a stated
-query set against all rows, in blocks); each meeting gives at most k rows a
-query, which are then ranked.
-
-Scores are integer inner products, so ties are exact and go to the smaller id.
-Vectors that are null, empty or hold null or non-finite components take no
-part; vectors of different lengths are never compared; rows that share the
-query's id are not its candidates.  Queries without candidates return nothing.
+Queries and data share the top level of one cover tree: at most ``CELLS``
+centres, spread over a sample of ``SAMPLE`` data vectors.  Each vector belongs to its nearest centre's
+cell; a cell's data are cut into blocks and its queries into groups, whose
+covering radii are measured.  For a node with centre q and radius s over
+queries and a node with centre c and radius r over data no inner product
+exceeds ``<q,c> + |q| r + s |c| + s r``.
+
+1. Each query group is searched in one block of its own cell (if there is one),
+   which gives every query a first k-th score.
+2. Groups meet the blocks whose bound is no less than the group's worst k-th
+   score; bounds are first taken between cells, then between groups and blocks,
+   on small summaries, before any vector is moved.  A block's vectors then move
+   once, a group's once for each block it still has to meet.
+3. Within a block both sides get a cover tree of their own, radii half as large on each level down, and node
+   pairs are visited best bound first and dropped below the worst k-th score of
+   the query node.  What beats a query's first k-th score is ranked with it.
+
+Scores are integer inner products, computed exactly: in doubles where no sum can
+reach 2^53, else in whole numbers of any size.  A score beyond a long counts as
+the largest or smallest one.  Ties go to the smaller id.  Vectors that are null,
+empty or hold null or non-finite components, also after scaling, take no part;
+vectors of different lengths are never compared; rows that share the query's id
+are not its candidates; query rows that share an id are ranked together.
+Queries without candidates return nothing.
 """
 
 from __future__ import annotations
@@ -28,8 +38,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors of a data block and of a query block, and points under which a node is a leaf.
+#: Vectors of a data block and of a query group, and points under which a node is a leaf.
 BLOCK, QUERIES, LEAF = 4096, 512, 48
+#: Vectors that centres are chosen from, and centres per length of vector, at most.
+SAMPLE, CELLS = 4096, 64
+#: No score (yet), the largest score that counts, and the share by which a bound may be off in floating point.
+NONE, MOST, SLACK = -(1 << 63), (1 << 63) - 2, 1e-9
 
 
 class CoverTree:
@@ -53,7 +67,7 @@ class CoverTree:
         self.radius.append(float(far.max()))
         self.children.append([])
         self.members.append(None)
-        if len(index) <= self.leaf or self.radius[me] <= 1e-9:
+        if len(index) <= self.leaf or not 1e-9 < self.radius[me] < np.inf:
             self.members[me] = index
             return me
         reach = self.radius[me] / 2
@@ -86,12 +100,31 @@ class CoverTree:
         return me
 
 
-def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores (n queries x k, best first); a missing place has score ``-inf``."""
+def products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """All inner products of whole-number vectors (rows of float64) as int64, clamped to ``MOST``."""
+    if not len(q) or not len(d):
+        return np.zeros((len(q), len(d)), np.int64)
+    if float(np.abs(q).max()) * float(np.abs(d).max()) * q.shape[1] < 2.0**53:
+        return (q @ d.T).astype(np.int64)
+    whole = [[[int(x) for x in row] for row in side] for side in (q.tolist(), d.tolist())]
+    return np.array([[max(-MOST, min(MOST, sum(map(int.__mul__, x, y)))) for y in whole[1]] for x in whole[0]], np.int64)
+
+
+def bound_of(dot, q_norm, c_norm, s, r):
+    """What no inner product within the two radii exceeds, whatever floating point has lost."""
+    top = dot + q_norm * r + s * c_norm + s * r  # not a number if doubles overflow; that exceeds everything
+    return top + SLACK * (q_norm * c_norm + q_norm * r + s * c_norm + s * r) + 1e-6
+
+
+def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores (n queries x k, best first); a missing place has score ``NONE``.
+
+    What lies below a query's ``floor`` (int64) may be left out.
+    """
     n = len(query_ids)
-    best = np.full((n, k), -np.inf)
+    best = np.full((n, k), NONE)
     ids = np.full((n, k), np.iinfo(np.int64).max)
-    kth = np.full(n, -np.inf)
+    kth = np.full(n, NONE) if floor is None else floor.copy()
     under: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries.centre)
     for v in range(len(queries.centre) - 1, -1, -1):  # children have larger numbers
         parts = [under[c] for c in queries.children[v]] + ([queries.members[v]] if queries.members[v] is not None else [])
@@ -99,8 +132,8 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data
 
     def bound(q: int, d: int) -> float:
         a, b = queries.centre[q], data.centre[d]
-        s, r = queries.radius[q], data.radius[d]
-        return float(queries.points[a] @ data.points[b] + queries.norm[a] * r + s * data.norm[b] + s * r) * (1 + 1e-12) + 1e-6
+        top = float(bound_of(queries.points[a] @ data.points[b], queries.norm[a], data.norm[b], queries.radius[q], data.radius[d]))
+        return top if top == top else np.inf
 
     heap = [(-bound(queries.root, data.root), queries.root, data.root)]
     while heap:
@@ -111,13 +144,13 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data
         if ql and dl:
             rows, cols = queries.members[q], data.members[d]
             rows = rows[kth[rows] <= -top]
-            got = queries.points[rows] @ data.points[cols].T
-            got[query_ids[rows][:, None] == data_ids[cols][None, :]] = -np.inf
+            got = products(queries.points[rows], data.points[cols])
+            got[query_ids[rows][:, None] == data_ids[cols][None, :]] = NONE
             score = np.concatenate((best[rows], got), axis=1)
             name = np.concatenate((ids[rows], np.broadcast_to(data_ids[cols], got.shape)), axis=1)
-            order = np.lexsort((name, -score), axis=1)[:, :k]
+            order = np.lexsort((name, ~score), axis=1)[:, :k]
             best[rows], ids[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(name, order, 1)
-            kth[rows] = best[rows, k - 1]
+            kth[rows] = np.maximum(kth[rows], best[rows, k - 1])
         elif ql or (not dl and data.radius[d] >= queries.radius[q]):
             for c in data.children[d]:
                 heapq.heappush(heap, (-bound(q, c), q, c))
@@ -133,44 +166,124 @@ def usable(vector: str):
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad
 
 
-def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
-    """Vectors gathered in blocks of about ``rows`` by a hash of the row; one row per block."""
-    n = max(1, -(-df.count() // rows))
-    dealt = df.withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n)))
-    return dealt.groupBy("block", F.size("v").alias("dims")).agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_v"))
+def spread(points: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` of the points, each as far as can be from those before it."""
+    chosen, far = [0], np.linalg.norm(points - points[0], axis=1)
+    while len(chosen) < n and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, np.linalg.norm(points - points[chosen[-1]], axis=1))
+    return points[chosen]
+
+
+def centres_of(data: DataFrame, rows: int) -> dict[int, np.ndarray]:
+    """Centres by length of vector, from the ``SAMPLE`` vectors with the smallest hashes; ``rows``: vectors in all."""
+    sample: dict[int, list] = {}
+    for r in data.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").collect():
+        sample.setdefault(len(r["v"]), []).append(r["v"])
+    return {d: spread(np.array(x), min(CELLS, max(1, -(-rows // BLOCK)))) for d, x in sample.items()}
+
+
+def dealt(df: DataFrame, centres: dict[int, np.ndarray], rows: int, name: str) -> DataFrame:
+    """Vectors gathered by cell in lots of about ``rows``: ``dims``, ``cell``, ``lot``, ``radius``, ids and vectors.
+
+    Lengths that the sample does not have get the origin as their centre.
+    """
+
+    def batch(b: pa.RecordBatch) -> dict:
+        v = b.column(1)
+        size = v.value_lengths().to_numpy(zero_copy_only=False)
+        start, flat = v.offsets.to_numpy()[:-1], v.values.to_numpy(zero_copy_only=False)
+        cell, far = np.zeros(len(size), np.int32), np.zeros(len(size))
+        for d in np.unique(size).tolist():
+            at = np.flatnonzero(size == d)
+            x = flat[start[at][:, None] + np.arange(d)]
+            apart = np.column_stack([np.linalg.norm(x - c, axis=1) for c in centres.get(d, np.zeros((1, d)))])
+            cell[at], far[at] = apart.argmin(1), apart.min(1)
+        return {"id": b.column(0), "v": v, "dims": pa.array(size, pa.int32()), "cell": pa.array(cell), "far": pa.array(far)}
+
+    placed = common.arrow_map(df.select("id", "v"), batch, "id long, v array<double>, dims int, cell int, far double")
+    placed = common.written(placed, f"{name}-cells")
+    lots = placed.groupBy("dims", "cell").agg(F.ceil(F.count("*") / rows).alias("lots"))
+    placed = placed.join(lots, ["dims", "cell"]).withColumn("lot", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.col("lots")))
+    made = placed.groupBy("dims", "cell", "lot").agg(F.max("far").alias("radius"), F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
+    return common.written(made, name)
+
+
+def reach(spark: SparkSession, centres: dict[int, np.ndarray], dims: DataFrame) -> DataFrame:
+    """What a bound between two cells needs (``dims``, ``q_cell``, ``cell``, ``dot``, ``q_norm``, ``c_norm``): at most ``CELLS`` squared rows a length."""
+    rows = []
+    for d, c in centres.items():
+        dot, norm = c @ c.T, np.linalg.norm(c, axis=1)
+        rows += [(d, i, j, float(dot[i, j]), float(norm[i]), float(norm[j])) for i in range(len(c)) for j in range(len(c))]
+    known = spark.createDataFrame(rows, "dims int, q_cell int, cell int, dot double, q_norm double, c_norm double")
+    zero, none = F.lit(0), F.lit(0.0)
+    other = dims.where(~F.col("dims").isin(*centres)).select("dims", zero.alias("q_cell"), zero.alias("cell"), none.alias("dot"), none.alias("q_norm"), none.alias("c_norm"))
+    return known.unionByName(other)
 
 
 def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score``; both inputs have ``id`` (long) and ``v`` (array of long)."""
-    d = blocks(data, BLOCK, "d")
-    spread = max(1, -(-data.count() // BLOCK))
-    q = blocks(queries, QUERIES, "q").drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-    met = d.join(q, ["block", "dims"])
+    """``query_id``, ``rank``, ``vec_id``, ``score``; both inputs have ``id`` (long) and ``v`` (array of doubles with whole values)."""
+    spark = data.sparkSession
+    queries, data = (x.select("id", F.col("v").cast("array<double>").alias("v")) for x in (queries, data))
+    centres = centres_of(data, data.count())
+    if not centres:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    blocks, groups = dealt(data, centres, BLOCK, "topk-data"), dealt(queries, centres, QUERIES, "topk-queries")
+    task = ["dims", "cell", "lot"]
+    n = common.n_partitions(spark)
+    kind = "dims int, cell int, lot long, turn int, radius double, q_cell int, q_lot long, ids array<long>, vs array<double>, floor array<long>"
+
+    def met(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        """Rows for ``search``: each block that has a pair, followed by its query groups."""
+        there = blocks.join(pairs.select(*task).distinct(), task, "left_semi")
+        nothing = F.lit(None)
+        own = there.select(*task, F.lit(0).alias("turn"), "radius", nothing.cast("int").alias("q_cell"), nothing.cast("long").alias("q_lot"), "ids", "vs", nothing.cast("array<long>").alias("floor"))
+        asked = groups.select("dims", F.col("cell").alias("q_cell"), F.col("lot").alias("q_lot"), F.lit(1).alias("turn"), "radius", "ids", "vs", "floor")
+        asked = pairs.join(asked, ["dims", "q_cell", "q_lot"]).select(own.columns)
+        return own.unionByName(asked).repartition(n, *task).sortWithinPartitions(*task, "turn")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree, names = None, None, None
+        tree = names = None
         for b in batches:
             for i in range(b.num_rows):
-                block, dims = b.column("block")[i].as_py(), b.column("dims")[i].as_py()
-                if (block, dims) != last:
-                    names = b.column("d_ids")[i].values.to_numpy(zero_copy_only=False)
-                    tree = CoverTree(b.column("d_v")[i].values.to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64))
-                    last = (block, dims)
-                asked = b.column("q_ids")[i].values.to_numpy(zero_copy_only=False)
-                mine = CoverTree(b.column("q_v")[i].values.to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64))
-                ids, score = dual_search(mine, asked, tree, names, k)
-                row, col = np.nonzero(np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(ids[row, col]), pa.array(score[row, col].astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    found = met.select("block", "dims", "d_ids", "d_v", "q_ids", "q_v").mapInArrow(search, "query_id long, vec_id long, score long")
+                dims = b.column("dims")[i].as_py()
+                ids = b.column("ids")[i].values.to_numpy(zero_copy_only=False)
+                own = CoverTree(b.column("vs")[i].values.to_numpy(zero_copy_only=False).reshape(-1, dims))
+                if b.column("turn")[i].as_py() == 0:
+                    tree, names = own, ids
+                    continue
+                floor = b.column("floor")[i].values
+                found, score = dual_search(own, ids, tree, names, k, floor if floor is None else floor.to_numpy(zero_copy_only=False))
+                at = [pa.array([b.column(c)[i].as_py()] * len(ids), t) for c, t in (("dims", pa.int32()), ("q_cell", pa.int32()), ("q_lot", pa.int64()))]
+                lists = [pa.ListArray.from_arrays(np.arange(0, k * len(ids) + 1, k, dtype=np.int32), x.ravel()) for x in (found, score)]
+                yield pa.RecordBatch.from_arrays([*at, pa.array(np.arange(len(ids)), pa.int32()), pa.array(ids), *lists], ["dims", "cell", "lot", "place", "query_id", "vec_ids", "scores"])
+
+    found = "dims int, cell int, lot long, place int, query_id long, vec_ids array<long>, scores array<long>"
+    first = groups.select(*task).join(blocks.where("lot = 0").select("dims", "cell"), ["dims", "cell"])
+    first = first.select("dims", "cell", F.lit(0).cast("long").alias("lot"), F.col("cell").alias("q_cell"), F.col("lot").alias("q_lot"))
+    seeded = common.written(met(first, groups.withColumn("floor", F.lit(None).cast("array<long>"))).mapInArrow(search, found), "topk-seeds")
+    # the k-th score of each query of a group, in its order, and the worst of them
+    kth = seeded.groupBy(*task).agg(F.array_sort(F.collect_list(F.struct("place", F.element_at("scores", k).alias("s")))).alias("f"))
+    kth = kth.select(*task, F.col("f.s").alias("floor"), F.array_min("f.s").alias("worst"))
+    groups = groups.join(kth, task, "left").withColumn("seeded", F.col("floor").isNotNull())
+    asking = groups.select("dims", F.col("cell").alias("q_cell"), F.col("lot").alias("q_lot"), F.col("radius").alias("s"), F.coalesce("worst", F.lit(NONE)).alias("worst"), "seeded")
+    top = lambda r: bound_of(F.col("dot"), F.col("q_norm"), F.col("c_norm"), F.col("s"), F.col(r))
+    cells = blocks.groupBy("dims", "cell").agg(F.max("radius").alias("widest"))
+    near = asking.join(reach(spark, centres, cells.select("dims").distinct()), ["dims", "q_cell"]).join(cells, ["dims", "cell"]).where(top("widest") >= F.col("worst"))
+    pairs = near.join(blocks.select(*task, "radius"), ["dims", "cell"]).where((top("radius") >= F.col("worst")) & ~(F.col("seeded") & (F.col("lot") == 0) & (F.col("cell") == F.col("q_cell"))))
+    later = met(common.written(pairs.select(*task, "q_cell", "q_lot"), "topk-pairs"), groups).mapInArrow(search, found)
+    every = seeded.unionByName(later).select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("x")).where(F.col("x.scores") > NONE)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = every.select("query_id", F.col("x.vec_ids").alias("vec_id"), F.col("x.scores").alias("score")).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def scaled(df: DataFrame, key: str, vector: str, by: int) -> DataFrame:
-    """Usable vectors with each component x as ``floor(by * x)``."""
-    whole = F.transform(F.col(vector), lambda x: F.floor(F.lit(float(by)) * x.cast("double")).cast("long"))
-    return df.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), whole.alias("v"))
+    """Usable vectors with each component x as ``floor(by * x)``, a double with a whole value."""
+    # Spark's own floor gives a long, which large doubles do not fit; these are whole already
+    whole = F.transform(F.col(vector), lambda x: F.when(F.abs(x.cast("double") * by) < 2.0**52, F.floor(x.cast("double") * by).cast("double")).otherwise(x.cast("double") * by))
+    made = df.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), whole.alias("v"))
+    return made.where(usable("v"))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
