@@ -7,12 +7,15 @@ buckets; a bucket's register keeps the smallest hash as a leading-zero count
 Four registers make a band; documents that share a band are candidates.
 
 1. Documents with equal sets are one class from the start: copies cost nothing.
-2. In every band bucket all members meet one pivot, not each other; what passes
-   is united.  A second round does the same with another pivot, for buckets
-   that still hold several components.
+2. In every band bucket all members meet one pivot, not each other: the one
+   whose own buckets hold most members, as it lies nearest to the middle of a
+   crowd.  What passes is united.  A second round does the same with a random
+   pivot, for buckets that still hold several components.
 3. Buckets that still hold several components are cut into blocks of ``BLOCK``
    members, and every two blocks meet in a task, so no task gets a whole hot
-   bucket.  Registers tell which members may have a link to another component
+   bucket.  The largest component's members have blocks of their own, which do
+   not meet each other, so rows follow the members that are still apart from
+   it.  Registers tell which members may have a link to another component
    (a pair counts in its first common band only); only their sets travel there,
    and the task gives a spanning forest of the links it confirms, so no link
    between components is lost and rows stay in proportion to members.
@@ -205,10 +208,11 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     signs = docs.join(names.select(F.col("rep").alias("doc_id"), "h1", "h2", "n_shingles"), ["doc_id", "h1", "h2", "n_shingles"], "left_semi")
     signs = common.written(signs.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands"), "signs")
     members = signs.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    shared = members.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
+    shared = members.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     members = common.written(members.join(shared, ["band", "value"]), "buckets")
-    taking_part = members.select("doc_id").distinct()
-    sets = common.written(full_sets(df.where(F.col(key).isNotNull()).join(taking_part.withColumnRenamed("doc_id", key), key, "left_semi"), key, text, words).dropDuplicates(["doc_id"]), "full-sets")
+    taking_part = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    members = members.drop("n")
+    sets = common.written(full_sets(df.where(F.col(key).isNotNull()).join(taking_part.select(F.col("doc_id").alias(key)), key, "left_semi"), key, text, words).dropDuplicates(["doc_id"]), "full-sets")
     labels = common.written(taking_part.withColumn("root", F.col("doc_id")), "roots")
 
     def united(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -217,19 +221,19 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         links = links.join(labels.select(F.col("doc_id").alias("b"), F.col("root").alias("rb")), "b")
         links = common.written(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "links")
         found = graph.components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        fresh = labels.join(found, "root", "left").select("doc_id", F.coalesce("to", "root").alias("root"))
+        fresh = labels.join(found, "root", "left").select("doc_id", "weight", F.coalesce("to", "root").alias("root"))
         return common.written(fresh, "roots")
 
     for turn in range(2):
         now = members.join(labels, "doc_id")
-        pick = F.min(F.struct(F.when(F.lit(turn == 0), F.lit(0)).otherwise(F.xxhash64("doc_id", F.lit(turn))), "doc_id", "root"))
+        pick = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)) if turn else -F.col("weight"), "doc_id", "root"))
         pivots = now.groupBy("band", "value").agg(pick.alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
         pivots = pivots.where("low <> high").select("band", "value", F.col("p.doc_id").alias("b"), F.col("p.root").alias("rb"))
         pairs = now.join(pivots, ["band", "value"]).where("root <> rb").select(F.col("doc_id").alias("a"), "b")
         labels = united(labels, confirmed(likely(pairs.distinct(), signs, parts, whole), sets, parts, whole))
 
-    labels = united(labels, across(members.join(labels, "doc_id"), signs, sets, parts, whole))
-    found = docs.join(names, ["h1", "h2", "n_shingles"], "left").join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    labels = united(labels, across(members.join(labels.drop("weight"), "doc_id"), signs, sets, parts, whole))
+    found = docs.join(names, ["h1", "h2", "n_shingles"], "left").join(labels.select(F.col("doc_id").alias("rep"), "root"), "rep", "left")
     root = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
@@ -260,10 +264,14 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
 
 def across(now: DataFrame, signs: DataFrame, sets: DataFrame, parts: int, whole: int) -> DataFrame:
     """Links (``a``, ``b``) that join all components which similar members of one bucket have."""
-    sizes = now.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    left = now.join(sizes.where("low <> high").select("band", "value", "n"), ["band", "value"]).join(signs, "doc_id")
-    cuts = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = left.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(9)), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    each = now.groupBy("band", "value", "root").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("band", "value").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).where("n > most")
+    left = now.join(sizes, ["band", "value"]).join(signs, "doc_id")
+    # blocks 0 to ``apart`` - 1 hold what is not in the largest component, the others hold that
+    apart, main = (F.ceil(x / BLOCK).cast("int") for x in (F.col("n") - F.col("most"), F.col("most")))
+    inside, lot = F.col("root") == F.col("main"), F.xxhash64("doc_id", F.lit(9))
+    left = left.withColumns({"own": F.when(inside, apart + F.pmod(lot, main)).otherwise(F.pmod(lot, apart)).cast("int"), "last": F.when(inside, apart - 1).otherwise(apart + main - 1)})
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     left = left.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     n = common.n_partitions(now.sparkSession)
 
