@@ -25,22 +25,33 @@ def by_hand(url):
 
 
 def test_by_hand(spark):
-    rows = [(i, u, "c") for i, u in enumerate(URLS)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, canonical string")
+    """The list comes from contents: pages with a listed canonical URL go, other pages of the same host stay."""
+    junk = "a*** b### c%%% d$$$ e***"
+    html = {15: junk, 21: "", 17: junk, 19: junk + "\n" + junk, 3: junk, 5: junk, 22: None, 24: "a*** b###"}
+    more = ["http://cheap-pills.example.com/other", "http://m.cheap-pills.example.com/fr/1//?x", "http://q.net/", "http://q.net/x\n", "http://q.net/x/\n", "http://q.net/x"]
+    every = URLS + more
+    html[len(URLS) + 3] = junk
+    rows = [(i, u, html.get(i, "clean"), "c") for i, u in enumerate(every)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, canonical string")
     listed = urls.block_list(pages)
     got = {r["page_id"]: r for r in urls.judge(pages, listed).collect()}
-    names = {r["canonical"] for r in listed.collect()}
-    assert names == {"cheap-pills.example.com/en/1", "cheap-pills.example.com/fr/1"} and len(got) == len(URLS)
-    for i, u in enumerate(URLS):
+
+    def canon(u):
+        host, path, _ = by_hand(u)
+        return host.removeprefix("www.").removeprefix("m.") + path.rstrip("/") if host else None
+
+    names = {canon(every[i]) for i, h in html.items() if h and h.count("***") + h.count("###") + h.count("%%%") + h.count("$$$") >= 5} - {None}
+    assert {r["canonical"] for r in listed.collect()} == names and "q.net/x\n" in names and len(got) == len(every)
+    for i, u in enumerate(every):
         host, path, rule = by_hand(u)
         r = got[i]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule[0] + rule[1]), u
-        canon = host.removeprefix("www.").removeprefix("m.") + path.rstrip("/")
-        assert r["verdict"] == (rule[2] if rule else "block" if host and canon in names else "allow"), u
+        assert r["verdict"] == (rule[2] if rule else "block" if canon(u) in names else "allow"), u
+    assert got[16]["verdict"] == "block" and got[len(URLS)]["verdict"] == "allow" and got[len(URLS) + 5]["verdict"] == "allow"
 
 
 def test_empty_tables(spark):
-    none = spark.createDataFrame([], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.judge(none, urls.block_list(none)).count() == 0
     one = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/")], "page_id long, url string")
     assert [r["verdict"] for r in urls.judge(one, urls.block_list(none)).collect()] == ["allow", "allow"]

@@ -2,7 +2,9 @@
 
 A rule (host, path) fits its host and all subdomains of it if the URL's path
 starts with the rule's path; the longest fitting rule decides.  URLs that no
-rule fits are looked up in a list of canonical URLs.  The list's hashes fill a
+rule fits are looked up in a list of canonical URLs, any table of them.  The
+query lists the pages whose contents are junk, whatever their URLs are; other
+pages of the same hosts pass.  The list's hashes fill a
 blocked Bloom filter: a hash picks one block of eight 64-bit words and one bit
 in each.  The filter is a table of blocks, so Spark broadcasts it under its own
 size threshold and otherwise shuffles both sides by block.  Only URLs that pass
@@ -29,8 +31,8 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: First labels of hosts whose pages stand for a published block list.
-LISTED = ("spam-farm", "cheap-pills")
+#: Marks of junk in a page, and how many of them put it on the list.
+JUNK, LEAST = r"[*]{3}|#{3}|%{3}|[$]{3}", 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of the filter per listed URL; words per block.
 BITS, WORDS = 16, 8
@@ -54,7 +56,7 @@ def rule_and_verdict(host: Column, path: Column, rules=RULES) -> tuple[Column, C
 
 def canonical(host: Column, path: Column) -> Column:
     """Host without a leading ``www.`` or ``m.`` and path without trailing slashes; null if there is no host."""
-    return F.when(host != "", F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, "/+$", "")))
+    return F.when(host != "", F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"/+\z", "")))
 
 
 def _bits(url: str) -> list[Column]:
@@ -95,16 +97,16 @@ def judge(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str =
     return joined.select(key, "host", "path", "rule", F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
-def block_list(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Distinct canonical URLs of hosts with a listed label: stands for a block list of the corpus's size."""
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    bad = F.exists(F.split(host, r"\."), lambda x: x.isin(*LISTED))
-    return pages.where(bad).select(canonical(host, path).alias("canonical")).where("canonical is not null").distinct()
+def block_list(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Distinct canonical URLs of pages whose contents are junk; a null page is none."""
+    bad = pages.where(F.regexp_count(F.col(html), F.lit(JUNK)) >= LEAST)
+    return bad.select(canonical(host_of(F.col(url)), path_of(F.col(url))).alias("canonical")).where("canonical is not null").distinct()
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, common.written(block_list(pages), "url-list"))
+    pages = common.table(spark, sf_dir, "pages")
+    listed = common.written(block_list(pages), "url-list")
+    return judge(pages.select("page_id", "url"), listed)
 
 
 def oracle() -> str:
@@ -112,15 +114,14 @@ def oracle() -> str:
     order = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
     rule = " ".join(f"when {fits(h, p)} then '{h}{p}'" for h, p, _ in order)
     verdict = " ".join(f"when {fits(h, p)} then '{v}'" for h, p, v in order)
-    labels = ", ".join(f"'{x}'" for x in LISTED)
     return f"""
 with parts as (
-  select page_id,
+  select page_id, html,
          coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}'), '') as host,
          coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path
   from pages),
-named as (select *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') as canonical from parts),
-listed as (select distinct canonical from named where host <> '' and list_has_any(string_split(host, '.'), [{labels}]))
+named as (select *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+\\z', '') as canonical from parts),
+listed as (select distinct canonical from named where host <> '' and len(regexp_extract_all(html, '{JUNK}')) >= {LEAST})
 select page_id, host, path, case {rule} end as rule,
        case {verdict} when host <> '' and canonical in (select canonical from listed) then 'block' else 'allow' end as verdict
 from named"""
