@@ -390,6 +390,9 @@ def lookup(keys: DataFrame, path: str, cuts: list[int]) -> DataFrame:
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     asked = common.arrow_map(keys.select("doc_id", "nth"), dealt, "doc_id long, nth long, range int")
+    # dealt by number, else Spark would merge the tasks by the little that they shuffle, not by what they read
+    n = common.n_partitions(keys.sparkSession)
+    asked, stored = asked.repartition(n, "range"), stored.repartition(n, "range")
     return asked.groupBy("range").cogroup(stored.groupBy("range")).applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
