@@ -78,6 +78,19 @@ def test_mixed_repeats_rows(docs):
     assert got == taken and mixture.mixed(docs).columns == docs.columns
 
 
+def test_mixed_keeps_the_budget_with_repeated_rows(spark):
+    rows = [(None, "w " * 4, "a", i) for i in range(25)] + [(i, "x y", "b", 0) for i in range(30)] + [(7, "u v w", "c", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(6)
+    taken = {}
+    for r in mixture.mix(df).collect():
+        taken.setdefault(r["source"], []).append((r["taken"], r["size"]))
+    got = {r["source"]: r["count"] for r in mixture.mixed(df).groupBy("source").count().collect()}
+    for s, own in taken.items():
+        copies = sum(-(-t // n) for t, n in own)
+        assert got[s] == copies and abs(sum(t for t, _ in own) - got[s] * own[0][1]) < own[0][1]
+    assert {r["count"] for r in mixture.mixed(df).where("source = 'c'").groupBy("size").count().collect()} <= {1, 2}
+
+
 def test_targets():
     assert mixture.targets([], []) == [] and mixture.targets([0], [1]) == [0.0]
     assert mixture.targets([10, 10], [1, 3]) == [5.0, 15.0]
