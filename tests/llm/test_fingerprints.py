@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from tidalbook.llm import fingerprints as fp
 
@@ -59,3 +60,25 @@ def test_likeness_tells_edits_from_strangers(docs):
 def test_column(docs, texts):
     for r in fp.fingerprint(docs.select("doc_id", "text")).limit(20).collect():
         assert r["fingerprint"] == fp.to_hex(*(x[0] for x in alone(texts[r["doc_id"]])))
+
+
+def test_lanes_do_not_wrap():
+    """A paragraph 40,000 and 20,000 times: the lanes point the same way."""
+    assert fp.likeness(alone("a b c\n" * 40_000), alone("a b c\n" * 20_000))[0] > 0.999
+    assert fp.likeness(alone("x y z\n" * 40_000), alone("a b c\n" * 20_000))[0] < 0.3
+
+
+def test_texts_without_spaces():
+    rng = random.Random(1)
+    a, b = ("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2000)) for _ in range(2))
+    edited = a[:1500] + b[:500]
+    assert 0.6 < fp.likeness(alone(a), alone(edited))[0] < 0.9 and fp.likeness(alone(a), alone(b))[0] < 0.2
+    hexed = lambda t: fp.to_hex(*(x[0] for x in alone(t)))
+    assert fp.added(hexed(a), hexed(b)) == hexed(a + "\n" + b) == hexed(b + "\n" + a)
+
+
+def test_a_clashing_column_is_replaced(odd):
+    df = odd.withColumnRenamed("lang", "Fingerprint").withColumnRenamed("kept", "a.b")
+    got = fp.fingerprint(df).collect()
+    assert set(got[0].asDict()) == {*df.columns, "fingerprint"} - {"Fingerprint"} and len(got) == odd.count()
+    assert all(r["fingerprint"] == fp.to_hex(*(x[0] for x in alone(r["text"] or ""))) for r in got)

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACE = " \t\n\x0b\x0c\r"
@@ -94,3 +95,18 @@ def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatc
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def with_made(df: DataFrame, column: str, into: str, kind: str, make: Callable[[list], pa.Array]) -> DataFrame:
+    """``df`` with one more column ``into`` that ``make`` gives for a batch's values of ``column``; a column of that name, in any case, is replaced."""
+    kept = [c for c in df.columns if c.lower() != into.lower()]
+    kinds = dict(df.dtypes)
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], make(b.columns[-1].to_pylist())], [*kept, into])
+
+    quoted = ["`" + c.replace("`", "``") + "`" for c in kept]
+    schema = ", ".join([*(f"{q} {kinds[c]}" for q, c in zip(quoted, kept, strict=True)), f"`{into}` {kind}"])
+    # plain names on the way: Spark's Arrow functions don't take names with dots
+    plain = [F.col(q).alias(f"c{i}") for i, q in enumerate(quoted)]
+    return arrow_map(df.select(*plain, F.col(column).alias("text")), batch, schema)

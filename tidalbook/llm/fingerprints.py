@@ -8,10 +8,12 @@ or taken from a fingerprint by adding or subtracting its vector (``added`` and
 
 The vector has two parts.  ``EXACT`` lanes modulo 2^32 come from a hash of the
 whole paragraph: equal sums mean equal multisets of paragraphs.  ``LIKE`` lanes
-modulo 2^16 sum a signed unit for each word of the paragraph with its two
+modulo 2^32 sum a signed unit for each word of the paragraph with its two
 followers, so the cosine of two documents' lanes estimates that of their word
-triples; the standard error is about ``LIKE ** -0.5``.  ``likeness`` is 1 for
-equal fingerprints, else that cosine, 0 at least.
+triples; the standard error is about ``LIKE ** -0.5``.  No text that fits a row
+has units enough to wrap a lane.  Words of ``LONG`` bytes or more, as in texts
+without white space, also give a unit for each of their ``GRAM``-byte strings.
+``likeness`` is 1 for equal fingerprints, else that cosine, 0 at least.
 
 A null text counts as empty; the empty text has no paragraphs and a fingerprint
 of zeros, whose likeness to any other is 0.
@@ -29,17 +31,17 @@ from pyspark.sql import functions as F
 
 from . import common, token_store, words
 
-EXACT, LIKE = 32, 256
+EXACT, LIKE, LONG, GRAM = 32, 256, 40, 12
 #: Characters fingerprinted at a time, and key ranges per shuffle partition.
 CHUNK, RANGES = 1_500_000, 4
 
 
 def like_lanes(texts: list[bytes]) -> np.ndarray:
-    """The signed lanes of many texts (n x LIKE, int16), computed together."""
+    """The signed lanes of many texts (n x LIKE, int32), computed together."""
     n = len(texts)
     hashes, start, doc, data = words.word_hashes(texts)
     if not len(start):
-        return np.zeros((n, LIKE), np.int16)
+        return np.zeros((n, LIKE), np.int32)
     line = np.cumsum(data == 10)[start]  # a word's followers lie in its paragraph
     follow = np.zeros((2, len(hashes)), np.uint64)
     for k in (1, 2):
@@ -47,10 +49,29 @@ def like_lanes(texts: list[bytes]) -> np.ndarray:
         follow[k - 1, :-k][same] = hashes[k:][same]
     with np.errstate(over="ignore"):
         mixed = words.scrambled(hashes * np.uint64(3) + words.scrambled(follow[0] * np.uint64(5) + words.scrambled(follow[1] + np.uint64(7))))
+    grams, owner = long_words(data, start, doc)
+    mixed, doc = np.concatenate((mixed, grams)), np.concatenate((doc, owner))
     lane = (mixed % np.uint64(LIKE)).astype(np.int64)
     sign = ((mixed >> np.uint64(40)) & np.uint64(1)).astype(np.float64) * 2 - 1
     total = np.bincount(doc * LIKE + lane, weights=sign, minlength=n * LIKE).reshape(n, LIKE)
-    return (total.astype(np.int64) & 0xFFFF).astype(np.uint16).view(np.int16)
+    return (total.astype(np.int64) & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+
+
+def long_words(data: np.ndarray, start: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``GRAM``-byte strings within words of ``LONG`` bytes or more, and their texts' numbers."""
+    maybe = np.flatnonzero(np.diff(np.append(start, len(data))) > LONG)  # the gap to the next word holds white space too
+    hashes, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i in maybe.tolist():
+        gap = data[start[i] : start[i + 1] if i + 1 < len(start) else len(data)]
+        size = int(np.append(np.flatnonzero(words.SPACES[gap]), len(gap))[0])
+        if size >= LONG:
+            with np.errstate(over="ignore"):
+                h = np.zeros(size - GRAM + 1, np.uint64)
+                for k in range(GRAM):
+                    h = h * np.uint64(0x100000001B3) + gap[k : size - GRAM + 1 + k].astype(np.uint64) + np.uint64(1)
+            hashes.append(words.scrambled(h))
+            owner.append(np.full(len(h), doc[i]))
+    return np.concatenate(hashes), np.concatenate(owner)
 
 
 def exact_lanes(text: bytes) -> np.ndarray:
@@ -66,20 +87,20 @@ def prints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def to_hex(exact: np.ndarray, like: np.ndarray) -> str:
-    return exact.astype("<u4").tobytes().hex() + like.astype("<i2").tobytes().hex()
+    return exact.astype("<u4").tobytes().hex() + like.astype("<i4").tobytes().hex()
 
 
 def parts(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: 4 * EXACT], "<u4"), np.frombuffer(raw[4 * EXACT :], "<i2")
+    return np.frombuffer(raw[: 4 * EXACT], "<u4"), np.frombuffer(raw[4 * EXACT :], "<i4")
 
 
 def added(a: str, b: str, sign: int = 1) -> str:
     """The fingerprint of the paragraphs of ``a`` and ``b`` together, or (sign -1) of ``a`` without those of ``b``."""
     (ea, la), (eb, lb) = parts(a), parts(b)
     exact = (ea.astype(np.int64) + sign * eb.astype(np.int64)) & 0xFFFFFFFF
-    like = (la.astype(np.int64) + sign * lb.astype(np.int64)) & 0xFFFF
-    return to_hex(exact.astype("<u4"), like.astype("<u2").view("<i2"))
+    like = (la.astype(np.int64) + sign * lb.astype(np.int64)) & 0xFFFFFFFF
+    return to_hex(exact.astype("<u4"), like.astype("<u4").view("<i4"))
 
 
 def removed(a: str, b: str) -> str:
@@ -96,15 +117,15 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
-    """``df`` with one more column, each text's fingerprint."""
+    """``df`` with one more column, each text's fingerprint; a column of that name is replaced."""
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+    def make(texts: list) -> pa.Array:
         made: list[str] = []
-        for _, group in words.chunks([(x or "").encode() for x in b.column(text).to_pylist()], CHUNK):
+        for _, group in words.chunks([(x or "").encode() for x in texts], CHUNK):
             made += [to_hex(e, w) for e, w in zip(*prints(group), strict=True)]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], [*b.schema.names, into])
+        return pa.array(made, pa.string())
 
-    return common.arrow_map(df, batch, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"`{into}` string"]))
+    return common.with_made(df, text, into, "string", make)
 
 
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

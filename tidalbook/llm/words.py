@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -25,7 +25,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    space = _SPACES[data]
+    space = SPACES[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
