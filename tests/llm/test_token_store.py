@@ -55,5 +55,28 @@ def test_index_is_perfect_and_rejects_strangers():
         assert (marks[token_store.find(strange, seeds, n)] == token_store.prints(strange)).sum() == 0
 
 
+def test_index_of_colliding_and_many_keys():
+    for n in (4097, 30_000):
+        keys = token_store.key_hashes([None, *range(n - 1)], [0] * n)
+        seeds, slots = token_store.build_index(keys)
+        assert (np.sort(slots) == np.arange(n)).all() and (token_store.find(keys, seeds, n) == slots).all()
+
+
+def test_single_documents_by_offset(docs, texts, tmp_path, monkeypatch):
+    """One key costs the index and the document's own bytes."""
+    cuts = token_store.write(docs, str(tmp_path / "s"), end=2)
+    codec, folder = bpe.codec(bpe.default_path()), f"{tmp_path}/s/ids"
+    names = docs.sparkSession.read.schema(token_store.SHARD).parquet(f"{tmp_path}/s/shards").collect()
+    assert len(names) > 1 and len(cuts) > 1 and sum(r["n_docs"] for r in names) == len(texts)
+    for i in list(texts)[::37]:
+        r = next(r for r in names if r["first_id"] <= i <= r["last_id"])
+        shard = token_store.Shard(folder, r["name"])
+        read, read_at = [], shard.file.read_at
+        monkeypatch.setattr(shard, "file", type("F", (), {"read_at": staticmethod(lambda n, at: read.append(n) or read_at(n, at)), "close": shard.file.close}))
+        assert shard.get(i).tolist() == [*np.frombuffer(codec.blobs([texts[i] or ""])[0], "<u4"), 2] and shard.get(-7) is None
+        assert read == [2 * len(shard.get(i))] * 2 or read[0] == 2 * len(shard.get(i))
+        shard.close()
+
+
 def test_query(spark, sf, texts):
     assert sorted(map(tuple, token_store.op6_token_store(spark, sf).collect())) == expected(texts.items())

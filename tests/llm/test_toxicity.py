@@ -1,5 +1,9 @@
+import math
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,8 +69,71 @@ def test_nothing_to_learn_from(spark, odd, nothing):
 def test_scores_do_not_depend_on_labels_or_other_columns(odd):
     lex = lexicon(_idiot=6.0)
     a = tox.score(odd.select("doc_id", "text"), lex).toPandas()
-    b = tox.score(odd.withColumn("doc_id", F.col("doc_id") + 1).withColumnRenamed("score", "other"), lex).toPandas()
-    assert sorted(a.score) == sorted(b.score)
+    b = tox.score(odd.withColumn("doc_id", F.col("doc_id") + 1), lex)  # which has a column ``score``: it is replaced
+    assert b.columns.count("score") == 1 and sorted(a.score) == sorted(b.toPandas().score)
+
+
+def naive_weight(text, lex):
+    """Every entry tried at every word, without an automaton."""
+    words, spans, at = tox.folded(text), [], 0
+    for w in words:
+        spans.append((at, at + len(w)))
+        at += len(w) + 1
+    flat = " ".join(words)
+    excused = set()
+    for e in lex.exceptions:
+        for i, (a, _) in enumerate(spans):
+            if flat[a : a + len(e)] == e and (a + len(e) == len(flat) or flat[a + len(e)] == " "):
+                excused.update(range(i, i + len(e.split())))
+    total = 0.0
+    for i, w in enumerate(words):
+        fits = [v for e, v in lex.weights.items() if (w == e[1:-1] if e.endswith(" ") else w.startswith(e[1:]))]
+        total += max([0.0, *fits]) * (i not in excused)
+    return total, len(words)
+
+
+def test_against_brute_force(spark):
+    """A plain refit and a matcher without automaton give the query's scores."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    sample = {(t, labels[i]) for i, t in rows if i in labels}
+    seen = Counter(), Counter()
+    for t, y in sample:
+        seen[y].update({e for w in set(tox.folded(t)) for e in tox.entries_of(w)})
+    n_bad = sum(y for _, y in sample)
+    n_good = len(sample) - n_bad
+    n, found = n_good + n_bad, {}
+    for e in seen[1]:
+        bad, good = seen[1][e], seen[0][e]
+        odds = math.log((bad + 0.5) / (n_bad + 1)) - math.log((good + 0.5) / (n_good + 1))
+        cells = [(bad, (bad + good) * n_bad / n), (good, (bad + good) * n_good / n), (n_bad - bad, (n - bad - good) * n_bad / n), (n_good - good, (n - bad - good) * n_good / n)]
+        sure = 2 * sum(o * math.log(o / x) for o, x in cells if o > 0)
+        if bad >= tox.LEAST and odds >= tox.ODDS and sure >= tox.SURE:
+            found[e] = (bad, odds)
+    assert len(found) < tox.ENTRIES
+    lex = tox.Lexicon(tox.specific(found))
+    got = [(*naive_weight(t, lex), y) for t, y in sample]
+    lex.line = tox.logistic(np.array([g[0] for g in got]), np.array([g[1] for g in got]), np.array([g[2] for g in got]))
+    scores = {r["doc_id"]: r for r in tox.op8_toxicity(spark, sf).collect()}
+    assert lex.weights and len(scores) == len(rows)
+    for i, t in rows:
+        want = lex.of(*naive_weight(t, lex))
+        assert scores[i]["score"] == pytest.approx(want, abs=1e-6) and scores[i]["predicted"] == (want >= 0.5)
+        assert scores[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_hot_texts_and_small_samples(spark, monkeypatch):
+    """A text that most labelled rows share counts once; the sample never exceeds its bound."""
+    rows = [(i, "same words here" if i % 3 else f"other {i} words vile" if i % 2 else f"other {i} words", int(i % 2 and not i % 3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lex = tox.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert " vile" in lex.weights or " vile " in lex.weights
+    used, logistic = [], tox.logistic
+    monkeypatch.setattr(tox, "logistic", lambda total, words, y: used.append(len(y)) or logistic(total, words, y))
+    for sample in (20, 80, 1000):
+        tox.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), sample=sample)
+    assert 5 < used[0] <= 20 and 20 < used[1] <= 80 and used[2] == 201
 
 
 @pytest.mark.parametrize("size", ["sf0.1"])

@@ -7,9 +7,10 @@ with its heaviest entry, unless an exception phrase covers it.  The sum of
 weights and the sum normalised by length give the score through a logistic
 function.
 
-``fit`` learns entries and weights from labelled rows.  It uses a bounded
-sample of about ``sample`` labelled rows, those with small hashes of their
-texts.  The lexicon has at most ``entries`` entries, whatever the corpus.
+``fit`` learns entries and weights from labelled texts.  A text counts once for
+each label that any of its rows has, however many rows repeat it.  It uses a
+bounded sample, at most ``sample`` of these, those with the smallest hashes of
+their texts.  The lexicon has at most ``entries`` entries, whatever the corpus.
 
 Null and empty texts have no words; their score is that of a text with no hits.
 """
@@ -37,7 +38,7 @@ HIDDEN = re.compile("[­​-‍⁠﻿]")
 WORD = re.compile(r"[^\W\d_]+")
 #: Harmless phrases that hold lexicon words.
 EXCEPTIONS = ("class clown", "clown fish", "trash can", "trash bin", "idiot proof", "sore loser", "loser bracket", "scum line", "pond scum")
-#: Bounds of ``fit``: labelled rows used (about), lexicon entries, and the shortest and longest beginning of a word.
+#: Bounds of ``fit``: labelled texts used, lexicon entries, and the shortest and longest beginning of a word.
 SAMPLE, ENTRIES, SHORT, LONG = 20_000, 4_000, 3, 9
 #: An entry stands in at least this many toxic texts, and its log odds and log-likelihood ratio are at least these.
 LEAST, ODDS, SURE = 5, 2.0, 26.0
@@ -117,16 +118,19 @@ class Lexicon:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, entries: int = ENTRIES) -> Lexicon:
     """Learns a lexicon from the rows of ``docs`` that ``labels`` gives 0 or 1; null texts and labels are left out.
 
-    About ``sample`` labelled rows are used, all if there are fewer: those whose
-    text's hash lies under a threshold, so that only they are shuffled.
+    Before the labels are joined, rows whose hash is far above those of the
+    sample are left out, so that few texts are shuffled; then the ``sample``
+    smallest hashes of distinct texts and labels stay (a number each on the driver).
     """
-    known = labels.select(key, F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull())
-    share = min(1.0, sample / max(1, known.count()))
-    rows = docs.select(key, F.col(text).alias("text")).where(F.col("text").isNotNull())
+    known = labels.select(key, F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
+    share = min(1.0, 2 * sample / max(1, known.count()))
+    rows = docs.select(key, F.col(text).alias("text"), F.shiftrightunsigned(F.xxhash64(text), 11).alias("h")).where(F.col("text").isNotNull())
     if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = rows.join(known, key).select("text", "y")
+        rows = rows.where(F.col("h") <= int(share * (1 << 53)))
+    rows = rows.join(known, key).groupBy("text", "y").agg(F.min("h").alias("h"))
     rows = common.written(rows, "toxicity-sample")
+    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = rows.where(F.col("h") <= F.lit(last)).select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -159,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             got = [lexicon.weigh(x) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"total": pa.array([g[0] for g in got], pa.float64()), "words": pa.array([g[1] for g in got], pa.int64()), "y": b.column(1)})
 
-    # at most ``sample`` rows of three numbers
+    # ``sample`` rows of three numbers; two texts of one hash may add one more
     seen = rows.mapInArrow(weigh, "total double, words long, y int").toPandas()
     lexicon.line = logistic(seen["total"].to_numpy(), seen["words"].to_numpy(), seen["y"].to_numpy())
     return lexicon
@@ -197,13 +201,8 @@ def logistic(total: np.ndarray, words: np.ndarray, y: np.ndarray, ridge: float =
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", into: str = "score") -> DataFrame:
-    """``df`` with one more column, the score of each text."""
-
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = pa.array([lexicon.score(x) for x in b.column(text).to_pylist()], pa.float64())
-        return pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, into])
-
-    return common.arrow_map(df, batch, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"`{into}` double"]))
+    """``df`` with one more column, the score of each text; a column of that name is replaced."""
+    return common.with_made(df, text, into, "double", lambda texts: pa.array([lexicon.score(x) for x in texts], pa.float64()))
 
 
 def held_out(key: str = "doc_id"):
