@@ -1,5 +1,7 @@
+import datetime as dt
 import hashlib
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -69,6 +71,38 @@ def test_carried_columns(odd):
     assert sorted(map(str, got)) == sorted(map(str, odd.select("doc_id", "source", "range", "band").collect()))
 
 
+def test_carried_columns_keep_their_values(spark):
+    """Microseconds, bytes, decimals, nested and null values; and the order of rows with one id and text."""
+    at = dt.datetime(2024, 5, 6, 7, 8, 5, 123456)
+    text = "some words that stand in two documents of this little table, and are long enough"
+    rows = [(i % 3 if i < 9 else None, text if i % 2 else "other " + text, at + dt.timedelta(microseconds=i), bytes([i, 255]), Decimal(i) / 8, [{"k.x": float(i)}], {"a": i} if i % 4 else None, None) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t timestamp, raw binary, money decimal(20,6), deep array<map<string,double>>, m map<string,int>, none string")
+    carry = ("t", "raw", "money", "deep", "m", "none")
+    got = repeats.without_repeats(df, carry=carry).select("doc_id", *carry).collect()
+    assert sorted(map(str, got)) == sorted(map(str, df.select("doc_id", *carry).collect()))
+
+
+def test_whole_characters(spark):
+    """No lead byte before a removed run meets a trailing byte behind it; text that is left stays text."""
+    p = "".join(chr(0xE0 + i % 30) for i in range(40))
+    rows = [(1, "x" * 3 + p), (2, "é" + p[1:38] + "è" + p), (3, "日" + p), (4, p[::-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {r["doc_id"]: r for r in repeats.without_repeats(df).collect()}
+    for r in repeats.without_repeats(df, characters=True).collect():
+        text, kept = dict(rows)[r["doc_id"]], iter(r["kept"])
+        it = iter(text)
+        assert all(c in it for c in kept) and len(r["kept"].encode()) <= len(removed[r["doc_id"]]["kept"])
+        assert (r["n_removed"], r["kept_sha256"]) == (removed[r["doc_id"]]["n_removed"], removed[r["doc_id"]]["kept_sha256"])
+
+
+@pytest.mark.parametrize("fan", [2, 5])
+def test_segments_of_many_blocks_meet_in_lots(spark, docs, texts, monkeypatch, fan):
+    """64 blocks in lots of ``fan``: several levels, the same rows."""
+    monkeypatch.setattr(repeats, "FAN", fan)
+    some = dict(list(texts.items())[:120])
+    check(docs.where(docs.doc_id.isin(list(some))), list(some.items()))
+
+
 @pytest.mark.parametrize("letters", ["ab", "abcdefghij"])
 def test_run_index(letters):
     rng = random.Random(9)

@@ -21,16 +21,19 @@ one.  Windows in a row with one anchor form a segment.
 3. Each block marks the windows of its documents that an earlier one has.
 
 Blocks and buckets number in proportion to the corpus.  A hot passage weighs
-on its buckets once per block, however many documents hold it.
+on its buckets once per block, however many documents hold it; where there are
+more than ``FAN`` blocks, a bucket's segments are first merged by lots of
+blocks, so that no task gets more than ``FAN`` copies of one.
 
 Null and empty texts have no bytes.  A null doc_id is larger than all others.
-Rows that share a doc_id don't take bytes from each other.
+Rows that share a doc_id don't take bytes from each other.  Columns that are
+carried along stay as they are, whatever their type.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .run_index import RunIndex
@@ -48,8 +52,8 @@ DEPTH, GRAM = 50, 20
 SPAN = DEPTH - GRAM + 1
 #: Bytes of text per block, per bucket of segments and per bucket of anchors; blocks and buckets at least.
 BLOCK, SEGMENTS, ANCHORS, LEAST = 2 << 20, 4 << 20, 8 << 20, 64
-#: Bytes of text that a task deals to the blocks at a time.
-PIECE = 16 << 20
+#: Bytes of text that a task deals to the blocks at a time, and blocks whose segments meet in one task.
+PIECE, FAN = 16 << 20, 1024
 LAST = (1 << 63) - 1
 
 _TABLE = scrambled(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -64,20 +68,31 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def _frozen(x: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("x", x.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([x], ["x"]))
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+
+
+def _thawed(x: bytes) -> pa.Array:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x)).read_all().column(0).combine_chunks()
+
+
 class Block:
     """The documents of a block, in ascending order, and the segments of their text."""
 
-    def __init__(self, rows: pd.DataFrame):
-        rest = [y for x in rows["carried"] for y in json.loads(zstandard.ZstdDecompressor().decompress(x))]
+    def __init__(self, rows: pd.DataFrame | dict[str, list]):
+        rest = [_thawed(x) for x in rows["carried"] if x]
         ids = np.concatenate([_unpack(x, np.int64) for x in rows["ids"]])
         nulls = np.concatenate([_unpack(x, np.uint8) for x in rows["nulls"]])
         sizes = np.concatenate([_unpack(x, np.int64) for x in rows["sizes"]])
         text = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in rows["texts"])
         starts = np.cumsum(sizes) - sizes
         texts = [text[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i], rest[i]))  # the same order whatever the order of arrival
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids, self.nulls, self.texts = ids[order], nulls[order], [texts[i] for i in order]
-        self.sizes, self.carried = sizes[order], [rest[i] for i in order]
+        self.sizes, self.carried = sizes[order], pa.concat_arrays(rest).take(pa.array(order, pa.int64())) if rest else None
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
         self.segment()
@@ -156,13 +171,19 @@ def buckets_of(anchor: np.ndarray, n: int) -> np.ndarray:
 
 
 def blocks_of(df: DataFrame, key: str, text: str, n: int, carry: list[str]) -> DataFrame:
-    """Documents packed by block: ``block``, ``ids``, ``nulls``, ``sizes``, ``texts``, ``carried`` (compressed; the last: a JSON text each)."""
+    """Documents packed by block: ``block``, ``ids``, ``nulls``, ``sizes``, ``texts``, ``carried`` (compressed; the last: an Arrow stream, empty if nothing is carried).
+
+    The id and the text name the block, so that null or repeated ids don't meet in one.
+    """
 
-    def dealt(ids: list, texts: list[bytes], rest: list[str]) -> pa.RecordBatch:
+    def dealt(ids: list, texts: list[bytes], rest: list[pa.Array]) -> pa.RecordBatch:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         keys = np.array([LAST if i is None else i for i in ids], np.int64)
-        part = (scrambled(keys.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+        marks = np.array([zlib.crc32(t) for t in texts], np.uint64)
+        with np.errstate(over="ignore"):
+            part = (scrambled(scrambled(keys.view(np.uint64)) + marks) % np.uint64(n)).astype(np.int64)
         order = np.argsort(part, kind="stable")
+        held = pa.concat_arrays(rest) if rest else None
         out: dict[str, list] = {k: [] for k in ("block", "ids", "nulls", "sizes", "texts", "carried")}
         for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
             out["block"].append(int(part[own[0]]))
@@ -170,7 +191,7 @@ def blocks_of(df: DataFrame, key: str, text: str, n: int, carry: list[str]) -> D
             out["nulls"].append(_pack(np.array([ids[i] is None for i in own], np.uint8)))
             out["sizes"].append(_pack(np.array([len(texts[i]) for i in own], np.int64)))
             out["texts"].append(squeeze(b"".join(texts[i] for i in own)))
-            out["carried"].append(squeeze(json.dumps([rest[i] for i in own]).encode()))
+            out["carried"].append(_frozen(held.take(pa.array(own))) if held is not None else b"")
         return pa.RecordBatch.from_arrays([pa.array(out.pop("block"), pa.int32()), *(pa.array(x, pa.binary()) for x in out.values())], ["block", *out])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +200,7 @@ def blocks_of(df: DataFrame, key: str, text: str, n: int, carry: list[str]) -> D
             ids += b.column(0).to_pylist()
             fresh = [(t or "").encode() for t in b.column(1).to_pylist()]
             texts += fresh
-            rest += b.column(2).to_pylist()
+            rest += [b.column(2)] if b.num_columns > 2 else []
             size += sum(map(len, fresh))
             if size > PIECE:
                 yield dealt(ids, texts, rest)
@@ -189,8 +210,9 @@ def blocks_of(df: DataFrame, key: str, text: str, n: int, carry: list[str]) -> D
         ids = texts = rest = None
         common.release()
 
-    held = F.to_json(F.struct(*carry)) if carry else F.lit("")
-    packed = df.select(F.col(key).cast("long"), text, held).mapInArrow(pack, "block int, ids binary, nulls binary, sizes binary, texts binary, carried binary")
+    held = [F.struct(*(F.col(c) for c in carry)).alias("carried")] if carry else []
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *held)
+    packed = rows.mapInArrow(pack, "block int, ids binary, nulls binary, sizes binary, texts binary, carried binary")
     return packed.repartition(common.n_partitions(df.sparkSession), "block")
 
 
@@ -252,7 +274,7 @@ def distinct_segments(b: Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return order[lead], bucket[order[lead]], place
 
 
-def owners(blocks: DataFrame, shared: DataFrame, n_anchors: int, n: int) -> DataFrame:
+def owners(blocks: DataFrame, shared: DataFrame, n_anchors: int, n: int, n_blocks: int) -> DataFrame:
     """``block``, ``bucket``, ``lowest``: the smallest doc_id of each window of the block's distinct segments."""
 
     def send(key: tuple, rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
@@ -272,23 +294,23 @@ def owners(blocks: DataFrame, shared: DataFrame, n_anchors: int, n: int) -> Data
         common.release()
         return pd.DataFrame(out)
 
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["counts"]]
-        data = np.concatenate([_unpack(x, np.uint8) for x in rows["texts"]])
-        low, mark = np.concatenate([_unpack(x, np.int64) for x in rows["low"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in rows["marks"]])
-        count = np.concatenate(counts)
-        lowest = smallest(data, count, low, mark)
-        common.release()
-        ends = np.cumsum(count)
-        edges = np.concatenate(([0], ends[np.cumsum([len(c) for c in counts]) - 1]))
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "lowest": [_pack(lowest[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]})
+    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(send, SENT)
+    return answered(sent, n_blocks)
 
-    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(send, "block int, bucket int, texts binary, counts binary, low binary, marks binary")
-    return sent.groupBy("bucket").applyInPandas(answer, "block int, bucket int, lowest binary")
 
+SENT = "block int, bucket int, texts binary, counts binary, low binary, marks binary"
 
-def smallest(data: np.ndarray, count: np.ndarray, low: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """The smallest doc_id of each window of each segment among all given segments."""
+
+def unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments of some rows together (bytes, counts of windows, smallest doc_ids, marks), and how many are in each row."""
+    counts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["counts"]]
+    data = np.concatenate([_unpack(x, np.uint8) for x in rows["texts"]])
+    low, mark = np.concatenate([_unpack(x, np.int64) for x in rows["low"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in rows["marks"]])
+    return data, np.concatenate(counts), low, mark, np.array([len(c) for c in counts], np.int64)
+
+
+def distinct(data: np.ndarray, count: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each segment's text, the first segment with each text, and the text's smallest doc_id."""
     size = count + DEPTH - 1
     starts = np.cumsum(size) - size
     raw = data.tobytes()
@@ -298,17 +320,62 @@ def smallest(data: np.ndarray, count: np.ndarray, low: np.ndarray, mark: np.ndar
     lead[which[::-1]] = np.arange(len(which))[::-1]
     best = np.full(len(place), LAST)
     np.minimum.at(best, which, low)
+    return which, lead, best
+
+
+def spans_of(pick: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places of the windows of the picked segments, in turn, if all segments' windows lie one after the other."""
+    ahead, n = np.cumsum(count) - count, count[pick]
+    return np.repeat(ahead[pick] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def answered(sent: DataFrame, n_blocks: int) -> DataFrame:
+    """``block``, ``bucket``, ``lowest`` for each row of ``sent``: a bucket's segments of all blocks meet, by lots of ``FAN`` blocks if there are more."""
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        data, count, low, mark, n = unpacked(rows)
+        lowest = smallest(data, count, low, mark)
+        common.release()
+        edges = np.concatenate(([0], np.cumsum(count)))[np.concatenate(([0], np.cumsum(n)))]
+        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "lowest": [_pack(lowest[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]})
+
+    if n_blocks <= FAN:
+        return sent.groupBy("bucket").applyInPandas(answer, "block int, bucket int, lowest binary")
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        data, count, low, mark, _ = unpacked(rows.sort_values("block"))
+        _, lead, best = distinct(data, count, low)
+        size = count + DEPTH - 1
+        text = data[spans_of(lead, size)]
+        return pd.DataFrame({"block": [key[1]], "bucket": [key[0]], "texts": [_pack(text)], "counts": [count[lead].astype(np.uint8).tobytes()], "low": [_pack(best)], "marks": [mark[lead].tobytes()]})
+
+    def dealt(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        data, count, low, _, n = unpacked(rows)
+        which, lead, _ = distinct(data, count, low)
+        lowest = _unpack(above["lowest"].iloc[0], np.int64)[spans_of(which, count[lead])]
+        edges = np.concatenate(([0], np.cumsum(count)))[np.concatenate(([0], np.cumsum(n)))]
+        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "lowest": [_pack(lowest[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]})
+
+    sent = common.written(sent.withColumn("lot", F.floor(F.col("block") / FAN).cast("int")), "segments")
+    merged = common.written(sent.groupBy("bucket", "lot").applyInPandas(merge, SENT), "merged-segments")
+    above = answered(merged, -(-n_blocks // FAN)).withColumnRenamed("block", "lot")
+    return sent.groupBy("bucket", "lot").cogroup(above.groupBy("bucket", "lot")).applyInPandas(dealt, "block int, bucket int, lowest binary")
+
+
+def smallest(data: np.ndarray, count: np.ndarray, low: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The smallest doc_id of each window of each segment among all given segments."""
+    which, lead, best = distinct(data, count, low)
     n_windows = count[lead]
     out = np.repeat(best, n_windows)
     # only anchors with several segments need the index
     _, group, members = np.unique(mark[lead], return_inverse=True, return_counts=True)
     several = np.flatnonzero(members[group] > 1)
     if len(several):
-        index = RunIndex(slices(data, starts[lead[several]], size[lead[several]]), size[lead[several]], best[several], DEPTH)
-        ahead = np.cumsum(n_windows) - n_windows
-        out[np.repeat(ahead[several] - (np.cumsum(n_windows[several]) - n_windows[several]), n_windows[several]) + np.arange(int(n_windows[several].sum()))] = index.smallest_owners()
-    ahead = np.cumsum(n_windows) - n_windows
-    return out[np.repeat(ahead[which] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        size = count + DEPTH - 1
+        index = RunIndex(data[spans_of(lead[several], size)], size[lead[several]], best[several], DEPTH)
+        out[spans_of(several, n_windows)] = index.smallest_owners()
+    return out[spans_of(which, n_windows)]
 
 
 def covered(b: Block, side: pd.DataFrame, n: int) -> np.ndarray:
@@ -328,21 +395,33 @@ def covered(b: Block, side: pd.DataFrame, n: int) -> np.ndarray:
     return np.cumsum(cover[:-1]) > 0
 
 
-def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept`` (binary: what is left) and the ``carry`` columns."""
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone`` (bytes of UTF-8 text) widened to whole characters."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.repeat(np.maximum.reduceat(gone, lead), np.diff(np.append(lead, len(data)))) if len(data) else gone
+
+
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept`` (binary: what is left) and the ``carry`` columns.
+
+    ``characters``: ``kept`` is a string instead, from which characters that were cut have gone whole.
+    """
+    total = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     n_blocks, n, n_anchors = (max(LEAST, total // size) for size in (BLOCK, SEGMENTS, ANCHORS))
     blocks = blocks_of(df, key, text, n_blocks, list(carry))
     shared = common.written(shared_anchors(blocks, n_anchors), "shared-anchors")
-    found = owners(blocks, shared, n_anchors, n)
+    found = owners(blocks, shared, n_anchors, n, n_blocks)
     side = shared.withColumn("lowest", F.lit(None).cast("binary")).unionByName(found.withColumn("shared", F.lit(None).cast("binary")))
-
-    def finish(key: tuple, rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "carried")}
-        if len(rows):
-            b = shared_segments(rows, side[side["shared"].notna()], n_anchors)
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string() if characters else pa.binary()}
+
+    def finish(rows: pa.Table, side: pa.Table) -> pa.Table:
+        out: dict[str, list] = {k: [] for k in kinds}
+        carried = None
+        if rows.num_rows:
+            side = side.to_pandas()
+            b = shared_segments(rows.to_pydict(), side[side["shared"].notna()], n_anchors)
             gone = covered(b, side[side["lowest"].notna()], n)
-            for i, null, a, size, t, rest in zip(b.ids.tolist(), b.nulls.tolist(), b.starts.tolist(), b.sizes.tolist(), b.texts, b.carried, strict=True):
+            for i, null, a, size, t in zip(b.ids.tolist(), b.nulls.tolist(), b.starts.tolist(), b.sizes.tolist(), b.texts, strict=True):
                 g = gone[a : a + size]
                 kept = b.data[a : a + size][~g].tobytes() if g.any() else t
                 out["doc_id"].append(None if null else i)
@@ -350,17 +429,21 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carr
                 out["n_removed"].append(size - len(kept))
                 out["n_spans"].append(int((g & ~np.concatenate(([False], g[:-1]))).sum()) if size else 0)
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                if characters:
+                    kept = b.data[a : a + size][~whole_characters(b.data[a : a + size], g)].tobytes().decode() if g.any() else t.decode()
                 out["kept"].append(kept)
-                out["carried"].append(rest)
+            carried = b.carried
         common.release()
-        return pd.DataFrame(out).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, carried string"
-    done = blocks.groupBy("block").cogroup(side.groupBy("block")).applyInPandas(finish, schema)
-    if not carry:
-        return done.drop("carried")
-    kinds = df.select(*carry).schema
-    return done.withColumn("carried", F.from_json("carried", kinds)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col("carried")[c].alias(c) for c in carry))
+        made = [pa.array(v, kinds[k]) for k, v in out.items()]
+        if carry:
+            made.append(pa.array([], pa.null()) if carried is None else carried)
+        return pa.table(made, [*kinds, *["carried"] * bool(carry)])
+
+    schema = T.StructType.fromDDL(f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if characters else 'binary'}")
+    if carry:
+        schema = schema.add("carried", df.select(F.struct(*carry)).schema[0].dataType)
+    done = blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(finish, schema)
+    return done.select(*kinds, *(F.col("carried").getField(c).alias(c) for c in carry))
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
