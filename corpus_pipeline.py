@@ -7,10 +7,8 @@ session's shared folder and reads them again for the next.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidalbook.llm import bpe, common, mixture, near_dups, repeats, toxicity
 
@@ -35,17 +33,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     # the other columns travel as one, so that their names cannot clash with the operator's
     held = docs.select("doc_id", "text", F.struct(*rest, F.col("text").isNull().alias("__null")).alias("__rest"))
-    left = repeats.without_repeats(held, carry=("__rest",))
-    text = F.when(~F.col("__rest")["__null"], whole_characters("kept"))
+    left = repeats.without_repeats(held, carry=("__rest",), characters=True)
+    text = F.when(~F.col("__rest")["__null"], F.col("kept"))
     left = left.select("doc_id", text.alias("text"), *(F.col("__rest")[c].alias(c) for c in rest)).withColumn("n_chars", F.length("text").cast("long"))
     return left.select(*docs.columns)
 
 
-@F.pandas_udf(T.StringType())
-def whole_characters(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda x: x.decode("utf-8", "ignore"))
-
-
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are taken by weight, some documents several times, some not at all."""
     return mixture.mixed(docs)
