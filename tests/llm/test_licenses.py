@@ -1,3 +1,4 @@
+import random
 import re
 
 from tidalbook.llm import licenses as lic
@@ -19,16 +20,17 @@ def brute(text):
         places += found
         base |= {label} if found else set()
     labels, score = set(base), 1.0 if base else 0.0
-    for line in (text or "").split("\n"):
-        own = words(line)
-        blocks = [own] if len(own) <= lic.BLOCK else [own[i : i + lic.BLOCK] for i in range(0, len(own) - lic.BLOCK // 2, lic.BLOCK // 2)]
-        for t, label in lic.TEMPLATES.items():
-            whole = set(t.split())
-            for b in blocks:
-                share = len(whole & set(b)) / len(whole)
-                if share >= lic.THRESHOLD - 1e-12:
-                    labels.add(label)
-                    score = max(score, share)
+    cut = lambda x, n: [x] if len(x) <= n else [x[i : i + n] for i in range(0, len(x) - n // 2, n // 2)]
+    for t, label in lic.TEMPLATES.items():
+        whole, n = set(t.split()), lic.BLOCK
+        while n < 2 * len(t.split()):
+            n *= 2
+        blocks = cut(w, n) + [b for line in (text or "").split("\n") * (n == lic.BLOCK) for b in cut(words(line), n)]
+        for b in blocks:
+            share = len(whole & set(b)) / len(whole)
+            if share >= lic.THRESHOLD - 1e-12:
+                labels.add(label)
+                score = max(score, share)
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
@@ -64,6 +66,32 @@ def test_no_templates(spark):
     assert lic.scan(df, templates={}).first()["labels"] == "mit"
 
 
+def test_whole_notices(spark):
+    """Every template, wrapped anywhere and deep in a text, and with a tenth of its words changed; not with a fifth of them gone."""
+    rng, texts, want = random.Random(3), [], []
+    around = [f"w{i}" for i in range(700)]
+    for t, label in lic.TEMPLATES.items():
+        own = t.split()
+        at = rng.randrange(600)
+        texts.append("\n".join(" ".join((around[:at] + own + around[at:])[i : i + 9]) for i in range(0, 700 + len(own), 9)))
+        want.append(label)
+        if len(own) > 40:
+            few = sorted(set(own), key=lambda w: rng.random())
+            texts += [" ".join(f"x{w}" if w in few[: k * len(few) // 20] else w for w in own) for k in (1, 5)]
+            want += [label, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in lic.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute(t), t
+        assert want[i] is None or want[i] in got[i][5].split(",")
+
+
+def test_many_places():
+    index = lic.Index({}, lic.BASE, {}, 0.9)
+    text = "under the mit license and " * 60_000
+    assert index.scan(text)[:4] == (300_000, 60_000, 0, 299_995)
+
+
 def test_needed():
     assert [lic.needed(n, 0.9) for n in (1, 3, 5, 9, 10, 20)] == [1, 3, 5, 9, 9, 18]
 
