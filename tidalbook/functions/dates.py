@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,13 +38,15 @@ def rolling_days(as_of: Column, days: int = 30) -> tuple[Column, Column]:
     return F.date_format(F.date_sub(as_of.cast("date"), days), "yyyy-MM-dd"), F.date_format(as_of.cast("date"), "yyyy-MM-dd")
 
 
+#: A statement's time: day, hour, minute, second, fraction, hours from UTC and the zone's name; all but the day may be missing.
+MOMENT = r"^\s*(?<year>\d{4})(?<month>\d{2})(?<day>\d{2})(?:(?<hour>\d{2})(?:(?<minute>\d{2})(?<second>\d{2})?)?)?\d?(?:\.[^\[]*)?\s*(?:\[(?<zone>[+-]?\d{1,2})(?::[^\]]*)?\])?"
+
+
 def parse_ofx_date(raw: Column, now: Column) -> Column:
-    """``YYYYMMDD[HH[MM[SS]]][.fff][[±h:TZ]]`` as ISO text; ``now`` for less than eight digits."""
-    zone = F.regexp_extract(raw, r"\[([+-]?[0-9]{1,2})(?::.*?)?\]", 1)
-    hours = zone.try_cast("int")
-    offset = F.when(zone == "", F.lit("Z")).otherwise(F.concat(F.when(hours >= 0, "+").otherwise("-"), F.lpad(F.abs(hours).cast("string"), 2, "0"), F.lit(":00")))
-    digits = F.trim(F.regexp_replace(F.regexp_replace(raw, r"\[.*?\]", ""), r"\..*$", ""))
-    n = F.length(digits)
-    day = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
-    clock = F.concat_ws(":", *(F.when(n >= at + 1, F.substring(digits, at, 2)).otherwise("00") for at in (9, 11, 13)))
-    return F.when(n < 8, now).otherwise(F.concat(day, F.lit("T"), clock, offset))
+    """``YYYYMMDD[HH[MM[SS]]][.fff][[±h:TZ]]`` as ISO text; ``now`` for what does not begin with a day."""
+    names = re.findall(r"\?<(\w+)>", MOMENT)
+    part = {n: F.nullif(F.regexp_extract(raw, MOMENT, i + 1), F.lit("")) for i, n in enumerate(names)}
+    day = F.concat_ws("-", part["year"], part["month"], part["day"])
+    clock = F.concat_ws(":", *(F.coalesce(part[n], F.lit("00")) for n in ("hour", "minute", "second")))
+    zone = F.coalesce(F.format_string("%+03d:00", part["zone"].cast("int")), F.lit("Z"))
+    return F.when(part["day"].isNull(), now).otherwise(F.concat(day, F.lit("T"), clock, F.when(part["zone"].isNull(), F.lit("Z")).otherwise(zone)))

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..schema import UNKNOWN
 
-#: Descriptions that reach every category, with accents, capitals, word ends and names that several rules touch.
-VOCABULARY = (
-    "iFood Pedido 31", "RESTAURANTE SABOR", "Uber Eats", "Padaria Central", "CAFÉ DO PORTO", "Mercado Livre Compra", "Uber Trip", "Posto Shell BR", "99 Taxi Corrida",
-    "Metrô SP", "Imposto Municipal", "Netflix.com", "SPOTIFY AB", "Max", "Maximiliano Lima", "Cinema Roxy", "Bar do Zeca", "Barra Funda", "Livraria Cultura", "Steam Purchase",
-    "Drogasil 221", "Farmácia Popular", "Academia Smart Fit", "Escola Infantil", "Curso Alura", "Aluguel Junho", "Condomínio Sol", "Água e Esgoto", "Enel SP", "Salário Mensal",
-    "Pró-Labore", "Férias", "Tesouro Selic", "CDB Banco", "Dividendo PETR", "PIX Joana", "TED enviada", "Boleto 123", "Loja Sem Nome", "Presente",
-)
+#: Descriptions that reach every category, with accents, capitals, word ends and names that several rules touch; and what each must give.
+DESCRIBED = {
+    "iFood Pedido 31": "comida", "RESTAURANTE SABOR": "comida", "Uber Eats": "comida", "Padaria Central": "comida", "CAFÉ DO PORTO": "comida", "Mercado Livre Compra": "comida",
+    "Uber Trip": "transporte", "Posto Shell BR": "transporte", "99 Taxi Corrida": "transporte", "Metrô SP": "transporte", "Imposto Municipal": "transporte",
+    "Netflix.com": "assinaturas", "SPOTIFY AB": "assinaturas", "Max": "assinaturas", "Maximiliano Lima": UNKNOWN, "Cinema Roxy": "lazer", "Bar do Zeca": "lazer",
+    "Barra Funda": UNKNOWN, "Livraria Cultura": "lazer", "Steam Purchase": "lazer", "Drogasil 221": "saude", "Farmácia Popular": "saude", "Academia Smart Fit": "saude",
+    "Escola Infantil": "educacao", "Curso Alura": "educacao", "Aluguel Junho": "moradia", "Condomínio Sol": "moradia", "Água e Esgoto": "moradia", "Enel SP": "moradia",
+    "Salário Mensal": "salario", "Pró-Labore": "salario", "Férias": "salario", "Tesouro Selic": "investimento", "CDB Banco": "investimento", "Dividendo PETR": "investimento",
+    "PIX Joana": "transferencia", "TED enviada": "transferencia", "Boleto 123": "transferencia", "Loja Sem Nome": UNKNOWN, "Presente": UNKNOWN,
+}
+VOCABULARY = tuple(DESCRIBED)
 SOURCES = ("notification", "pluggy", "ofx", "manual", "uber")
 
 
@@ -69,14 +73,10 @@ def sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def sql_category(col: str) -> str:
-    arms = " ".join(f"when regexp_matches({col}, '{p}', 'i') then '{c}'" for c, p in text.rules("re2"))
-    return f"case {arms} else '{UNKNOWN}' end"
-
-
 def _sql(key: str, account: str, amount: str, date: str, external: str, lat: str, lng: str, source: str) -> str:
-    return f"""select *, {sql_category('description')} as category from (
+    return f"""select * from (
   select cast({key} as varchar) as id, cast({account} as varchar) as account_id, list_extract({sql_list(VOCABULARY)}, cast({key} % {len(VOCABULARY)} as int) + 1) as description,
+    list_extract({sql_list(DESCRIBED.values())}, cast({key} % {len(VOCABULARY)} as int) + 1) as category,
     cast({amount} as decimal(15,2)) as amount, {date} as date, list_extract({sql_list(SOURCES)}, cast({key} % {len(SOURCES)} as int) + 1) as source,
     {external} as external_id, {lat} as latitude, {lng} as longitude from {source})"""
 
