@@ -8,10 +8,25 @@ from pyspark.sql import functions as F
 WINDOW_MS = 300_000
 
 
+#: Times that a list grows to before the next one begins.
+PART = 256
+
+
 def accepted(times: Column, window_ms: int = WINDOW_MS) -> Column:
-    """Of a sorted array of times (ms), those that are kept: a time within the window after the last kept one goes."""
-    keep = lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) > window_ms), F.concat(kept, F.array(t))).otherwise(kept)
-    return F.aggregate(times, F.array().cast("array<bigint>"), keep)
+    """Of a sorted array of times (ms), those that are kept: a time within the window after the last kept one goes.
+
+    Kept times are gathered in lists of ``PART``, as adding to an array copies it.
+    """
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), none.alias("part"), F.array().cast("array<array<bigint>>").alias("parts"))
+
+    def step(kept: Column, t: Column) -> Column:
+        full = F.size(kept["part"]) >= PART
+        part = F.when(full, F.array(t)).otherwise(F.concat(kept["part"], F.array(t)))
+        parts = F.when(full, F.concat(kept["parts"], F.array(kept["part"]))).otherwise(kept["parts"])
+        return F.when(kept["last"].isNull() | (t - kept["last"] > window_ms), F.struct(t.alias("last"), part.alias("part"), parts.alias("parts"))).otherwise(kept)
+
+    return F.aggregate(times, start, step, lambda kept: F.concat(F.flatten(kept["parts"]), kept["part"]))
 
 
 def keep_first_in_window(df: DataFrame, keys: list[str], ms: str, window_ms: int = WINDOW_MS) -> DataFrame:

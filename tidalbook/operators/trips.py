@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..schema import with_defaults
+from . import validate, writes
 
 HOURS, MONEY = 2, 2
 
@@ -13,18 +15,23 @@ HOURS, MONEY = 2, 2
 def candidates(trips: DataFrame, transactions: DataFrame, signed: bool = False) -> DataFrame:
     """Pairs within two hours and 2.00 (bounds included).
 
-    Time is cut into buckets twice as wide as the window; a trip looks into its
-    own and both neighbours, so the join is on equal buckets, and the exact
-    bounds filter what it gives.  ``signed``: compare with the signed amount.
+    Time and money are cut into buckets twice as wide as their windows; a trip
+    looks into its own and one neighbour of each, so the join is on two equal
+    keys, and the exact bounds filter what it gives.  ``signed``: compare with
+    the signed amount.
     """
-    width = 2 * HOURS * 3_600_000
+    width, coins = 2 * HOURS * 3_600_000, 2 * MONEY
+
+    def around(value: Column, reach: int, width: int) -> Column:
+        return F.explode(F.sequence(*(F.floor((value + d) / width).cast("long") for d in (-reach, reach))))
+
     t = trips.select(F.col("id").alias("trip_id"), F.col("amount").alias("trip_amount"), dates.millis(F.col("date")).alias("trip_ms"))
-    t = t.withColumn("bucket", F.explode(F.sequence(*(F.floor((F.col("trip_ms") + d * HOURS * 3_600_000) / width) for d in (-1, 1)))))
+    t = t.withColumn("bucket", around(F.col("trip_ms"), HOURS * 3_600_000, width)).withColumn("money", around(F.col("trip_amount"), MONEY, coins))
     x = transactions.select(F.col("id").alias("tx_id"), (F.col("amount") if signed else F.abs("amount")).alias("tx_amount"), dates.millis(F.col("date")).alias("tx_ms"))
-    x = x.withColumn("bucket", F.floor(F.col("tx_ms") / width))
+    x = x.withColumns({"bucket": F.floor(F.col("tx_ms") / width), "money": F.floor(F.col("tx_amount") / coins).cast("long")})
     near = F.abs(F.col("tx_ms") - F.col("trip_ms")) <= HOURS * 3_600_000
     close = F.abs(F.col("tx_amount") - F.col("trip_amount")) <= F.lit(MONEY).cast("decimal(15,2)")
-    return t.join(x, "bucket").where(near & close).select("trip_id", "tx_id", "trip_ms", F.abs(F.col("tx_ms") - F.col("trip_ms")).alias("dt"), F.abs(F.col("tx_amount") - F.col("trip_amount")).alias("da"))
+    return t.join(x, ["bucket", "money"]).where(near & close).select("trip_id", "tx_id", "trip_ms", F.abs(F.col("tx_ms") - F.col("trip_ms")).alias("dt"), F.abs(F.col("tx_amount") - F.col("trip_amount")).alias("da"))
 
 
 def match(trips: DataFrame, transactions: DataFrame, signed: bool = False) -> DataFrame:
@@ -48,3 +55,40 @@ def unmatched(trips: DataFrame, matched: DataFrame) -> DataFrame:
         text.external_id_trip(dates.millis(F.col("date")), F.col("amount")).alias("external_id"), text.trip_description(F.col("origin"), F.col("destination")).alias("description"),
         (-F.abs("amount")).alias("amount"), F.col("date"), F.lit("transporte").alias("category"), F.lit("uber").alias("source"), F.col("id").alias("uber_metadata_id"),
     )
+
+
+#: The account of trips that no transaction paid for.
+ACCOUNT = "Uber"
+
+
+def from_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trip rows of valid payloads (``valor``, ``data_hora``, addresses, driver, seconds), and rejected payloads with their failed fields.
+
+    A trip's id comes from its payload, so a payload that lands twice is one trip.
+    """
+    good, bad = validate.split(payloads, "trip")
+    date = F.to_timestamp("data_hora").cast("timestamp_ntz")
+    known = F.sha2(F.concat_ws("|", F.col("valor").cast("string"), "data_hora", "endereco_partida", "endereco_destino", F.coalesce("nome_motorista", F.lit(""))), 256)
+    rows = good.select(
+        known.alias("id"), F.col("valor").cast("decimal(15,2)").alias("amount"), date.alias("date"), F.col("endereco_partida").alias("origin"), F.col("endereco_destino").alias("destination"),
+        F.col("nome_motorista").alias("driver"), F.col("duracao_segundos").alias("seconds"),
+    )
+    return rows.dropDuplicates(["id"]), bad
+
+
+def metadata(rows: DataFrame, now: Column | None = None) -> DataFrame:
+    """Rows of the trips table."""
+    named = {"origin": "origin_address", "destination": "destination_address", "driver": "driver_name", "seconds": "duration_seconds"}
+    return with_defaults(rows.withColumnsRenamed(named), "trips", now)
+
+
+def booked(rows: DataFrame, transactions: DataFrame, accounts: DataFrame, signed: bool = False, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ledger after some trips: transactions with their trips, and new ones for the rest; and the accounts to add for those."""
+    matched = match(rows, transactions, signed)
+    fresh = unmatched(rows, matched).withColumn("name", F.lit(ACCOUNT))
+    missing = writes.missing_accounts(fresh, accounts)
+    known = accounts.select("id", "name", "created_at").unionByName(missing.select("id", "name", F.col("created_at").cast(accounts.schema["created_at"].dataType).alias("created_at")))
+    added = with_defaults(writes.resolve_accounts(fresh, known).drop("name").withColumn("id", F.col("external_id")), "transactions", now)
+    after = link(matched, transactions)
+    added = added.select(*(F.col(c).cast(after.schema[c].dataType).alias(c) for c in after.columns))
+    return after.unionByName(added), missing

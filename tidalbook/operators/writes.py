@@ -52,6 +52,8 @@ def missing_accounts(wanted: DataFrame, accounts: DataFrame, key: str = "name")
     """New account rows for the keys that ``accounts`` does not have."""
     fresh = wanted.select(key).where(F.col(key).isNotNull()).distinct().join(accounts.select(key), key, "left_anti")
     fresh = fresh if key == "name" else fresh.withColumn("name", F.concat(F.lit("Conta "), F.col(key)))
+    # an id that follows from the key, so that a plan that runs again gives the same one
+    fresh = fresh if "id" in (key, *fresh.columns) else fresh.withColumn("id", F.sha2(F.concat_ws("|", F.lit("account"), F.col(key).cast("string")), 256))
     return with_defaults(fresh, "accounts")
 
 
@@ -67,6 +69,11 @@ def delete_accounts(accounts: DataFrame, transactions: DataFrame, gone: DataFram
     return kept, transactions.join(kept.select(F.col("id").alias("account_id")), "account_id", "left_semi")
 
 
+def delete_all(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """Tables without rows, to be written over the old ones in this order: first what refers to the others."""
+    return tuple(t.limit(0) for t in tables)
+
+
 def forget_trips(transactions: DataFrame, trips: DataFrame) -> DataFrame:
     """Links to trips that are gone become null."""
     known = trips.select(F.col("id").alias("uber_metadata_id"), F.lit(True).alias("__known"))

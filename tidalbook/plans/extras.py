@@ -21,7 +21,8 @@ def spend_alerts(ledger: DataFrame, factor: float = 2.0) -> DataFrame:
     """Expenses above ``factor`` times the mean expense of their category; the means are joined, so no task holds a category."""
     spent = ledger.where("amount < 0").select("id", "category", (-F.col("amount")).alias("spent"))
     mean = spent.groupBy("category").agg((F.sum("spent").cast("double") / F.count("*")).alias("mean"))
-    return spent.join(mean, "category").where(F.col("spent").cast("double") > factor * F.col("mean")).select("id", "category", "spent", "mean")
+    # at most one row for each of the ledger's categories
+    return spent.join(F.broadcast(mean), "category").where(F.col("spent").cast("double") > factor * F.col("mean")).select("id", "category", "spent", "mean")
 
 
 def over_budget(ledger: DataFrame, budgets: DataFrame) -> DataFrame:
