@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidalbook.functions import dates, geo, text
+from tidalbook.plans.examples import EXAMPLES
 from tidalbook.schema import CATEGORIES
 
 
@@ -36,7 +37,62 @@ def test_null_text_is_unknown(spark):
 
 
 def test_custom_rules(spark):
-    assert one(spark, ["abc", "xyz"], lambda c: text.categorize(c, [("mine", "b.")])) == ["mine", "desconhecido"]
+    table = {"mine": ("b.", "uv"), "yours": ("uvw", "xy")}
+    assert one(spark, ["abc", "xyz", "uvw", "q"], lambda c: text.categorize(c, table)) == ["mine", "yours", "mine", "desconhecido"]
+
+
+def test_each_pattern_has_an_example_that_only_it_explains(spark):
+    """230 patterns, each with a text that it matches; the table without covered patterns gives the same."""
+    import re
+
+    assert sum(map(len, text.PATTERNS.values())) == 230 and len(EXAMPLES) > 230
+    texts = [t.lower() for t in EXAMPLES]
+    for category, patterns in text.PATTERNS.items():
+        for p in patterns:
+            assert any(re.search(p, t) for t in texts), p
+    assert one(spark, EXAMPLES, text.categorize) == list(EXAMPLES.values())
+
+
+def test_covered_patterns_change_nothing(spark):
+    """The full table tried pattern by pattern, the pruned one, and the one by alternations agree on texts made of pieces of patterns."""
+    import re
+
+    rng = random.Random(11)
+    pieces = [w for t in EXAMPLES for w in t.split()] + ["", " ", "x", "s", "-", "é", "1"]
+    texts = [rng.choice(["", " ", "\n"]).join(rng.choice(pieces) for _ in range(rng.randrange(1, 5))) for _ in range(1500)]
+
+    def plain(t):
+        t = t.strip().lower()
+        return next((c for c, patterns in text.PATTERNS.items() for p in patterns if re.search(p.replace(r"\b", "(?![0-9A-Za-z_])"), t)), "desconhecido")
+
+    want = [plain(t) for t in texts]
+    assert one(spark, texts, text.categorize) == want == one(spark, texts, text.categorize_by_patterns)
+    dropped = {p for c in text.PATTERNS for p in set(text.PATTERNS[c]) - set(text.needed_rules()[c])}
+    assert "supermercado" in dropped and r"livraria\s*cultura" in dropped and "uber" not in dropped and r"cafe\b" not in dropped
+
+
+def test_statement_times(spark):
+    cases = {
+        "20240115120000[-03:BRT]": "2024-01-15T12:00:00-03:00", "20240115": "2024-01-15T00:00:00Z", "20240115120000.000": "2024-01-15T12:00:00Z", "2024011512[5:X]": "2024-01-15T12:00:00+05:00",
+        " 202401151234 ": "2024-01-15T12:34:00Z", "20240115120000.123[+10:EST]": "2024-01-15T12:00:00+10:00", "20240115[0]": "2024-01-15T00:00:00+00:00", "20240115120000[-0:GMT]": "2024-01-15T12:00:00+00:00",
+        "20240115120": "2024-01-15T12:00:00Z", "2024": "now", "": "now", "x20240115": "now",
+    }
+    assert one(spark, cases, lambda c: dates.parse_ofx_date(c, F.lit("now"))) == list(cases.values())
+    assert one(spark, [None], lambda c: dates.parse_ofx_date(c, F.lit("now"))) == ["now"]
+
+
+def test_sql_functions(spark):
+    from tidalbook.functions import sql
+
+    names = sql.register(spark)
+    got = spark.sql(
+        "select categorize('  Uber Eats') as a, category_label('comida') as b, parse_amount('R$ 1.234,56') as c, format_brl(1234.5) as d, parse_ofx_date('20240115120000[-03:BRT]', 'n') as e, "
+        "detect_bank('Nubank', 'x') as f, extract_merchant('Compra em PADARIA no valor') as g, is_purchase(null, 'compra') as h, round(distance_meters(0, 0, 1, 1)) as i, extract_amount('R$ 15 em') as j, "
+        "format_moment(timestamp'2024-03-05 07:08:00') as k"
+    ).first()
+    assert len(names) == 13 and [str(x) for x in got] == [
+        "comida", "Alimentação", "1234.56", "R$\xa01.234,50", "2024-01-15T12:00:00-03:00", "Nubank", "padaria", "True", "156899.0", "15.00", "05 de mar. de 2024, 07:08",
+    ]
 
 
 def test_money_text(spark):

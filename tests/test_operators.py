@@ -122,11 +122,77 @@ def test_split_by_rules(spark):
 
 
 def test_demo_and_health(spark):
-    d = events.demo(spark, T0)
-    assert d.count() == 34 and d.schema.names == schema.TRANSACTIONS.names and d.select("category").distinct().count() >= 8
+    accounts, rows = events.demo(spark, T0)
+    assert accounts.count() == 2 and accounts.schema.names == schema.ACCOUNTS.names and rows.count() == 34 and rows.schema.names == schema.TRANSACTIONS.names
+    per = {r[0]: (r[1], float(r[2])) for r in rows.groupBy("account_id").agg(F.count("*"), F.sum("amount")).collect()}
+    assert per == {"acc-0": (9, 2643.3), "acc-1": (25, -2365.19)} and rows.select("category").distinct().count() == 9
+    assert sorted(map(str, rows.drop("updated_at").collect())) == sorted(map(str, events.demo(spark, T0)[1].drop("updated_at").collect()))
     assert events.health(spark).first()["status"] == "ok"
 
 
+def test_long_chain_is_linear(spark):
+    """40,000 times a second apart in one chain: one in 301 stays."""
+    df = spark.range(40_000).selectExpr("'k' as k", "id * 1000 as ms")
+    got = sorted(r["ms"] for r in dedup.keep_first_in_window(df, ["k"], "ms").collect())
+    assert got == list(range(0, 40_000_000, 301_000))
+    got = sorted(r["ms"] for r in dedup.keep_first_in_window(df, ["k"], "ms", window_ms=1000).collect())
+    assert got == list(range(0, 40_000_000, 2000))
+
+
+RECEIPTS = [
+    (20.0, "2024-01-01T10:00:00.000Z", "A", "B", "Ana", 600), (20.0, "2024-01-01T10:00:00.000Z", "A", "B", "Ana", 600), (50.0, "2024-01-02T10:00:00Z", "C", "D", None, None),
+    (0.0, "2024-01-02T10:00:00Z", "C", "D", None, None), (9.0, "yesterday", "", "D", None, -1),
+]
+RECEIPT = "valor double, data_hora string, endereco_partida string, endereco_destino string, nome_motorista string, duracao_segundos int"
+
+
+def test_receipts_are_booked(spark):
+    rows, bad = trips.from_payloads(spark.createDataFrame(RECEIPTS, RECEIPT))
+    assert rows.count() == 2 and sorted(r["failed"] for r in bad.collect()) == [["data_hora", "endereco_partida", "duracao_segundos"], ["valor"]]
+    stored = trips.metadata(rows)
+    assert stored.schema.names == schema.TRIPS.names and {(r["origin_address"], r["driver_name"], r["duration_seconds"]) for r in stored.collect()} == {("A", "Ana", 600), ("C", None, None)}
+    tx = spark.sql("select '1' as id, 'acc' as account_id, 'x' as description, cast(-19 as decimal(15,2)) as amount, timestamp_ntz'2024-01-01 11:00:00' as date, 'lazer' as category, 'ofx' as source, 'k' as external_id, cast(null as string) as uber_metadata_id")
+    ac = spark.createDataFrame([("acc", "Banco", T0)], "id string, name string, created_at timestamp")
+    after, fresh = trips.booked(rows, tx, ac)
+    got = sorted((r["source"], r["category"], float(r["amount"]), r["uber_metadata_id"] is not None, r["description"]) for r in after.collect())
+    assert got == [("ofx", "transporte", -19.0, True, "x"), ("uber", "transporte", -50.0, True, "Uber: C → D")]
+    assert [r["name"] for r in fresh.collect()] == ["Uber"] and after.where("source = 'uber'").first()["account_id"] == fresh.first()["id"]
+    again, none = trips.booked(rows, tx, ac.unionByName(fresh.select("id", "name", "created_at")))
+    assert none.count() == 0 and again.count() == 2
+
+
+def test_rejected_lines_and_rows(spark):
+    text = "<ACCTID>7</ACCTID><STMTTRN><TRNAMT>x<DTPOSTED>20240101<FITID>1\n</STMTTRN><STMTTRN><TRNAMT>2<FITID>2\n</STMTTRN><STMTTRN><TRNAMT>3<DTPOSTED>20240101<FITID>3\n</STMTTRN>"
+    parsed = ofx.parse(spark.createDataFrame([("a.ofx", text), ("b.ofx", "nothing")], "file string, content string"))
+    assert [(r["line"], r["missing"]) for r in ofx.rejected(parsed).orderBy("line").collect()] == [(0, ["amount"]), (1, ["posted"])]
+    assert [r["external_id"] for r in ofx.transactions(parsed).collect()] == ["ofx_7_3"]
+    rows = spark.createDataFrame([("a", "k", "d", None, 1.0, "2024-01-01T00:00:00Z"), ("b", "k", "d", None, 1.0, "no date"), (None, "k", "d", None, None, None)], "id string, accountId string, description string, descriptionRaw string, amount double, date string")
+    good, bad = feeds.split_rows(feeds.flat_transactions(rows))
+    assert [r["external_id"] for r in good.collect()] == ["pluggy_a"] and sorted(r["missing"] for r in bad.collect()) == [["date"], ["external_id", "amount", "date"]]
+
+
+def test_statement_file_names(spark, tmp_path):
+    for n in ("a.oFx", "b.QfX", "c.ofx", "d.ofx.txt", "e.ofy"):
+        (tmp_path / n).write_text("<ACCTID>1")
+    assert ofx.read_files(spark, str(tmp_path)).count() == 3
+
+
+def test_items(spark, tmp_path):
+    page = {"results": [{"id": "i", "connector": {"id": 1, "name": "B", "type": "PERSONAL_BANK"}, "status": "UPDATED", "createdAt": "2024-01-02T03:04:05.678Z", "error": None}]}
+    (tmp_path / "p.json").write_text(json.dumps(page))
+    r = feeds.flat_items(feeds.read_pages(spark, str(tmp_path), feeds.ITEM)).first()
+    assert (r["pluggy_item_id"], r["connector"], r["failed"], r["createdAt"].microsecond) == ("i", "B", False, 678_000)
+
+
+def test_delete_all_and_roles(spark):
+    from tidalbook.plans import search
+
+    tx, ac = writes.delete_all(ledger(spark, [row("1", "k")]), ledger(spark, [row("2", "k")]))
+    assert tx.count() == ac.count() == 0 and tx.columns
+    chat = spark.createDataFrame([(1, 0, "assistant", "a"), (1, 1, "user", "b"), (1, 2, None, None)], "conv_id long, turn long, role string, text string")
+    assert [(r["role"], r["parts"][0]["text"]) for r in search.turns(chat).orderBy("turn").collect()] == [("model", "a"), ("user", "b"), ("user", None)]
+
+
 def test_counters(spark):
     b = ledger(spark, [row("1", "k"), row("2", "k")])
     assert tuple(writes.counters(b, b.limit(1)).first()) == (2, 1, 1)

@@ -1,6 +1,6 @@
+import datetime as dt
 import json
 
-from tidalbook.functions import text
 from tidalbook.sources import events
 from tidalbook.streaming import ingest
 
@@ -61,5 +61,44 @@ def test_stream_of_trips(spark, tmp_path):
     assert [(r["uber_metadata_id"], r["category"]) for r in out] == [("t1", "transporte")]
 
 
-def test_rules_have_both_dialects():
-    assert all(r"\b" not in p for _, p in text.rules()) and any(r"\b" in p for _, p in text.rules("re2"))
+def test_bad_rows_go_to_the_side(spark, tmp_path):
+    """A row that cannot be stored does not stop its batch."""
+    kind = "external_id string, description string, amount decimal(15,2), date timestamp, category string"
+    lines(tmp_path / "in", [{"external_id": "a", "amount": 1.0, "date": "2024-01-01T00:00:00Z"}, {"external_id": None, "amount": 2.0, "date": "2024-01-01T00:00:00Z"}, {"external_id": "c", "amount": "x"}])
+    out, bad = [], []
+    q = ingest.into_table(spark.readStream.schema(kind).json(str(tmp_path / "in")), lambda: spark.createDataFrame([], kind), lambda df: out.extend(df.collect()), reject=lambda df: bad.extend(df.collect()))
+    q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [r["external_id"] for r in out] == ["a"] and sorted(map(tuple, (r["missing"] for r in bad))) == [("amount", "date"), ("external_id",)] or len(bad) == 2
+
+
+def test_receipts_stream_and_restart(spark, tmp_path):
+    """Receipts land in two runs of one stream; the second run reads only what is new, and a receipt that lands again changes nothing."""
+    ledger = {"tx": spark.sql("select '1' as id, 'acc' as account_id, 'x' as description, cast(-19 as decimal(15,2)) as amount, timestamp_ntz'2024-01-01 11:00:00' as date, 'lazer' as category, 'ofx' as source, 'k' as external_id, cast(null as string) as uber_metadata_id")}
+    ledger["ac"] = spark.createDataFrame([("acc", "Banco", dt.datetime(2024, 1, 1))], "id string, name string, created_at timestamp")
+    seen = {"trips": 0, "bad": 0, "runs": 0}
+
+    def write(after, new_trips, new_accounts):
+        seen["runs"] += 1
+        path = str(tmp_path / f"tx{seen['runs']}")
+        after.write.parquet(path)
+        seen["trips"] += new_trips.count()
+        accounts = str(tmp_path / f"ac{seen['runs']}")
+        ledger["ac"].unionByName(new_accounts.select("id", "name", "created_at")).write.parquet(accounts)
+        ledger["tx"], ledger["ac"] = spark.read.parquet(path), spark.read.parquet(accounts)
+
+    def reject(bad):
+        seen["bad"] += bad.count()
+
+    def run():
+        ingest.booked_receipts(ingest.receipts(spark, str(tmp_path / "in")), lambda: (ledger["tx"], ledger["ac"]), write, reject, every=None).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
+
+    one = {"valor": 20.0, "data_hora": "2024-01-01T10:00:00Z", "endereco_partida": "A", "endereco_destino": "B"}
+    lines(tmp_path / "in", [one, {"valor": -1.0}])
+    run()
+    assert seen == {"trips": 1, "bad": 1, "runs": 1} and [r["category"] for r in ledger["tx"].collect()] == ["transporte"]
+    (tmp_path / "in" / "more.json").write_text("\n".join(json.dumps(x) for x in (one, one | {"valor": 70.0})))
+    run()
+    rows = sorted((r["source"], float(r["amount"])) for r in ledger["tx"].collect())
+    assert rows == [("ofx", -19.0), ("uber", -70.0)] and seen["trips"] == 2 and seen["runs"] == 2
+    run()  # nothing new
+    assert seen["runs"] == 2 and ledger["ac"].count() == 2

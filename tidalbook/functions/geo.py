@@ -45,6 +45,12 @@ def checked(lat, lng, radius=None) -> tuple[float, float, float]:
     return lat, lng, radius
 
 
+def camel(df: DataFrame) -> DataFrame:
+    """Rows of a search as clients get them: camel-case names, the amount as a number."""
+    named = {c: (w := c.split("_"))[0] + "".join(map(str.title, w[1:])) for c in df.columns}
+    return df.withColumn("amount", F.col("amount").cast("double")).withColumnsRenamed(named)
+
+
 def nearby(df: DataFrame, lat, lng, radius=None, most: int = MOST) -> DataFrame:
     """Rows within ``radius`` metres, nearest first, ``most`` at the most; ``distance_meters`` is rounded to cents."""
     lat, lng, radius = checked(lat, lng, radius)

@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, geo, text
+from ..functions import dates, geo, sql, text
 from ..operators import dedup, trips, validate, writes
-from ..sources import feeds, ofx
+from ..sources import events, feeds, ofx
 from . import adapter as a
-from . import dashboard, extras, search
+from . import dashboard, examples, extras, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -248,7 +248,15 @@ def _(spark, d):
     return a.ledger_events(spark, d).groupBy("description", "category").agg(F.count("*").alias("n"))
 
 
-@query("recategorize", le(f"select id, case when source = 'notification' then {a.sql_category('description')} else category end as category from l"))
+_EXAMPLES = sorted(examples.EXAMPLES.items())
+
+
+@query("classify_examples", f"select t as description, c as category from {sql_values(_EXAMPLES, 't, c')}")
+def _(spark, d):
+    return values(spark, [r[:1] for r in _EXAMPLES], "description string").withColumn("category", text.categorize(F.col("description")))
+
+
+@query("recategorize", le("select id, category from l"))
 def _(spark, d):
     stored = a.ledger_events(spark, d).withColumn("category", F.when(F.col("source") == "notification", "desconhecido").otherwise(F.col("category")))
     return stored.select("id", F.when(F.col("category") == "desconhecido", text.categorize(F.col("description"))).otherwise(F.col("category")).alias("category"))
@@ -537,3 +545,120 @@ def _(spark, d):
 def _(spark, d):
     budgets = spark.createDataFrame([(c, 7000.0) for c in text.LABELS], "category string, budget double")
     return doubles(extras.over_budget(a.ledger_events(spark, d), budgets), "spent")
+
+
+# --- payloads made of the tables, and back
+
+
+@query("notification_import", le(f"select l.id, lower(description) as merchant, cast(abs(amount) as double) as amount, case cast(l.id as bigint) % 3 when 0 then 'Nubank' else 'Itaú' end as bank from l where amount < 0 and cast(l.id as bigint) % 3 < 2"))
+def _(spark, d):
+    """Each expense as its bank would tell it, one in three by a bank that nobody knows."""
+    rows = a.ledger_events(spark, d).where("amount < 0")
+    bank = F.element_at(F.array(F.lit("Nubank"), F.lit("Banco Itaú informa"), F.lit("Loja")), (F.col("id").cast("long") % 3 + 1).cast("int"))
+    body = F.concat(F.lit("Compra de "), text.format_brl(F.abs("amount")), F.lit(" em "), F.col("description"), F.lit(" no valor aprovado"))
+    # one row each, so that the texts are made before they are read
+    told = rows.select(F.inline(F.array(F.struct(bank.alias("title"), body.alias("body"), F.col("id").alias("date")))))
+    return events.notification_rows(told).select(F.col("date").alias("id"), F.col("description").alias("merchant"), num("amount"), "bank")
+
+
+_STATEMENTS = f"select 'ofx_' || l.account_id || '_' || l.id as external_id, case when l.description = '' then 'Sem descrição' else l.description end as description, cast(amount as double) as amount, strftime(l.date, '%Y-%m-%dT%H:%M:%S') || '-03:00' as date from l where cast(l.id as bigint) % 5 > 0"
+
+
+@query("ofx_statements", le(_STATEMENTS))
+def _(spark, d):
+    """Each account's events as a statement file's text, read back; every fifth line has no id and is rejected."""
+    rows = a.ledger_events(spark, d)
+    fit = F.when(F.col("id").cast("long") % 5 > 0, F.concat(F.lit("<FITID>"), "id")).otherwise("")
+    line = F.concat(F.lit("<STMTTRN><DTPOSTED>"), F.date_format("date", "yyyyMMddHHmmss"), F.lit("[-03:BRT]<TRNAMT>"), F.col("amount").cast("string"), fit, F.lit("<NAME>"), "description", F.lit("\r\n</STMTTRN>"))
+    files = rows.groupBy("account_id").agg(F.concat_ws("\r\n", F.collect_list(line)).alias("lines"))
+    files = files.select(F.concat("account_id", F.lit(".ofx")).alias("file"), F.concat(F.lit("<OFX><ACCTID>"), "account_id", F.lit("</ACCTID>"), "lines", F.lit("</OFX>")).alias("content"))
+    return ofx.transactions(ofx.parse(files)).select("external_id", "description", num("amount"), "date")
+
+
+@query("ofx_rejected", le("select l.account_id || '.ofx' as file, count(*) as n, 'fit_id' as missing from l where cast(l.id as bigint) % 5 = 0 group by l.account_id"))
+def _(spark, d):
+    rows = a.ledger_events(spark, d).where(F.col("id").cast("long") % 5 == 0)
+    line = F.concat(F.lit("<STMTTRN><DTPOSTED>20240101<TRNAMT>"), F.col("amount").cast("string"), F.lit("<NAME>"), "description", F.lit("\n</STMTTRN>"))
+    files = rows.groupBy(F.concat("account_id", F.lit(".ofx")).alias("file")).agg(F.concat_ws("\n", F.collect_list(line)).alias("content"))
+    return ofx.rejected(ofx.parse(files)).groupBy("file").agg(F.count("*").alias("n"), F.array_join(F.max("missing"), ",").alias("missing"))
+
+
+@query("feed_pages", le(f"select 'pluggy_' || l.id as external_id, l.account_id, l.description, cast(l.amount as double) as amount, {ISO.format('l.date')} as date, l.category from l where cast(l.id as bigint) % 7 > 0"))
+def _(spark, d):
+    """Each account's events as a page of the feed, read back; rows without an amount go to the side."""
+    rows = a.ledger_events(spark, d)
+    amount = F.when(F.col("id").cast("long") % 7 > 0, F.col("amount").cast("double"))
+    item = F.struct("id", F.col("account_id").alias("accountId"), F.col("description").alias("descriptionRaw"), amount.alias("amount"), dates.iso(F.col("date")).alias("date"))
+    pages = rows.groupBy("account_id").agg(F.to_json(F.struct(F.lit(1).alias("page"), F.collect_list(item).alias("results"))).alias("body"))
+    read = pages.select(F.explode(F.from_json("body", feeds.page_schema(feeds.TRANSACTION))["results"]).alias("r")).select("r.*")
+    good, _ = feeds.split_rows(feeds.flat_transactions(read))
+    return good.select("external_id", F.col("pluggy_account_id").alias("account_id"), "description", num("amount"), dates.iso(F.col("date")).alias("date"), "category")
+
+
+_ITEMS = [('{"id":"i1","connector":{"id":7,"name":"Banco"},"status":"UPDATED","executionStatus":"SUCCESS","createdAt":"2024-01-02T03:04:05.678Z","error":null}', "i1", 7, "Banco", None, False), ('{"id":"i2","connector":{"id":8,"name":"Outro"},"status":"LOGIN_ERROR","error":{"code":"E","message":"m"}}', "i2", 8, "Outro", "E", True)]
+
+
+@query("feed_items", f"select id, connector_id, connector, error_code, cast(failed as boolean) as failed from {sql_values([(r[1], r[2], r[3], r[4], str(r[5]).lower()) for r in _ITEMS], 'id, connector_id, connector, error_code, failed')}")
+def _(spark, d):
+    read = values(spark, [r[:1] for r in _ITEMS], "body string").select(F.from_json("body", feeds.ITEM).alias("r")).select("r.*")
+    return feeds.flat_items(read).select(F.col("pluggy_item_id").alias("id"), "connector_id", "connector", "error_code", "failed")
+
+
+@query("json_bodies", le("select l.id, cast(abs(amount) as double) as amount, description, cast(latitude as double) as latitude from l where amount < 0 and description <> '' and cast(l.id as bigint) % 4 > 0"))
+def _(spark, d):
+    """Notification bodies as JSON, every fourth cut off; what parses and passes the rules is left."""
+    rows = a.ledger_events(spark, d).where("amount < 0")
+    body = F.to_json(F.struct("description", F.abs("amount").cast("double").alias("amount"), F.lit("Nubank").alias("bankName"), "latitude", "longitude", dates.iso(F.col("date")).alias("timestamp")))
+    sent = rows.select("id", F.when(F.col("id").cast("long") % 4 > 0, body).otherwise(F.substring(body, 1, 20)).alias("body"))
+    good, _ = validate.split(feeds.parse_payload(sent, "body", "notification"), "notification")
+    return good.select("id", "amount", "description", "latitude")
+
+
+@query("chat_turns", "select conv_id, turn, case when role = 'assistant' then 'model' else 'user' end as role, text from conversations")
+def _(spark, d):
+    return search.turns(spark.read.parquet(f"{d}/conversations.parquet")).select("conv_id", "turn", "role", F.col("parts")[0]["text"].alias("text"))
+
+
+@query("nearby_camel", ORACLES["nearby"].replace("select id, description, cast(amount as double) as amount, latitude, longitude, floor(m * 100 + 0.5) / 100 as distance_meters", 'select id, account_id as "accountId", cast(amount as double) as amount, floor(m * 100 + 0.5) / 100 as "distanceMeters"'))
+def _(spark, d):
+    return geo.camel(geo.nearby(a.ledger_events(spark, d), -23.55, -46.63, 5000)).select("id", "accountId", "amount", "distanceMeters")
+
+
+@query("sql_functions", le("select l.id, l.category, 'Uber: ' || l.account_id || ' → ' || l.description as trip, sha256(regexp_replace(regexp_replace(cast(cast(abs(l.amount) as decimal(20,4)) as varchar), '0+$', ''), '\\.$', '') || '|nubank|x') as hash from l"))
+def _(spark, d):
+    sql.register(spark)
+    a.ledger_events(spark, d).createOrReplaceTempView("ledger_for_sql")
+    return spark.sql("select id, categorize(description) as category, trip_description(account_id, description) as trip, dedup_hash(abs(amount), ' Nubank ', 'x') as hash from ledger_for_sql")
+
+
+@query("sql_nearby", ORACLES["nearby"].replace("select id, description, cast(amount as double) as amount, latitude, longitude, floor(m * 100 + 0.5) / 100 as distance_meters", "select id, cast(amount as double) as amount, floor(m * 100 + 0.5) / 100 as distance_meters"))
+def _(spark, d):
+    a.ledger_events(spark, d).createOrReplaceTempView("ledger_for_sql")
+    sql.register(spark, "ledger_for_sql")
+    return spark.sql("select id, cast(amount as double) as amount, floor(distance_meters * 100 + 0.5) / 100 as distance_meters from nearby(-23.55, -46.63, 5000)")
+
+
+_BOOKED = """after as (select l.source, case when x.trip is null then category else 'transporte' end as category, amount from l left join (select tx_id, arg_max(trip_id, (trip_date, trip_id)) as trip from mt group by tx_id) x on l.id = x.tx_id
+  union all select 'uber', 'transporte', -amount from tr where amount > 0 and id not in (select trip_id from mt))
+select source, category, count(*) as n, cast(sum(amount) as double) as total from after group by all"""
+
+
+@query("trip_booked", le("select 1").rsplit(" select 1", 1)[0] + f", {_MATCH}, {_BOOKED}")
+def _(spark, d):
+    """Trips as landed receipts: parsed, matched, linked, and the rest booked as new expenses."""
+    from .. import schema
+
+    t = a.trips(spark, d)
+    origin = F.concat("origin", F.lit(" "), "id")  # no two receipts are alike
+    body = F.to_json(F.struct(F.col("amount").cast("double").alias("valor"), dates.iso(F.col("date")).alias("data_hora"), origin.alias("endereco_partida"), F.col("destination").alias("endereco_destino")))
+    rows, _ = trips.from_payloads(feeds.parse_payload(t.select(body.alias("body")), "body", "trip").drop("body"))
+    tx = a.ledger_events(spark, d).withColumn("uber_metadata_id", F.lit(None).cast("string"))
+    ac = schema.with_defaults(a.accounts(spark, d), "accounts")
+    after, _ = trips.booked(rows, tx, ac)
+    return after.groupBy("source", "category").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@query("delete_all", "select 0::bigint as transactions, 0::bigint as accounts")
+def _(spark, d):
+    t, ac = writes.delete_all(a.ledger_events(spark, d), a.accounts(spark, d))
+    return t.agg(F.count("*").alias("transactions")).join(F.broadcast(ac.agg(F.count("*").alias("accounts"))))

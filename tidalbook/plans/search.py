@@ -77,3 +77,9 @@ def page(rows: DataFrame, number: int, size: int = PAGE) -> DataFrame:
 def page_count(rows: DataFrame, size: int = PAGE) -> DataFrame:
     n = F.count("*")
     return rows.agg(n.alias("n"), F.greatest(F.lit(1), F.ceil(n / size)).cast("long").alias("pages"))
+
+
+def turns(conversations: DataFrame) -> DataFrame:
+    """Conversation turns as a language model takes them: the assistant is the model, everybody else the user."""
+    role = F.when(F.col("role") == "assistant", "model").otherwise("user")
+    return conversations.select("conv_id", "turn", role.alias("role"), F.array(F.struct(F.col("text"))).alias("parts"))

@@ -19,7 +19,10 @@ TRANSACTION = (
     "creditCardMetadata struct<installmentNumber:int,totalInstallments:int,totalAmount:double>, "
     f"paymentData struct<payer:{_PARTY},receiver:{_PARTY},paymentMethod:string,reason:string>"
 )
-ITEM = "id string, status string, executionStatus string, connector struct<id:int,name:string>, error struct<code:string,message:string>"
+ITEM = (
+    "id string, connector struct<id:int,name:string,primaryColor:string,institutionUrl:string,type:string>, status string, executionStatus string, "
+    "createdAt string, updatedAt string, lastUpdatedAt string, error struct<code:string,message:string>"
+)
 #: Small request bodies.
 PAYLOADS = {
     "notification": "description string, amount double, bankName string, latitude double, longitude double, timestamp string",
@@ -47,7 +50,7 @@ def flat_transactions(rows: DataFrame) -> DataFrame:
     described = text.first_filled(F.col("description"), F.col("descriptionRaw"), F.lit("Sem descrição"))
     return rows.select(
         text.external_id_feed(F.col("id")).alias("external_id"), F.col("accountId").alias("pluggy_account_id"), described.alias("description"),
-        F.col("amount").cast("decimal(15,2)").alias("amount"), F.to_timestamp("date").alias("date"), text.categorize(described).alias("category"), F.lit("pluggy").alias("source"),
+        F.col("amount").try_cast("decimal(15,2)").alias("amount"), F.try_to_timestamp("date").alias("date"), text.categorize(described).alias("category"), F.lit("pluggy").alias("source"),
     )
 
 
@@ -55,6 +58,22 @@ def flat_accounts(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("pluggy_account_id"), F.col("itemId").alias("pluggy_item_id"), text.first_filled(F.col("name"), F.lit("Conta")).alias("name"), F.col("balance").cast("decimal(15,2)").alias("balance"))
 
 
+def flat_items(rows: DataFrame) -> DataFrame:
+    """Connections to banks, one row each; ``failed`` tells those whose last run ended in an error."""
+    moment = lambda c: F.to_timestamp(c).alias(c)
+    return rows.select(
+        F.col("id").alias("pluggy_item_id"), F.col("connector.id").alias("connector_id"), F.col("connector.name").alias("connector"), "status", "executionStatus",
+        moment("createdAt"), moment("updatedAt"), moment("lastUpdatedAt"), F.col("error.code").alias("error_code"), F.col("error.message").alias("error_message"), F.col("error").isNotNull().alias("failed"),
+    )
+
+
+def split_rows(rows: DataFrame, needed: tuple[str, ...] = ("external_id", "amount", "date")) -> tuple[DataFrame, DataFrame]:
+    """Ledger rows that can be stored, and the others with the names of what is missing, so that a bad row does not stop its batch."""
+    lacking = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in needed)))
+    marked = rows.withColumn("missing", lacking)
+    return marked.where(F.size("missing") == 0).drop("missing"), marked.where(F.size("missing") > 0)
+
+
 def parse_payload(df: DataFrame, column: str, kind: str) -> DataFrame:
     """The fields of a JSON text; a text that does not parse gives nulls, not an error."""
     return df.withColumn("__p", F.from_json(column, PAYLOADS[kind])).select(*df.columns, "__p.*")

@@ -10,7 +10,7 @@ from ..functions import dates, text
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``file``, ``content`` of the statement files under ``path`` that are not blank."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{ofx,qfx,OFX,QFX,Ofx,Qfx}", recursiveFileLookup=True)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.[oqOQ][fF][xX]", recursiveFileLookup=True)
     return files.select(F.input_file_name().alias("file"), F.col("value").alias("content")).where(text.trimmed(F.col("content")) != "")
 
 
@@ -22,7 +22,7 @@ def leading_number(value: Column) -> Column:
 def parse(files: DataFrame, now: Column | None = None) -> DataFrame:
     """One row per file: bank, account, balance and an array of transactions.
 
-    A transaction needs a date, an amount that is a number, and an id; others are left out.
+    A transaction needs a date, an amount that is a number, and an id; others are in ``rejected``.
     """
     now = F.lit(None).cast("string") if now is None else now
     t = files.withColumn("content", text.same_line_ends(F.col("content")))
@@ -38,11 +38,13 @@ def parse(files: DataFrame, now: Column | None = None) -> DataFrame:
             leading_number(of("TRNAMT")).alias("amount"), text.first_filled(of("NAME"), of("MEMO"), F.lit("Sem descrição")).alias("name"), of("MEMO").alias("memo"),
         )
 
-    rows = F.filter(F.transform(text.tag_blocks(F.col("content"), "STMTTRN"), transaction), lambda r: (r.fit_id != "") & (r.posted != "") & r.amount.isNotNull())
+    every = F.transform(text.tag_blocks(F.col("content"), "STMTTRN"), transaction)
+    whole = lambda r: (r.fit_id != "") & (r.posted != "") & r.amount.isNotNull()
+    rows, others = F.filter(every, whole), F.filter(every, lambda r: ~whole(r))
     return t.select(
         "file", tag("BANKID").alias("bank_id"), tag("ACCTID").alias("acct_id"), text.first_filled(tag("ACCTTYPE"), F.lit("CHECKING")).alias("acct_type"),
         text.first_filled(tag("CURDEF"), F.lit("BRL")).alias("currency"), F.coalesce(in_ledger, in_avail).alias("balance"),
-        dates.parse_ofx_date(F.nullif(when, F.lit("")), now).alias("balance_date"), rows.alias("transactions"),
+        dates.parse_ofx_date(F.nullif(when, F.lit("")), now).alias("balance_date"), rows.alias("transactions"), others.alias("rejected"),
     )
 
 
@@ -54,3 +56,10 @@ def transactions(parsed: DataFrame, now: Column | None = None) -> DataFrame:
         "file", "line", "acct_id", text.external_id_ofx(F.col("acct_id"), F.col("t.fit_id")).alias("external_id"), F.col("t.name").alias("description"),
         F.col("t.amount").alias("amount"), dates.parse_ofx_date(F.col("t.posted"), now).alias("date"), F.col("t.type").alias("type"),
     )
+
+
+def rejected(parsed: DataFrame) -> DataFrame:
+    """One row per statement line that cannot be stored: ``file``, its number among them, its texts and the names of what is missing."""
+    r = parsed.select("file", F.posexplode("rejected").alias("line", "t"))
+    lacking = [F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in (("fit_id", F.col("t.fit_id") == ""), ("posted", F.col("t.posted") == ""), ("amount", F.col("t.amount").isNull()))]
+    return r.select("file", "line", "t.fit_id", "t.name", "t.posted", F.array_compact(F.array(*lacking)).alias("missing"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import text
 from ..operators import trips, writes
 from ..sources.events import notification_rows
+from ..sources.feeds import PAYLOADS, split_rows
 
 
 def notifications(events: DataFrame) -> DataFrame:
@@ -25,10 +26,16 @@ def without_repeats(rows: DataFrame, delay: str = "5 minutes", event_time: str =
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["external_id"])
 
 
-def into_table(rows: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], key: str = "external_id") -> DataStreamWriter:
-    """Upserts each micro-batch; ``write`` must replace the table at once, so that a repeated batch changes nothing."""
+def into_table(rows: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], key: str = "external_id", reject: Callable[[DataFrame], None] | None = None) -> DataStreamWriter:
+    """Upserts each micro-batch; ``write`` must replace the table at once, so that a repeated batch changes nothing.
+
+    With ``reject``, rows without key, amount or date go there, with what is missing, and the batch goes on without them.
+    """
 
     def step(batch: DataFrame, _: int) -> None:
+        if reject is not None:
+            batch, bad = split_rows(batch, (key, "amount", "date"))
+            reject(bad)
         write(writes.upsert(read(), batch, key, order=("date",)))
 
     return rows.writeStream.foreachBatch(step)
@@ -42,3 +49,29 @@ def linked_trips(stream: DataFrame, read: Callable[[], DataFrame], write: Callab
         write(trips.link(trips.match(batch, stored), stored))
 
     return stream.writeStream.foreachBatch(step)
+
+
+def receipts(spark: SparkSession, path: str) -> DataFrame:
+    """Landed trip receipts, a JSON payload a line, as a stream."""
+    return spark.readStream.schema(PAYLOADS["trip"]).json(path)
+
+
+def booked_receipts(
+    stream: DataFrame, read: Callable[[], tuple[DataFrame, DataFrame]], write: Callable[[DataFrame, DataFrame, DataFrame], None], reject: Callable[[DataFrame], None], every: str | None = "15 minutes"
+) -> DataStreamWriter:
+    """Books each micro-batch of receipts: ``read`` gives transactions and accounts, ``write`` takes the new ledger, new trips and new accounts.
+
+    Runs ``every`` so often, or once over what has landed if that is None.
+    """
+
+    def step(batch: DataFrame, _: int) -> None:
+        rows, bad = trips.from_payloads(batch)
+        transactions, accounts = read()
+        done = transactions.select(F.col("uber_metadata_id").alias("id")).where("id is not null").distinct()
+        rows = rows.join(done, "id", "left_anti")  # a receipt that has been booked is not booked again
+        after, fresh = trips.booked(rows, transactions, accounts)
+        write(after, trips.metadata(rows), fresh)
+        reject(bad)
+
+    writer = stream.writeStream.foreachBatch(step)
+    return writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
