@@ -99,6 +99,28 @@ def test_short_pairs(spark, more):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, **more)
 
 
+def test_two_texts_under_one_id(spark):
+    """Both texts' links are found, whichever row comes first."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, a + " z"), (5, "other words")]
+    for turn in (rows, rows[::-1]):
+        got = {(r["doc_id"], r["component_id"]) for r in result(spark.createDataFrame(turn, "doc_id long, text string"))}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+
+
+def test_crowds_around_a_middle(spark, monkeypatch):
+    """Copies of one text with edits of different sizes: most join the middle, the far ones only each other, or nothing."""
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
+    rng, rows = random.Random(13), []
+    base = [f"b{j}" for j in range(90)]
+    for i in range(70):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5])):
+            words[rng.randrange(90)] = f"e{i if i % 7 else 0}x{rng.randrange(3)}"
+        rows.append((500 - i, " ".join(words)))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
 def test_short_texts_of_large_buckets(spark):
     """Short texts of one template, in pairs that are linked among themselves only."""
     rows = [(i, " ".join([*(f"t{j}" for j in range(12)), *(f"f{i // 2}x{j}" for j in range(8)), *(["more"] if i % 2 else [])])) for i in range(200)]

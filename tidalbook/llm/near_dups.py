@@ -31,8 +31,9 @@ are intersected, and only the exact share decides.  With 20 bands of 4 a pair at
 large sets the estimate drops less than 1e-7 more (a binomial bound).
 
 Texts without words (null, empty, white space) have an empty set, belong to no
-class and link with nothing.  Rows that share a doc_id count as one document
-whose links add up; a null doc_id stays alone.
+class and link with nothing.  Rows that share a doc_id get the class of their own
+text each; if the doc_id is the smallest that has either text, their links add
+up.  A null doc_id stays alone.
 """
 
 from __future__ import annotations
@@ -156,15 +157,18 @@ def signatures(df: DataFrame, key: str, text: str, words: int, bands: int) -> Da
 
 
 def full_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``doc_id``, ``items`` (binary: sorted shingle hashes)."""
+    """``doc_id``, ``h1`` (hash of the set), ``items`` (binary: sorted shingle hashes)."""
 
     def batch(b: pa.RecordBatch) -> dict:
-        out = []
+        out, h = [], []
         for _, group in w.chunks([(t or "").encode() for t in b.column(1).to_pylist()], CHUNK):
-            out += [s.tobytes() for s in shingle_sets(group, words)]
-        return {"doc_id": b.column(0), "items": pa.array(out, pa.binary())}
+            sets = shingle_sets(group, words)
+            out += [s.tobytes() for s in sets]
+            with np.errstate(over="ignore"):
+                h += [int(w.scrambled(s).sum(dtype=np.uint64)) for s in sets]
+        return {"doc_id": b.column(0), "h1": pa.array(np.array(h, np.uint64).view(np.int64)), "items": pa.array(out, pa.binary())}
 
-    return common.arrow_map(df.select(F.col(key).cast("long"), text), batch, "doc_id long, items binary")
+    return common.arrow_map(df.select(F.col(key).cast("long"), text), batch, "doc_id long, h1 long, items binary")
 
 
 def likely(pairs: DataFrame, signs: DataFrame, parts: int, whole: int) -> DataFrame:
@@ -206,13 +210,13 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     names = docs.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     names = common.written(names.where("rep is not null"), "sets")
     signs = docs.join(names.select(F.col("rep").alias("doc_id"), "h1", "h2", "n_shingles"), ["doc_id", "h1", "h2", "n_shingles"], "left_semi")
-    signs = common.written(signs.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands"), "signs")
+    signs = common.written(signs.dropDuplicates(["doc_id", "h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "bands"), "signs")
     members = signs.select("doc_id", F.posexplode("bands").alias("band", "value"))
     shared = members.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     members = common.written(members.join(shared, ["band", "value"]), "buckets")
     taking_part = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     members = members.drop("n")
-    sets = common.written(full_sets(df.where(F.col(key).isNotNull()).join(taking_part.select(F.col("doc_id").alias(key)), key, "left_semi"), key, text, words).dropDuplicates(["doc_id"]), "full-sets")
+    sets = common.written(full_sets(df.where(F.col(key).isNotNull()).join(taking_part.select(F.col("doc_id").alias(key)), key, "left_semi"), key, text, words).dropDuplicates(["doc_id", "h1"]).drop("h1"), "full-sets")
     labels = common.written(taking_part.withColumn("root", F.col("doc_id")), "roots")
 
     def united(labels: DataFrame, links: DataFrame) -> DataFrame:
