@@ -63,7 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = common.written(docs, name)
+            common.delete(before)  # what a stage has read is not needed any more; the input stays
     return docs
