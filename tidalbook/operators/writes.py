@@ -19,9 +19,11 @@ OVERWRITTEN = ("description", "amount", "date", "category", "updated_at")
 
 def first_per_key(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
     """The first row of each key in the given order; rows with a null key all stay."""
-    w = Window.partitionBy(key).orderBy(*order)
-    keyed = df.where(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return keyed.unionByName(df.where(F.col(key).isNull()))
+    # a null key becomes one that no other row has, so that one pass does for all
+    alone = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    keyed = df.withColumn("__key", F.coalesce(F.col(key).cast("string"), alone))
+    first = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
+    return keyed.withColumn("__n", first).where("__n = 1").drop("__n", "__key")
 
 
 def insert_ignore(batch: DataFrame, existing: DataFrame, key: str = "external_id", order: tuple = ("date", "id")) -> DataFrame:
