@@ -131,7 +131,7 @@ def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, pa
 
 
 def signatures(df: DataFrame, key: str, text: str, words: int, bands: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``h1``, ``h2`` (hash of the set; of the row if the set is empty), ``bands`` (a long for each)."""
+    """``doc_id``, ``n_shingles``, ``h1``, ``h2`` (hash of the set; of the row if the set is empty), ``bands`` (a long for each), ``mark`` (hash of the text)."""
 
     def batch(b: pa.RecordBatch) -> dict:
         texts = [(t or "").encode() for t in b.column(1).to_pylist()]
@@ -149,9 +149,9 @@ def signatures(df: DataFrame, key: str, text: str, words: int, bands: int) -> Da
         flat = np.concatenate(regs)
         hashes = np.array(h, np.uint64).view(np.int64).reshape(-1, 2)
         lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, bands, dtype=np.int32), flat.ravel())
-        return {"doc_id": b.column(0), "n_shingles": pa.array(n, pa.int64()), "h1": pa.array(hashes[:, 0]), "h2": pa.array(hashes[:, 1]), "bands": lists}
+        return {"doc_id": b.column(0), "n_shingles": pa.array(n, pa.int64()), "h1": pa.array(hashes[:, 0]), "h2": pa.array(hashes[:, 1]), "bands": lists, "mark": b.column(2)}
 
-    made = common.arrow_map(df.select(F.col(key).cast("long"), text), batch, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    made = common.arrow_map(df.select(F.col(key).cast("long"), text, F.xxhash64(text).alias("mark")), batch, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, mark long")
     # empty sets get a name of their own, so that they do not meet in one task
     return made.withColumn("h1", F.when(F.col("n_shingles") > 0, F.col("h1")).otherwise(F.xxhash64("doc_id", F.monotonically_increasing_id())))
 
@@ -204,7 +204,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, parts: int, whole: int) -> Data
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, parts: int = 85, whole: int = 100, bands: int = 20) -> DataFrame:
-    """One row per row of ``df``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
+    """One row per row of ``df``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, and ``mark``, the xxhash64 of its text."""
     docs = common.written(signatures(df, key, text, words, bands), "signatures")
     # one row per distinct set, named by its smallest doc_id
     names = docs.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -239,7 +239,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     labels = united(labels, across(members.join(labels.drop("weight"), "doc_id"), signs, sets, parts, whole))
     found = docs.join(names, ["h1", "h2", "n_shingles"], "left").join(labels.select(F.col("doc_id").alias("rep"), "root"), "rep", "left")
     root = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
+    return found.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"), "mark")
 
 
 GROUP = ("band", "value", "i", "j")
@@ -353,4 +353,4 @@ def forest(sets: list[np.ndarray], roots: np.ndarray, parts: int, whole: int) ->
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(common.table(spark, sf_dir, "documents"))
+    return classes(common.table(spark, sf_dir, "documents")).drop("mark")
