@@ -91,3 +91,20 @@ def test_null_rows_are_not_lost(spark, sf, odd):
     assert sum(r["doc_id"] is None for r in kept) == 1 and {r["doc_id"] for r in kept} >= {None, 1, 3, 4, 5, 14}
     left = {r["doc_id"]: r["text"] for r in cp.repeated_passages(spark, odd, sf).collect()}
     assert left[3] is None and left[4] == "" and left[13] == ""
+
+
+def test_rows_of_one_id_go_by_their_own_texts(spark, sf):
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, "y " + b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"][:2]) for r in cp.near_duplicates(spark, df, sf).collect())
+    assert got == [(1, "a0"), (2, "b0"), (2, "b0")]
+
+
+def test_only_stage_tables_are_removed(spark, sf, tmp_path):
+    """A run leaves its input alone and the table that its result is read from."""
+    source = str(tmp_path / "in")
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(40).write.parquet(f"{source}/{name}.parquet")
+    result = cp.run(spark, source)
+    n = result.count()
+    assert n > 0 and spark.read.parquet(f"{source}/documents.parquet").count() == 40 and result.count() == n
