@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, geo, sql, text
 from ..operators import dedup, trips, validate, writes
 from ..sources import events, feeds, ofx
+from ..session import scratch
+from ..streaming import ingest
 from . import adapter as a
 from . import dashboard, examples, extras, search
 
@@ -662,3 +664,104 @@ def _(spark, d):
 def _(spark, d):
     t, ac = writes.delete_all(a.ledger_events(spark, d), a.accounts(spark, d))
     return t.agg(F.count("*").alias("transactions")).join(F.broadcast(ac.agg(F.count("*").alias("accounts"))))
+
+
+# --- defaults, texts and demo rows
+
+
+@query("insert_defaults", le("select description, cast(amount as double) as amount, case when cast(l.id as bigint) % 2 = 0 then l.category else 'desconhecido' end as category, 'manual' as source, latitude from l"))
+def _(spark, d):
+    from .. import schema
+
+    given = a.ledger_events(spark, d).select("id", "description", "amount", "date", F.when(F.col("id").cast("long") % 2 == 0, F.col("category")).alias("category"), "latitude")
+    return schema.with_defaults(given, "transactions").select("description", num("amount"), "category", "source", "latitude")
+
+
+_MONTHS = "[" + ", ".join(f"'{m}'" for m in ("jan.", "fev.", "mar.", "abr.", "mai.", "jun.", "jul.", "ago.", "set.", "out.", "nov.", "dez.")) + "]"
+
+
+@query("moment_text", le(f"select l.id, strftime(l.date, '%d') || ' de ' || list_extract({_MONTHS}, month(l.date)) || ' de ' || strftime(l.date, '%Y, %H:%M') as shown from l"))
+def _(spark, d):
+    return a.ledger_events(spark, d).select("id", text.format_moment(F.col("date")).alias("shown"))
+
+
+@query("account_names", f"select id, case when cast(id as bigint) % 3 = 0 then trim(name) when cast(id as bigint) % 3 = 1 then 'Conta ' || id else 'Conta OFX' end as name from ({a.AC})")
+def _(spark, d):
+    k = F.col("id").cast("long") % 3
+    given = F.when(k == 0, F.concat(F.lit("  "), "name", F.lit(" "))).when(k == 1, F.lit("  "))
+    return a.accounts(spark, d).select("id", text.account_name(given, F.when(k < 2, F.col("id"))).alias("name"))
+
+
+@query("last_30_days", le("select l.id, '2024-01-01' as first_day, '2024-01-31' as last_day from l where strftime(l.date, '%Y-%m-%d') between '2024-01-01' and '2024-01-31'"))
+def _(spark, d):
+    first, last = dates.rolling_days(F.lit(NOW))
+    return a.ledger_events(spark, d).where(dates.iso_day(F.col("date")).between(first, last)).select("id", first.alias("first_day"), last.alias("last_day"))
+
+
+@query("fk_set_null", _with_match("select l.id, case when x.trip is not null and x.trip not in (select id from tr where amount > 100) then x.trip end as trip from l left join (select tx_id, arg_max(trip_id, (trip_date, trip_id)) as trip from mt group by tx_id) x on l.id = x.tx_id"))
+def _(spark, d):
+    """Trips over 100.00 are deleted: links to them become null."""
+    tx, t = a.ledger_events(spark, d).withColumn("uber_metadata_id", F.lit(None).cast("string")), a.trips(spark, d)
+    return writes.forget_trips(trips.link(trips.match(t, tx), tx), t.where("amount <= 100")).select("id", F.col("uber_metadata_id").alias("trip"))
+
+
+_DEMO = [("salario", 2, 6400.0), ("investimento", 3, -619.5), ("comida", 7, -591.1), ("transporte", 5, -278.2), ("assinaturas", 5, -508.7), ("lazer", 3, -189.99), ("saude", 3, -477.4), ("moradia", 4, -3137.2), ("educacao", 2, -319.8)]
+
+
+@query("demo_totals", f"select category, cast(n as bigint) as n, cast(total as double) as total from {sql_values(_DEMO, 'category, n, total')}")
+def _(spark, d):
+    return events.demo(spark, NOW)[1].groupBy("category").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@query("health", "select 'ok' as status, '1.0.0' as version")
+def _(spark, d):
+    return events.health(spark).select("status", "version")
+
+
+# --- streams over landed files, each run once over what has landed
+
+
+def _landed(spark, d, twice: bool) -> str:
+    """The expenses as notifications in JSON files, on demand each of them twice."""
+    rows = a.ledger_events(spark, d).where("amount < 0")
+    body = F.concat(F.lit("Compra de "), text.format_brl(F.abs("amount")), F.lit(" em "), "description", F.lit(" no valor aprovado"))
+    told = rows.select(F.lit("Nubank").alias("title"), body.alias("body"), dates.iso(F.col("date")).alias("date"))
+    path = scratch(spark, "landed")
+    (told.unionByName(told) if twice else told).write.json(path)
+    return path
+
+
+@query("stream_notifications", le("select lower(description) as description, cast(amount as double) as amount, count(*) as n from (select any_value(description) as description, amount, date from l where amount < 0 group by amount, date) group by all"))
+def _(spark, d):
+    """A file stream of notifications, deduplicated by hash within the watermark, into a table."""
+    rows = ingest.without_repeats(ingest.notifications(events.read_notifications(spark, _landed(spark, d, True), streaming=True)))
+    out = scratch(spark, "stored")
+    rows.writeStream.option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).groupBy("description", num("amount")).agg(F.count("*").alias("n"))
+
+
+@query("stream_upsert", le("select count(*) as n, cast(sum(amount) as double) as total from (select distinct amount, date from l where amount < 0)"))
+def _(spark, d):
+    """A file stream upserted batch by batch into a table that is replaced each time."""
+    rows = ingest.notifications(events.read_notifications(spark, _landed(spark, d, False), streaming=True))
+    tables = [scratch(spark, "table")]
+    spark.createDataFrame([], rows.schema).write.parquet(tables[0])
+
+    def write(after: DataFrame) -> None:
+        path = scratch(spark, "table")
+        after.write.parquet(path)
+        tables.append(path)
+
+    ingest.into_table(rows, lambda: spark.read.schema(rows.schema).parquet(tables[-1]), write).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(tables[-1]).agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@query("stream_trips", _with_match("select l.id, x.trip from l join (select tx_id, arg_max(trip_id, (trip_date, trip_id)) as trip from mt group by tx_id) x on l.id = x.tx_id"))
+def _(spark, d):
+    """A file stream of trips, linked to the stored transactions."""
+    t, path, out = a.trips(spark, d), scratch(spark, "trips"), scratch(spark, "linked")
+    t.select("id", "amount", "date").write.parquet(path)
+    tx = a.ledger_events(spark, d).withColumn("uber_metadata_id", F.lit(None).cast("string"))
+    stream = spark.readStream.schema("id string, amount decimal(15,2), date timestamp_ntz").parquet(path)
+    ingest.linked_trips(stream, lambda: tx, lambda after: after.write.mode("overwrite").parquet(out)).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(tx.schema).parquet(out).where("uber_metadata_id is not null").select("id", F.col("uber_metadata_id").alias("trip"))
