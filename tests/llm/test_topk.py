@@ -24,6 +24,7 @@ def run(spark, rows, is_query="id % 5 = 0", k=4, kind="long"):
 def test_against_brute_force(spark, kind, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 90)
     monkeypatch.setattr(topk, "QUERIES", 20)
+    monkeypatch.setattr(topk, "SAMPLE", 40)
     rng = random.Random(4)
     make = {"random": lambda i: [rng.randrange(-999, 999) for _ in range(6)], "ties": lambda i: [rng.randrange(0, 2) for _ in range(3)], "clusters": lambda i: [1000 * (i % 4) + rng.randrange(3), 7 * (i % 4), 1]}[kind]
     rows = [(i, make(i)) for i in range(300)]

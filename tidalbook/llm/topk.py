@@ -176,9 +176,16 @@ def spread(points: np.ndarray, n: int) -> np.ndarray:
 
 
 def centres_of(data: DataFrame, rows: int) -> dict[int, np.ndarray]:
-    """Centres by length of vector, from the ``SAMPLE`` vectors with the smallest hashes; ``rows``: vectors in all."""
+    """Centres by length of vector, from the ``SAMPLE`` vectors with the smallest hashes; ``rows``: vectors in all.
+
+    Hashes far above those are left out first, so that no task sends the driver more than its share.
+    """
+    hashed = data.withColumn("h", F.shiftrightunsigned(F.xxhash64("id", "v"), 11))
+    share = 2 * SAMPLE / max(1, rows)
+    if share < 1:
+        hashed = hashed.where(F.col("h") <= int(share * (1 << 53)))
     sample: dict[int, list] = {}
-    for r in data.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").collect():
+    for r in hashed.orderBy("h", "id").limit(SAMPLE).select("v").collect():
         sample.setdefault(len(r["v"]), []).append(r["v"])
     return {d: spread(np.array(x), min(CELLS, max(1, -(-rows // BLOCK)))) for d, x in sample.items()}
 
