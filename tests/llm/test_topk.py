@@ -71,6 +71,13 @@ def test_groups_and_blocks_are_pruned(spark, monkeypatch):
     assert every >= 64 and tables["topk-pairs"].count() <= every / 4
 
 
+def test_a_sample_that_finds_nothing(spark, monkeypatch):
+    """Few vectors, each many times: hashes may all lie above the sample's."""
+    monkeypatch.setattr(topk, "SAMPLE", 0)
+    rows = [(i % 3, [i % 3, 1]) for i in range(60)] + [(7, [2])]
+    assert run(spark, rows, "id = 0", 100) == [(0, n + 1, 1 + (n >= 400), 1) for n in range(800)][:100]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, v array<long>")
     assert topk.top_k(df, df, 3).count() == 0

@@ -224,7 +224,7 @@ def reach(spark: SparkSession, centres: dict[int, np.ndarray], dims: DataFrame)
         rows += [(d, i, j, float(dot[i, j]), float(norm[i]), float(norm[j])) for i in range(len(c)) for j in range(len(c))]
     known = spark.createDataFrame(rows, "dims int, q_cell int, cell int, dot double, q_norm double, c_norm double")
     zero, none = F.lit(0), F.lit(0.0)
-    other = dims.where(~F.col("dims").isin(*centres)).select("dims", zero.alias("q_cell"), zero.alias("cell"), none.alias("dot"), none.alias("q_norm"), none.alias("c_norm"))
+    other = (dims.where(~F.col("dims").isin(*centres)) if centres else dims).select("dims", zero.alias("q_cell"), zero.alias("cell"), none.alias("dot"), none.alias("q_norm"), none.alias("c_norm"))
     return known.unionByName(other)
 
 
@@ -232,8 +232,9 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``; both inputs have ``id`` (long) and ``v`` (array of doubles with whole values)."""
     spark = data.sparkSession
     queries, data = (x.select("id", F.col("v").cast("array<double>").alias("v")) for x in (queries, data))
-    centres = centres_of(data, data.count())
-    if not centres:
+    rows = data.count()
+    centres = centres_of(data, rows)
+    if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks, groups = dealt(data, centres, BLOCK, "topk-data"), dealt(queries, centres, QUERIES, "topk-queries")
     task = ["dims", "cell", "lot"]
