@@ -103,8 +103,10 @@ def test_segments_of_many_blocks_meet_in_lots(spark, docs, texts, monkeypatch, f
     check(docs.where(docs.doc_id.isin(list(some))), list(some.items()))
 
 
+@pytest.mark.parametrize("three", [0, 1 << 21])
 @pytest.mark.parametrize("letters", ["ab", "abcdefghij"])
-def test_run_index(letters):
+def test_run_index(letters, three, monkeypatch):
+    monkeypatch.setattr(RunIndex, "THREE", three)
     rng = random.Random(9)
     base = "".join(rng.choice(letters) for _ in range(900)).encode()
     segments = set()

@@ -16,6 +16,9 @@ import numpy as np
 
 
 class RunIndex:
+    #: Three ranks below this fit one integer.
+    THREE = 1 << 21
+
     def __init__(self, data: np.ndarray, sizes: np.ndarray, owners: np.ndarray, depth: int):
         """``data``: the segments' bytes one after the other; all segments differ."""
         n_seg = len(sizes)
@@ -36,13 +39,18 @@ class RunIndex:
             packed = packed * 512 + np.where(left > k, c, 0)
         # suffixes that end within the first characters differ by their segment: the sort is stable
         rank = self.ranked(np.where(left == 0, seg - n_seg, packed), left < 7)
-        h, part, first = 7, 7, rank  # first: ranks by the first ``part`` characters, at least half of ``depth``
+        # each round takes the ranks at two further places if three fit one integer, else at one
+        h, part, first, m = 7, 7, rank, n + n_seg + 1  # first: ranks by the first ``part`` characters, at most ``depth``
+        steps = 2 if m < self.THREE else 1
         while h <= int(sizes.max()):
-            ahead = np.full(n, 0, np.int64)
-            ahead[: n - h] = rank[h:] + n_seg
-            second = np.where(left >= h, ahead, seg)
-            rank = self.ranked(rank * (n + n_seg + 1) + second)
-            h *= 2
+            keys = rank.copy()
+            for k in range(1, steps + 1):
+                ahead = np.zeros(n, np.int64)
+                ahead[: n - k * h] = rank[k * h :] + n_seg
+                keys *= m
+                keys += np.where(left >= k * h, ahead, seg)
+            rank = self.ranked(keys)
+            h *= steps + 1
             if h <= depth:
                 part, first = h, rank
         del packed
@@ -50,11 +58,11 @@ class RunIndex:
         order[rank] = np.arange(n)  # ranks are all different now
         # runs of the transform, also cut between strings that differ within ``depth``
         bwt = np.where(order > 0, text[order - 1], 0)
-        rest = depth - part
-        assert rest <= part
         a, b = order[:-1], order[1:]
         long = left >= depth
-        same = long[a] & long[b] & (first[a] == first[b]) & (first[np.minimum(a + rest, n - 1)] == first[np.minimum(b + rest, n - 1)])
+        same = long[a] & long[b]
+        for k in [*range(0, depth - part, part), depth - part]:
+            same &= first[np.minimum(a + k, n - 1)] == first[np.minimum(b + k, n - 1)]
         interval = np.flatnonzero(np.concatenate(([True], ~same)))
         lowest = np.minimum.reduceat(owners[seg[order]], interval)
         cut = np.concatenate(([True], ~same | (bwt[1:] != bwt[:-1])))
@@ -76,7 +84,7 @@ class RunIndex:
     @staticmethod
     def ranked(keys: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
         """Dense ranks; equal keys share one unless they are ``apart``."""
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys, kind=None if apart is None else "stable")
         sorted_keys = keys[order]
         rank = np.empty(len(keys), np.int64)
         step = sorted_keys[1:] != sorted_keys[:-1]
