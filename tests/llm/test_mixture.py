@@ -78,7 +78,8 @@ def test_mixed_repeats_rows(docs):
     assert got == taken and mixture.mixed(docs).columns == docs.columns
 
 
-def test_mixed_keeps_the_budget_with_repeated_rows(spark):
+def test_mixed_keeps_the_budget_with_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "LOT", 7)
     rows = [(None, "w " * 4, "a", i) for i in range(25)] + [(i, "x y", "b", 0) for i in range(30)] + [(7, "u v w", "c", i) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(6)
     taken = {}

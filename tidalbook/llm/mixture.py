@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EPOCHS, ROWS = 3, 5_000
+EPOCHS, ROWS, LOT = 3, 5_000, 1 << 16
 
 
 def n_words(text: str):
@@ -92,7 +92,10 @@ def runs(df: DataFrame, key: str, text: str, source: str, epochs: int, seed: int
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", epochs: int = EPOCHS, seed: int = 42, rows: int = ROWS) -> DataFrame:
     """A row for each of ``df``: ``key``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` and ``mix_key``, the hash that orders its source."""
-    each = runs(df, key, text, source, epochs, seed, rows).withColumn("__nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # a group's rows are numbered by lots, so that no array grows with a hot group
+    each = runs(df, key, text, source, epochs, seed, rows).withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT))))
+    each = each.withColumn("__in", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(LOT), F.col("n") - F.col("__lot") * LOT) - 1)))
+    each = each.withColumn("__nth", F.col("__lot") * LOT + F.col("__in"))
     more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("__nth") * F.col("size")))
     return each.select(F.col("__id").alias(key), F.col("__of").alias(source), "size", "source_size", "target", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"), F.col("__key").alias("mix_key"))
 
