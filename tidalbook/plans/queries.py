@@ -765,3 +765,32 @@ def _(spark, d):
     stream = spark.readStream.schema("id string, amount decimal(15,2), date timestamp_ntz").parquet(path)
     ingest.linked_trips(stream, lambda: tx, lambda after: after.write.mode("overwrite").parquet(out)).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(tx.schema).parquet(out).where("uber_metadata_id is not null").select("id", F.col("uber_metadata_id").alias("trip"))
+
+
+# --- arguments and lookups
+
+
+@query("nearby_default", ORACLES["nearby"].replace("m <= 5000", "m <= 1000"))
+def _(spark, d):
+    """Arguments as texts, and the radius left out."""
+    return geo.nearby(a.ledger_events(spark, d), "-23.55", "-46.63").select("id", "description", num("amount"), "latitude", "longitude", "distance_meters")
+
+
+@query("search_no_arguments", le(f"select {_ROW} from l"))
+def _(spark, d):
+    return _found(spark, d, description=None, category=None, min_amount=None, start=None)
+
+
+@query("search_zero_amount", le(f"select {_ROW} from l where amount >= 0 and amount <= 0.5"))
+def _(spark, d):
+    return _found(spark, d, min_amount=0, max_amount="0.50")
+
+
+@query("point_lookups", le("select l.id, ac.id as account_id, ac.name from l join ac on l.account_id = ac.id where cast(l.id as bigint) % 50 = 0"))
+def _(spark, d):
+    """Accounts looked up by name for a batch of rows: the oldest of a name, then the smallest id."""
+    ac = a.accounts(spark, d)
+    asked = search.with_account(a.ledger_events(spark, d).where(F.col("id").cast("long") % 50 == 0), ac).select("id", F.col("account_name").alias("name"))
+    # each name once more, with a later account that must not be taken
+    stored = ac.withColumn("created_at", F.lit(NOW)).unionByName(ac.withColumns({"id": F.concat(F.lit("0"), "id"), "created_at": F.lit(NOW) + F.expr("interval 1 day")}))
+    return writes.resolve_accounts(asked, stored).select("id", "account_id", "name")
