@@ -62,21 +62,42 @@ def test_index_of_colliding_and_many_keys():
         assert (np.sort(slots) == np.arange(n)).all() and (token_store.find(keys, seeds, n) == slots).all()
 
 
-def test_single_documents_by_offset(docs, texts, tmp_path, monkeypatch):
+def test_single_documents_by_offset(docs, texts, tmp_path):
     """One key costs the index and the document's own bytes."""
     cuts = token_store.write(docs, str(tmp_path / "s"), end=2)
     codec, folder = bpe.codec(bpe.default_path()), f"{tmp_path}/s/ids"
     names = docs.sparkSession.read.schema(token_store.SHARD).parquet(f"{tmp_path}/s/shards").collect()
-    assert len(names) > 1 and len(cuts) > 1 and sum(r["n_docs"] for r in names) == len(texts)
+    assert len(names) > 1 and len(cuts.cuts) > 1 and sum(r["n_docs"] for r in names) == len(texts)
     for i in list(texts)[::37]:
         r = next(r for r in names if r["first_id"] <= i <= r["last_id"])
         shard = token_store.Shard(folder, r["name"])
-        read, read_at = [], shard.file.read_at
-        monkeypatch.setattr(shard, "file", type("F", (), {"read_at": staticmethod(lambda n, at: read.append(n) or read_at(n, at)), "close": shard.file.close}))
-        assert shard.get(i).tolist() == [*np.frombuffer(codec.blobs([texts[i] or ""])[0], "<u4"), 2] and shard.get(-7) is None
-        assert read == [2 * len(shard.get(i))] * 2 or read[0] == 2 * len(shard.get(i))
+        want = [*np.frombuffer(codec.blobs([texts[i] or ""])[0], "<u4"), 2]
+        read, file = [], shard.file
+        shard.file = type("Counted", (), {"read_at": staticmethod(lambda n, at, f=file, r=read: r.append(n) or f.read_at(n, at)), "close": file.close})
+        assert shard.get(i).tolist() == want and shard.get(-7) is None and read == [2 * len(want)]
         shard.close()
 
 
+def test_one_hot_id_and_rows_without_any(spark, tmp_path):
+    """A third of the rows have no id, a third share one: both lie in several ranges, and every row is found."""
+    rows = [(None, f"text {i % 40} of none") for i in range(200)] + [(7, f"text {i} of seven") for i in range(200)] + [(i, f"own text {i}") for i in range(-100, 100) if i != 7]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    made = token_store.write(df, str(tmp_path / "s"), end=2)
+    assert set(made.several) == {token_store.LOW, 7} and all(len(r) > 1 for r, _ in made.several.values())
+    shards = spark.read.parquet(f"{tmp_path}/s/shards").collect()
+    assert max(r["n_docs"] for r in shards) < 150
+    counts = df.groupBy("doc_id").count()
+    keys = counts.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("nth"))
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_store.lookup(keys, str(tmp_path / "s"), made).collect())
+    assert [g[1] for g in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    at = 0
+    for start, _, n, _ in got:
+        assert start == at
+        at += n
+    codec = bpe.codec(bpe.default_path())
+    crc = lambda t: zlib.crc32(np.append(np.frombuffer(codec.blobs([t])[0], "<u4"), 2).astype("<u4").tobytes())
+    assert sorted((str(g[1]), g[3]) for g in got) == sorted((str(i), crc(t)) for i, t in rows)
+
+
 def test_query(spark, sf, texts):
     assert sorted(map(tuple, token_store.op6_token_store(spark, sf).collect())) == expected(texts.items())

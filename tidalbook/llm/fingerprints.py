@@ -134,14 +134,14 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Rows of one key follow each other in the order of their texts; null keys come first.
     """
     n = RANGES * common.n_partitions(df.sparkSession)
-    cuts = token_store.ranges(df.select(F.col(key).cast("long").alias(key)), n, key)
+    cuts = sorted({c for c in token_store.ranges(df, n, key) if c != token_store.LOW})
     low, nulls = df.agg(F.min(F.col(key).cast("long")), F.count(F.when(F.col(key).isNull(), 1))).first()
     first, last = None if nulls else low, len(cuts)
     opens = {c: i for i, c in enumerate(cuts)}  # the key that opens range i + 1 also ends range i
 
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
         ids = b.column(0).to_pylist()
-        own = token_store.range_numbers(b.column(0), cuts)
+        own = token_store.range_numbers(token_store.keys_of(b.column(0)), np.zeros(len(ids), np.int64), cuts)
         again = [(i, opens[x]) for i, x in enumerate(ids) if x in opens] + [(i, last) for i, x in enumerate(ids) if x == first]
         rows = pa.array([*range(len(ids)), *(i for i, _ in again)], pa.int32())
         part = np.concatenate((own, np.array([r for _, r in again], np.int32)))

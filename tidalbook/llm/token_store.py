@@ -15,8 +15,10 @@ bytes follow from the data alone and it is moved to its place when it is
 complete, so a task that runs again writes the same file once more.
 
 Shards follow ascending doc_id.  A key is (doc_id, how many rows before it have
-the same doc_id); rows of one doc_id follow each other in the order of their
-packed ids; a null doc_id comes first.  Null and empty texts have only the end id.
+the same doc_id); rows of one doc_id follow each other in an order that follows
+from their texts; a null doc_id comes first.  A doc_id that fills several key
+ranges, or rows without one, are dealt over them by a hash of the text, so that
+no task gets them all.  Null and empty texts have only the end id.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ import json
 import uuid
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -198,17 +202,53 @@ def prints(keys: np.ndarray) -> np.ndarray:
     return (mixed(keys, 77) >> np.uint64(32)).astype(np.uint32)
 
 
+#: Stands for a null doc_id.
+LOW = -(1 << 63)
+
+
 def ranges(docs: DataFrame, n: int, key: str = "doc_id") -> list[int]:
-    """At most ``n`` - 1 ascending keys that part ``docs`` into ranges of about as many rows."""
-    cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    return sorted(set(cuts or []))
+    """At most ``n`` - 1 ascending keys that part ``docs`` into ranges of about as many rows; a key that fills several ranges stands several times."""
+    known = F.coalesce(F.col(key).cast("long"), F.lit(LOW))
+    return sorted(docs.agg(F.percentile_approx(known, [i / n for i in range(1, n)], 20 * n)).first()[0] or []) if n > 1 else []
+
+
+def keys_of(ids: pa.Array) -> np.ndarray:
+    return np.array([LOW if i is None else i for i in ids.to_pylist()], np.int64)
+
+
+def range_numbers(keys: np.ndarray, marks: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """The range of each key; one that stands several times among the cuts goes by its mark (the text's hash)."""
+    at = np.array(cuts, np.int64)
+    low, high = np.searchsorted(at, keys, side="left"), np.searchsorted(at, keys, side="right")
+    wide = high - low > 1
+    own = high.copy()
+    own[wide] = low[wide] + 1 + (marks[wide].view(np.uint64) % (high - low)[wide].astype(np.uint64)).astype(np.int64)
+    return own.astype(np.int32)
+
+
+@dataclass
+class Layout:
+    """The cuts between ranges, and for each key that lies in several of them: these, and how many of its rows come before each."""
+
+    cuts: list[int]
+    several: dict[int, tuple[list[int], list[int]]]
 
 
-def range_numbers(ids: pa.Array, cuts: list[int]) -> np.ndarray:
-    """The range of each key; null is in the first."""
-    low = -(1 << 63)
-    keys = np.array([low if i is None else i for i in ids.to_pylist()], np.int64)
-    return np.searchsorted(np.array(cuts, np.int64), keys, side="right").astype(np.int32)
+def layout(docs: DataFrame, n: int, key: str, text: str) -> Layout:
+    cuts = ranges(docs, n, key)
+    hot = {c: (cuts.index(c), k) for c, k in Counter(cuts).items() if k > 1}
+    several: dict[int, tuple[list[int], list[int]]] = {}
+    if hot:  # at most half as many as there are cuts
+        wide = docs.sparkSession.createDataFrame([(c, low, k) for c, (low, k) in hot.items()], "k long, low int, width int")
+        # the mark counts as unsigned: what is left by its two halves
+        mark, width = F.xxhash64(F.col(text)), F.col("width").cast("long")
+        left = F.pmod(F.pmod(F.shiftrightunsigned(mark, 1), width) * 2 + mark.bitwiseAND(F.lit(1)), width)
+        rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias("k"), mark.alias("mark"), F.col(text)).join(F.broadcast(wide), "k")
+        counts = rows.groupBy("k", (F.col("low") + 1 + left).cast("int").alias("r")).count().orderBy("k", "r").collect()
+        for c, own in itertools.groupby(counts, key=lambda r: r["k"]):
+            found = [(r["r"], r["count"]) for r in own]
+            several[c] = [r for r, _ in found], list(itertools.accumulate((m for _, m in found[:-1]), initial=0))
+    return Layout(cuts, several)
 
 
 def encoded(df: DataFrame, cuts: list[int], end: int | None, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,9 +262,9 @@ def encoded(df: DataFrame, cuts: list[int], end: int | None, path: str, key: str
         pack = zstandard.ZstdCompressor(level=1).compress
         tail = b"" if end is None else np.array([end], width).tobytes()
         ids = [pack(np.frombuffer(x, "<u4").astype(width).tobytes() + tail) for x in codec.blobs(b.column(1).to_pylist())]
-        return {"doc_id": b.column(0), "range": pa.array(range_numbers(b.column(0), cuts)), "ids": pa.array(ids, pa.binary())}
+        return {"doc_id": b.column(0), "range": pa.array(range_numbers(keys_of(b.column(0)), b.column(2).to_numpy(), cuts)), "ids": pa.array(ids, pa.binary())}
 
-    return common.arrow_map(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text)), batch, "doc_id long, range int, ids binary")
+    return common.arrow_map(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text), F.xxhash64(F.col(text))), batch, "doc_id long, range int, ids binary")
 
 
 #: Columns of the table of shards.
@@ -305,7 +345,7 @@ class Shard:
         self.file.close()
 
 
-def shards(ids: DataFrame, folder: str, width: int) -> DataFrame:
+def shards(ids: DataFrame, folder: str, width: int, several: dict[int, tuple[list[int], list[int]]]) -> DataFrame:
     """Writes the files of encoded documents and gives a row for each: each task takes whole ranges in order and cuts them by size."""
 
     def pack(block: int, part: int, rows: list[tuple[int | None, int, bytes]]) -> pa.RecordBatch:
@@ -325,13 +365,14 @@ def shards(ids: DataFrame, folder: str, width: int) -> DataFrame:
                     rows, size, part = [], 0, part + 1
                 if r != block:
                     block, part, last = r, 0, object()
-                nth = nth + 1 if i == last else 0
+                nth = nth + 1 if i == last else first.get((LOW if i is None else i, r), 0)
                 last = i
                 rows.append((i, nth, x))
                 size += len(x)
         if rows:
             yield pack(block, part, rows)
 
+    first = {(c, r): m for c, own in several.items() for r, m in zip(*own, strict=True)}
     names, types = zip(*(c.split() for c in SHARD.split(", ")), strict=True)
     kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[t] for t in types]
     n = common.n_partitions(ids.sparkSession)
@@ -339,16 +380,16 @@ def shards(ids: DataFrame, folder: str, width: int) -> DataFrame:
     return dealt.mapInArrow(run, SHARD)
 
 
-def write(df: DataFrame, path: str, end: int | None = None, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> list[int]:
-    """Encodes ``df`` and writes its shards to ``path``; returns the cuts between key ranges."""
+def write(df: DataFrame, path: str, end: int | None = None, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> Layout:
+    """Encodes ``df`` and writes its shards to ``path``; returns the layout of key ranges."""
     tokenizer = tokenizer or bpe.default_path()
     width = 2 if len(LibraryCodec(tokenizer).bytes) <= 1 << 16 else 4
-    cuts = ranges(df, RANGES * common.n_partitions(df.sparkSession), key)
-    shards(encoded(df, cuts, end, tokenizer, key, text), f"{path}/ids", width).write.parquet(f"{path}/shards")
-    return cuts
+    made = layout(df, RANGES * common.n_partitions(df.sparkSession), key, text)
+    shards(encoded(df, made.cuts, end, tokenizer, key, text), f"{path}/ids", width, made.several).write.parquet(f"{path}/shards")
+    return made
 
 
-def lookup(keys: DataFrame, path: str, cuts: list[int]) -> DataFrame:
+def lookup(keys: DataFrame, path: str, layout: Layout) -> DataFrame:
     """Keyed access: for each (``doc_id``, ``nth``) of ``keys`` its ``start``, ``n_tokens`` and ``ids_crc32``.
 
     The keys of a range meet the names of its shards in one task, which opens
@@ -362,7 +403,12 @@ def lookup(keys: DataFrame, path: str, cuts: list[int]) -> DataFrame:
     folder = f"{path}/ids"
 
     def dealt(b: pa.RecordBatch) -> dict:
-        return {"doc_id": b.column(0), "nth": b.column(1), "range": pa.array(range_numbers(b.column(0), cuts))}
+        own, nth = keys_of(b.column(0)), b.column(1).to_numpy()
+        part = range_numbers(own, np.zeros(len(own), np.int64), layout.cuts)
+        for c, (blocks, before) in layout.several.items():
+            at = own == c
+            part[at] = np.array(blocks, np.int32)[np.searchsorted(before, nth[at], side="right") - 1]
+        return {"doc_id": b.column(0), "nth": b.column(1), "range": pa.array(part)}
 
     def place(i: object, nth: int) -> tuple:
         return (i is not None, i or 0, nth)
@@ -399,7 +445,7 @@ def lookup(keys: DataFrame, path: str, cuts: list[int]) -> DataFrame:
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     path = f"{common.shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
-    cuts = write(docs, path, end=2)
+    made = write(docs, path, end=2)
     counts = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
     keys = counts.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("nth"))
-    return lookup(keys, path, cuts)
+    return lookup(keys, path, made)
