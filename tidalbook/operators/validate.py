@@ -20,7 +20,7 @@ def _optional(name: str, ok: Column) -> Column:
 
 
 def rules(kind: str) -> dict[str, Column]:
-    """Field -> condition; a null condition counts as failed."""
+    """Field -> condition; a null condition counts as failed.  Fixed values: the fields' names, lengths and bounds."""
     lat, lng = _optional("latitude", _c("latitude").between(-90, 90)), _optional("longitude", _c("longitude").between(-180, 180))
     return {
         "transaction": lambda: {
