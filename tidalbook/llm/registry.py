@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, licenses, mixture, near_dups, repeats, token_store, topk, toxicity, urls
+from . import bpe, clusters, codes, fingerprints, licenses, mixture, near_dups, repeats, token_store, topk, toxicity, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixture": mixture.op9_mixture,
     "op10_licenses": licenses.op10_licenses,
+    "op11_codes": codes.op11_codes,
+    "op13_clusters": clusters.op13_clusters,
 }
 ORACLES: dict[str, str] = {
     "op2_topk": topk.ORACLE,
     "op5_urls": urls.oracle(),
+    "op11_codes": codes.ORACLE,
+    "op13_clusters": clusters.ORACLE,
 }
