@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, clusters, codes, fingerprints, licenses, mixture, near_dups, repeats, token_store, topk, toxicity, urls
+from . import bpe, clusters, codes, fingerprints, languages, licenses, mixture, near_dups, repeats, token_store, topk, toxicity, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixture": mixture.op9_mixture,
     "op10_licenses": licenses.op10_licenses,
     "op11_codes": codes.op11_codes,
+    "op12_languages": languages.op12_languages,
     "op13_clusters": clusters.op13_clusters,
 }
 ORACLES: dict[str, str] = {
