@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidalbook import schema
-from tidalbook.operators import dedup, trips, validate, writes
+from tidalbook.operators import dedup, tables, trips, validate, writes
 from tidalbook.sources import events, feeds, ofx
 
 T0 = dt.datetime(2024, 1, 1)
@@ -193,9 +193,64 @@ def test_delete_all_and_roles(spark):
     assert [(r["role"], r["parts"][0]["text"]) for r in search.turns(chat).orderBy("turn").collect()] == [("model", "a"), ("user", "b"), ("user", None)]
 
 
-def test_counters(spark):
-    b = ledger(spark, [row("1", "k"), row("2", "k")])
-    assert tuple(writes.counters(b, b.limit(1)).first()) == (2, 1, 1)
+def test_counters(spark, tmp_path):
+    """Counted in the one pass that writes, which reads the batch once."""
+    batch = ledger(spark, [row("1", "k"), row("2", "k"), row("3", "old"), row("4", None), row("4", None)])
+    batch.write.parquet(str(tmp_path / "batch"))
+    existing = ledger(spark, [row("9", "old"), row("8", "old"), row("7", None)])
+    read = spark.read.parquet(str(tmp_path / "batch"))
+    taken, seen = tables.counted(writes.marked_imports(read, existing))
+    assert taken._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    taken.write.parquet(str(tmp_path / "out"))
+    assert tables.counters(seen) == (5, 3, 2)
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(r["id"] for r in writes.insert_ignore(batch, existing).collect()) == ["1", "4", "4"]
+    nothing, seen = tables.counted(writes.marked_imports(ledger(spark, []), existing))
+    nothing.write.parquet(str(tmp_path / "none"))
+    assert tables.counters(seen) == (0, 0, 0)
+
+
+def files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_merge_touches_only_its_parts(spark, tmp_path):
+    target = ledger(spark, [row(str(i), f"k{i}") for i in range(200)] + [row("n1", None), row("n1", None)])
+    table = tables.KeyedTable(spark, str(tmp_path / "t"), target.schema, parts=16).create(target)
+    before = files(tmp_path / "t")
+    batch = ledger(spark, [row("x", "k7", "new", 5), row("y", "k7", "newer", 6, 3), row("z", "fresh")])
+    touched = table.touched(batch)
+    assert 0 < len(touched) <= 2 and table.merge(batch) == {"added": 1, "updated": 1}
+    after = files(tmp_path / "t")
+    same = {f for f in before if after.get(f) == before[f]}
+    assert {int(f.split("/")[0].removeprefix("part=")) for f in before if f not in same} == set(touched) - ({p for p in touched} - {int(f.split("/")[0].removeprefix("part=")) for f in before})
+    assert len(same) >= 14
+    assert sorted(map(str, table.read().collect())) == sorted(map(str, writes.upsert(target, batch, order=("date",)).collect()))
+    assert table.merge(ledger(spark, [])) == {"added": 0, "updated": 0} and table.read().count() == 203
+
+
+def test_merge_again_and_after_a_crash(spark, tmp_path, monkeypatch):
+    """A batch number that comes again changes nothing, also if the first try died while parts were put in place."""
+    import shutil
+
+    target = ledger(spark, [row(str(i), f"k{i}") for i in range(40)])
+    table = tables.KeyedTable(spark, str(tmp_path / "t"), target.schema, parts=4).create(target)
+    batch = ledger(spark, [row("a", None), row("b", "k3", "new"), row("c", "fresh")])
+    first = table.merge(batch, 0)
+    want = sorted(map(str, table.read().collect()))
+    assert first == {"added": 2, "updated": 1} == table.merge(batch, 0) and sorted(map(str, table.read().collect())) == want
+    for part in table.touched(batch):  # what a crash in the middle may leave
+        shutil.rmtree(tmp_path / "t" / f"part={part}")
+    assert table.merge(batch, 0) == first and sorted(map(str, table.read().collect())) == want
+    assert table.merge(batch, 1) == {"added": 1, "updated": 2}  # the row without a key comes again
+
+
+def test_batch_sink(spark, tmp_path):
+    sink = tables.BatchSink(spark, str(tmp_path / "s"), ledger(spark, []).schema)
+    assert sink.read().count() == 0
+    sink.write(ledger(spark, [row("1", "a"), row("2", "b")]), 0)
+    sink.write(ledger(spark, [row("3", "c")]), 1)
+    sink.write(ledger(spark, [row("1", "a")]), 0)
+    assert sorted((r["id"], r["batch"]) for r in sink.read().collect()) == [("1", 0), ("3", 1)]
 
 
 def test_null_amounts_do_not_break_aggregates(spark):

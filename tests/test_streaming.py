@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+from tidalbook.operators import tables
 from tidalbook.sources import events
 from tidalbook.streaming import ingest
 
@@ -32,22 +33,11 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_each_batch_upserts(spark, tmp_path):
     lines(tmp_path / "in", ROWS)
-    table = {"n": 0}
-    kind = "external_id string, description string, amount decimal(15,2), date timestamp, category string, source string, bank string"
-    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "t0"))
-
-    def read():
-        return spark.read.parquet(str(tmp_path / f"t{table['n']}"))
-
-    def write(df):
-        df.write.parquet(str(tmp_path / f"t{table['n'] + 1}"))
-        table["n"] += 1
-
-    for _ in range(2):  # the same rows again change nothing
+    table = tables.KeyedTable(spark, str(tmp_path / "t"), ingest.notifications(events.read_notifications(spark, str(tmp_path / "in"))).schema, parts=3).create()
+    for n in range(2):  # the same rows again change nothing
         rows = ingest.notifications(events.read_notifications(spark, str(tmp_path / "in"), streaming=True))
-        q = ingest.into_table(rows, read, write).option("checkpointLocation", str(tmp_path / f"c{table['n']}")).trigger(availableNow=True).start()
-        q.awaitTermination()
-        assert read().count() == 2
+        ingest.into_table(rows, table).option("checkpointLocation", str(tmp_path / f"c{n}")).trigger(availableNow=True).start().awaitTermination()
+        assert table.read().count() == 2
 
 
 def test_stream_of_trips(spark, tmp_path):
@@ -65,10 +55,15 @@ def test_bad_rows_go_to_the_side(spark, tmp_path):
     """A row that cannot be stored does not stop its batch."""
     kind = "external_id string, description string, amount decimal(15,2), date timestamp, category string"
     lines(tmp_path / "in", [{"external_id": "a", "amount": 1.0, "date": "2024-01-01T00:00:00Z"}, {"external_id": None, "amount": 2.0, "date": "2024-01-01T00:00:00Z"}, {"external_id": "c", "amount": "x"}])
-    out, bad = [], []
-    q = ingest.into_table(spark.readStream.schema(kind).json(str(tmp_path / "in")), lambda: spark.createDataFrame([], kind), lambda df: out.extend(df.collect()), reject=lambda df: bad.extend(df.collect()))
-    q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert [r["external_id"] for r in out] == ["a"] and sorted(map(tuple, (r["missing"] for r in bad))) == [("amount", "date"), ("external_id",)] or len(bad) == 2
+    schema = spark.createDataFrame([], kind).schema
+    table = tables.KeyedTable(spark, str(tmp_path / "t"), schema, parts=2).create()
+    bad = tables.BatchSink(spark, str(tmp_path / "bad"), spark.createDataFrame([], kind + ", missing array<string>").schema)
+    counts = tables.BatchSink(spark, str(tmp_path / "counts"), ingest.MERGED)
+    writer = ingest.into_table(spark.readStream.schema(kind).json(str(tmp_path / "in")), table, bad, counts)
+    writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [r["external_id"] for r in table.read().collect()] == ["a"]
+    assert sorted(tuple(r["missing"]) for r in bad.read().collect()) == [("amount", "date"), ("external_id",)]
+    assert [tuple(r) for r in counts.read().collect()] == [(1, 0, 0)]
 
 
 def test_receipts_stream_and_restart(spark, tmp_path):

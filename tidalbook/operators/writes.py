@@ -17,13 +17,20 @@ from ..schema import with_defaults
 OVERWRITTEN = ("description", "amount", "date", "category", "updated_at")
 
 
+def place_in_key(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """``df`` with ``__n``, each row's place within its key in the given order; every row with a null key is a first one.
+
+    Rows with a null key are dealt by a hash of the row, so a task that runs again deals them alike.
+    """
+    alone = F.concat(F.lit("\0"), F.xxhash64(*df.columns).cast("string"))
+    keyed = df.withColumn("__key", F.coalesce(F.col(key).cast("string"), alone))
+    place = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
+    return keyed.withColumn("__n", F.when(F.col(key).isNull(), 1).otherwise(place)).drop("__key")
+
+
 def first_per_key(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
     """The first row of each key in the given order; rows with a null key all stay."""
-    # a null key becomes one that no other row has, so that one pass does for all
-    alone = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
-    keyed = df.withColumn("__key", F.coalesce(F.col(key).cast("string"), alone))
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
-    return keyed.withColumn("__n", first).where("__n = 1").drop("__n", "__key")
+    return place_in_key(df, key, *order).where("__n = 1").drop("__n")
 
 
 def insert_ignore(batch: DataFrame, existing: DataFrame, key: str = "external_id", order: tuple = ("date", "id")) -> DataFrame:
@@ -31,8 +38,18 @@ def insert_ignore(batch: DataFrame, existing: DataFrame, key: str = "external_id
     return first_per_key(batch, key, *order).join(existing.select(key).where(F.col(key).isNotNull()), key, "left_anti").select(*batch.columns)
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: str = "external_id", order: tuple = ("date", "id"), overwritten: tuple[str, ...] = OVERWRITTEN) -> DataFrame:
-    """``target`` after the batch: hits take the overwritten columns of the batch's last row, other rows are added whole."""
+def marked_imports(batch: DataFrame, existing: DataFrame, key: str = "external_id", order: tuple = ("date", "id")) -> DataFrame:
+    """All rows of ``batch`` with ``imported``: whether ``insert_ignore`` appends them."""
+    known = existing.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__known", F.lit(True))
+    placed = place_in_key(batch, key, *order).join(known, key, "left")
+    return placed.select(*batch.columns, ((F.col("__n") == 1) & F.col("__known").isNull()).alias("imported"))
+
+
+def upserted(target: DataFrame, batch: DataFrame, key: str = "external_id", order: tuple = ("date", "id"), overwritten: tuple[str, ...] = OVERWRITTEN) -> DataFrame:
+    """``target`` after the batch, with ``how`` each row came: ``kept``, ``updated`` or ``added``.
+
+    Hits take the overwritten columns of the batch's last row, other rows are added whole.
+    """
     latest = first_per_key(batch, key, *(F.col(c).desc() for c in order))
     cols = target.columns
     t = target.select(*(F.col(c).alias(f"t_{c}") for c in cols), F.lit(True).alias("__t"))
@@ -40,7 +57,13 @@ def upsert(target: DataFrame, batch: DataFrame, key: str = "external_id", order:
     joined = t.join(b, F.col(f"t_{key}") == F.col(f"b_{key}"), "full")
     hit = F.col("__t") & F.col("__b")
     pick = lambda c: F.when(hit & F.lit(c in overwritten), F.col(f"b_{c}")).when(F.col("__t"), F.col(f"t_{c}")).otherwise(F.col(f"b_{c}"))
-    return joined.select(*(pick(c).alias(c) for c in cols))
+    how = F.when(hit, "updated").when(F.col("__t"), "kept").otherwise("added")
+    return joined.select(*(pick(c).alias(c) for c in cols), how.alias("how"))
+
+
+def upsert(target: DataFrame, batch: DataFrame, key: str = "external_id", order: tuple = ("date", "id"), overwritten: tuple[str, ...] = OVERWRITTEN) -> DataFrame:
+    """``target`` after the batch; ``tables.KeyedTable`` reads and writes only the parts that a batch touches."""
+    return upserted(target, batch, key, order, overwritten).drop("how")
 
 
 def update_by_key(target: DataFrame, changes: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
@@ -83,11 +106,5 @@ def forget_trips(transactions: DataFrame, trips: DataFrame) -> DataFrame:
     return joined.select(*(F.when(F.col("__known"), F.col(c)).alias(c) if c == "uber_metadata_id" else F.col(c) for c in transactions.columns))
 
 
-def counters(batch: DataFrame, accepted: DataFrame) -> DataFrame:
-    """``total``, ``imported``, ``skipped`` of a batch, in one row."""
-    n = batch.agg(F.count("*").alias("total"))
-    return n.crossJoin(F.broadcast(accepted.agg(F.count("*").alias("imported")))).select("total", "imported", (F.col("total") - F.col("imported")).alias("skipped"))
-
-
 def or_default(value: Column, default: object) -> Column:
     return first_filled(value, F.lit(default))

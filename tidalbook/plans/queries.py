@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, sql, text
-from ..operators import dedup, trips, validate, writes
+from ..operators import dedup, tables, trips, validate, writes
 from ..sources import events, feeds, ofx
 from ..session import scratch
 from ..streaming import ingest
@@ -434,8 +435,10 @@ def _(spark, d):
 
 @query("ingest_counters", le(f"select (select count(*) from ({_BATCH})) as total, (select count(*) from ({_IGNORE})) as imported, (select count(*) from ({_BATCH})) - (select count(*) from ({_IGNORE})) as skipped"))
 def _(spark, d):
-    batch = _batch(spark, d)
-    return writes.counters(batch, writes.insert_ignore(batch, _stored(spark, d)))
+    """Counted in the pass that writes what is imported."""
+    taken, seen = tables.counted(writes.marked_imports(_batch(spark, d), _stored(spark, d)))
+    taken.write.parquet(scratch(spark, "imported"))
+    return spark.createDataFrame([tables.counters(seen)], tables.COUNTERS)
 
 
 @query(
@@ -450,6 +453,19 @@ def _(spark, d):
     return writes.upsert(_stored(spark, d), batch).select("id", "account_id", num("amount"), "description", "latitude")
 
 
+@query("merge_touched", le(f"select coalesce(t.id, b.id) as id, cast(coalesce(b.amount, t.amount) as double) as amount, coalesce(b.description, t.description) as description, t.id is null as added from ({_STORED}) t full join (select * replace (upper(description) as description) from l where account_id in (select c_custkey::varchar from customer where c_mktsegment = 'BUILDING')) b using (external_id)"))
+def _(spark, d):
+    """What the accounts of one segment send is merged into the stored ledger: only the parts of the table that it touches are read and written."""
+    segment = spark.read.parquet(f"{d}/customer.parquet").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("account_id"))
+    batch = a.ledger_events(spark, d).join(segment, "account_id", "left_semi").withColumn("description", F.upper("description"))
+    stored = _stored(spark, d)
+    table = tables.KeyedTable(spark, scratch(spark, "ledger"), stored.schema, parts=32).create(stored)
+    table.merge(batch)
+    known = stored.select("external_id", F.lit(False).alias("added"))
+    after = table.read().join(known, "external_id", "left")
+    return after.select("id", num("amount"), "description", F.coalesce("added", F.lit(True)).alias("added"))
+
+
 @query("balance_update", f"with ac as ({a.AC}) select id, cast(case when type = 'carteira' then balance + 100 else balance end as double) as balance from ac")
 def _(spark, d):
     ac = a.accounts(spark, d)
@@ -742,18 +758,49 @@ def _(spark, d):
 
 @query("stream_upsert", le("select count(*) as n, cast(sum(amount) as double) as total from (select distinct amount, date from l where amount < 0)"))
 def _(spark, d):
-    """A file stream upserted batch by batch into a table that is replaced each time."""
+    """A file stream upserted batch by batch into the parts of a table that it touches."""
     rows = ingest.notifications(events.read_notifications(spark, _landed(spark, d, False), streaming=True))
-    tables = [scratch(spark, "table")]
-    spark.createDataFrame([], rows.schema).write.parquet(tables[0])
+    table = tables.KeyedTable(spark, scratch(spark, "table"), rows.schema, parts=8).create()
+    ingest.into_table(rows, table).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return table.read().agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
 
-    def write(after: DataFrame) -> None:
-        path = scratch(spark, "table")
-        after.write.parquet(path)
-        tables.append(path)
+class _Killed(tables.KeyedTable):
+    """A table whose first merge is done and then not reported, as if the driver had died before the commit."""
 
-    ingest.into_table(rows, lambda: spark.read.schema(rows.schema).parquet(tables[-1]), write).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(tables[-1]).agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+    def merge(self, batch, batch_id=None, **more):
+        done = super().merge(batch, batch_id, **more)
+        if tables.stored(self.spark, f"{self.path}-killed", self.schema) is None:
+            self.spark.createDataFrame([], self.schema).write.parquet(f"{self.path}-killed")
+            raise RuntimeError("killed before the commit")
+        return done
+
+
+@query("stream_restart", le("select count(*) as n, cast(sum(amount) as double) as total, count(*) as added, 0::bigint as updated from (select distinct amount, date from l where amount < 0)"))
+def _(spark, d):
+    """A run dies between a batch's write and its commit; the next one repeats the batch, and each row is there once and counted once."""
+    rows = ingest.notifications(events.read_notifications(spark, _landed(spark, d, False), streaming=True))
+    table = _Killed(spark, scratch(spark, "table"), rows.schema, parts=8).create()
+    counts = tables.BatchSink(spark, scratch(spark, "counts"), ingest.MERGED)
+    writer = ingest.into_table(rows, table, counts=counts).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True)
+    try:
+        writer.start().awaitTermination()
+    except StreamingQueryException:
+        writer.start().awaitTermination()
+    added = counts.read().agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("added", "updated")))
+    return table.read().agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total")).join(F.broadcast(added))
+
+
+@query("stream_counters", le("select 2 * count(*) as total, count(distinct (amount, date)) filter (not known) as imported, 2 * count(*) - count(distinct (amount, date)) filter (not known) as skipped from (select amount, date, abs(amount) < 50 as known from l where amount < 0)"))
+def _(spark, d):
+    """Landed notifications, each twice, of which those under 50.00 are stored already; every batch counts what it imports while it writes it."""
+    read = lambda streaming: ingest.notifications(events.read_notifications(spark, path, streaming=streaming))
+    path = _landed(spark, d, True)
+    rows = read(True)
+    into, counts = tables.BatchSink(spark, scratch(spark, "imported"), rows.schema), tables.BatchSink(spark, scratch(spark, "counts"), tables.COUNTERS)
+    writer = ingest.imported(rows, lambda: read(False).where("amount > -50"), into, counts)
+    writer.option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return counts.read().agg(*(F.sum(c).alias(c) for c in tables.COUNTERS.names))
 
 
 @query("stream_trips", _with_match("select l.id, x.trip from l join (select tx_id, arg_max(trip_id, (trip_date, trip_id)) as trip from mt group by tx_id) x on l.id = x.tx_id"))

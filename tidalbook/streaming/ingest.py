@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import text
-from ..operators import trips, writes
+from ..operators import tables, trips, writes
 from ..sources.events import notification_rows
 from ..sources.feeds import PAYLOADS, split_rows
 
+#: What ``into_table`` counts.
+MERGED = tables.numbers("added", "updated")
+
 
 def notifications(events: DataFrame) -> DataFrame:
     """Ledger rows of purchase notifications with the hash that tells repeats."""
@@ -26,17 +29,37 @@ def without_repeats(rows: DataFrame, delay: str = "5 minutes", event_time: str =
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["external_id"])
 
 
-def into_table(rows: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], key: str = "external_id", reject: Callable[[DataFrame], None] | None = None) -> DataStreamWriter:
-    """Upserts each micro-batch; ``write`` must replace the table at once, so that a repeated batch changes nothing.
+def into_table(rows: DataFrame, table: tables.KeyedTable, reject: tables.BatchSink | None = None, counts: tables.BatchSink | None = None) -> DataStreamWriter:
+    """Upserts each micro-batch into the parts of the table that it touches.
 
-    With ``reject``, rows without key, amount or date go there, with what is missing, and the batch goes on without them.
+    With ``reject``, rows without key, amount or date go there, with what is
+    missing, and the batch goes on without them.  With ``counts``, each batch
+    leaves the numbers of rows it ``added`` and ``updated``.  A batch that runs
+    again, as after a crash before its commit, changes nothing.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, batch_id: int) -> None:
         if reject is not None:
-            batch, bad = split_rows(batch, (key, "amount", "date"))
-            reject(bad)
-        write(writes.upsert(read(), batch, key, order=("date",)))
+            batch, bad = split_rows(batch, (table.key, "amount", "date"))
+            reject.write(bad, batch_id)
+        done = table.merge(batch, batch_id)
+        if counts is not None:
+            counts.write(batch.sparkSession.createDataFrame([(done["added"], done["updated"])], MERGED), batch_id)
+
+    return rows.writeStream.foreachBatch(step)
+
+
+def imported(rows: DataFrame, existing: Callable[[], DataFrame], into: tables.BatchSink, counts: tables.BatchSink, key: str = "external_id", order: tuple = ("date",)) -> DataStreamWriter:
+    """Appends what each micro-batch has that is new, counted in the pass that writes it.
+
+    What ``into`` has from the batch's own number does not count as known: that is an earlier try of the same batch.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        known = existing().select(key).union(into.read().where(F.col("batch") != batch_id).select(key))
+        taken, seen = tables.counted(writes.marked_imports(batch, known, key, order))
+        into.write(taken, batch_id)
+        counts.write(batch.sparkSession.createDataFrame([tables.counters(seen)], tables.COUNTERS), batch_id)
 
     return rows.writeStream.foreachBatch(step)
 
