@@ -2,6 +2,8 @@ import datetime as dt
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidalbook import schema
@@ -139,6 +141,39 @@ def test_long_chain_is_linear(spark):
     assert got == list(range(0, 40_000_000, 2000))
 
 
+def greedy(rows, window_ms=300_000):
+    out, last = set(), {}
+    for k, t in sorted((r for r in set(rows) if r[1] is not None), key=lambda r: (str(r[0]), r[1])):
+        if k not in last or t - last[k] > window_ms:
+            out.add((k, t))
+            last[k] = t
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("gap", [3, 150])
+def test_walked_chains_equal_a_simulation(spark, gap):
+    """Keys that pause and keys that don't, times before 1970, repeated rows, null keys, other widths."""
+    rng = random.Random(gap)
+    rows = []
+    for k in ("a", "b", None):
+        t = -gap * 150
+        for _ in range(300):
+            t += rng.choice([1, rng.randrange(1, gap + 1), gap])
+            rows.append((k, t))
+    rows += [("lone", 5), ("lone", None), ("two", 0), ("two", 101), *rows[:50]]
+    df = spark.createDataFrame(rows, "k string, ms long")
+    for window, long in ((100, 0), (7, 60), (100, 5000)):
+        got = dedup.keep_first_in_window(df, ["k"], "ms", window, long).collect()
+        assert sorted(((r["k"], r["ms"]) for r in got), key=str) == greedy(rows, window)
+
+
+def test_a_key_that_never_pauses_meets_in_no_task(spark):
+    """200,000 times of one key: no aggregate gathers its times, and one in 301 stays."""
+    df = spark.range(200_000).selectExpr("'k' as k", "1 as n", "id * 1000 as ms")
+    got = sorted(r["ms"] for r in dedup.keep_first_in_window(df, ["k", "n"], "ms").collect())
+    assert got == list(range(0, 200_000_000, 301_000))
+
+
 RECEIPTS = [
     (20.0, "2024-01-01T10:00:00.000Z", "A", "B", "Ana", 600), (20.0, "2024-01-01T10:00:00.000Z", "A", "B", "Ana", 600), (50.0, "2024-01-02T10:00:00Z", "C", "D", None, None),
     (0.0, "2024-01-02T10:00:00Z", "C", "D", None, None), (9.0, "yesterday", "", "D", None, -1),
