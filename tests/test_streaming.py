@@ -1,7 +1,11 @@
 import datetime as dt
 import json
+import random
 
-from tidalbook.operators import tables
+import pytest
+from pyspark.sql import functions as F
+
+from tidalbook.operators import dedup, tables
 from tidalbook.sources import events
 from tidalbook.streaming import ingest
 
@@ -97,3 +101,29 @@ def test_receipts_stream_and_restart(spark, tmp_path):
     assert rows == [("ofx", -19.0), ("uber", -70.0)] and seen["trips"] == 2 and seen["runs"] == 2
     run()  # nothing new
     assert seen["runs"] == 2 and ledger["ac"].count() == 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_window_on_a_stream_equals_the_batch(spark, tmp_path, seed):
+    """Rows arrive in any order within the delay, over several runs of the stream."""
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(0, 4_000_000), i) for i in range(150)]
+    rows += [(k, t, i + 500) for i, (k, t, _) in enumerate(rows[:20])]
+    arrive = sorted(rows, key=lambda r: r[1] + rng.randrange(0, 500_000))
+    kind = "k string, date timestamp, n int"
+    moment = lambda ms: (dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=ms)).isoformat(timespec="milliseconds") + "Z"
+    (tmp_path / "in").mkdir()
+    for i in range(0, 171, 57):
+        part = [{"k": k, "date": moment(t), "n": n} for k, t, n in arrive[i : i + 57]] + [{"k": "x", "date": None}]
+        if i + 57 > 170:
+            part.append({"k": "end", "date": moment(99_000_000)})
+        (tmp_path / "in" / f"{i:03}.json").write_text("\n".join(map(json.dumps, part)))
+        stream = ingest.first_in_window(spark.readStream.schema(kind).json(str(tmp_path / "in")), ["k"], delay="10 minutes")
+        stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet").awaitTermination()
+    got = spark.read.schema(kind).parquet(str(tmp_path / "out")).where("k is null or k <> 'end'")
+    assert got.schema.simpleString() == "struct<k:string,date:timestamp,n:int>"
+    batch = dedup.keep_first_in_window(spark.createDataFrame([r[:2] for r in rows], "k string, ms long"), ["k"], "ms")
+    base = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp() * 1000)
+    mine = sorted((str(r["k"]), r["ms"] - base) for r in got.select("k", F.unix_millis("date").alias("ms")).collect())
+    assert mine == sorted((str(r["k"]), r["ms"]) for r in batch.collect()) and len(mine) > 20
+    assert got.where("n is null").count() == 0

@@ -765,6 +765,26 @@ def _(spark, d):
     return table.read().agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
 
 
+@query("stream_window", _GREEDY)
+def _(spark, d):
+    """Events arrive up to ten minutes late and in three landings; the stream runs after each and keeps what the batch rule keeps."""
+    path, inbox, out, progress = (scratch(spark, x) for x in ("arrivals", "inbox", "kept", "progress"))
+    rows = a.ledger_events(spark, d).join(a.event_types(spark, d), "id").select("account_id", "event_type", F.col("date").cast("timestamp").alias("date"), F.expr("date + make_dt_interval(0, 0, 0, cast(id as long) * 37 % 600)").alias("arrives"))
+    rows.write.parquet(path)
+    landed = spark.read.schema(rows.schema).parquet(path)
+    first, last = landed.agg(F.min("arrives"), F.max("arrives")).first()
+    cuts = [first + (last - first) * i / 3 for i in (1, 2)] if first else []
+    arrived = F.lit(0) if not cuts else F.when(F.col("arrives") < cuts[0], 0).when(F.col("arrives") < cuts[1], 1).otherwise(2)
+    # a moment that lets the watermark pass all others, of a key that no event has
+    end = landed.agg(F.lit("").alias("account_id"), F.lit("end").alias("event_type"), (F.max("date") + F.expr("interval 1 day")).alias("date"))
+    for part in [*(landed.where(arrived == i).drop("arrives") for i in range(3)), end]:
+        part.write.mode("append").json(inbox, timestampFormat=ingest.EXACT)
+        stream = spark.readStream.schema(end.schema).json(inbox, timestampFormat=ingest.EXACT)
+        kept = ingest.first_in_window(stream, ["account_id", "event_type"], delay="10 minutes")
+        kept.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.schema(end.schema).parquet(out).where("event_type <> 'end'").select("account_id", "event_type", F.unix_millis("date").alias("ms"))
+
+
 class _Killed(tables.KeyedTable):
     """A table whose first merge is done and then not reported, as if the driver had died before the commit."""
 

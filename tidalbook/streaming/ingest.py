@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text
 from ..operators import tables, trips, writes
+from ..operators.dedup import WINDOW_MS
 from ..sources.events import notification_rows
 from ..sources.feeds import PAYLOADS, split_rows
 
+#: Moments in JSON, to the microsecond.
+EXACT, EXACT_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 #: What ``into_table`` counts.
 MERGED = tables.numbers("added", "updated")
 
@@ -29,6 +35,50 @@ def without_repeats(rows: DataFrame, delay: str = "5 minutes", event_time: str =
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["external_id"])
 
 
+def first_in_window(rows: DataFrame, keys: list[str], event_time: str = "date", delay: str = "5 minutes", window_ms: int = WINDOW_MS) -> DataFrame:
+    """The rows that ``operators.dedup.keep_first_in_window`` keeps, on a stream: a row within the window after its key's last kept one goes.
+
+    Rows wait in their key's state until the watermark has passed them, as an
+    earlier one may still arrive; so the result is the batch's in whatever order
+    rows arrive within ``delay``.  Rows of one key and time: the first by their
+    text as JSON stays.  A key's state holds its last kept time and the rows of
+    the delay; it goes when the window has passed.  Later rows, and rows without
+    a time, are dropped.
+
+    Spark has no built-in form of such state, so this runs Python workers, which
+    get rows in Arrow batches; ``without_repeats`` needs none, but keeps more
+    rows than the rule says.
+    """
+    timed = rows.where(F.col(event_time).isNotNull()).withWatermark(event_time, delay)
+    names = [f"k{i}" for i in range(len(keys))]
+    whole = F.to_json(F.struct(*rows.columns), {"timestampFormat": EXACT, "timestampNTZFormat": EXACT_NTZ}).alias("row")
+    told = timed.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(event_time).alias("at"), F.unix_millis(F.col(event_time).cast("timestamp")).alias("ms"), whole)
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, ms, texts = state.get if state.exists else (None, [], [])
+        waiting = list(zip(ms, texts, strict=True))
+        for f in frames:
+            waiting += zip(f["ms"].tolist(), f["row"].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs()
+        waiting.sort()
+        out = []
+        ready = bisect_right(waiting, passed, key=lambda w: w[0])
+        for t, row in waiting[:ready]:
+            if last is None or t - last > window_ms:
+                last = t
+                out.append(row)
+        waiting = waiting[ready:]
+        if waiting or (last is not None and last + window_ms >= passed):
+            state.update((last, [t for t, _ in waiting], [r for _, r in waiting]))
+            state.setTimeoutTimestamp(max(passed + 1, waiting[0][0] if waiting else last + window_ms + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"row": out})
+
+    kept = told.groupBy(*names).applyInPandasWithState(step, "row string", "last long, ms array<long>, rows array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.select(F.from_json("row", rows.schema, {"timestampFormat": EXACT, "timestampNTZFormat": EXACT_NTZ}).alias("r")).select("r.*")
+
+
 def into_table(rows: DataFrame, table: tables.KeyedTable, reject: tables.BatchSink | None = None, counts: tables.BatchSink | None = None) -> DataStreamWriter:
     """Upserts each micro-batch into the parts of the table that it touches.
 
