@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidalbook import schema
-from tidalbook.operators import dedup, tables, trips, validate, writes
+from tidalbook.functions import geo
+from tidalbook.operators import classify, dedup, places, tables, trips, validate, writes
 from tidalbook.sources import events, feeds, ofx
 
 T0 = dt.datetime(2024, 1, 1)
@@ -295,3 +296,59 @@ def test_null_amounts_do_not_break_aggregates(spark):
     r = dashboard.month_trend(none, T0).first()
     assert float(r["income"]) == 0 and r["n"] == 0 and r["income_trend"] == 0
     assert dashboard.total_balance(spark.createDataFrame([], "balance decimal(15,2)")).select(F.col("total_balance").cast("double")).first()[0] == 0
+
+
+def points(spark, n, wide, middle=(-23.5, -46.6)):
+    """``n`` points, evenly over a square of ``wide`` degrees."""
+    side = int(n**0.5)
+    at = lambda c, i: F.lit(c) + (i / side - 0.5) * wide
+    i = F.col("id")
+    return spark.range(side * side).select(i.cast("string").alias("id"), F.lit("x").alias("description"), F.lit(1).cast("decimal(15,2)").alias("amount"), at(middle[0], i % side).alias("latitude"), at(middle[1], F.floor(i / side)).alias("longitude"))
+
+
+def scanned(df):
+    """Files and rows that the scan of an executed plan read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while not plan.children().isEmpty() or "AdaptiveSparkPlan" in plan.nodeName():
+        plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan.children().head()
+        plan = plan.plan() if "QueryStage" in plan.nodeName() else plan
+    return int(plan.metrics().apply("numFiles").value()), int(plan.metrics().apply("numOutputRows").value())
+
+
+@pytest.mark.parametrize("where", [(-23.5, -46.6), (0.0, 180.0), (89.9, 10.0), (-0.001, 0.001), (12.0, -179.999)])
+def test_curve_search_equals_the_plain_one(spark, tmp_path, where):
+    lat, lng = where
+    df = points(spark, 900, 1.5, where).withColumn("longitude", F.when(F.col("longitude") > 180, F.col("longitude") - 360).when(F.col("longitude") < -180, F.col("longitude") + 360).otherwise(F.col("longitude")))
+    none = spark.createDataFrame([("n", "x", None, None, None), ("m", "x", None, 1.0, None)], "id string, description string, amount decimal(15,2), latitude double, longitude double")
+    df = df.withColumn("latitude", F.least(F.lit(90.0), "latitude")).unionByName(none)
+    places.lay_out(df, str(tmp_path / "p"))
+    table = places.read(spark, str(tmp_path / "p"), df.schema)
+    assert table.count() == df.count()
+    for radius, most in ((20_000, 50), (50_000, 7), (50_000, 10_000), (500, 50)):
+        plain = geo.nearby(df, lat, lng, radius, most).select("id", "distance_meters").collect()
+        assert places.nearby(table, lat, lng, radius, most).select("id", "distance_meters").collect() == plain
+
+
+def test_curve_search_reads_few_files_as_the_ledger_grows(spark, tmp_path):
+    read = {}
+    for n, wide in ((4_000, 2.0), (64_000, 8.0)):  # as dense, over sixteen times the area
+        df = points(spark, n, wide)
+        places.lay_out(df, str(tmp_path / str(n)))
+        table = places.read(spark, str(tmp_path / str(n)), df.schema)
+        read[n] = scanned(places.within(table, -23.5, -46.6, 5_000))
+    files = len(list((tmp_path / "64000").rglob("*.parquet")))
+    assert files > 100 and read[64_000][0] <= read[4_000][0] + 2 <= 8 and read[64_000][1] < 64_000 / 50
+
+
+def test_categories_of_distinct_texts(spark):
+    from tidalbook.functions import text
+
+    rows = spark.createDataFrame([("Uber Trip", "old", 1), ("Uber Trip", "old", 2), (None, "old", 3), ("nada", None, 4), ("", None, 5)], "description string, category string, amount int")
+    want = sorted(map(str, rows.withColumn("category", text.categorize(F.col("description"))).select("description", "amount", "category").collect()))
+    for more in ({}, {"texts": 1}, {"size": 3}):
+        got = classify.categorized(rows, **more)
+        assert sorted(map(str, got.select("description", "amount", "category").collect())) == want
+        assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == (not more)
+    totals = {r["category"]: (r["n"], r["total"]) for r in classify.totals_by_category(rows).collect()}
+    assert totals == {"transporte": (2, 3), "desconhecido": (3, 12)} and classify.categorized(rows.limit(0)).count() == 0

@@ -3,8 +3,10 @@ import json
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from tidalbook import schema
 from tidalbook.operators import dedup, tables
 from tidalbook.sources import events
 from tidalbook.streaming import ingest
@@ -70,37 +72,53 @@ def test_bad_rows_go_to_the_side(spark, tmp_path):
     assert [tuple(r) for r in counts.read().collect()] == [(1, 0, 0)]
 
 
-def test_receipts_stream_and_restart(spark, tmp_path):
-    """Receipts land in two runs of one stream; the second run reads only what is new, and a receipt that lands again changes nothing."""
-    ledger = {"tx": spark.sql("select '1' as id, 'acc' as account_id, 'x' as description, cast(-19 as decimal(15,2)) as amount, timestamp_ntz'2024-01-01 11:00:00' as date, 'lazer' as category, 'ofx' as source, 'k' as external_id, cast(null as string) as uber_metadata_id")}
-    ledger["ac"] = spark.createDataFrame([("acc", "Banco", dt.datetime(2024, 1, 1))], "id string, name string, created_at timestamp")
-    seen = {"trips": 0, "bad": 0, "runs": 0}
+@pytest.mark.parametrize("dies", [None, "accounts", "ledger"])
+def test_receipts_stream_and_restart(spark, tmp_path, dies):
+    """Receipts land in two runs of one stream, and a receipt that lands again changes nothing; the first run may die after any of its writes."""
+    tx = spark.sql("select '1' as id, 'acc' as account_id, 'x' as description, cast(-19 as decimal(15,2)) as amount, timestamp_ntz'2024-01-01 11:00:00' as date, 'lazer' as category, 'ofx' as source, 'k' as external_id, cast(null as string) as uber_metadata_id")
+    ac = spark.createDataFrame([("acc", "Banco", dt.datetime(2024, 1, 1))], "id string, name string, created_at timestamp")
+    died = []
 
-    def write(after, new_trips, new_accounts):
-        seen["runs"] += 1
-        path = str(tmp_path / f"tx{seen['runs']}")
-        after.write.parquet(path)
-        seen["trips"] += new_trips.count()
-        accounts = str(tmp_path / f"ac{seen['runs']}")
-        ledger["ac"].unionByName(new_accounts.select("id", "name", "created_at")).write.parquet(accounts)
-        ledger["tx"], ledger["ac"] = spark.read.parquet(path), spark.read.parquet(accounts)
+    def once(name, done):
+        if name == dies and not died:
+            died.append(name)
+            raise RuntimeError(f"died after {name}")
+        return done
 
-    def reject(bad):
-        seen["bad"] += bad.count()
+    class Table(tables.KeyedTable):
+        def merge(self, *args, **more):
+            return once(self.path.rsplit("/", 1)[1], super().merge(*args, **more))
+
+    class Sink(tables.BatchSink):
+        def write(self, *args):
+            return once(self.path.rsplit("/", 1)[1], super().write(*args))
+
+    ledger = Table(spark, str(tmp_path / "ledger"), tx.schema, "id", 4).create(tx)
+    accounts = Table(spark, str(tmp_path / "accounts"), ac.schema, "id", 2).create(ac)
+    booked = Sink(spark, str(tmp_path / "trips"), schema.TRIPS)
+    (tmp_path / "in").mkdir()
+    kind = ingest.receipts(spark, str(tmp_path / "in")).schema
+    reject = Sink(spark, str(tmp_path / "rejected"), spark.createDataFrame([], kind).withColumn("failed", F.array().cast("array<string>")).schema)
 
     def run():
-        ingest.booked_receipts(ingest.receipts(spark, str(tmp_path / "in")), lambda: (ledger["tx"], ledger["ac"]), write, reject, every=None).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
+        writer = ingest.booked_receipts(ingest.receipts(spark, str(tmp_path / "in")), ledger, accounts, booked, reject, every=None).option("checkpointLocation", str(tmp_path / "cp"))
+        try:
+            writer.start().awaitTermination()
+        except StreamingQueryException:
+            writer.start().awaitTermination()
 
     one = {"valor": 20.0, "data_hora": "2024-01-01T10:00:00Z", "endereco_partida": "A", "endereco_destino": "B"}
-    lines(tmp_path / "in", [one, {"valor": -1.0}])
+    lines(tmp_path / "in", [one, {"valor": -1.0}, one | {"valor": 90.0}])
     run()
-    assert seen == {"trips": 1, "bad": 1, "runs": 1} and [r["category"] for r in ledger["tx"].collect()] == ["transporte"]
+    rows = lambda: sorted((r["source"], r["category"], float(r["amount"])) for r in ledger.read().collect())
+    assert rows() == [("ofx", "transporte", -19.0), ("uber", "transporte", -90.0)] and len(died) == (dies is not None)
+    assert booked.read().count() == 2 and reject.read().count() == 1 and sorted(r["name"] for r in accounts.read().collect()) == ["Banco", "Uber"]
     (tmp_path / "in" / "more.json").write_text("\n".join(json.dumps(x) for x in (one, one | {"valor": 70.0})))
     run()
-    rows = sorted((r["source"], float(r["amount"])) for r in ledger["tx"].collect())
-    assert rows == [("ofx", -19.0), ("uber", -70.0)] and seen["trips"] == 2 and seen["runs"] == 2
     run()  # nothing new
-    assert seen["runs"] == 2 and ledger["ac"].count() == 2
+    assert rows() == [("ofx", "transporte", -19.0), ("uber", "transporte", -90.0), ("uber", "transporte", -70.0)]
+    assert booked.read().count() == 3 and accounts.read().count() == 2
+    assert {r["account_id"] for r in ledger.read().where("source = 'uber'").collect()} == {r["id"] for r in accounts.read().where("name = 'Uber'").collect()}
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -82,6 +82,17 @@ def metadata(rows: DataFrame, now: Column | None = None) -> DataFrame:
     return with_defaults(rows.withColumnsRenamed(named), "trips", now)
 
 
+def changes(rows: DataFrame, transactions: DataFrame, accounts: DataFrame, signed: bool = False, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What some trips change: the transactions that get a trip, the rows to add for the other trips, and the accounts to add for those."""
+    matched = match(rows, transactions, signed)
+    fresh = unmatched(rows, matched).withColumn("name", F.lit(ACCOUNT))
+    missing = writes.missing_accounts(fresh, accounts)
+    known = accounts.select("id", "name", "created_at").unionByName(missing.select("id", "name", F.col("created_at").cast(accounts.schema["created_at"].dataType).alias("created_at")))
+    added = with_defaults(writes.resolve_accounts(fresh, known).drop("name").withColumn("id", F.col("external_id")), "transactions", now)
+    linked = link(matched, transactions.join(matched.select(F.col("tx_id").alias("id")).distinct(), "id", "left_semi").select(*transactions.columns))
+    return linked, added.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in transactions.schema)), missing
+
+
 def booked(rows: DataFrame, transactions: DataFrame, accounts: DataFrame, signed: bool = False, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The ledger after some trips: transactions with their trips, and new ones for the rest; and the accounts to add for those."""
     matched = match(rows, transactions, signed)

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, sql, text
-from ..operators import dedup, tables, trips, validate, writes
+from ..operators import classify, dedup, places, tables, trips, validate, writes
 from ..sources import events, feeds, ofx
 from ..session import scratch
 from ..streaming import ingest
 from . import adapter as a
-from . import dashboard, examples, extras, search
+from . import dashboard, extras, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -244,41 +244,27 @@ def _(spark, d):
     return geo.nearby(a.ledger_events(spark, d), -23.55, -46.63, 5000).select("id", "description", num("amount"), "latitude", "longitude", "distance_meters")
 
 
-# --- text
-
-@query("categorize", le("select description, category, count(*) as n from l group by all"))
+@query("nearby_on_curve", ORACLES["nearby"])
 def _(spark, d):
-    return a.ledger_events(spark, d).groupBy("description", "category").agg(F.count("*").alias("n"))
+    """The same search on a copy of the ledger in the order of a space-filling curve."""
+    rows, path = a.ledger_events(spark, d), scratch(spark, "places")
+    places.lay_out(rows, path)
+    return places.nearby(places.read(spark, path, rows.schema), -23.55, -46.63, 5000).select("id", "description", num("amount"), "latitude", "longitude", "distance_meters")
 
 
-_EXAMPLES = sorted(examples.EXAMPLES.items())
-
+# --- text
 
-@query("classify_examples", f"select t as description, c as category from {sql_values(_EXAMPLES, 't, c')}")
+@query("categorize", le("select description, category, count(*) as n from l group by all"))
 def _(spark, d):
-    return values(spark, [r[:1] for r in _EXAMPLES], "description string").withColumn("category", text.categorize(F.col("description")))
+    per_text = a.ledger_events(spark, d).groupBy("description").agg(F.count("*").alias("n"))
+    return per_text.withColumn("category", text.categorize(F.col("description")))
 
 
 @query("recategorize", le("select id, category from l"))
 def _(spark, d):
     stored = a.ledger_events(spark, d).withColumn("category", F.when(F.col("source") == "notification", "desconhecido").otherwise(F.col("category")))
-    return stored.select("id", F.when(F.col("category") == "desconhecido", text.categorize(F.col("description"))).otherwise(F.col("category")).alias("category"))
-
-
-_AMOUNTS = [("R$ 1.234,56", 1234.56), ("-1.234,5", -1234.5), ("1234,56", 1234.56), ("1234.56", 1234.56), ("1.234", None), ("1,234.56", None), ("Compra de R$ 10,00", None), ("", None), ("R$ -7,1", -7.1), ("12", 12.0)]
-
-
-@query("parse_amount", f"select t as text, cast(x as double) as amount from {sql_values(_AMOUNTS, 't, x')}")
-def _(spark, d):
-    return values(spark, [r[:1] for r in _AMOUNTS], "text string").select("text", text.parse_amount(F.col("text")).cast("double").alias("amount"))
-
-
-_TOKENS = [("Compra aprovada de R$ 1.234,56 em PADARIA", 1234.56), ("Pagamento 59,90 no valor", 59.9), ("sem valor", None), ("R$ 15 em loja", 15.0)]
-
-
-@query("extract_amount", f"select t as text, cast(x as double) as amount from {sql_values(_TOKENS, 't, x')}")
-def _(spark, d):
-    return values(spark, [r[:1] for r in _TOKENS], "text string").select("text", text.extract_amount(F.col("text")).cast("double").alias("amount"))
+    fresh = classify.categorized(stored, into="fresh")
+    return fresh.select("id", F.when(F.col("category") == "desconhecido", F.col("fresh")).otherwise(F.col("category")).alias("category"))
 
 
 _BRL = "(case when balance < 0 then '-' else '' end) || 'R$' || chr(160) || regexp_replace(regexp_replace(cast(cast(floor(abs(balance)) as bigint) as varchar), '(\\d)(\\d{3})$', '\\1.\\2'), '(\\d)(\\d{3})\\.', '\\1.\\2.') || ',' || lpad(cast(cast(abs(balance) * 100 as bigint) % 100 as varchar), 2, '0')"
@@ -295,81 +281,6 @@ def _(spark, d):
     return rows.select("id", text.dedup_hash(F.abs("amount"), F.coalesce("account_name", F.lit("")), dates.iso(F.col("date"))).alias("hash"))
 
 
-_HEARD = [
-    ("Nubank", "Compra de R$ 10,00 em PADARIA SOL no valor aprovado", "Nubank", True, "padaria sol"),
-    ("Aviso", "Internet fora do ar", "Inter", False, "Internet fora do ar"),
-    ("Itaú", "PIX ENVIADO de R$ 5,00", "Itaú", True, "PIX ENVIADO de R$ 5,00"),
-    ("Loja", "Promoção em tudo", None, False, "tudo"),
-    (None, "Cartão C6 utilizado em POSTO r$ 99,00", "C6 Bank", True, "posto"),
-]
-
-
-def _heard_sql(names: str) -> str:
-    return f"select title, body, {names} from {sql_values([(t, b, k, str(p).lower(), m) for t, b, k, p, m in _HEARD], 'title, body, bank, purchase, merchant')}"
-
-
-def _heard(spark):
-    return values(spark, [r[:2] for r in _HEARD], "title string, body string")
-
-
-@query("detect_bank", _heard_sql("bank"))
-def _(spark, d):
-    return _heard(spark).withColumn("bank", text.detect_bank(F.col("title"), F.col("body")))
-
-
-@query("purchase_filter", _heard_sql("cast(purchase as boolean) as purchase"))
-def _(spark, d):
-    return _heard(spark).withColumn("purchase", text.is_purchase(F.col("title"), F.col("body")))
-
-
-@query("extract_merchant", _heard_sql("merchant"))
-def _(spark, d):
-    return _heard(spark).withColumn("merchant", text.extract_merchant(F.col("body")))
-
-
-_TAGS = [("<NAME> Loja </NAME>", "Loja"), ("<name>Loja\n<MEMO>x", "Loja"), ("<MEMO>x", ""), ("<NAME></NAME>", "")]
-
-
-@query("tag_value", f"select t as text, x as value from {sql_values(_TAGS, 't, x')}")
-def _(spark, d):
-    return values(spark, [r[:1] for r in _TAGS], "text string").select("text", text.tag_value(F.col("text"), "NAME").alias("value"))
-
-
-_BLOCKS = [("<T>a</T>x<t>b</t>", "a;b"), ("h<T>a<T>b", "a;b"), ("none", "")]
-
-
-@query("tag_blocks", f"select t as text, x as blocks from {sql_values(_BLOCKS, 't, x')}")
-def _(spark, d):
-    return values(spark, [r[:1] for r in _BLOCKS], "text string").select("text", F.array_join(text.tag_blocks(F.col("text"), "T"), ";").alias("blocks"))
-
-
-_DATES = [
-    ("20240115120000[-03:BRT]", "2024-01-15T12:00:00-03:00"), ("20240115", "2024-01-15T00:00:00Z"), ("20240115120000.000", "2024-01-15T12:00:00Z"),
-    ("2024011512[5:X]", "2024-01-15T12:00:00+05:00"), ("2024", "2024-01-31T00:00:00Z"),
-]
-
-
-@query("parse_ofx_date", f"select t as text, x as date from {sql_values(_DATES, 't, x')}")
-def _(spark, d):
-    return values(spark, [r[:1] for r in _DATES], "text string").select("text", dates.parse_ofx_date(F.col("text"), F.lit("2024-01-31T00:00:00Z")).alias("date"))
-
-
-_OFX = """<OFX><BANKID>341</BANKID><ACCTID>99-1</ACCTID><CURDEF>BRL
-<STMTTRN><TRNTYPE>DEBIT<DTPOSTED>20240115120000[-03:BRT]<TRNAMT>-1,050.25<FITID>f1<NAME>iFood</STMTTRN>
-<STMTTRN><TRNTYPE>CREDIT<DTPOSTED>20240116<TRNAMT>70.5<FITID>f2<MEMO>Salario</STMTTRN>
-<STMTTRN><DTPOSTED>20240116<TRNAMT>1<NAME>no id</STMTTRN>
-<STMTTRN><DTPOSTED>20240117<TRNAMT>-50,00<FITID>f3</STMTTRN>
-<STMTTRN><DTPOSTED>20240117<TRNAMT>abc<FITID>f4</STMTTRN>
-<AVAILBAL><BALAMT>1000.10<DTASOF>20240131</AVAILBAL></OFX>"""
-_OFX_ROWS = [("ofx_99-1_f1", "iFood", -1050.25, "2024-01-15T12:00:00-03:00", 1000.1), ("ofx_99-1_f2", "Salario", 70.5, "2024-01-16T00:00:00Z", 1000.1), ("ofx_99-1_f3", "Sem descrição", -5000.0, "2024-01-17T00:00:00Z", 1000.1)]
-
-
-@query("ofx_parse", f"select external_id, description, cast(amount as double) as amount, date, cast(balance as double) as balance from {sql_values(_OFX_ROWS, 'external_id, description, amount, date, balance')}")
-def _(spark, d):
-    parsed = ofx.parse(values(spark, [("x.ofx", _OFX.replace("\n", "\r\n"))], "file string, content string"))
-    return ofx.transactions(parsed).join(parsed.select("file", num("balance")), "file").select("external_id", "description", num("amount"), "date", "balance")
-
-
 @query("external_ids", le("select id, 'ofx_' || account_id || '_' || id as ofx_id, 'pluggy_' || id as feed_id, 'uber_' || (epoch_us(l.date) // 1000) || '_' || cast(abs(amount) * 100 as bigint) as trip_id from l"))
 def _(spark, d):
     rows = a.ledger_events(spark, d)
@@ -388,27 +299,6 @@ def _(spark, d):
     return rows.select("id", dates.within_window(F.col("date"), F.col("following")).alias("near"))
 
 
-_PAGE = '{"total":3,"totalPages":1,"page":1,"results":[{"id":"a","accountId":"k","description":"","descriptionRaw":"iFood","amount":-10.5,"date":"2024-01-02T03:04:05Z","paymentData":{"payer":{"name":"P"}}},{"id":"b","accountId":"k","amount":3,"date":"2024-01-03T00:00:00Z"}]}'
-_FLAT = [("pluggy_a", "k", "iFood", -10.5, "comida", "P"), ("pluggy_b", "k", "Sem descrição", 3.0, "desconhecido", None)]
-
-
-@query("json_flatten", f"select external_id, account, description, cast(amount as double) as amount, category, payer from {sql_values(_FLAT, 'external_id, account, description, amount, category, payer')}")
-def _(spark, d):
-    pages = values(spark, [(_PAGE,)], "body string").select(F.from_json("body", feeds.page_schema(feeds.TRANSACTION)).alias("p"))
-    rows = pages.select(F.explode("p.results").alias("r")).select("r.*")
-    flat = feeds.flat_transactions(rows).join(rows.select(text.external_id_feed(F.col("id")).alias("external_id"), F.col("paymentData.payer.name").alias("payer")), "external_id")
-    return flat.select("external_id", F.col("pluggy_account_id").alias("account"), "description", num("amount"), "category", "payer")
-
-
-_NOTES = [("loja", 5.0, "Nubank", None, None, "2024-01-02T03:04:05Z", ""), ("", -1.0, "Nubank", 91.0, 0.0, "2024-01-02T03:04:05-03:00", "description,amount,latitude,timestamp"), (None, None, "", None, None, None, "description,amount,bankName,timestamp")]
-
-
-@query("validate_notifications", f"select row_number() over () as n, failed from {sql_values([(i, r[-1]) for i, r in enumerate(_NOTES)], 'i, failed')}")
-def _(spark, d):
-    rows = values(spark, [(i + 1, *r[:-1]) for i, r in enumerate(_NOTES)], "n long, description string, amount double, bankName string, latitude double, longitude double, timestamp string")
-    return validate.checked(rows, "notification").select("n", F.array_join("failed", ",").alias("failed"))
-
-
 # --- writes
 
 _STORED = "select l.* from l join e using (id) where event_type <> 'purchase'"
@@ -515,9 +405,9 @@ def _(spark, d):
 
 @query("ledger_union", "select source, category, count(*) as n, cast(sum(amount) as double) as total from (" + f"select source, category, amount from ({a.LO}) union all select source, category, amount from ({a.LE})) group by all")
 def _(spark, d):
-    cols = ["source", "category", "amount"]
+    cols = ["source", "description", "amount"]
     both = a.ledger_orders(spark, d).select(cols).unionByName(a.ledger_events(spark, d).select(cols))
-    return both.groupBy("source", "category").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+    return doubles(classify.totals_by_category(both, "source"), "total")
 
 
 _MATCH = """mt as (select tr.id as trip_id, l.id as tx_id, tr.date as trip_date from tr join l on l.date between tr.date - interval 2 hour and tr.date + interval 2 hour and abs(l.amount) between tr.amount - 2 and tr.amount + 2
@@ -613,15 +503,6 @@ def _(spark, d):
     return good.select("external_id", F.col("pluggy_account_id").alias("account_id"), "description", num("amount"), dates.iso(F.col("date")).alias("date"), "category")
 
 
-_ITEMS = [('{"id":"i1","connector":{"id":7,"name":"Banco"},"status":"UPDATED","executionStatus":"SUCCESS","createdAt":"2024-01-02T03:04:05.678Z","error":null}', "i1", 7, "Banco", None, False), ('{"id":"i2","connector":{"id":8,"name":"Outro"},"status":"LOGIN_ERROR","error":{"code":"E","message":"m"}}', "i2", 8, "Outro", "E", True)]
-
-
-@query("feed_items", f"select id, connector_id, connector, error_code, cast(failed as boolean) as failed from {sql_values([(r[1], r[2], r[3], r[4], str(r[5]).lower()) for r in _ITEMS], 'id, connector_id, connector, error_code, failed')}")
-def _(spark, d):
-    read = values(spark, [r[:1] for r in _ITEMS], "body string").select(F.from_json("body", feeds.ITEM).alias("r")).select("r.*")
-    return feeds.flat_items(read).select(F.col("pluggy_item_id").alias("id"), "connector_id", "connector", "error_code", "failed")
-
-
 @query("json_bodies", le("select l.id, cast(abs(amount) as double) as amount, description, cast(latitude as double) as latitude from l where amount < 0 and description <> '' and cast(l.id as bigint) % 4 > 0"))
 def _(spark, d):
     """Notification bodies as JSON, every fourth cut off; what parses and passes the rules is left."""
@@ -721,19 +602,6 @@ def _(spark, d):
     return writes.forget_trips(trips.link(trips.match(t, tx), tx), t.where("amount <= 100")).select("id", F.col("uber_metadata_id").alias("trip"))
 
 
-_DEMO = [("salario", 2, 6400.0), ("investimento", 3, -619.5), ("comida", 7, -591.1), ("transporte", 5, -278.2), ("assinaturas", 5, -508.7), ("lazer", 3, -189.99), ("saude", 3, -477.4), ("moradia", 4, -3137.2), ("educacao", 2, -319.8)]
-
-
-@query("demo_totals", f"select category, cast(n as bigint) as n, cast(total as double) as total from {sql_values(_DEMO, 'category, n, total')}")
-def _(spark, d):
-    return events.demo(spark, NOW)[1].groupBy("category").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
-
-
-@query("health", "select 'ok' as status, '1.0.0' as version")
-def _(spark, d):
-    return events.health(spark).select("status", "version")
-
-
 # --- streams over landed files, each run once over what has landed
 
 
@@ -834,6 +702,25 @@ def _(spark, d):
     return spark.read.schema(tx.schema).parquet(out).where("uber_metadata_id is not null").select("id", F.col("uber_metadata_id").alias("trip"))
 
 
+@query("stream_receipts", le("select 1").rsplit(" select 1", 1)[0] + f", {_MATCH}, {_BOOKED}")
+def _(spark, d):
+    """Trips land as receipts and are booked by a stream, with the accounts that they need; run again, it finds nothing new."""
+    from .. import schema
+
+    t = a.trips(spark, d)
+    receipt = [F.col("amount").cast("double").alias("valor"), dates.iso(F.col("date")).alias("data_hora"), F.concat("origin", F.lit(" "), "id").alias("endereco_partida"), F.col("destination").alias("endereco_destino")]
+    inbox, progress = scratch(spark, "receipts"), scratch(spark, "progress")
+    t.select(*receipt).write.json(inbox)
+    tx, ac = a.ledger_events(spark, d).withColumn("uber_metadata_id", F.lit(None).cast("string")), schema.with_defaults(a.accounts(spark, d), "accounts")
+    ledger = tables.KeyedTable(spark, scratch(spark, "ledger"), tx.schema, "id", parts=16).create(tx)
+    accounts = tables.KeyedTable(spark, scratch(spark, "accounts"), ac.schema, "id", parts=4).create(ac)
+    bad = spark.createDataFrame([], ingest.receipts(spark, inbox).schema).withColumn("failed", F.array().cast("array<string>"))
+    booked, reject = tables.BatchSink(spark, scratch(spark, "trips"), schema.TRIPS), tables.BatchSink(spark, scratch(spark, "rejected"), bad.schema)
+    for _ in range(2):
+        ingest.booked_receipts(ingest.receipts(spark, inbox), ledger, accounts, booked, reject, every=None).option("checkpointLocation", progress).start().awaitTermination()
+    return ledger.read().groupBy("source", "category").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
 # --- arguments and lookups
 
 
@@ -861,3 +748,6 @@ def _(spark, d):
     # each name once more, with a later account that must not be taken
     stored = ac.withColumn("created_at", F.lit(NOW)).unionByName(ac.withColumns({"id": F.concat(F.lit("0"), "id"), "created_at": F.lit(NOW) + F.expr("interval 1 day")}))
     return writes.resolve_accounts(asked, stored).select("id", "account_id", "name")
+
+
+from . import texts  # noqa: E402,F401  registers its queries too

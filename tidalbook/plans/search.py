@@ -70,6 +70,45 @@ def ordered(ledger: DataFrame, by: str = "date", descending: bool = True) -> Dat
     return ledger.orderBy(key.desc() if descending else key.asc(), "id")
 
 
+def cuts(ledger: DataFrame, by: str = "date", rows: int = 10_000) -> list:
+    """Values of ``by`` that cut the ledger into ranges of about ``rows`` rows, ascending: one number or moment each on the driver."""
+    n = ledger.count()
+    some = min(10_000, n // rows)
+    at = F.percentile_approx(by, F.array(*(F.lit(i / (some + 1)) for i in range(1, some + 1))), 100 * (some + 1)) if some else F.array()
+    return sorted(set(ledger.agg(at.alias("c")).first()["c"] or []))
+
+
+def after(ledger: DataFrame, last: tuple | None, by: str = "date", descending: bool = True, size: int = PAGE, known: list | None = None) -> DataFrame:
+    """The page that follows the row ``last`` (its value of ``by``, and its id) in the order of ``ordered``; the first page if that is None.
+
+    Where ``offset`` sorts and passes over all earlier pages, this starts at
+    ``last`` and, with ``known`` (from ``cuts``), ends at the next cut that leaves
+    enough rows, so that of a table in the order of ``by`` the scan reads about
+    one range, for whatever page.  Rows without a value come last, if descending.
+    """
+    if by == "description":
+        raise ValueError("texts are ordered by a collation, which no range of a scan follows; use page()")
+    key = F.col(by)
+    if last is not None:
+        value, id_ = last
+        if value is None:
+            ledger = ledger.where(key.isNull() & (F.col("id") > id_)) if descending else ledger.where(key.isNotNull() | (F.col("id") > id_))
+        else:
+            beyond = (key < F.lit(value)) if descending else (key > F.lit(value))
+            bound = (key <= F.lit(value)) if descending else (key >= F.lit(value))  # says less, but the scan can use it
+            rest = beyond | ((key == F.lit(value)) & (F.col("id") > id_))
+            ledger = ledger.where((bound & rest) | key.isNull()) if descending else ledger.where(bound & rest)
+    order = [key.desc(), F.col("id")] if descending else [key.asc(), F.col("id")]
+    at = None if last is None else last[0]
+    for cut in (reversed(known) if descending else known) if known and (last is None or at is not None) else []:
+        if at is not None and (cut >= at if descending else cut <= at):
+            continue
+        near = ledger.where((key >= F.lit(cut)) if descending else (key <= F.lit(cut)) | key.isNull())  # all that comes first
+        if near.limit(size).count() == size:
+            return near.orderBy(*order).limit(size)
+    return ledger.orderBy(*order).limit(size)
+
+
 def page(rows: DataFrame, number: int, size: int = PAGE) -> DataFrame:
     return rows.offset((number - 1) * size).limit(size)
 

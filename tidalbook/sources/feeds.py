@@ -45,6 +45,39 @@ def read_pages(spark: SparkSession, path: str, results: str, first_only: bool =
     return pages.select(F.explode("results").alias("r")).select("r.*")
 
 
+def read_landed(spark: SparkSession, path: str, results: str) -> DataFrame:
+    """Landed pages, one JSON object a line, each with the ``feed`` it was asked for (an account, an item): ``feed``, ``page``, ``totalPages``, ``results``."""
+    kind = T.StructType([T.StructField("feed", T.StringType()), *page_schema(results).fields])
+    return spark.read.schema(kind).json(path).select("feed", F.coalesce("page", F.lit(1)).alias("page"), F.coalesce("totalPages", F.lit(1)).alias("totalPages"), "results")
+
+
+def missing_pages(pages: DataFrame) -> DataFrame:
+    """``feed``, ``expected``, ``missing``, ``first_missing`` of feeds that lack pages; a feed's number of pages is the largest that any of its pages tells.
+
+    Pages without a feed's name are one feed.
+    """
+    told = pages.groupBy("feed").agg(F.max("totalPages").alias("expected")).where("expected > 0")
+    every = told.select("feed", "expected", F.explode(F.sequence(F.lit(1), "expected")).alias("page"))
+    there = pages.select(F.col("feed").alias("f"), F.col("page").alias("p"))
+    lacking = every.join(there, F.col("feed").eqNullSafe(F.col("f")) & (F.col("page") == F.col("p")), "left_anti")
+    return lacking.groupBy("feed", "expected").agg(F.count("*").alias("missing"), F.min("page").alias("first_missing"))
+
+
+def split_feeds(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of feeds whose pages have all landed, and the incomplete feeds, which wait.
+
+    A page that landed twice gives its rows twice; their ids tell them apart from others.
+    """
+    waiting = missing_pages(pages)
+    whole = pages.join(waiting.select(F.col("feed").alias("f")), F.col("feed").eqNullSafe(F.col("f")), "left_anti")
+    return whole.select("feed", F.explode("results").alias("r")).select("feed", "r.*"), waiting
+
+
+def first_pages(pages: DataFrame) -> DataFrame:
+    """Rows of the first page of each feed: all that is taken of a list of accounts."""
+    return pages.where("page = 1").select("feed", F.explode("results").alias("r")).select("feed", "r.*")
+
+
 def flat_transactions(rows: DataFrame) -> DataFrame:
     """Feed rows as ledger rows."""
     described = text.first_filled(F.col("description"), F.col("descriptionRaw"), F.lit("Sem descrição"))

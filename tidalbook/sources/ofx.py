@@ -14,6 +14,14 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.input_file_name().alias("file"), F.col("value").alias("content")).where(text.trimmed(F.col("content")) != "")
 
 
+def gate(uploads: DataFrame) -> DataFrame:
+    """``uploads`` (``file``, ``content``) with ``reason``: null for a statement, else why it is turned away (``extension``, ``empty``, ``no_transactions``)."""
+    name, blank = F.lower("file"), text.trimmed(F.coalesce("content", F.lit(""))) == ""
+    lines = F.lower("content").contains("<stmttrn>")
+    reason = F.when(~F.coalesce(name.endswith(".ofx") | name.endswith(".qfx"), F.lit(False)), "extension").when(blank, "empty").when(~lines, "no_transactions")
+    return uploads.withColumn("reason", reason)
+
+
 def leading_number(value: Column) -> Column:
     """The number that a text begins with, as decimal; commas are thousands separators."""
     return F.regexp_extract(F.regexp_replace(value, ",", ""), r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))", 1).try_cast("decimal(15,2)")
@@ -48,6 +56,59 @@ def parse(files: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
+#: What stands before each statement line; reading by it cuts a large file into records that several tasks share.
+MARK = "<STMTTRN>"
+
+
+def read_records(spark: SparkSession, path: str, glob: str = "*.[oqOQ][fF][xX]") -> DataFrame:
+    """``file``, ``block``, ``at``, ``value``: the pieces of statement files between the marks of their lines, in the order of (``block``, ``at``) in a file.
+
+    Spark splits a file by bytes, and each task reads the pieces that begin in its part, so a file of any size is no row.
+    """
+    pieces = spark.read.text(path, lineSep=MARK, pathGlobFilter=glob, recursiveFileLookup=True)
+    return pieces.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), text.same_line_ends(F.col("value")).alias("value"))
+
+
+def statements(records: DataFrame, now: Column | None = None) -> DataFrame:
+    """One row per file as ``parse`` gives it, without its transactions: from what stands before the first mark and after the last, and where the balances stand.
+
+    Of a file's pieces, a task keeps three at most.
+    """
+    now = F.lit(None).cast("string") if now is None else now
+    place = F.struct("block", "at")
+    holds = lambda tag: F.min_by(F.when(F.lower("value").contains(f"<{tag}>"), F.col("value")), F.when(F.lower("value").contains(f"<{tag}>"), place))
+    files = records.groupBy("file").agg(
+        F.min_by("value", place).alias("head"), F.max_by("value", place).alias("tail"), holds("ledgerbal").alias("ledger"), holds("availbal").alias("avail"), F.max(F.lower("value").contains("</stmttrn>")).alias("closed"),
+    )
+    tag = lambda name: text.first_filled(text.tag_value(F.col("head"), name), text.tag_value(F.col("tail"), name))
+    block = lambda c, name: F.try_element_at(text.tag_blocks(F.col(c), name), F.lit(1))
+    files = files.withColumns({"ledger": block("ledger", "LEDGERBAL"), "avail": block("avail", "AVAILBAL")})
+    in_ledger, in_avail = (leading_number(F.nullif(text.tag_value(F.col(c), "BALAMT"), F.lit(""))) for c in ("ledger", "avail"))
+    when = F.when(in_ledger.isNotNull(), text.tag_value(F.col("ledger"), "DTASOF")).otherwise(text.tag_value(F.col("avail"), "DTASOF"))
+    return files.select(
+        "file", tag("BANKID").alias("bank_id"), tag("ACCTID").alias("acct_id"), text.first_filled(tag("ACCTTYPE"), F.lit("CHECKING")).alias("acct_type"), text.first_filled(tag("CURDEF"), F.lit("BRL")).alias("currency"),
+        F.coalesce(in_ledger, in_avail).alias("balance"), dates.parse_ofx_date(F.nullif(when, F.lit("")), now).alias("balance_date"), "closed",
+    )
+
+
+def lines(records: DataFrame, now: Column | None = None) -> DataFrame:
+    """One row per statement line with its account, and ``missing``: the names of what it lacks; empty for a line that can be stored.
+
+    For files whose marks are in capitals, as the format has them; ``parse`` takes any case, a file in one row.
+    """
+    now = F.lit(None).cast("string") if now is None else now
+    about = statements(records).select("file", "acct_id", "closed")
+    first = records.groupBy("file").agg(F.min(F.struct("block", "at")).alias("first"))
+    joined = records.join(about.join(first, "file"), "file").where(F.struct("block", "at") > F.col("first"))
+    # a line ends where it is closed; in a file that closes its lines, what is not closed is none
+    end = F.instr(F.lower("value"), "</stmttrn>")
+    joined = joined.where(~F.col("closed") | (end > 0)).withColumn("value", F.when(F.col("closed"), F.expr("substring(value, 1, instr(lower(value), '</stmttrn>') - 1)")).otherwise(F.col("value")))
+    of = lambda name: text.tag_value(F.col("value"), name)
+    r = joined.select("file", "acct_id", of("FITID").alias("fit_id"), of("DTPOSTED").alias("posted"), leading_number(of("TRNAMT")).alias("amount"), text.first_filled(of("NAME"), of("MEMO"), F.lit("Sem descrição")).alias("description"), text.first_filled(of("TRNTYPE"), F.lit("OTHER")).alias("type"))
+    lacking = F.array_compact(F.array(F.when(F.col("fit_id") == "", F.lit("fit_id")), F.when(F.col("posted") == "", F.lit("posted")), F.when(F.col("amount").isNull(), F.lit("amount"))))
+    return r.select("file", "acct_id", text.external_id_ofx(F.col("acct_id"), F.col("fit_id")).alias("external_id"), "description", "amount", dates.parse_ofx_date(F.col("posted"), now).alias("date"), "type", lacking.alias("missing"))
+
+
 def transactions(parsed: DataFrame, now: Column | None = None) -> DataFrame:
     """One row per statement line, with its logical key; files without lines give none."""
     now = F.lit(None).cast("string") if now is None else now

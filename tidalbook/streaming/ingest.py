@@ -15,6 +15,7 @@ from ..functions import text
 from ..operators import tables, trips, writes
 from ..operators.dedup import WINDOW_MS
 from ..sources.events import notification_rows
+from ..session import scratch
 from ..sources.feeds import PAYLOADS, split_rows
 
 #: Moments in JSON, to the microsecond.
@@ -129,22 +130,30 @@ def receipts(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(PAYLOADS["trip"]).json(path)
 
 
-def booked_receipts(
-    stream: DataFrame, read: Callable[[], tuple[DataFrame, DataFrame]], write: Callable[[DataFrame, DataFrame, DataFrame], None], reject: Callable[[DataFrame], None], every: str | None = "15 minutes"
-) -> DataStreamWriter:
-    """Books each micro-batch of receipts: ``read`` gives transactions and accounts, ``write`` takes the new ledger, new trips and new accounts.
+def booked_receipts(stream: DataFrame, ledger: tables.KeyedTable, accounts: tables.KeyedTable, booked: tables.BatchSink, reject: tables.BatchSink, every: str | None = "15 minutes") -> DataStreamWriter:
+    """Books each micro-batch of receipts in ``ledger`` and ``accounts``, tables keyed by id; their trips go to ``booked``, bad receipts to ``reject``.
 
-    Runs ``every`` so often, or once over what has landed if that is None.
+    Only the parts of the ledger that a batch changes are written.  A receipt
+    that an earlier batch has booked is not booked again; a batch that runs
+    again, wherever its first try ended, leaves what one run leaves: its trips
+    are those of no other batch, accounts come before the rows that name them,
+    and the tables know the batch's number.  Runs ``every`` so often, or once
+    over what has landed if that is None.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rows, bad = trips.from_payloads(batch)
-        transactions, accounts = read()
-        done = transactions.select(F.col("uber_metadata_id").alias("id")).where("id is not null").distinct()
-        rows = rows.join(done, "id", "left_anti")  # a receipt that has been booked is not booked again
-        after, fresh = trips.booked(rows, transactions, accounts)
-        write(after, trips.metadata(rows), fresh)
-        reject(bad)
+        known = booked.read().where(F.col("batch") != batch_id).select("id")
+        rows = rows.join(known, "id", "left_anti")
+        booked.write(trips.metadata(rows), batch_id)
+        linked, added, missing = trips.changes(rows, ledger.read(), accounts.read())
+        # written before the tables change that they are made from
+        path = scratch(spark, "booked")
+        linked.unionByName(added).write.parquet(path)
+        accounts.merge(missing, batch_id, order=("id",), overwritten=())
+        ledger.merge(spark.read.schema(linked.schema).parquet(path), batch_id, order=("date",), overwritten=("category", "uber_metadata_id"))
+        reject.write(bad, batch_id)
 
     writer = stream.writeStream.foreachBatch(step)
     return writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
