@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -35,6 +36,16 @@ def test_exceptions_excuse_words():
     assert lex.weigh("the clown")[0] == 5.0
 
 
+def test_long_texts_of_hits_and_exceptions():
+    """A million words take time in proportion, and give what the brute force gives for a tenth of a per cent of them."""
+    lex = tox.Lexicon({" clown": 5.0, " trash": 4.0, " can ": 1.0})
+    text = "class clown fish trash can the clown trash bin trash "
+    assert lex.weigh(text * 100) == naive_weight(text * 100, lex)
+    start = time.process_time()
+    total, words = lex.weigh(text * 100_000)
+    assert words == 1_000_000 and total == 1_000 * naive_weight(text * 100, lex)[0] and time.process_time() - start < 10
+
+
 def test_length_counts():
     lex = lexicon(_moron=4.0)
     short, long = lex.score("you moron"), lex.score("you moron " + "word " * 500)

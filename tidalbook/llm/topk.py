@@ -209,9 +209,10 @@ def dealt(df: DataFrame, centres: dict[int, np.ndarray], rows: int, name: str) -
         return {"id": b.column(0), "v": v, "dims": pa.array(size, pa.int32()), "cell": pa.array(cell), "far": pa.array(far)}
 
     placed = common.arrow_map(df.select("id", "v"), batch, "id long, v array<double>, dims int, cell int, far double")
-    placed = common.written(placed, f"{name}-cells")
+    # numbered as they lie in the written table, so that a task that runs again numbers its rows alike
+    placed = common.written(placed, f"{name}-cells").withColumn("at", F.monotonically_increasing_id())
     lots = placed.groupBy("dims", "cell").agg(F.ceil(F.count("*") / rows).alias("lots"))
-    placed = placed.join(lots, ["dims", "cell"]).withColumn("lot", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.col("lots")))
+    placed = placed.join(lots, ["dims", "cell"]).withColumn("lot", F.pmod(F.xxhash64("id", "v", "at"), F.col("lots")))
     made = placed.groupBy("dims", "cell", "lot").agg(F.max("far").alias("radius"), F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
     return common.written(made, name)
 

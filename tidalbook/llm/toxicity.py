@@ -104,7 +104,7 @@ class Lexicon:
                 excused.append((start, end))
             elif weight > at.get(start, 0.0):
                 at[start] = weight
-        return sum(w for p, w in at.items() if not any(a <= p < b for a, b in excused)), len(words)
+        return sum(at.values()) if not excused else sum_outside(at, excused), len(words)
 
     def score(self, text: str | None) -> float:
         return self.of(*self.weigh(text))
@@ -115,6 +115,18 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def sum_outside(at: dict[int, float], excused: list[tuple[int, int]]) -> float:
+    """The sum of weights at places that no span holds; both are walked once, in order."""
+    spans = iter(sorted(excused))
+    span, reach, total = next(spans, None), -1, 0.0
+    for place in sorted(at):
+        while span is not None and span[0] <= place:
+            reach, span = max(reach, span[1]), next(spans, None)
+        if place >= reach:
+            total += at[place]
+    return total
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, entries: int = ENTRIES) -> Lexicon:
     """Learns a lexicon from the rows of ``docs`` that ``labels`` gives 0 or 1; null texts and labels are left out.
 
