@@ -1,10 +1,12 @@
 import datetime as dt
 import hashlib
 import random
+import time
 from decimal import Decimal
 
 import numpy as np
 import pytest
+import zstandard
 
 from tidalbook.llm import repeats
 from tidalbook.llm.run_index import RunIndex
@@ -103,6 +105,37 @@ def test_segments_of_many_blocks_meet_in_lots(spark, docs, texts, monkeypatch, f
     check(docs.where(docs.doc_id.isin(list(some))), list(some.items()))
 
 
+def test_run_index_of_two_short_strings():
+    """Fewer characters than the second place that a round looks at."""
+    a, b = b"x" * 30 + b"abcdefghijklmnopqrstuvwxyz0123", b"y" + b"x" * 29 + b"abcdefghijklmnopqrstuvwxyz01"
+    index = RunIndex(np.frombuffer(a + b, np.uint8), np.array([len(a), len(b)]), np.array([7, 3]), 50)
+    first = {}
+    for t, owner in ((a, 7), (b, 3)):
+        for s in range(len(t) - 49):
+            first[t[s : s + 50]] = min(first.get(t[s : s + 50], owner), owner)
+    assert index.smallest_owners().tolist() == [first[t[s : s + 50]] for t in (a, b) for s in range(len(t) - 49)]
+
+
+def test_rows_of_a_block_cost_nothing_each():
+    """A block's segments take as long to send to 7,680 buckets as to 125."""
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 123, 20_000, dtype=np.uint8).tobytes() for _ in range(100)]
+    rows = {"carried": [b""], "ids": [repeats._pack(np.arange(100))], "nulls": [repeats._pack(np.zeros(100, np.uint8))], "sizes": [repeats._pack(np.full(100, 20_000))], "texts": [zstandard.ZstdCompressor().compress(b"".join(texts))]}
+    b = repeats.Block(rows)
+    b.hot = np.zeros(len(b.first), bool)
+    took = {}
+    for n in (125, 7_680, 125, 7_680):
+        start = time.process_time()
+        first, bucket, _ = repeats.distinct_segments(b, n)
+        buckets, ends = repeats.runs(bucket)
+        size = b.count[first] + repeats.DEPTH - 1
+        sent = repeats._cut(repeats.slices(b.data, b.first[first], size), np.concatenate(([0], np.cumsum(size)))[ends])
+        data, sizes = repeats._joined(sent, np.uint8)
+        took[n] = min(took.get(n, 9.0), time.process_time() - start)
+        assert len(sent) == len(buckets) <= n and len(data) == size.sum() == sizes.sum()
+    assert took[7_680] < 1.5 * took[125] + 0.05
+
+
 @pytest.mark.parametrize("three", [0, 1 << 21])
 @pytest.mark.parametrize("letters", ["ab", "abcdefghij"])
 def test_run_index(letters, three, monkeypatch):

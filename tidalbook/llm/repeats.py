@@ -37,7 +37,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +52,7 @@ SPAN = DEPTH - GRAM + 1
 #: Bytes of text per block, per bucket of segments and per bucket of anchors; blocks and buckets at least.
 BLOCK, SEGMENTS, ANCHORS, LEAST = 2 << 20, 4 << 20, 8 << 20, 64
 #: Bytes of text that a task deals to the blocks at a time, and blocks whose segments meet in one task.
-PIECE, FAN = 16 << 20, 1024
+PIECE, FAN = 16 << 20, 64
 LAST = (1 << 63) - 1
 
 _TABLE = scrambled(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -68,6 +67,24 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def _cut(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column over one buffer: row i is what of ``data`` lies between the ends before and at it (0 is the first); costs nothing a row."""
+    at = (np.asarray(ends) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _joined(column: pa.ChunkedArray | pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a binary column as one array, and how many values each has."""
+    parts, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(c):
+            at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            whole = np.frombuffer(c.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+            parts.append(np.frombuffer(whole.tobytes(), kind))
+            sizes.append(np.diff(at) // np.dtype(kind).itemsize)
+    return np.concatenate(parts), np.concatenate(sizes).astype(np.int64)
+
+
 def _frozen(x: pa.Array) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("x", x.type)])) as out:
@@ -82,7 +99,7 @@ def _thawed(x: bytes) -> pa.Array:
 class Block:
     """The documents of a block, in ascending order, and the segments of their text."""
 
-    def __init__(self, rows: pd.DataFrame | dict[str, list]):
+    def __init__(self, rows: dict[str, list]):
         rest = [_thawed(x) for x in rows["carried"] if x]
         ids = np.concatenate([_unpack(x, np.int64) for x in rows["ids"]])
         nulls = np.concatenate([_unpack(x, np.uint8) for x in rows["nulls"]])
@@ -217,56 +234,67 @@ def blocks_of(df: DataFrame, key: str, text: str, n: int, carry: list[str]) -> D
 
 
 def shared_anchors(blocks: DataFrame, n: int) -> DataFrame:
-    """``block``, ``bucket``, ``shared``: the anchors of the block in that bucket that two documents hold."""
+    """``block``, ``bucket``, ``shared``, ``hot``: the anchors of the block in that bucket that two documents hold, and which of them more than ``FAN`` blocks hold."""
 
-    def send(rows: pd.DataFrame) -> pd.DataFrame:
-        b = Block(rows)
+    def send(key: tuple, rows: pa.Table) -> pa.Table:
+        b = Block(rows.to_pydict())
         # a document's anchors are those of its text; ids tell documents apart
         code = (buckets_of(b.anchor, n).astype(np.uint64) << np.uint64(32)) | (b.anchor & np.uint64(0xFFFFFFFF))
         order = np.argsort(code, kind="stable")  # owners ascend within a code
         code, owner = code[order], b.ids[b.owner[order]] if len(code) else order
         lead = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else order
-        twice = np.maximum.reduceat(owner, lead) != np.minimum.reduceat(owner, lead) if len(code) else lead
+        twice = np.maximum.reduceat(owner, lead) != np.minimum.reduceat(owner, lead) if len(code) else np.zeros(0, bool)
         code = code[lead]
-        part = (code >> np.uint64(32)).astype(np.int64)
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else [0]
-        low = code.astype(np.uint32)
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        return pd.DataFrame({"block": [int(rows["block"].iloc[0])] * len(spans), "bucket": [int(part[x]) for x, _ in spans], "codes": [low[x:y].tobytes() for x, y in spans], "twice": [np.packbits(twice[x:y]).tobytes() for x, y in spans]})
-
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        codes = [np.frombuffer(x, np.uint32) for x in rows["codes"]]
-        every = np.concatenate(codes)
-        marked = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)) for x, c in zip(rows["twice"], codes, strict=True)])
+        bucket, ends = runs((code >> np.uint64(32)).astype(np.int32))
+        return pa.table([pa.array(np.full(len(bucket), key[0].as_py(), np.int32)), pa.array(bucket), _cut(code.astype(np.uint32), ends), _cut(twice.astype(np.uint8), ends)], ["block", "bucket", "codes", "twice"])
+
+    def answer(rows: pa.Table) -> pa.Table:
+        every, sizes = _joined(rows.column("codes"), np.uint32)
+        marked, _ = _joined(rows.column("twice"), np.uint8)
         order = np.argsort(every, kind="stable")
         lead = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
-        many = (np.diff(np.append(lead, len(every))) > 1) | (np.maximum.reduceat(marked[order], lead) > 0)
-        ok = np.empty(len(every), bool)
-        ok[order] = np.repeat(many, np.diff(np.append(lead, len(every))))
-        ends = np.cumsum([len(c) for c in codes])
-        kept = [c[ok[e - len(c) : e]].tobytes() for c, e in zip(codes, ends, strict=True)]
-        out = pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "shared": kept})
-        return out[out["shared"].str.len() > 0]
+        blocks = np.diff(np.append(lead, len(every)))
+        many = (blocks > 1) | (np.maximum.reduceat(marked[order], lead) > 0)
+        ok, hot = np.empty(len(every), bool), np.empty(len(every), np.uint8)
+        ok[order], hot[order] = np.repeat(many, blocks), np.repeat(blocks > FAN, blocks)
+        ends = np.concatenate(([0], np.cumsum(ok)))[np.concatenate(([0], np.cumsum(sizes)))]
+        out = pa.table([rows.column("block"), rows.column("bucket"), _cut(every[ok], ends), _cut(hot[ok], ends)], ["block", "bucket", "shared", "hot"])
+        return out.filter(pa.array(np.diff(ends) > 0))
+
+    sent = blocks.groupBy("block").applyInArrow(send, "block int, bucket int, codes binary, twice binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "block int, bucket int, shared binary, hot binary")
 
-    sent = blocks.groupBy("block").applyInPandas(send, "block int, bucket int, codes binary, twice binary")
-    return sent.groupBy("bucket").applyInPandas(answer, "block int, bucket int, shared binary")
 
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of an ordered array, and where each ends (with 0 before the first)."""
+    if not len(ordered):
+        return ordered, np.zeros(1, np.int64)
+    ends = np.concatenate(([0], np.flatnonzero(np.diff(ordered)) + 1, [len(ordered)]))
+    return ordered[ends[:-1]], ends
 
-def shared_segments(rows: pd.DataFrame, side: pd.DataFrame, n_anchors: int) -> Block:
-    """The block with the segments of shared anchors only."""
+
+def shared_segments(rows: dict[str, list], side: pa.Table, n_anchors: int) -> Block:
+    """The block with the segments of shared anchors only; ``hot`` tells those of anchors that more than ``FAN`` blocks hold."""
     b = Block(rows)
-    parts = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(k << 32) for k, x in zip(side["bucket"], side["shared"], strict=True)]
-    known = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    codes, sizes = _joined(side.column("shared"), np.uint32)
+    known = codes.astype(np.uint64) | (np.repeat(side.column("bucket").to_numpy().astype(np.uint64), sizes) << np.uint64(32))
+    order = np.argsort(known, kind="stable")
+    known, hot = known[order], _joined(side.column("hot"), np.uint8)[0][order]
     code = (buckets_of(b.anchor, n_anchors).astype(np.uint64) << np.uint64(32)) | (b.anchor & np.uint64(0xFFFFFFFF))
-    at = np.searchsorted(known, code)
-    b.keep(known[np.minimum(at, len(known) - 1)] == code if len(known) else np.zeros(len(code), bool))
+    at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
+    kept = known[at] == code if len(known) else np.zeros(len(code), bool)
+    b.keep(kept)
+    b.hot = hot[at[kept]].astype(bool) if len(known) else np.zeros(0, bool)
     return b
 
 
 def distinct_segments(b: Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the block's distinct segments: the first occurrence, the bucket, ordered by bucket and name; and each occurrence's place in that order."""
+    """Of the block's distinct segments: the first occurrence, the bucket, ordered by bucket and name; and each occurrence's place in that order.
+
+    Hot segments have buckets of their own, from ``n`` on.
+    """
     name = b.names()
-    bucket = buckets_of(b.anchor, n)
+    bucket = buckets_of(b.anchor, n) + n * b.hot
     order = np.lexsort((np.arange(len(name)), name, bucket))
     lead = np.concatenate(([True], name[order][1:] != name[order][:-1])) if len(order) else np.zeros(0, bool)
     place = np.empty(len(order), np.int64)
@@ -274,39 +302,44 @@ def distinct_segments(b: Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return order[lead], bucket[order[lead]], place
 
 
-def owners(blocks: DataFrame, shared: DataFrame, n_anchors: int, n: int, n_blocks: int) -> DataFrame:
-    """``block``, ``bucket``, ``lowest``: the smallest doc_id of each window of the block's distinct segments."""
+#: Segments on their way: bytes, windows of each, smallest doc_ids, anchors' marks; ``lot``: of hot buckets, which blocks meet first, else -1.
+SENT = "block int, bucket int, lot int, texts binary, counts binary, low binary, marks binary"
+#: What a meeting gives: answers (``counts`` and ``low`` are runs of windows and their smallest doc_ids), for lots the merged segments, and for each of their rows (``counts``) which of these its segments are (``marks``).
+MET = f"kind int, {SENT}"
+ANSWER, MERGED, WHICH = 0, 1, 2
+
 
-    def send(key: tuple, rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {k: [] for k in ("block", "bucket", "texts", "counts", "low", "marks")}
-        if len(rows) and len(side):
-            b = shared_segments(rows, side, n_anchors)
+def owners(blocks: DataFrame, shared: DataFrame, n_anchors: int, n: int, n_blocks: int) -> DataFrame:
+    """``block``, ``bucket``, ``counts``, ``low``: runs of windows of the block's distinct segments, and their smallest doc_ids."""
+
+    def send(key: tuple, rows: pa.Table, side: pa.Table) -> pa.Table:
+        made = [np.zeros(0, np.int32), np.zeros(1, np.int64)]
+        text, count, low, mark = (np.zeros(0, k) for k in (np.uint8, np.uint8, np.int64, np.uint32))
+        ahead = made[1]
+        if rows.num_rows and side.num_rows:
+            b = shared_segments(rows.to_pydict(), side, n_anchors)
             first, bucket, _ = distinct_segments(b, n)
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
-            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                own = first[x:y]
-                out["block"].append(key[0])
-                out["bucket"].append(int(bucket[x]))
-                out["texts"].append(_pack(slices(b.data, b.first[own], b.count[own] + DEPTH - 1)))
-                out["counts"].append(b.count[own].astype(np.uint8).tobytes())
-                out["low"].append(_pack(b.ids[b.owner[own]]))
-                out["marks"].append(b.anchor[own].astype(np.uint32).tobytes())
+            made = runs(bucket.astype(np.int32))
+            size = b.count[first] + DEPTH - 1
+            text, count, low, mark = slices(b.data, b.first[first], size), b.count[first].astype(np.uint8), b.ids[b.owner[first]], b.anchor[first].astype(np.uint32)
+            ahead = np.concatenate(([0], np.cumsum(size)))[made[1]]
+        bucket, ends = made
         common.release()
-        return pd.DataFrame(out)
+        block = key[0].as_py()
+        at = [pa.array(np.full(len(bucket), block, np.int32)), pa.array(bucket), pa.array(np.where(bucket >= n, block // FAN, -1).astype(np.int32))]
+        return pa.table([*at, _cut(text, ahead), _cut(count, ends), _cut(low, ends), _cut(mark, ends)], SENT_NAMES)
 
-    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(send, SENT)
+    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, SENT)
     return answered(sent, n_blocks)
 
 
-SENT = "block int, bucket int, texts binary, counts binary, low binary, marks binary"
+SENT_NAMES = ["block", "bucket", "lot", "texts", "counts", "low", "marks"]
 
 
-def unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The segments of some rows together (bytes, counts of windows, smallest doc_ids, marks), and how many are in each row."""
-    counts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["counts"]]
-    data = np.concatenate([_unpack(x, np.uint8) for x in rows["texts"]])
-    low, mark = np.concatenate([_unpack(x, np.int64) for x in rows["low"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in rows["marks"]])
-    return data, np.concatenate(counts), low, mark, np.array([len(c) for c in counts], np.int64)
+    count, n = _joined(rows.column("counts"), np.uint8)
+    return _joined(rows.column("texts"), np.uint8)[0], count.astype(np.int64), _joined(rows.column("low"), np.int64)[0], _joined(rows.column("marks"), np.uint32)[0], n
 
 
 def distinct(data: np.ndarray, count: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,38 +362,67 @@ def spans_of(pick: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(ahead[pick] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def answered(sent: DataFrame, n_blocks: int) -> DataFrame:
-    """``block``, ``bucket``, ``lowest`` for each row of ``sent``: a bucket's segments of all blocks meet, by lots of ``FAN`` blocks if there are more."""
+def in_runs(lowest: np.ndarray, count: np.ndarray, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Windows' smallest doc_ids as runs (lengths and values) that end where a segment ends, by rows of ``n`` segments."""
+    new = np.zeros(len(lowest), bool)
+    starts = np.cumsum(count) - count
+    new[starts] = True
+    new[1:] |= lowest[1:] != lowest[:-1]
+    at = np.flatnonzero(new)
+    rows = np.concatenate(([0], np.cumsum(count)))[np.concatenate(([0], np.cumsum(n)))]
+    ends = np.searchsorted(at, rows)
+    return _cut(np.diff(np.append(at, len(lowest))).astype(np.uint8), ends), _cut(lowest[at], ends)
 
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        data, count, low, mark, n = unpacked(rows)
-        lowest = smallest(data, count, low, mark)
-        common.release()
-        edges = np.concatenate(([0], np.cumsum(count)))[np.concatenate(([0], np.cumsum(n)))]
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "lowest": [_pack(lowest[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]})
 
-    if n_blocks <= FAN:
-        return sent.groupBy("bucket").applyInPandas(answer, "block int, bucket int, lowest binary")
+def out_of_runs(rows: pa.Table) -> np.ndarray:
+    return np.repeat(_joined(rows.column("low"), np.int64)[0], _joined(rows.column("counts"), np.uint8)[0])
 
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        data, count, low, mark, _ = unpacked(rows.sort_values("block"))
-        _, lead, best = distinct(data, count, low)
-        size = count + DEPTH - 1
-        text = data[spans_of(lead, size)]
-        return pd.DataFrame({"block": [key[1]], "bucket": [key[0]], "texts": [_pack(text)], "counts": [count[lead].astype(np.uint8).tobytes()], "low": [_pack(best)], "marks": [mark[lead].tobytes()]})
 
-    def dealt(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        data, count, low, _, n = unpacked(rows)
-        which, lead, _ = distinct(data, count, low)
-        lowest = _unpack(above["lowest"].iloc[0], np.int64)[spans_of(which, count[lead])]
-        edges = np.concatenate(([0], np.cumsum(count)))[np.concatenate(([0], np.cumsum(n)))]
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "lowest": [_pack(lowest[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]})
+def answered(sent: DataFrame, n_blocks: int) -> DataFrame:
+    """``block``, ``bucket``, ``counts``, ``low`` for each row of ``sent``: a bucket's segments of all blocks meet.
+
+    Those of hot buckets meet by lots of ``FAN`` blocks first, and what a lot
+    has merged goes on as one block's; so no task gets more than ``FAN`` copies
+    of a segment, however large the corpus is.
+    """
 
-    sent = common.written(sent.withColumn("lot", F.floor(F.col("block") / FAN).cast("int")), "segments")
-    merged = common.written(sent.groupBy("bucket", "lot").applyInPandas(merge, SENT), "merged-segments")
-    above = answered(merged, -(-n_blocks // FAN)).withColumnRenamed("block", "lot")
-    return sent.groupBy("bucket", "lot").cogroup(above.groupBy("bucket", "lot")).applyInPandas(dealt, "block int, bucket int, lowest binary")
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        bucket, lot = key[0].as_py(), key[1].as_py()
+        data, count, low, mark, n = unpacked(rows)
+        none = pa.array([b""] * rows.num_rows, pa.binary())
+        at = [rows.column("block").combine_chunks(), rows.column("bucket").combine_chunks(), rows.column("lot").combine_chunks()]
+        number = lambda x, k: pa.array(np.full(k, x, np.int32))
+        if lot < 0:
+            lengths, values = in_runs(smallest(data, count, low, mark), count, n)
+            common.release()
+            return pa.table([number(ANSWER, len(n)), *at, none, lengths, values, none], ["kind", *SENT_NAMES])
+        which, lead, best = distinct(data, count, low)
+        ends = np.concatenate(([0], np.cumsum(n)))
+        told = pa.table([number(WHICH, len(n)), *at, none, _cut(count.astype(np.uint8), ends), none, _cut(which.astype(np.uint32), ends)], ["kind", *SENT_NAMES])
+        size = count + DEPTH - 1
+        whole = lambda x: _cut(x, np.array([0, len(x)]))
+        own = [number(MERGED, 1), number(lot, 1), number(bucket, 1), number(-1 if -(-n_blocks // FAN) <= FAN else lot // FAN, 1)]
+        merged = pa.table([*own, whole(data[spans_of(lead, size)]), whole(count[lead].astype(np.uint8)), whole(best), whole(mark[lead])], ["kind", *SENT_NAMES])
+        return pa.concat_tables([told, merged])
+
+    def deal(rows: pa.Table, above: pa.Table) -> pa.Table:
+        which, n = _joined(rows.column("marks"), np.uint32)
+        count = _joined(rows.column("counts"), np.uint8)[0].astype(np.int64)
+        # the windows of each merged segment, whose number each of its copies tells
+        windows = np.zeros(int(which.max()) + 1, np.int64)
+        windows[which] = count
+        lengths, values = in_runs(out_of_runs(above)[spans_of(which, windows)], count, n)
+        return pa.table([rows.column("block").combine_chunks(), rows.column("bucket").combine_chunks(), lengths, values], ["block", "bucket", "counts", "low"])
+
+    kind = "block int, bucket int, counts binary, low binary"
+    met = sent.groupBy("bucket", "lot").applyInArrow(meet, MET)
+    if n_blocks <= FAN:  # no anchor is in more blocks than there are
+        return met.select("block", "bucket", "counts", "low")
+    met = common.written(met, "met-segments")
+    answers = met.where(F.col("kind") == ANSWER).select("block", "bucket", "counts", "low")
+    above = answered(met.where(F.col("kind") == MERGED).select(SENT_NAMES), -(-n_blocks // FAN)).withColumnRenamed("block", "lot")
+    told = met.where(F.col("kind") == WHICH)
+    return answers.unionByName(told.groupBy("bucket", "lot").cogroup(above.groupBy("bucket", "lot")).applyInArrow(deal, kind))
 
 
 def smallest(data: np.ndarray, count: np.ndarray, low: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -378,13 +440,12 @@ def smallest(data: np.ndarray, count: np.ndarray, low: np.ndarray, mark: np.ndar
     return out[spans_of(which, n_windows)]
 
 
-def covered(b: Block, side: pd.DataFrame, n: int) -> np.ndarray:
+def covered(b: Block, side: pa.Table, n: int) -> np.ndarray:
     """Which bytes of the block go."""
     cover = np.zeros(len(b.data) + 1, np.int64)
     if len(b.first):
         first, _, place = distinct_segments(b, n)
-        side = side.sort_values("bucket")
-        lowest = np.concatenate([_unpack(x, np.int64) for x in side["lowest"]])
+        lowest = out_of_runs(side.sort_by("bucket"))
         n_windows = b.count[first]
         ahead = np.cumsum(n_windows) - n_windows
         within = np.arange(int(b.count.sum())) - np.repeat(np.cumsum(b.count) - b.count, b.count)
@@ -411,16 +472,16 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carr
     blocks = blocks_of(df, key, text, n_blocks, list(carry))
     shared = common.written(shared_anchors(blocks, n_anchors), "shared-anchors")
     found = owners(blocks, shared, n_anchors, n, n_blocks)
-    side = shared.withColumn("lowest", F.lit(None).cast("binary")).unionByName(found.withColumn("shared", F.lit(None).cast("binary")))
+    none = F.lit(None).cast("binary")
+    side = shared.select("block", "bucket", "shared", "hot", none.alias("counts"), none.alias("low")).unionByName(found.select("block", "bucket", none.alias("shared"), none.alias("hot"), "counts", "low"))
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string() if characters else pa.binary()}
 
     def finish(rows: pa.Table, side: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in kinds}
         carried = None
         if rows.num_rows:
-            side = side.to_pandas()
-            b = shared_segments(rows.to_pydict(), side[side["shared"].notna()], n_anchors)
-            gone = covered(b, side[side["lowest"].notna()], n)
+            b = shared_segments(rows.to_pydict(), side.filter(side.column("shared").is_valid()), n_anchors)
+            gone = covered(b, side.filter(side.column("low").is_valid()), n)
             for i, null, a, size, t in zip(b.ids.tolist(), b.nulls.tolist(), b.starts.tolist(), b.sizes.tolist(), b.texts, strict=True):
                 g = gone[a : a + size]
                 kept = b.data[a : a + size][~g].tobytes() if g.any() else t

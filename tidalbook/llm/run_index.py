@@ -46,7 +46,8 @@ class RunIndex:
             keys = rank.copy()
             for k in range(1, steps + 1):
                 ahead = np.zeros(n, np.int64)
-                ahead[: n - k * h] = rank[k * h :] + n_seg
+                at = min(k * h, n)
+                ahead[: n - at] = rank[at:] + n_seg
                 keys *= m
                 keys += np.where(left >= k * h, ahead, seg)
             rank = self.ranked(keys)
