@@ -1,12 +1,17 @@
 import hashlib
 import random
 
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
 from tidalbook.llm import fingerprints as fp
 
 
 def brute(rows):
-    """Edited texts by (doc_id, text) order, nulls first."""
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    """Edited texts by doc_id, nulls first, and by the texts' hashes within one."""
+    mark = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest() >> 1
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, mark(r[1]), r[1].encode()))
     out = []
     for k, (i, t) in enumerate(rows):
         c = len(t) // 4
@@ -44,6 +49,20 @@ def test_empty_table_and_single_row(nothing, odd):
     agree(fp.compared(one), [(r["doc_id"], r["text"]) for r in one.collect()])
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_a_third_of_all_rows_share_an_id_or_have_none(spark, hot):
+    """They are dealt over their ranges; no range has more than a few per cent of the rows."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 9)))
+    rows = [(hot if i % 3 == 0 else i, " ".join(word() for _ in range(rng.randrange(1, 12)))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    agree(fp.compared(df), rows)
+    per = fp.with_next(df).where("tail = 0").groupBy("range").count().agg(F.max("count"), F.sum("count"), F.count("*")).first()
+    assert per[0] < 0.12 * 900 and per[1] == 900 and per[2] >= 14
+    same = [(1, "one text")] * 40 + [(2, None)] * 3
+    agree(fp.compared(spark.createDataFrame(same, "doc_id long, text string")), same)
+
+
 def test_algebra():
     a, b, both, turned = ("x y z\nu v w", "p q r", "x y z\nu v w\np q r", "p q r\nu v w\nx y z")
     hexed = lambda t: fp.to_hex(*(x[0] for x in alone(t)))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidalbook.llm import bpe, token_store
@@ -101,3 +102,22 @@ def test_one_hot_id_and_rows_without_any(spark, tmp_path):
 
 def test_query(spark, sf, texts):
     assert sorted(map(tuple, token_store.op6_token_store(spark, sf).collect())) == expected(texts.items())
+
+
+def test_keys_of_hot_ids_are_numbered_by_lots(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "LOT", 4)
+    ids = [7] * 13 + [8] * 4 + [None] * 5 + [9]
+    got = sorted(((r["doc_id"] or 0, r["nth"]) for r in token_store.numbered(spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()))
+    assert got == sorted((i or 0, n) for i in set(ids) for n in range(ids.count(i)))
+
+
+def test_stores_by_their_names(tmp_path):
+    """Spark's names of S3 are Arrow's; what Arrow does not know fails with a clear message."""
+    for name in ("s3", "s3a", "s3n"):
+        fs, path = token_store.store(f"{name}://bucket/a/b?region=eu-west-1")
+        assert fs.type_name == "s3" and path == "bucket/a/b"
+    for local in (f"file://{tmp_path}", f"file:{tmp_path}", str(tmp_path)):
+        fs, path = token_store.store(local)
+        assert fs.type_name == "local" and path == str(tmp_path)
+    with pytest.raises(ValueError, match="dbfs"):
+        token_store.store("dbfs:/somewhere")

@@ -128,28 +128,48 @@ def fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint") ->
     return common.with_made(df, text, into, "string", make)
 
 
+def range_numbers(keys: np.ndarray, marks: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """The range of each row in the order of (key, mark); a key that stands several times among the cuts is parted by its marks, evenly."""
+    at = np.array(cuts, np.int64)
+    low, high = np.searchsorted(at, keys, side="left"), np.searchsorted(at, keys, side="right")
+    within = low + 1 + ((marks >> 20) * (high - low) >> 43)
+    return np.where(high - low > 1, within, high).astype(np.int32)
+
+
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows dealt to ranges of ascending keys, each range followed by the first row of the next (``tail``; the first of all after the last).
 
-    Rows of one key follow each other in the order of their texts; null keys come first.
+    Rows of one key follow each other in the order of a hash of their texts, so
+    that a key which fills several ranges (or rows without one, which come
+    first) is dealt over them; only rows that are equal in both meet.  The
+    driver holds the ranges' cuts and the key and hash that open each.
     """
     n = RANGES * common.n_partitions(df.sparkSession)
-    cuts = sorted({c for c in token_store.ranges(df, n, key) if c != token_store.LOW})
-    low, nulls = df.agg(F.min(F.col(key).cast("long")), F.count(F.when(F.col(key).isNull(), 1))).first()
-    first, last = None if nulls else low, len(cuts)
-    opens = {c: i for i, c in enumerate(cuts)}  # the key that opens range i + 1 also ends range i
+    cuts = token_store.ranges(df, n, key)
+    mark = F.shiftrightunsigned(F.xxhash64("text"), 1).alias("mark")
+    held = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", "text", mark)
+
+    def number(b: pa.RecordBatch) -> dict:
+        keys, marks = token_store.keys_of(b.column(0)), b.column(1).to_numpy()
+        return {"range": pa.array(range_numbers(keys, marks, cuts)), "key": pa.array(keys), "mark": b.column(1)}
+
+    numbered = common.arrow_map(held.select("doc_id", "mark"), number, "range int, key long, mark long")
+    first = sorted(map(tuple, numbered.groupBy("range").agg(F.min(F.struct("key", "mark")).alias("f")).select("range", "f.key", "f.mark").collect()))
+    # a range is followed by the row that opens the next range with rows
+    opens = {f[1:]: first[i - 1][0] for i, f in enumerate(first)}
 
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = b.column(0).to_pylist()
-        own = token_store.range_numbers(token_store.keys_of(b.column(0)), np.zeros(len(ids), np.int64), cuts)
-        again = [(i, opens[x]) for i, x in enumerate(ids) if x in opens] + [(i, last) for i, x in enumerate(ids) if x == first]
-        rows = pa.array([*range(len(ids)), *(i for i, _ in again)], pa.int32())
+        keys, marks = token_store.keys_of(b.column(0)), b.column(2).to_numpy()
+        own = range_numbers(keys, marks, cuts)
+        again = [(i, opens[x]) for i, x in enumerate(zip(keys.tolist(), marks.tolist(), strict=True)) if x in opens]
+        rows = pa.array([*range(len(keys)), *(i for i, _ in again)], pa.int32())
         part = np.concatenate((own, np.array([r for _, r in again], np.int32)))
-        tail = np.concatenate((np.zeros(len(ids), np.int32), np.ones(len(again), np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(tail), b.column(0).take(rows), b.column(1).take(rows)], ["range", "tail", "doc_id", "text"])
+        tail = np.concatenate((np.zeros(len(keys), np.int32), np.ones(len(again), np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(tail), *(b.column(i).take(rows) for i in range(3))], ["range", "tail", "doc_id", "text", "mark"])
 
-    rows = common.arrow_map(df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), deal, "range int, tail int, doc_id long, text string")
-    return rows.repartition(common.n_partitions(df.sparkSession), "range").sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_first(), "text")
+    rows = common.arrow_map(held, deal, "range int, tail int, doc_id long, text string, mark long")
+    rows = rows.repartition(common.n_partitions(df.sparkSession), "range").sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_first(), "mark", "text")
+    return rows.drop("mark")
 
 
 def compared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -271,12 +271,24 @@ def encoded(df: DataFrame, cuts: list[int], end: int | None, path: str, key: str
 SHARD = "range int, part int, name string, n_docs long, n_ids long, first_id long, first_nth long, last_id long, last_nth long"
 
 
+#: Spark's names of stores that Arrow knows by another.
+NAMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder named by a URI or a path, and its path there."""
+    """The file system of a folder named by a URI or a path, and its path there.
+
+    Ids are written through Arrow's file systems: local and mounted folders,
+    S3 (``s3``, and Spark's ``s3a`` and ``s3n``), Google's (``gs``), Azure's (``abfs``) and HDFS.
+    """
     local = uri.startswith("/")
     if local or uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + (uri if local else uri[5:]).lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+    scheme, rest = uri.split(":", 1)
+    try:
+        return pafs.FileSystem.from_uri(f"{NAMES.get(scheme, scheme)}:{rest}")
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"{uri}: ids go through Arrow, which has no file system for {scheme}; let spark.checkpoint.dir name a folder in one that it has (file, s3, s3a, s3n, gs, abfs, hdfs)") from e
 
 
 def write_shard(folder: str, name: str, rows: list[tuple[int | None, int, bytes]], width: int) -> None:
@@ -384,6 +396,7 @@ def write(df: DataFrame, path: str, end: int | None = None, tokenizer: str | Non
     """Encodes ``df`` and writes its shards to ``path``; returns the layout of key ranges."""
     tokenizer = tokenizer or bpe.default_path()
     width = 2 if len(LibraryCodec(tokenizer).bytes) <= 1 << 16 else 4
+    store(path)  # fails before the work is done, not after
     made = layout(df, RANGES * common.n_partitions(df.sparkSession), key, text)
     shards(encoded(df, made.cuts, end, tokenizer, key, text), f"{path}/ids", width, made.several).write.parquet(f"{path}/shards")
     return made
@@ -442,10 +455,21 @@ def lookup(keys: DataFrame, path: str, layout: Layout) -> DataFrame:
     return asked.groupBy("range").cogroup(stored.groupBy("range")).applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+#: Rows of one doc_id that are numbered by one array.
+LOT = 10_000
+
+
+def numbered(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The keys of all rows: ``doc_id``, and ``nth`` from 0 among the rows that share it; by lots, so that no array grows with a hot id."""
+    counts = docs.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    lots = counts.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT))))
+    within = F.sequence(F.col("lot") * LOT, F.least(F.col("n"), (F.col("lot") + 1) * LOT) - 1)
+    # lots of one id go their ways before they are numbered
+    return lots.repartition(common.n_partitions(docs.sparkSession), "doc_id", "lot").select("doc_id", F.explode(within).alias("nth"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     path = f"{common.shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
     made = write(docs, path, end=2)
-    counts = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
-    keys = counts.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("nth"))
-    return lookup(keys, path, made)
+    return lookup(numbered(docs), path, made)
