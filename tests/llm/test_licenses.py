@@ -27,7 +27,9 @@ def brute(text):
             n *= 2
         blocks = cut(w, n) + [b for line in (text or "").split("\n") * (n == lic.BLOCK) for b in cut(words(line), n)]
         for b in blocks:
-            share = len(whole & set(b)) / len(whole)
+            m = len(t.split())
+            near = [b[i : i + m + max(1, m // 5)] for i in range(len(b))] if m <= lic.BLOCK // 2 else [b]
+            share = max((len(whole & set(x)) for x in near), default=0) / len(whole)
             if share >= lic.THRESHOLD - 1e-12:
                 labels.add(label)
                 score = max(score, share)
@@ -86,6 +88,17 @@ def test_whole_notices(spark):
         assert want[i] is None or want[i] in got[i][5].split(",")
 
 
+def test_ordinary_sentences_are_no_notices(spark):
+    sentences = [
+        "The hotel reserved all twelve rooms and waived the usual rights of the guests.", "GNU General Public License version 3, see section 2 of it", "Licensed under the GNU General Public License version 3, see section 2 of it",
+        "This work moves the public: it is dedicated to every domain of the town, and to the free one.", "All who paid have reserved their seats; other rights are not affected.",
+    ]
+    df = spark.createDataFrame(list(enumerate(sentences)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in lic.scan(df).collect()}
+    assert [got[i][5] for i in range(len(sentences))] == ["", "", "gpl-3", "", ""]
+    assert all(got[i] == brute(t) for i, t in enumerate(sentences))
+
+
 def test_many_places():
     index = lic.Index({}, lic.BASE, {}, 0.9)
     text = "under the mit license and " * 60_000

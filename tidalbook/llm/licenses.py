@@ -5,7 +5,9 @@ that overlap by half.  So are the words of the whole text, whatever its line
 feeds, as notices are often wrapped.  For templates of more than half a block
 the blocks are windows of the whole text that are twice as long as the template
 at least, so that a notice always lies in one.  A block matches a template if it
-holds at least ``threshold`` of the template's distinct words (containment).  Template words
+holds at least ``threshold`` of the template's distinct words (containment); of a
+short template, within about as many words as it has, so that ordinary sentences
+of the same words are none.  Template words
 are put in one global order, rarest in the corpus first.  A block that meets
 the threshold must hold one of a template's first ``|T| - need + 1`` words
 (prefix filter) and have ``need`` distinct words at least (length filter); with
@@ -120,6 +122,26 @@ def width_of(size: int) -> int:
     return width
 
 
+def reach_of(size: int) -> int | None:
+    """Words within which a template of ``size`` words has to stand: itself and a fifth more; longer ones anywhere in a block."""
+    return size + max(1, size // 5) if size <= BLOCK // 2 else None
+
+
+def most_within(block: list[bytes], whole: frozenset[bytes], reach: int) -> int:
+    """The most different words of ``whole`` that stand in ``reach`` consecutive words of the block."""
+    seen: Counter = Counter()
+    most = 0
+    for i, w in enumerate(block):
+        if i >= reach and (old := block[i - reach]) in whole:
+            seen[old] -= 1
+            if not seen[old]:
+                del seen[old]
+        if w in whole:
+            seen[w] += 1
+            most = max(most, len(seen))
+    return most
+
+
 def needed(size: int, threshold: float) -> int:
     """The fewest common words that meet the threshold."""
     k = int(size * threshold)
@@ -153,7 +175,7 @@ class Index:
             words = sorted({w.encode() for w in t.split()}, key=lambda w: (counts.get(w, 0), w))
             need = needed(len(words), threshold)
             k = len(self.sets)
-            self.sets.append((frozenset(words), need, label, {w: i for i, w in enumerate(words)}))
+            self.sets.append((frozenset(words), need, label, {w: i for i, w in enumerate(words)}, reach_of(len(t.split()))))
             own = self.prefix.setdefault(width_of(len(t.split())), {})
             for w in words[: len(words) - need + 1]:
                 own.setdefault(w, []).append(k)
@@ -188,12 +210,14 @@ class Index:
             for block in self.blocks(raw, words, width):
                 own = set(block)
                 for k in {k for w in own & prefix.keys() for k in prefix[w]}:
-                    whole, need, label, order = self.sets[k]
+                    whole, need, label, order, reach = self.sets[k]
                     if len(own) < need:
                         continue
                     if len(whole) - min(order[w] for w in own & whole) < need:
                         continue
                     common_words = len(own & whole)
+                    if common_words >= need and reach is not None:
+                        common_words = most_within(block, whole, reach)
                     if common_words >= need:
                         more.add(label)
                         score = max(score, common_words / len(whole))
