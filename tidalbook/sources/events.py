@@ -16,11 +16,13 @@ NOTIFICATION = "title string, body string, date timestamp"
 def notification_rows(events: DataFrame) -> DataFrame:
     """Purchases among notifications (``title``, ``body``, ``date``) as unsigned ledger input; works on streams too."""
     title, body = F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("body"), F.lit(""))
-    amount = F.coalesce(F.nullif(text.extract_amount(body), F.lit(0).cast("decimal(15,2)")), text.extract_amount(title))
-    rows = events.where(text.is_purchase(title, body)).select(
-        text.extract_merchant(body).alias("description"), F.abs(amount).alias("amount"), text.detect_bank(title, body).alias("bank"), F.col("date")
-    )
-    return rows.where(F.col("bank").isNotNull() & (F.col("amount") > 0))
+    # one row each, so that tokens are found once before amounts are read from them: in one expression they would be copied into each place
+    parts = F.struct(title.alias("title"), body.alias("body"), text.money_token(body).alias("in_body"), text.money_token(title).alias("in_title"), F.col("date"))
+    told = events.where(text.is_purchase(title, body)).select(F.inline(F.array(parts)))
+    read = F.struct(text.parse_amount(F.col("in_body")).alias("in_body"), text.parse_amount(F.col("in_title")).alias("in_title"), text.detect_bank(F.col("title"), F.col("body")).alias("bank"), text.extract_merchant(F.col("body")).alias("description"), F.col("date"))
+    rows = told.select(F.inline(F.array(read)))
+    amount = F.abs(F.coalesce(F.nullif(F.col("in_body"), F.lit(0).cast("decimal(15,2)")), F.col("in_title")))
+    return rows.select("description", amount.alias("amount"), "bank", "date").where(F.col("bank").isNotNull() & (F.col("amount") > 0))
 
 
 def read_notifications(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
