@@ -17,20 +17,21 @@ from ..schema import with_defaults
 OVERWRITTEN = ("description", "amount", "date", "category", "updated_at")
 
 
-def place_in_key(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
+def place_in_key(df: DataFrame, key: str, *order: str, last_first: bool = False) -> DataFrame:
     """``df`` with ``__n``, each row's place within its key in the given order; every row with a null key is a first one.
 
-    Rows with a null key are dealt by a hash of the row, so a task that runs again deals them alike.
+    Rows with a null key are dealt by a hash of what orders them, so a task that
+    runs again deals them alike, and no other column is needed for it.
     """
-    alone = F.concat(F.lit("\0"), F.xxhash64(*df.columns).cast("string"))
+    alone = F.concat(F.lit("\0"), F.xxhash64(*order).cast("string"))
     keyed = df.withColumn("__key", F.coalesce(F.col(key).cast("string"), alone))
-    place = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
+    place = F.row_number().over(Window.partitionBy("__key").orderBy(*(F.col(c).desc() if last_first else F.col(c) for c in order)))
     return keyed.withColumn("__n", F.when(F.col(key).isNull(), 1).otherwise(place)).drop("__key")
 
 
-def first_per_key(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
+def first_per_key(df: DataFrame, key: str, *order: str, last_first: bool = False) -> DataFrame:
     """The first row of each key in the given order; rows with a null key all stay."""
-    return place_in_key(df, key, *order).where("__n = 1").drop("__n")
+    return place_in_key(df, key, *order, last_first=last_first).where("__n = 1").drop("__n")
 
 
 def insert_ignore(batch: DataFrame, existing: DataFrame, key: str = "external_id", order: tuple = ("date", "id")) -> DataFrame:
@@ -50,7 +51,7 @@ def upserted(target: DataFrame, batch: DataFrame, key: str = "external_id", orde
 
     Hits take the overwritten columns of the batch's last row, other rows are added whole.
     """
-    latest = first_per_key(batch, key, *(F.col(c).desc() for c in order))
+    latest = first_per_key(batch, key, *order, last_first=True)
     cols = target.columns
     t = target.select(*(F.col(c).alias(f"t_{c}") for c in cols), F.lit(True).alias("__t"))
     b = latest.select(*((F.col(c) if c in latest.columns else F.lit(None).cast(target.schema[c].dataType)).alias(f"b_{c}") for c in cols), F.lit(True).alias("__b"))
