@@ -50,7 +50,7 @@ from .words import scrambled
 DEPTH, GRAM = 50, 20
 SPAN = DEPTH - GRAM + 1
 #: Bytes of text per block, per bucket of segments and per bucket of anchors; blocks and buckets at least.
-BLOCK, SEGMENTS, ANCHORS, LEAST = 2 << 20, 4 << 20, 8 << 20, 64
+BLOCK, SEGMENTS, ANCHORS, LEAST = 2 << 20, 1 << 19, 8 << 20, 64
 #: Bytes of text that a task deals to the blocks at a time, and blocks whose segments meet in one task.
 PIECE, FAN = 16 << 20, 64
 LAST = (1 << 63) - 1
@@ -180,7 +180,11 @@ class Block:
 def slices(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of many slices, one after the other."""
     ahead = np.cumsum(size) - size
-    return data[np.repeat(first - ahead, size) + np.arange(int(size.sum()))]
+    out = np.empty(int(size.sum()), data.dtype)
+    for i in range(0, len(size), 4_096):  # so many at a time that their places stay in the cache
+        n, start = size[i : i + 4_096], ahead[i]
+        out[start : start + n.sum()] = data[np.repeat(first[i : i + 4_096] - ahead[i : i + 4_096] + start, n) + np.arange(int(n.sum()))]
+    return out
 
 
 def buckets_of(anchor: np.ndarray, n: int) -> np.ndarray:
@@ -291,10 +295,10 @@ def shared_segments(rows: dict[str, list], side: pa.Table, n_anchors: int) -> Bl
 def distinct_segments(b: Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the block's distinct segments: the first occurrence, the bucket, ordered by bucket and name; and each occurrence's place in that order.
 
-    Hot segments have buckets of their own, from ``n`` on.
+    Hot segments have buckets of their own, from ``n`` on; fewer, as each of them stands in more than ``FAN`` blocks.
     """
     name = b.names()
-    bucket = buckets_of(b.anchor, n) + n * b.hot
+    bucket = np.where(b.hot, n + buckets_of(b.anchor, max(LEAST, n // FAN)), buckets_of(b.anchor, n))
     order = np.lexsort((np.arange(len(name)), name, bucket))
     lead = np.concatenate(([True], name[order][1:] != name[order][:-1])) if len(order) else np.zeros(0, bool)
     place = np.empty(len(order), np.int64)
