@@ -121,6 +121,23 @@ def test_receipts_stream_and_restart(spark, tmp_path, dies):
     assert {r["account_id"] for r in ledger.read().where("source = 'uber'").collect()} == {r["id"] for r in accounts.read().where("name = 'Uber'").collect()}
 
 
+def test_free_receipts_on_a_stream(spark, tmp_path):
+    """A receipt of 0.00 links its transaction and books nothing; two trips of one moment and price are two rows."""
+    tx = spark.sql("select '1' as id, 'acc' as account_id, 'x' as description, cast(-1.81 as decimal(15,2)) as amount, timestamp_ntz'2024-01-01 11:00:00' as date, 'lazer' as category, 'ofx' as source, 'k' as external_id, cast(null as string) as uber_metadata_id")
+    ac = spark.createDataFrame([("acc", "Banco", dt.datetime(2024, 1, 1))], "id string, name string, created_at timestamp")
+    free = {"valor": 0.0, "data_hora": "2024-01-01T10:00:00Z", "endereco_partida": "A", "endereco_destino": "B"}
+    paid = free | {"valor": 90.0}
+    lines(tmp_path / "in", [free, free | {"data_hora": "2024-01-09T10:00:00Z"}, paid, paid | {"endereco_partida": "C"}])
+    kind = ingest.receipts(spark, str(tmp_path / "in")).schema
+    ledger, accounts = tables.KeyedTable(spark, str(tmp_path / "ledger"), tx.schema, "id", 4).create(tx), tables.KeyedTable(spark, str(tmp_path / "accounts"), ac.schema, "id", 2).create(ac)
+    reject = tables.BatchSink(spark, str(tmp_path / "rejected"), spark.createDataFrame([], kind).withColumn("failed", F.array().cast("array<string>")).schema)
+    booked = tables.BatchSink(spark, str(tmp_path / "trips"), schema.TRIPS)
+    writer = ingest.booked_receipts(ingest.receipts(spark, str(tmp_path / "in")), ledger, accounts, booked, reject, every=None, free=True)
+    writer.option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
+    assert sorted((r["category"], float(r["amount"])) for r in ledger.read().collect()) == [("transporte", -90.0), ("transporte", -90.0), ("transporte", -1.81)]
+    assert booked.read().count() == 4 and reject.read().count() == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_window_on_a_stream_equals_the_batch(spark, tmp_path, seed):
     """Rows arrive in any order within the delay, over several runs of the stream."""

@@ -61,12 +61,13 @@ def unmatched(trips: DataFrame, matched: DataFrame) -> DataFrame:
 ACCOUNT = "Uber"
 
 
-def from_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+def from_payloads(payloads: DataFrame, free: bool = False) -> tuple[DataFrame, DataFrame]:
     """Trip rows of valid payloads (``valor``, ``data_hora``, addresses, driver, seconds), and rejected payloads with their failed fields.
 
     A trip's id comes from its payload, so a payload that lands twice is one trip.
+    ``free``: trips of 0.00 are valid too.
     """
-    good, bad = validate.split(payloads, "trip")
+    good, bad = validate.split(payloads, "free_trip" if free else "trip")
     date = F.to_timestamp("data_hora").cast("timestamp_ntz")
     known = F.sha2(F.concat_ws("|", F.col("valor").cast("string"), "data_hora", "endereco_partida", "endereco_destino", F.coalesce("nome_motorista", F.lit(""))), 256)
     rows = good.select(
@@ -82,24 +83,30 @@ def metadata(rows: DataFrame, now: Column | None = None) -> DataFrame:
     return with_defaults(rows.withColumnsRenamed(named), "trips", now)
 
 
-def changes(rows: DataFrame, transactions: DataFrame, accounts: DataFrame, signed: bool = False, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What some trips change: the transactions that get a trip, the rows to add for the other trips, and the accounts to add for those."""
+def changes(rows: DataFrame, transactions: DataFrame, accounts: DataFrame, signed: bool = False, now: Column | None = None, free: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What some trips change: the transactions that get a trip, the rows to add for the other trips, and the accounts to add for those.
+
+    ``free``: a trip of 0.00 is no expense, so no row is added for it.
+    """
     matched = match(rows, transactions, signed)
-    fresh = unmatched(rows, matched).withColumn("name", F.lit(ACCOUNT))
+    fresh = unmatched(rows.where("amount <> 0") if free else rows, matched).withColumn("name", F.lit(ACCOUNT))
     missing = writes.missing_accounts(fresh, accounts)
     known = accounts.select("id", "name", "created_at").unionByName(missing.select("id", "name", F.col("created_at").cast(accounts.schema["created_at"].dataType).alias("created_at")))
-    added = with_defaults(writes.resolve_accounts(fresh, known).drop("name").withColumn("id", F.col("external_id")), "transactions", now)
+    added = with_defaults(writes.resolve_accounts(fresh, known).drop("name").withColumn("id", F.concat_ws("_", "external_id", "uber_metadata_id")), "transactions", now)
     linked = link(matched, transactions.join(matched.select(F.col("tx_id").alias("id")).distinct(), "id", "left_semi").select(*transactions.columns))
     return linked, added.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in transactions.schema)), missing
 
 
-def booked(rows: DataFrame, transactions: DataFrame, accounts: DataFrame, signed: bool = False, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The ledger after some trips: transactions with their trips, and new ones for the rest; and the accounts to add for those."""
+def booked(rows: DataFrame, transactions: DataFrame, accounts: DataFrame, signed: bool = False, now: Column | None = None, free: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The ledger after some trips: transactions with their trips, and new ones for the rest; and the accounts to add for those.
+
+    ``free``: a trip of 0.00 is no expense, so no row is added for it.
+    """
     matched = match(rows, transactions, signed)
-    fresh = unmatched(rows, matched).withColumn("name", F.lit(ACCOUNT))
+    fresh = unmatched(rows.where("amount <> 0") if free else rows, matched).withColumn("name", F.lit(ACCOUNT))
     missing = writes.missing_accounts(fresh, accounts)
     known = accounts.select("id", "name", "created_at").unionByName(missing.select("id", "name", F.col("created_at").cast(accounts.schema["created_at"].dataType).alias("created_at")))
-    added = with_defaults(writes.resolve_accounts(fresh, known).drop("name").withColumn("id", F.col("external_id")), "transactions", now)
+    added = with_defaults(writes.resolve_accounts(fresh, known).drop("name").withColumn("id", F.concat_ws("_", "external_id", "uber_metadata_id")), "transactions", now)
     after = link(matched, transactions)
     added = added.select(*(F.col(c).cast(after.schema[c].dataType).alias(c) for c in after.columns))
     return after.unionByName(added), missing

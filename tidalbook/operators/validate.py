@@ -34,6 +34,7 @@ def rules(kind: str) -> dict[str, Column]:
             "valor": _c("valor") > 0, "data_hora": _c("data_hora").rlike(ISO_UTC), "endereco_partida": F.length("endereco_partida") >= 1, "endereco_destino": F.length("endereco_destino") >= 1,
             "duracao_segundos": _optional("duracao_segundos", _c("duracao_segundos") > 0),
         },
+        "free_trip": lambda: rules("trip") | {"valor": _c("valor") >= 0},
         "nearby": lambda: {"latitude": _c("latitude").between(-90, 90), "longitude": _c("longitude").between(-180, 180), "radiusMeters": _optional("radiusMeters", (_c("radiusMeters") > 0) & (_c("radiusMeters") <= 50_000))},
         "ofx": lambda: {"account_id": _c("account_id").rlike(UUID), "content": F.length("content") >= 1},
     }[kind]()

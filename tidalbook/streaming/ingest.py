@@ -130,7 +130,7 @@ def receipts(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(PAYLOADS["trip"]).json(path)
 
 
-def booked_receipts(stream: DataFrame, ledger: tables.KeyedTable, accounts: tables.KeyedTable, booked: tables.BatchSink, reject: tables.BatchSink, every: str | None = "15 minutes") -> DataStreamWriter:
+def booked_receipts(stream: DataFrame, ledger: tables.KeyedTable, accounts: tables.KeyedTable, booked: tables.BatchSink, reject: tables.BatchSink, every: str | None = "15 minutes", free: bool = False) -> DataStreamWriter:
     """Books each micro-batch of receipts in ``ledger`` and ``accounts``, tables keyed by id; their trips go to ``booked``, bad receipts to ``reject``.
 
     Only the parts of the ledger that a batch changes are written.  A receipt
@@ -138,16 +138,17 @@ def booked_receipts(stream: DataFrame, ledger: tables.KeyedTable, accounts: tabl
     again, wherever its first try ended, leaves what one run leaves: its trips
     are those of no other batch, accounts come before the rows that name them,
     and the tables know the batch's number.  Runs ``every`` so often, or once
-    over what has landed if that is None.
+    over what has landed if that is None.  ``free``: receipts of 0.00 are good,
+    and link what they match, but book no expense.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows, bad = trips.from_payloads(batch)
+        rows, bad = trips.from_payloads(batch, free)
         known = booked.read().where(F.col("batch") != batch_id).select("id")
         rows = rows.join(known, "id", "left_anti")
         booked.write(trips.metadata(rows), batch_id)
-        linked, added, missing = trips.changes(rows, ledger.read(), accounts.read())
+        linked, added, missing = trips.changes(rows, ledger.read(), accounts.read(), free=free)
         # written before the tables change that they are made from
         path = scratch(spark, "booked")
         linked.unionByName(added).write.parquet(path)
