@@ -91,6 +91,44 @@ def test_range_join_equals_all_pairs(spark):
     assert {(r["trip_id"], r["tx_id"]) for r in signed.collect()} == {(a, b) for a, m, d in t for b, n, e in x if abs(d - e) <= dt.timedelta(hours=2) and abs(m - n) <= 2}
 
 
+def joined_rows(plan):
+    """The rows that all joins of a plan that has run gave."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return joined_rows(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return joined_rows(plan.plan())
+    mine = plan.metrics().apply("numOutputRows").value() if name.endswith("Join") else 0
+    return mine + sum(joined_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_nearest_equals_all_pairs(spark, signed):
+    """Among all pairs within the exact bounds: the nearest by whole milliseconds, then by amount, then by id."""
+    from decimal import Decimal
+
+    rng = random.Random(5)
+    money = lambda: Decimal(rng.randrange(-900, 900)) / 100
+    when = lambda: T0 + dt.timedelta(seconds=rng.randrange(0, 900) * 60, microseconds=rng.randrange(0, 3) * 400)
+    t = [(f"t{i}", abs(money()), when()) for i in range(120)] + [("late", Decimal(700), T0)]
+    x = [(f"x{i}", money(), when()) for i in range(200)] + [("past", Decimal(-700), T0 + dt.timedelta(hours=2, microseconds=400)), (None, Decimal(-700), T0), ("none", None, T0)]
+    kind = "id string, amount decimal(15,2), date timestamp_ntz"
+    got = {(r["trip_id"], r["tx_id"]) for r in trips.match(spark.createDataFrame(t, kind), spark.createDataFrame(x, kind), signed).collect()}
+    ms, want = lambda d: (d - T0) // dt.timedelta(milliseconds=1), set()
+    for a, m, d in t:
+        near = [(abs(ms(d) - ms(e)), abs(m - (n if signed else abs(n))), b) for b, n, e in x if b and n is not None and abs(d - e) <= dt.timedelta(hours=2) and abs(m - (n if signed else abs(n))) <= 2]
+        want |= {(a, min(near)[2])} if near else set()
+    assert got == want and len(want) > 60 and "late" not in dict(got)
+
+
+def test_trips_of_one_hour_make_no_pairs(spark):
+    """3,000 trips and 3,000 transactions of one hour and about one price, which all match each other."""
+    kind = "concat('{0}', id) as id, cast(10 + id % 90 / 100 as decimal(15,2)) as amount, cast(timestamp_micros(1700000000000000 + id * 1000000) as timestamp_ntz) as date"
+    df = trips.match(*(spark.sql(f"select {kind.format(c)} from range(3000)") for c in "tx"))
+    assert {r["tx_id"][1:] == r["trip_id"][1:] for r in df.collect()} == {True}
+    assert joined_rows(df._jdf.queryExecution().executedPlan()) < 20_000
+
+
 def test_statement_files(spark, tmp_path):
     (tmp_path / "a.OFX").write_text("<ACCTID>7\r\n<LEDGERBAL><BALAMT>12.5</BALAMT><DTASOF>20240102</LEDGERBAL><STMTTRN><TRNAMT>-1<DTPOSTED>20240101<FITID>1<NAME>Uber\r\n<STMTTRN><TRNAMT>2<DTPOSTED>20240101<FITID>2")
     (tmp_path / "b.txt").write_text("no")

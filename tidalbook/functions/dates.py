@@ -30,6 +30,11 @@ def millis(ts: Column) -> Column:
     return F.unix_millis(F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts.cast("timestamp_ntz")).cast("timestamp"))
 
 
+def micros(ts: Column) -> Column:
+    """Epoch microseconds, as ``millis``."""
+    return F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts.cast("timestamp_ntz")).cast("timestamp"))
+
+
 def within_window(a: Column, b: Column, ms: int = 300_000) -> Column:
     return F.coalesce(F.abs(millis(a) - millis(b)) <= ms, F.lit(False))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -34,10 +34,76 @@ def candidates(trips: DataFrame, transactions: DataFrame, signed: bool = False)
     return t.join(x, ["bucket", "money"]).where(near & close).select("trip_id", "tx_id", "trip_ms", F.abs(F.col("tx_ms") - F.col("trip_ms")).alias("dt"), F.abs(F.col("tx_amount") - F.col("trip_amount")).alias("da"))
 
 
+#: Cells of cents: each width holds the one before, and a trip's range of money is cut into whole cells of few widths.
+WIDTHS = (1, 8, 64)
+#: Time is cut into days, of which a trip looks into one or two.
+DAY_US = 86_400_000_000
+HOURS_US = HOURS * 3_600_000_000
+
+
+def _cells(low: Column, high: Column) -> Column:
+    """The cells that together are the cents from ``low`` to ``high``: as wide as fit, each cent in one."""
+    bounds = [(F.ceil(low / w).cast("long"), F.floor((high + 1) / w).cast("long")) for w in WIDTHS]
+
+    def run(level: int, start: Column, end: Column) -> Column:
+        cells = F.when(start < end, F.sequence(start, end - 1)).otherwise(F.array().cast("array<long>"))
+        return F.transform(cells, lambda i: i * len(WIDTHS) + level)
+
+    runs = [run(len(WIDTHS) - 1, *bounds[-1])]
+    for level in range(len(WIDTHS) - 1):
+        (start, end), (above, below), times = bounds[level], bounds[level + 1], WIDTHS[level + 1] // WIDTHS[level]
+        runs += [run(level, start, above * times), run(level, below * times, end)]
+    return F.concat(*runs)
+
+
+def _nearest(t: DataFrame, x: DataFrame) -> DataFrame:
+    """``us``, ``cents`` of ``t`` with ``dt``: the milliseconds to the nearest moment in ``x`` within two hours and 2.00.
+
+    A moment of ``x`` lies in one cell of each width.  In a cell and day the
+    latest moment before a trip and the first one after it are found in one
+    order of time, so the work follows the rows and not the pairs.
+    """
+    day = lambda us: F.floor(us / DAY_US).cast("int")
+    days = F.sequence(day(F.col("us") - HOURS_US), day(F.col("us") + HOURS_US))
+    asked = t.withColumn("cell", F.explode(_cells(F.col("cents") - 100 * MONEY, F.col("cents") + 100 * MONEY))).select("cell", F.explode(days).alias("day"), "us", "cents")
+    homes = F.array(*(F.floor(F.col("cents") / w).cast("long") * len(WIDTHS) + i for i, w in enumerate(WIDTHS)))
+    there = x.select(F.explode(homes).alias("cell"), day(F.col("us")).alias("day"), "us", F.lit(None).cast("long").alias("cents"))
+    order = Window.partitionBy("cell", "day").orderBy("us")
+    both = there.unionByName(asked).withColumn("x_us", F.when(F.col("cents").isNull(), F.col("us")))
+    both = both.withColumns({
+        "before": F.max("x_us").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "after": F.expr("lead(x_us) ignore nulls over (partition by cell, day order by us)"),
+    })
+    ms = lambda us: F.unix_millis(F.timestamp_micros(us))
+    apart = lambda c: F.when(F.abs(F.col(c) - F.col("us")) <= HOURS_US, F.abs(ms(F.col(c)) - ms(F.col("us"))))
+    found = both.where("cents is not null").select("us", "cents", F.least(apart("before"), apart("after")).alias("dt"))
+    return found.where("dt is not null").groupBy("us", "cents").agg(F.min("dt").alias("dt"))
+
+
 def match(trips: DataFrame, transactions: DataFrame, signed: bool = False) -> DataFrame:
-    """``trip_id``, ``tx_id``: each trip's nearest transaction by time, then amount, then id."""
-    best = F.min_by(F.col("tx_id"), F.struct("dt", "da", "tx_id"))
-    return candidates(trips, transactions, signed).groupBy("trip_id", "trip_ms").agg(best.alias("tx_id"))
+    """``trip_id``, ``tx_id``: each trip's nearest transaction by time, then amount, then id; amounts are in whole cents.
+
+    Trips of one moment and price have the same one, and of transactions of one
+    moment and amount only the smallest id counts, so those are merged first.
+    The nearest time is found without pairs; then a trip meets only what stands
+    at that time.
+    """
+    cents = lambda amount: (amount.cast("decimal(15,2)") * 100).cast("long")
+    paid = F.col("amount") if signed else F.abs("amount")
+    x = transactions.select(F.col("id").alias("tx_id"), dates.micros(F.col("date")).alias("us"), cents(paid).alias("cents")).where("tx_id is not null and us is not null and cents is not null")
+    rows = trips.select(F.col("id").alias("trip_id"), dates.millis(F.col("date")).alias("trip_ms"), dates.micros(F.col("date")).alias("us"), cents(F.col("amount")).alias("cents")).where("us is not null and cents is not null")
+    coins = 200 * MONEY
+    near = _nearest(rows.select("us", "cents").distinct(), x.select("us", "cents").distinct())
+    ms = F.unix_millis(F.timestamp_micros("us"))
+    asked = near.withColumn("x_ms", F.explode(F.array_distinct(F.array(ms - F.col("dt"), ms + F.col("dt")))))
+    asked = asked.withColumn("money", F.explode(F.sequence(*(F.floor((F.col("cents") + d) / coins).cast("long") for d in (-100 * MONEY, 100 * MONEY)))))
+    one = x.groupBy(F.col("us").alias("x_us"), F.col("cents").alias("x_cents")).agg(F.min("tx_id").alias("tx_id"))
+    one = one.withColumns({"x_ms": F.unix_millis(F.timestamp_micros("x_us")), "money": F.floor(F.col("x_cents") / coins).cast("long")})
+    da = F.abs(F.col("x_cents") - F.col("cents"))
+    met = asked.join(one, ["x_ms", "money"]).where((F.abs(F.col("x_us") - F.col("us")) <= HOURS_US) & (da <= 100 * MONEY))
+    best = met.groupBy("us", "cents", "dt").agg(F.min(F.struct(da.alias("da"), "tx_id")).alias("best"))
+    nearest = F.min(F.struct("dt", "best.da", "best.tx_id"))["tx_id"]
+    return rows.join(best, ["us", "cents"]).groupBy("trip_id", "trip_ms").agg(nearest.alias("tx_id"))
 
 
 def link(matched: DataFrame, transactions: DataFrame) -> DataFrame:
