@@ -162,3 +162,19 @@ def test_window_on_a_stream_equals_the_batch(spark, tmp_path, seed):
     mine = sorted((str(r["k"]), r["ms"] - base) for r in got.select("k", F.unix_millis("date").alias("ms")).collect())
     assert mine == sorted((str(r["k"]), r["ms"]) for r in batch.collect()) and len(mine) > 20
     assert got.where("n is null").count() == 0
+
+
+def test_keys_share_the_calls(spark, tmp_path):
+    """20,000 keys, each with two rows of which one stays: the state has as many rows as there are groups, not keys."""
+    kind = "k string, n long, date timestamp"
+    rows = spark.range(40_000).selectExpr("concat('k', id % 20000) as k", "cast(null as bigint) as n", "timestamp_seconds(1700000000 + id div 20000 * 100) as date")
+    end = spark.sql("select 'end' as k, 1L as n, timestamp_seconds(1800000000) as date")
+    for part in (rows, end):
+        part.write.mode("append").json(str(tmp_path / "in"), timestampFormat=ingest.EXACT)
+        kept = ingest.first_in_window(spark.readStream.schema(kind).json(str(tmp_path / "in")), ["k", "n"], groups=16)
+        q = kept.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet")
+        q.awaitTermination()
+        assert all(p["stateOperators"][0]["numRowsTotal"] <= 16 for p in q.recentProgress)
+    got = spark.read.schema(kind).parquet(str(tmp_path / "out")).where("k <> 'end'")
+    assert got.count() == got.select("k").distinct().count() == 20_000
+    assert [r["date"].timestamp() for r in got.select("date").distinct().collect()] == [1_700_000_000]

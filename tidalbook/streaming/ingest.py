@@ -36,47 +36,56 @@ def without_repeats(rows: DataFrame, delay: str = "5 minutes", event_time: str =
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["external_id"])
 
 
-def first_in_window(rows: DataFrame, keys: list[str], event_time: str = "date", delay: str = "5 minutes", window_ms: int = WINDOW_MS) -> DataFrame:
+def first_in_window(rows: DataFrame, keys: list[str], event_time: str = "date", delay: str = "5 minutes", window_ms: int = WINDOW_MS, groups: int = 1_024) -> DataFrame:
     """The rows that ``operators.dedup.keep_first_in_window`` keeps, on a stream: a row within the window after its key's last kept one goes.
 
-    Rows wait in their key's state until the watermark has passed them, as an
+    Rows wait in the state until the watermark has passed them, as an
     earlier one may still arrive; so the result is the batch's in whatever order
     rows arrive within ``delay``.  Rows of one key and time: the first by their
-    text as JSON stays.  A key's state holds its last kept time and the rows of
-    the delay; it goes when the window has passed.  Later rows, and rows without
-    a time, are dropped.
+    text as JSON stays.  Of a key the state holds its last kept time and the rows
+    of the delay; they go when the window has passed.  Later rows, and rows
+    without a time, are dropped.
+
+    Keys are dealt over ``groups`` by a hash, and the keys of a group share one
+    state and one call, as a call costs far more than a row.  The stream's owner
+    sizes ``groups`` so that the rows of a batch make some MB a group; a stream
+    keeps its number.
 
     Spark has no built-in form of such state, so this runs Python workers, which
     get rows in Arrow batches; ``without_repeats`` needs none, but keeps more
     rows than the rule says.
     """
     timed = rows.where(F.col(event_time).isNotNull()).withWatermark(event_time, delay)
-    names = [f"k{i}" for i in range(len(keys))]
     whole = F.to_json(F.struct(*rows.columns), {"timestampFormat": EXACT, "timestampNTZFormat": EXACT_NTZ}).alias("row")
-    told = timed.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(event_time).alias("at"), F.unix_millis(F.col(event_time).cast("timestamp")).alias("ms"), whole)
+    key = F.to_json(F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))), {"timestampFormat": EXACT, "timestampNTZFormat": EXACT_NTZ}).alias("key")
+    told = timed.select(key, F.col(event_time).alias("at"), F.unix_millis(F.col(event_time).cast("timestamp")).alias("ms"), whole)
+    told = told.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
 
     def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ms, texts = state.get if state.exists else (None, [], [])
-        waiting = list(zip(ms, texts, strict=True))
+        kept, lasts, owners, ms, texts = state.get if state.exists else ([], [], [], [], [])
+        last = dict(zip(kept, lasts, strict=True))
+        waiting = list(zip(ms, texts, owners, strict=True))
         for f in frames:
-            waiting += zip(f["ms"].tolist(), f["row"].tolist(), strict=True)
+            waiting += zip(f["ms"].tolist(), f["row"].tolist(), f["key"].tolist(), strict=True)
         passed = state.getCurrentWatermarkMs()
         waiting.sort()
         out = []
         ready = bisect_right(waiting, passed, key=lambda w: w[0])
-        for t, row in waiting[:ready]:
-            if last is None or t - last > window_ms:
-                last = t
+        for t, row, k in waiting[:ready]:
+            if k not in last or t - last[k] > window_ms:
+                last[k] = t
                 out.append(row)
         waiting = waiting[ready:]
-        if waiting or (last is not None and last + window_ms >= passed):
-            state.update((last, [t for t, _ in waiting], [r for _, r in waiting]))
-            state.setTimeoutTimestamp(max(passed + 1, waiting[0][0] if waiting else last + window_ms + 1))
+        needed = {k for _, _, k in waiting}
+        last = {k: t for k, t in last.items() if t + window_ms >= passed or k in needed}
+        if waiting or last:
+            state.update((list(last), list(last.values()), [k for _, _, k in waiting], [t for t, _, _ in waiting], [r for _, r, _ in waiting]))
+            state.setTimeoutTimestamp(max(passed + 1, waiting[0][0] if waiting else min(last.values()) + window_ms + 1))
         elif state.exists:
             state.remove()
         yield pd.DataFrame({"row": out})
 
-    kept = told.groupBy(*names).applyInPandasWithState(step, "row string", "last long, ms array<long>, rows array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    kept = told.groupBy("group").applyInPandasWithState(step, "row string", "keys array<string>, lasts array<long>, owners array<string>, ms array<long>, rows array<string>", "append", GroupStateTimeout.EventTimeTimeout)
     return kept.select(F.from_json("row", rows.schema, {"timestampFormat": EXACT, "timestampNTZFormat": EXACT_NTZ}).alias("r")).select("r.*")
 
 
