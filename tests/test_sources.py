@@ -158,3 +158,12 @@ def test_a_far_page_reads_what_an_early_one_reads(spark, tmp_path):
         return scanned(page)[1]
 
     assert 0 < read((Decimal(39_000), "x")) < 3_000 > read((Decimal(2_000), "x"))
+
+
+def test_statement_heads_are_read_in_steps(spark, sf):
+    """What finds a balance's date stands once in the plan, and texts of one small file are read by several tasks."""
+    from tidalbook.plans import queries as q
+
+    df = q.QUERIES["ofx_parse"](spark, sf)
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("dtasof") < 20
+    assert df.select("file", F.spark_partition_id().alias("p")).select("p").distinct().count() > 1

@@ -137,7 +137,9 @@ def _(spark, d):
     kind, money = F.when(F.col("type") == "carteira", "<ACCTTYPE>SAVINGS\r\n").otherwise(""), F.when(k(2) == 0, "<CURDEF>USD</CURDEF>").otherwise("")
     tag = F.when(k(3) == 0, "LEDGERBAL").otherwise("AVAILBAL")
     content = F.concat(F.lit("<OFX><BANKID>341</BANKID><ACCTID>"), "id", F.lit("\r\n"), kind, money, F.lit("<"), tag, F.lit("><BALAMT>"), F.col("balance").cast("string"), F.lit("\r\n<DTASOF>20240131\r\n</"), tag, F.lit("></OFX>"))
-    files = made(a.accounts(spark, d), F.concat("id", F.lit(".qfx")).alias("file"), content.alias("content"))
+    # a small table holds many rows, which a scan would give to few tasks
+    spread = a.accounts(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    files = made(spread, F.concat("id", F.lit(".qfx")).alias("file"), content.alias("content"))
     return doubles(ofx.parse(files).select("file", "bank_id", "acct_id", "acct_type", "currency", "balance", "balance_date"), "balance")
 
 

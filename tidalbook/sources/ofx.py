@@ -27,6 +27,28 @@ def leading_number(value: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(value, ",", ""), r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))", 1).try_cast("decimal(15,2)")
 
 
+def with_balance(files: DataFrame, now: Column) -> DataFrame:
+    """``files`` with ``balance`` and ``balance_date`` from the blocks ``ledger`` and ``avail``: the ledger's balance if it is a number, else the available one.
+
+    In steps, each a column that the next one reads: in one expression every
+    part of the date would hold all that finds its text.
+    """
+    tag = lambda name, of: text.tag_value(F.col(of), name)
+    f = files.withColumns({"__ledger": tag("BALAMT", "ledger"), "__avail": tag("BALAMT", "avail"), "__ledger_at": tag("DTASOF", "ledger"), "__avail_at": tag("DTASOF", "avail")})
+    f = f.withColumns({c: leading_number(F.nullif(F.col(c), F.lit(""))) for c in ("__ledger", "__avail")})
+    f = f.withColumn("__when", F.nullif(F.when(F.col("__ledger").isNotNull(), F.col("__ledger_at")).otherwise(F.col("__avail_at")), F.lit("")))
+    return f.withColumns({"balance": F.coalesce("__ledger", "__avail"), "balance_date": dates.parse_ofx_date(F.col("__when"), now)})
+
+
+#: A statement's head.
+HEAD = ("BANKID", "ACCTID", "ACCTTYPE", "CURDEF")
+
+
+def head_columns() -> tuple[Column, ...]:
+    """``bank_id``, ``acct_id``, ``acct_type``, ``currency`` from columns with the names of the tags."""
+    return (F.col("BANKID").alias("bank_id"), F.col("ACCTID").alias("acct_id"), text.first_filled(F.col("ACCTTYPE"), F.lit("CHECKING")).alias("acct_type"), text.first_filled(F.col("CURDEF"), F.lit("BRL")).alias("currency"))
+
+
 def parse(files: DataFrame, now: Column | None = None) -> DataFrame:
     """One row per file: bank, account, balance and an array of transactions.
 
@@ -34,10 +56,8 @@ def parse(files: DataFrame, now: Column | None = None) -> DataFrame:
     """
     now = F.lit(None).cast("string") if now is None else now
     t = files.withColumn("content", text.same_line_ends(F.col("content")))
-    tag = lambda name, of="content": text.tag_value(F.col(of), name)
     t = t.withColumns({"ledger": F.try_element_at(text.tag_blocks(F.col("content"), "LEDGERBAL"), F.lit(1)), "avail": F.try_element_at(text.tag_blocks(F.col("content"), "AVAILBAL"), F.lit(1))})
-    in_ledger, in_avail = (leading_number(F.nullif(tag("BALAMT", b), F.lit(""))) for b in ("ledger", "avail"))
-    when = F.when(in_ledger.isNotNull(), tag("DTASOF", "ledger")).otherwise(tag("DTASOF", "avail"))
+    t = with_balance(t.withColumns({name: text.tag_value(F.col("content"), name) for name in HEAD}), now)
 
     def transaction(block: Column) -> Column:
         of = lambda name: text.tag_value(block, name)
@@ -49,11 +69,7 @@ def parse(files: DataFrame, now: Column | None = None) -> DataFrame:
     every = F.transform(text.tag_blocks(F.col("content"), "STMTTRN"), transaction)
     whole = lambda r: (r.fit_id != "") & (r.posted != "") & r.amount.isNotNull()
     rows, others = F.filter(every, whole), F.filter(every, lambda r: ~whole(r))
-    return t.select(
-        "file", tag("BANKID").alias("bank_id"), tag("ACCTID").alias("acct_id"), text.first_filled(tag("ACCTTYPE"), F.lit("CHECKING")).alias("acct_type"),
-        text.first_filled(tag("CURDEF"), F.lit("BRL")).alias("currency"), F.coalesce(in_ledger, in_avail).alias("balance"),
-        dates.parse_ofx_date(F.nullif(when, F.lit("")), now).alias("balance_date"), rows.alias("transactions"), others.alias("rejected"),
-    )
+    return t.select("file", *head_columns(), "balance", "balance_date", rows.alias("transactions"), others.alias("rejected"))
 
 
 #: What stands before each statement line; reading by it cuts a large file into records that several tasks share.
@@ -80,15 +96,11 @@ def statements(records: DataFrame, now: Column | None = None) -> DataFrame:
     files = records.groupBy("file").agg(
         F.min_by("value", place).alias("head"), F.max_by("value", place).alias("tail"), holds("ledgerbal").alias("ledger"), holds("availbal").alias("avail"), F.max(F.lower("value").contains("</stmttrn>")).alias("closed"),
     )
-    tag = lambda name: text.first_filled(text.tag_value(F.col("head"), name), text.tag_value(F.col("tail"), name))
     block = lambda c, name: F.try_element_at(text.tag_blocks(F.col(c), name), F.lit(1))
     files = files.withColumns({"ledger": block("ledger", "LEDGERBAL"), "avail": block("avail", "AVAILBAL")})
-    in_ledger, in_avail = (leading_number(F.nullif(text.tag_value(F.col(c), "BALAMT"), F.lit(""))) for c in ("ledger", "avail"))
-    when = F.when(in_ledger.isNotNull(), text.tag_value(F.col("ledger"), "DTASOF")).otherwise(text.tag_value(F.col("avail"), "DTASOF"))
-    return files.select(
-        "file", tag("BANKID").alias("bank_id"), tag("ACCTID").alias("acct_id"), text.first_filled(tag("ACCTTYPE"), F.lit("CHECKING")).alias("acct_type"), text.first_filled(tag("CURDEF"), F.lit("BRL")).alias("currency"),
-        F.coalesce(in_ledger, in_avail).alias("balance"), dates.parse_ofx_date(F.nullif(when, F.lit("")), now).alias("balance_date"), "closed",
-    )
+    files = files.withColumns({f"{name}_{c}": text.tag_value(F.col(c), name) for name in HEAD for c in ("head", "tail")})
+    files = files.withColumns({name: text.first_filled(F.col(f"{name}_head"), F.col(f"{name}_tail")) for name in HEAD})
+    return with_balance(files, now).select("file", *head_columns(), "balance", "balance_date", "closed")
 
 
 def lines(records: DataFrame, now: Column | None = None) -> DataFrame:
