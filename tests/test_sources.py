@@ -167,3 +167,12 @@ def test_statement_heads_are_read_in_steps(spark, sf):
     df = q.QUERIES["ofx_parse"](spark, sf)
     assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("dtasof") < 20
     assert df.select("file", F.spark_partition_id().alias("p")).select("p").distinct().count() > 1
+
+
+def test_lines_are_filtered_by_their_values(spark, tmp_path):
+    """A filter on what a line lacks does not search the text once more."""
+    (tmp_path / "a.ofx").write_text("<OFX><ACCTID>7</ACCTID><STMTTRN><DTPOSTED>20240101<TRNAMT>1<FITID>1</STMTTRN><STMTTRN><DTPOSTED>20240101<TRNAMT>1</STMTTRN></OFX>")
+    df = ofx.lines(ofx.read_records(spark, str(tmp_path))).where(F.size("missing") == 0)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "FITID" in x]
+    assert [r["external_id"] for r in df.collect()] == ["ofx_7_1"]

@@ -116,7 +116,9 @@ def lines(records: DataFrame, now: Column | None = None) -> DataFrame:
     end = F.instr(F.lower("value"), "</stmttrn>")
     joined = joined.where(~F.col("closed") | (end > 0)).withColumn("value", F.when(F.col("closed"), F.expr("substring(value, 1, instr(lower(value), '</stmttrn>') - 1)")).otherwise(F.col("value")))
     of = lambda name: text.tag_value(F.col("value"), name)
-    r = joined.select("file", "acct_id", of("FITID").alias("fit_id"), of("DTPOSTED").alias("posted"), leading_number(of("TRNAMT")).alias("amount"), text.first_filled(of("NAME"), of("MEMO"), F.lit("Sem descrição")).alias("description"), text.first_filled(of("TRNTYPE"), F.lit("OTHER")).alias("type"))
+    # one row each, so that a filter on what is missing reads the values and not the text again
+    values = F.struct(of("FITID").alias("fit_id"), of("DTPOSTED").alias("posted"), leading_number(of("TRNAMT")).alias("amount"), text.first_filled(of("NAME"), of("MEMO"), F.lit("Sem descrição")).alias("description"), text.first_filled(of("TRNTYPE"), F.lit("OTHER")).alias("type"))
+    r = joined.select("file", "acct_id", F.inline(F.array(values)))
     lacking = F.array_compact(F.array(F.when(F.col("fit_id") == "", F.lit("fit_id")), F.when(F.col("posted") == "", F.lit("posted")), F.when(F.col("amount").isNull(), F.lit("amount"))))
     return r.select("file", "acct_id", text.external_id_ofx(F.col("acct_id"), F.col("fit_id")).alias("external_id"), "description", "amount", dates.parse_ofx_date(F.col("posted"), now).alias("date"), "type", lacking.alias("missing"))
 
