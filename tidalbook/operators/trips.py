@@ -65,14 +65,14 @@ def _nearest(t: DataFrame, x: DataFrame) -> DataFrame:
     """
     day = lambda us: F.floor(us / DAY_US).cast("int")
     days = F.sequence(day(F.col("us") - HOURS_US), day(F.col("us") + HOURS_US))
-    asked = t.withColumn("cell", F.explode(_cells(F.col("cents") - 100 * MONEY, F.col("cents") + 100 * MONEY))).select("cell", F.explode(days).alias("day"), "us", "cents")
+    asked = t.withColumn("cell", F.explode(_cells(F.col("cents") - 100 * MONEY, F.col("cents") + 100 * MONEY))).select("cell", F.explode(days).alias("bucket"), "us", "cents")
     homes = F.array(*(F.floor(F.col("cents") / w).cast("long") * len(WIDTHS) + i for i, w in enumerate(WIDTHS)))
-    there = x.select(F.explode(homes).alias("cell"), day(F.col("us")).alias("day"), "us", F.lit(None).cast("long").alias("cents"))
-    order = Window.partitionBy("cell", "day").orderBy("us")
+    there = x.select(F.explode(homes).alias("cell"), day(F.col("us")).alias("bucket"), "us", F.lit(None).cast("long").alias("cents"))
+    order = Window.partitionBy("cell", "bucket").orderBy("us")
     both = there.unionByName(asked).withColumn("x_us", F.when(F.col("cents").isNull(), F.col("us")))
     both = both.withColumns({
         "before": F.max("x_us").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "after": F.expr("lead(x_us) ignore nulls over (partition by cell, day order by us)"),
+        "after": F.expr("lead(x_us) ignore nulls over (partition by cell, bucket order by us)"),
     })
     ms = lambda us: F.unix_millis(F.timestamp_micros(us))
     apart = lambda c: F.when(F.abs(F.col(c) - F.col("us")) <= HOURS_US, F.abs(ms(F.col(c)) - ms(F.col("us"))))
