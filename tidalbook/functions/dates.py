@@ -21,6 +21,11 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def iso_micros(ts: Column) -> Column:
+    """As ``iso``, with nothing cut off."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def iso_day(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
