@@ -116,6 +116,42 @@ def test_run_index_of_two_short_strings():
     assert index.smallest_owners().tolist() == [first[t[s : s + 50]] for t in (a, b) for s in range(len(t) - 49)]
 
 
+def test_blocks_and_buckets_exchange_few_rows(spark, monkeypatch):
+    """10 GB of text: fewer than a thousand rows a block, though blocks and buckets both follow the text."""
+    seen = []
+    monkeypatch.setattr(repeats.common, "written", lambda df, what="": df)
+    monkeypatch.setattr(repeats, "owners", lambda blocks, shared, n_anchors, n, n_blocks: seen.append((n_anchors, n, n_blocks)) or shared.withColumnsRenamed({"shared": "counts", "hot": "low"}))
+    repeats.without_repeats(spark.range(2_000).selectExpr("id as doc_id", "repeat('x', 5000000) as text"))
+    [(n_anchors, n, n_blocks)] = seen
+    assert n_blocks > 4_000 and n_anchors > 200 and n > 400 and n_anchors + n < 1_000
+
+
+@pytest.mark.parametrize("n", [4_000, 40_000])
+def test_indexes_stay_small(monkeypatch, n):
+    """However many segments meet in a bucket, an index holds about ``SEGMENTS`` bytes of them; the smallest ids are those of all."""
+    largest = []
+
+    class Seen(RunIndex):
+        def __init__(self, data, *rest):
+            largest.append(len(data))
+            super().__init__(data, *rest)
+
+    monkeypatch.setattr(repeats, "RunIndex", Seen)
+    rng = np.random.default_rng(3)
+    words = rng.integers(97, 123, (n // 4, 70), dtype=np.uint8)
+    which, cut = rng.integers(0, n // 4, n), rng.integers(0, 15, n)  # a passage's segments begin at some place in it
+    count = 21 - cut
+    data = np.concatenate([words[w, c : c + k + 49] for w, c, k in zip(which, cut, count, strict=True)])
+    low, mark = rng.integers(0, 1_000, n), which.astype(np.uint32)
+    first = {}
+    texts = [bytes(x) for x in np.split(data, np.cumsum(count + 49)[:-1])]
+    for t, o in zip(texts, low.tolist(), strict=True):
+        for i in range(len(t) - 49):
+            first[t[i : i + 50]] = min(first.get(t[i : i + 50], o), o)
+    assert repeats.smallest(data, count, low, mark).tolist() == [first[t[i : i + 50]] for t in texts for i in range(len(t) - 49)]
+    assert max(largest) < 200_000
+
+
 def test_rows_of_a_block_cost_nothing_each():
     """A block's segments take as long to send to 7,680 buckets as to 125."""
     rng = np.random.default_rng(1)

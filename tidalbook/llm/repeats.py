@@ -16,11 +16,12 @@ one.  Windows in a row with one anchor form a segment.
    buckets, with the smallest doc_id of each: copies inside a block travel once.
    A bucket merges equal segments of all blocks.  Where an anchor has one
    segment only, that segment's smallest doc_id holds for all its windows; the
-   others go into a run-length index (``run_index``), which is streamed for the
-   smallest doc_id of each window.
+   others go into run-length indexes (``run_index``) of about ``SEGMENTS`` bytes,
+   which are streamed for the smallest doc_id of each window.
 3. Each block marks the windows of its documents that an earlier one has.
 
-Blocks and buckets number in proportion to the corpus.  A hot passage weighs
+Blocks and buckets number in proportion to the corpus; a bucket serves more text
+than a block, so that the rows between them stay few.  A hot passage weighs
 on its buckets once per block, however many documents hold it; where there are
 more than ``FAN`` blocks, a bucket's segments are first merged by lots of
 blocks, so that no task gets more than ``FAN`` copies of one.
@@ -50,9 +51,13 @@ from .words import scrambled
 DEPTH, GRAM = 50, 20
 SPAN = DEPTH - GRAM + 1
 #: Bytes of text per block, per bucket of segments and per bucket of anchors; blocks and buckets at least.
-BLOCK, SEGMENTS, ANCHORS, LEAST = 2 << 20, 1 << 19, 8 << 20, 64
+BLOCK, SHELF, ANCHORS, LEAST = 2 << 20, 16 << 20, 32 << 20, 64
+#: Bytes of segments per index, and buckets of other segments for each of hot ones.
+SEGMENTS, FEWER = 1 << 17, 8
 #: Bytes of text that a task deals to the blocks at a time, and blocks whose segments meet in one task.
 PIECE, FAN = 16 << 20, 64
+#: Windows that are looked at together, so that their numbers stay in the cache.
+STRETCH = 1 << 15
 LAST = (1 << 63) - 1
 
 _TABLE = scrambled(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -122,44 +127,36 @@ class Block:
         self.anchor = self.gram16 = np.zeros(0, np.uint64)
         if n < DEPTH:
             return
-        with np.errstate(over="ignore"):
-            h = _TABLE[self.data]
-            grams = {}
-            for k, (m, w) in enumerate(zip(_M, (1, 2, 4, 8), strict=False)):
-                h = h[:-w] * m + h[w:]
-                grams[2 * w] = h
-                if k == 2:
-                    del grams[2], grams[4]
-            self.gram16 = h
-            # GRAM = 16 + 4
-            four = _TABLE[self.data]
-            for m, w in zip(_M, (1, 2), strict=False):
-                four = four[:-w] * m + four[w:]
-            h = scrambled(h[: n - GRAM + 1] * _M[4] + four[16 : 16 + n - GRAM + 1])
-            del four, grams
-        piece = 1 << 23  # places in a packed value have 24 bits
-        at = []
-        for a in range(0, n - DEPTH + 1, piece):
-            v = h[a : a + piece + SPAN - 1]
-            v = (v >> np.uint64(24) << np.uint64(24)) | np.arange(len(v), dtype=np.uint64)
+        at = np.empty(n - DEPTH + 1, np.int32 if n < LAST >> 32 else np.int64)  # the anchor of each window
+        self.gram16, grams = np.empty(n - 15, np.uint64), np.empty(n - GRAM + 1, np.uint64)
+        for a in range(0, len(at), STRETCH):
+            z = min(a + STRETCH, len(at))
+            with np.errstate(over="ignore"):
+                h = _TABLE[self.data[a : z + DEPTH - 1]]
+                for m, w in zip(_M, (1, 2, 4, 8), strict=False):
+                    h = h[:-w] * m + h[w:]
+                    four = h if w == 2 else four if w > 2 else None
+                self.gram16[a : a + len(h)] = h
+                h = scrambled(h[: len(h) - 4] * _M[4] + four[16 : 16 + len(h) - 4])  # GRAM = 16 + 4
+            grams[a : a + len(h)] = h
+            v = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)  # places in a packed value have 24 bits
             for w in (1, 2, 4, 8):
                 v = np.minimum(v[:-w], v[w:])
             v = np.minimum(v[: len(v) - (SPAN - 16)], v[SPAN - 16 :])
-            at.append((v & np.uint64(0xFFFFFF)).astype(np.int64) + a)
-        at = np.concatenate(at)  # the anchor of each window
-        room = np.maximum(self.sizes - DEPTH + 1, 0)
-        valid = np.zeros(len(at) + 1, np.int64)
-        has = room > 0
-        np.add.at(valid, self.starts[has], 1)
-        np.add.at(valid, np.minimum(self.starts[has] + room[has], len(at)), -1)
-        valid = np.cumsum(valid[:-1]) > 0
-        new = np.concatenate(([True], (at[1:] != at[:-1]) | ~valid[:-1])) & valid
+            at[a:z] = (v & np.uint64(0xFFFFFF)).astype(np.int64) + a
+        has = self.sizes >= DEPTH
+        new = np.concatenate(([True], at[1:] != at[:-1]))
         new[self.starts[has]] = True
-        last = np.flatnonzero(valid & np.concatenate((new[1:] | ~valid[1:], [True])))
+        # windows that cross a document's end
+        for back in range(1, DEPTH):
+            over = self.starts + self.sizes - back
+            new[over[(over >= 0) & (over < len(at))]] = False
         self.first = np.flatnonzero(new)
-        self.count = last - self.first + 1
-        self.anchor = h[at[self.first]]
-        self.owner = np.searchsorted(self.starts, self.first, side="right") - 1
+        own = np.searchsorted(self.starts, self.first, side="right") - 1
+        end = (self.starts + self.sizes)[own] - DEPTH + 1  # of the document's windows
+        self.count = np.minimum(np.append(self.first[1:], len(at)), end) - self.first
+        self.anchor = grams[at[self.first]]
+        self.owner = own
         # empty documents share a start with the next one: searchsorted gives the last of them, which holds the text
 
     def keep(self, chosen: np.ndarray) -> None:
@@ -244,7 +241,7 @@ def shared_anchors(blocks: DataFrame, n: int) -> DataFrame:
         b = Block(rows.to_pydict())
         # a document's anchors are those of its text; ids tell documents apart
         code = (buckets_of(b.anchor, n).astype(np.uint64) << np.uint64(32)) | (b.anchor & np.uint64(0xFFFFFFFF))
-        order = np.argsort(code, kind="stable")  # owners ascend within a code
+        order = np.argsort(code)
         code, owner = code[order], b.ids[b.owner[order]] if len(code) else order
         lead = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else order
         twice = np.maximum.reduceat(owner, lead) != np.minimum.reduceat(owner, lead) if len(code) else np.zeros(0, bool)
@@ -255,7 +252,7 @@ def shared_anchors(blocks: DataFrame, n: int) -> DataFrame:
     def answer(rows: pa.Table) -> pa.Table:
         every, sizes = _joined(rows.column("codes"), np.uint32)
         marked, _ = _joined(rows.column("twice"), np.uint8)
-        order = np.argsort(every, kind="stable")
+        order = np.argsort(every)
         lead = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
         blocks = np.diff(np.append(lead, len(every)))
         many = (blocks > 1) | (np.maximum.reduceat(marked[order], lead) > 0)
@@ -282,7 +279,7 @@ def shared_segments(rows: dict[str, list], side: pa.Table, n_anchors: int) -> Bl
     b = Block(rows)
     codes, sizes = _joined(side.column("shared"), np.uint32)
     known = codes.astype(np.uint64) | (np.repeat(side.column("bucket").to_numpy().astype(np.uint64), sizes) << np.uint64(32))
-    order = np.argsort(known, kind="stable")
+    order = np.argsort(known)
     known, hot = known[order], _joined(side.column("hot"), np.uint8)[0][order]
     code = (buckets_of(b.anchor, n_anchors).astype(np.uint64) << np.uint64(32)) | (b.anchor & np.uint64(0xFFFFFFFF))
     at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
@@ -298,12 +295,14 @@ def distinct_segments(b: Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     Hot segments have buckets of their own, from ``n`` on; fewer, as each of them stands in more than ``FAN`` blocks.
     """
     name = b.names()
-    bucket = np.where(b.hot, n + buckets_of(b.anchor, max(LEAST, n // FAN)), buckets_of(b.anchor, n))
-    order = np.lexsort((np.arange(len(name)), name, bucket))
+    bucket = np.where(b.hot, n + buckets_of(b.anchor, max(LEAST, n // FEWER)), buckets_of(b.anchor, n))
+    order = np.argsort(name)
+    order = order[np.argsort(bucket[order].astype(np.uint16 if n < 1 << 15 else np.int64), kind="stable")]
     lead = np.concatenate(([True], name[order][1:] != name[order][:-1])) if len(order) else np.zeros(0, bool)
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(lead) - 1
-    return order[lead], bucket[order[lead]], place
+    first = np.minimum.reduceat(order, np.flatnonzero(lead)) if len(order) else order
+    return first, bucket[first], place
 
 
 #: Segments on their way: bytes, windows of each, smallest doc_ids, anchors' marks; ``lot``: of hot buckets, which blocks meet first, else -1.
@@ -430,7 +429,25 @@ def answered(sent: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def smallest(data: np.ndarray, count: np.ndarray, low: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """The smallest doc_id of each window of each segment among all given segments."""
+    """The smallest doc_id of each window of each segment among all given segments; anchors are taken together that make about ``SEGMENTS`` bytes."""
+    size = count + DEPTH - 1
+    order = np.argsort(mark)
+    new = np.concatenate(([True], mark[order][1:] != mark[order][:-1])) if len(order) else np.zeros(0, bool)
+    lead = np.flatnonzero(new)
+    ahead = np.cumsum(size[order]) - size[order]
+    parts = lead[np.flatnonzero(np.diff(ahead[lead] // SEGMENTS, prepend=-1))]
+    if len(parts) < 2:
+        return smallest_of_part(data, count, low, mark)
+    starts, at = np.cumsum(size) - size, np.cumsum(count) - count
+    out = np.empty(int(count.sum()), np.int64)
+    for own in np.split(order, parts[1:]):
+        n = count[own]
+        places = np.repeat(at[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out[places] = smallest_of_part(slices(data, starts[own], size[own]), n, low[own], mark[own])
+    return out
+
+
+def smallest_of_part(data: np.ndarray, count: np.ndarray, low: np.ndarray, mark: np.ndarray) -> np.ndarray:
     which, lead, best = distinct(data, count, low)
     n_windows = count[lead]
     out = np.repeat(best, n_windows)
@@ -466,13 +483,17 @@ def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(np.maximum.reduceat(gone, lead), np.diff(np.append(lead, len(data)))) if len(data) else gone
 
 
+def numbers(total: int) -> tuple[int, int, int]:
+    """Blocks, buckets of segments and buckets of anchors for so many bytes of text."""
+    return max(LEAST, total // BLOCK), max(2 * LEAST, total // SHELF), max(LEAST, total // ANCHORS)
+
+
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept`` (binary: what is left) and the ``carry`` columns.
 
     ``characters``: ``kept`` is a string instead, from which characters that were cut have gone whole.
     """
-    total = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    n_blocks, n, n_anchors = (max(LEAST, total // size) for size in (BLOCK, SEGMENTS, ANCHORS))
+    n_blocks, n, n_anchors = numbers(df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
     blocks = blocks_of(df, key, text, n_blocks, list(carry))
     shared = common.written(shared_anchors(blocks, n_anchors), "shared-anchors")
     found = owners(blocks, shared, n_anchors, n, n_blocks)
