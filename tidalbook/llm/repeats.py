@@ -51,7 +51,7 @@ from .words import scrambled
 DEPTH, GRAM = 50, 20
 SPAN = DEPTH - GRAM + 1
 #: Bytes of text per block, per bucket of segments and per bucket of anchors; blocks and buckets at least.
-BLOCK, SHELF, ANCHORS, LEAST = 2 << 20, 16 << 20, 32 << 20, 64
+BLOCK, SHELF, ANCHORS, LEAST = 2 << 20, 8 << 20, 32 << 20, 64
 #: Bytes of segments per index, and buckets of other segments for each of hot ones.
 SEGMENTS, FEWER = 1 << 17, 8
 #: Bytes of text that a task deals to the blocks at a time, and blocks whose segments meet in one task.
@@ -65,11 +65,11 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    return x.tobytes()
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    return np.frombuffer(x, kind)
 
 
 def _cut(data: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -109,7 +109,7 @@ class Block:
         ids = np.concatenate([_unpack(x, np.int64) for x in rows["ids"]])
         nulls = np.concatenate([_unpack(x, np.uint8) for x in rows["nulls"]])
         sizes = np.concatenate([_unpack(x, np.int64) for x in rows["sizes"]])
-        text = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in rows["texts"])
+        text = b"".join(map(zstandard.ZstdDecompressor().decompress, rows["texts"]))
         starts = np.cumsum(sizes) - sizes
         texts = [text[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
@@ -189,34 +189,32 @@ def buckets_of(anchor: np.ndarray, n: int) -> np.ndarray:
 
 
 def blocks_of(df: DataFrame, key: str, text: str, n: int, carry: list[str]) -> DataFrame:
-    """Documents packed by block: ``block``, ``ids``, ``nulls``, ``sizes``, ``texts``, ``carried`` (compressed; the last: an Arrow stream, empty if nothing is carried).
+    """Documents packed by block: ``block``, ``ids``, ``nulls``, ``sizes``, ``texts``, ``carried`` (the last two compressed; ``carried``: an Arrow stream, empty if nothing is carried).
 
     The id and the text name the block, so that null or repeated ids don't meet in one.
     """
 
     def dealt(ids: list, texts: list[bytes], rest: list[pa.Array]) -> pa.RecordBatch:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         keys = np.array([LAST if i is None else i for i in ids], np.int64)
-        marks = np.array([zlib.crc32(t) for t in texts], np.uint64)
+        nulls = np.array([i is None for i in ids], np.uint8)
+        sizes = np.array(list(map(len, texts)), np.int64)
+        marks = np.array(list(map(zlib.crc32, texts)), np.uint64)
         with np.errstate(over="ignore"):
-            part = (scrambled(scrambled(keys.view(np.uint64)) + marks) % np.uint64(n)).astype(np.int64)
+            part = (scrambled(scrambled(keys.view(np.uint64)) + marks) % np.uint64(n)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         held = pa.concat_arrays(rest) if rest else None
-        out: dict[str, list] = {k: [] for k in ("block", "ids", "nulls", "sizes", "texts", "carried")}
-        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
-            out["block"].append(int(part[own[0]]))
-            out["ids"].append(_pack(keys[own]))
-            out["nulls"].append(_pack(np.array([ids[i] is None for i in own], np.uint8)))
-            out["sizes"].append(_pack(np.array([len(texts[i]) for i in own], np.int64)))
-            out["texts"].append(squeeze(b"".join(texts[i] for i in own)))
-            out["carried"].append(_frozen(held.take(pa.array(own))) if held is not None else b"")
-        return pa.RecordBatch.from_arrays([pa.array(out.pop("block"), pa.int32()), *(pa.array(x, pa.binary()) for x in out.values())], ["block", *out])
+        block, ends = runs(part[order])
+        each = np.split(order, ends[1:-1])
+        squeezed = pa.array([squeeze(b"".join([texts[i] for i in own.tolist()])) for own in each], pa.binary())
+        carried = pa.array([_frozen(held.take(pa.array(own))) if held is not None else b"" for own in each], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(block), *(_cut(x[order], ends) for x in (keys, nulls, sizes)), squeezed, carried], ["block", "ids", "nulls", "sizes", "texts", "carried"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, rest, size = [], [], [], 0
         for b in batches:
             ids += b.column(0).to_pylist()
-            fresh = [(t or "").encode() for t in b.column(1).to_pylist()]
+            fresh = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             texts += fresh
             rest += [b.column(2)] if b.num_columns > 2 else []
             size += sum(map(len, fresh))
